@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from notewright.llm.kd_sharding import kd_shards
+from notewright.llm.line_dedup import drop_common_lines
+from notewright.llm.packing import pack
+from notewright.llm.quality_rules import rate_quality
 from notewright.llm.secret_scan import scan_secrets
 from notewright.llm.shingle_join import jaccard_components
+from notewright.llm.source_mixing import mix_sources
 from notewright.llm.token_counts import count_tokens
 
 
@@ -29,10 +35,54 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, limit=1024)
 
 
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(_table(spark, sf_dir, "documents"), min_words=50, most_repeat_percent=50)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), max_length=2048, buckets=8, budget=16384)
+
+
+def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, weights=[5.0, 2.0, 1.0], cap=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op4_compression_bands": op4_compression_bands,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
+    "op8_entropy_mixing": op8_entropy_mixing,
+    "op9_kd_sharding": op9_kd_sharding,
 }
 
-SQL: dict[str, str] = {}
+_LINES = r"""
+lines AS (
+  SELECT doc_id, i, ls[i] AS line,
+         trim(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+common AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+"""
+
+#: SQL for the operators whose whole result SQL expresses.
+SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH {_LINES}
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id
+""",
+}
