@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from notewright.llm.kd_sharding import kd_shards
 from notewright.llm.line_dedup import drop_common_lines
 from notewright.llm.packing import pack
+from notewright.llm.quality_classifier import classify_quality
 from notewright.llm.quality_rules import rate_quality
 from notewright.llm.secret_scan import scan_secrets
 from notewright.llm.shingle_join import jaccard_components
 from notewright.llm.source_mixing import mix_sources
 from notewright.llm.token_counts import count_tokens
+from notewright.llm.vector_search import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), max_length=2048, buckets=8, budget=16384)
 
 
+def op7_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs, weights=[5.0, 2.0, 1.0], cap=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -58,6 +64,10 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -65,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_compression_bands": op4_compression_bands,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_random_indexing_quality": op7_random_indexing_quality,
     "op8_entropy_mixing": op8_entropy_mixing,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_int8_block_join": op10_int8_block_join,
 }
 
 _LINES = r"""
@@ -84,5 +96,14 @@ WITH {_LINES}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id
+""",
+    "op10_int8_block_join": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+             AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }

@@ -350,3 +350,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, group
     lowest = classes.groupBy("root").agg(F.min("_least").alias("_lowest"))
     by_node = classes.join(lowest, "root").select("node", "_lowest")
     return sized.join(by_node, "node", "left").select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_lowest")).otherwise(F.col(id_col)).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id; of repeated rows of an id one stays.
+
+    Texts without words are linked with nothing and stay. Rows with a null id cannot be named, so they are not
+    compared and stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    first = jaccard_components(named, words, percent, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = named.join(first, id_col, "left_semi").withColumn("_text_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
+    return kept.union(docs.where(F.col(id_col).isNull()))
