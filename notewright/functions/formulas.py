@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import INLINE_CODE, inside, let, lines_of, map_lines, protected_ranges
+from notewright.functions.lines import INLINE_CODE, inside, let, lines_of, map_lines, only_if, protected_ranges
 from notewright.functions.spacing import HAN
 
 _FORMULA = r"\$\$([^$]+)\$\$|\$([^$\n]+)\$"
@@ -15,7 +15,7 @@ SYMBOLS = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "eps
 
 def _open_text(text: Column) -> Column:
     """The text without protected lines and inline code."""
-    kept = let(lambda v: F.transform(v["lines"], lambda x, i: F.when(inside(v["kept"], i), "").otherwise(x)), lines=lines_of(text), kept=protected_ranges(lines_of(text)))
+    kept = let(lambda v: let(lambda w: F.transform(w["lines"], lambda x, i: F.when(inside(w["kept"], i), "").otherwise(x)), lines=v["lines"], kept=protected_ranges(v["lines"])), lines=lines_of(text))
     return F.regexp_replace(F.array_join(kept, "\n"), INLINE_CODE, "")
 
 
@@ -38,10 +38,10 @@ _PIECE = rf"(`+[^`\n]*`+|!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|[a-zA-Z][a
 def wrap_variables(text: Column, letters: Column) -> Column:
     """Single letters of ``letters`` next to Chinese text (blanks skipped) as formulas; not labels like ``(a)``."""
 
-    def line(x: Column) -> Column:
-        return let(lambda v: wrapped(v["t"]), t=F.regexp_extract_all(x, F.lit(_PIECE), F.lit(1)))
+    def line(x: Column, letters: Column) -> Column:
+        return let(lambda v: wrapped(v["t"], letters), t=F.regexp_extract_all(x, F.lit(_PIECE), F.lit(1)))
 
-    def wrapped(t: Column) -> Column:
+    def wrapped(t: Column, letters: Column) -> Column:
         blank = lambda c: c.rlike(r"^[ \t\u00a0]+$")
 
         def one(c: Column, i: Column) -> Column:
@@ -55,8 +55,7 @@ def wrap_variables(text: Column, letters: Column) -> Column:
 
         return F.array_join(F.transform(t, one), "")
 
-    done = map_lines(text, lambda x: F.when(x.rlike(HAN), line(x)).otherwise(x))
-    return F.when(F.size(letters) > 0, done).otherwise(text)
+    return let(lambda v: F.when(F.size(v["letters"]) > 0, map_lines(v["t"], lambda x: F.when(x.rlike(HAN), line(x, v["letters"])).otherwise(x))).otherwise(v["t"]), t=text, letters=letters)
 
 
 def wrap_declared(notes: DataFrame) -> DataFrame:
@@ -83,4 +82,4 @@ def symbols_to_commands(text: Column) -> Column:
         t = F.regexp_extract_all(lone, F.lit(r"(`+[^`\n]*`+|\$\$[^$\n]*\$\$|\$[^$\n]*\$|[^$`]+|.)"), F.lit(1))
         return F.array_join(F.transform(t, lambda c: F.when(c.rlike(r"^\$.+\$$"), inner(c)).otherwise(c)), "")
 
-    return F.when(text.rlike(f"[{marks}]"), map_lines(text, lambda x: F.when(x.rlike(f"[{marks}]"), line(x)).otherwise(x))).otherwise(text)
+    return only_if(lambda t: t.rlike(f"[{marks}]"), lambda t: map_lines(t, lambda x: F.when(x.rlike(f"[{marks}]"), line(x)).otherwise(x)), text)

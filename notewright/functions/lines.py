@@ -24,6 +24,11 @@ def let(use: Callable[[Column], Column], **values: Column) -> Column:
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
 
 
+def only_if(test: Callable[[Column], Column], change: Callable[[Column], Column], text: Column) -> Column:
+    """``change`` of texts that pass a cheap test; the others as they are."""
+    return let(lambda v: F.when(test(v["t"]), change(v["t"])).otherwise(v["t"]), t=text)
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -114,7 +119,8 @@ def no_ranges(lines: Column) -> Column:
 
 def map_lines(text: Column, change: Callable[..., Column], protected: Callable[[Column], Column] = protected_ranges, **more: Callable[[Column], Column]) -> Column:
     """The text with ``change(line)`` for each line outside the protected ranges. With ``more``, columns made of all
-    lines once, it is ``change(line, position, struct of them)``."""
+    lines once, it is ``change(line, position, struct of them)``. Null stays null. The text occurs once in the
+    expression, so steps can be stacked without growing it."""
     changed = lambda v: F.transform(v["lines"], lambda x, i: F.when(inside(v["kept"], i), x).otherwise(change(x, i, v) if more else change(x)))
-    done = let(lambda t: let(changed, lines=t["lines"], kept=protected(t["lines"]), **{k: f(t["lines"]) for k, f in more.items()}), lines=lines_of(text))
-    return F.when(text.isNull(), None).otherwise(F.array_join(done, "\n"))
+    done = let(lambda t: let(changed, lines=t["lines"], kept=protected(t["lines"]), **{k: f(t["lines"]) for k, f in more.items()}), lines=F.split(text, "\n"))
+    return F.array_join(done, "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import INLINE_CODE, inside, lines_of, map_lines, protected_ranges
+from notewright.functions.lines import INLINE_CODE, inside, lines_of, map_lines, only_if, protected_ranges
 
 TAG = r"(?:^|(?<=[ \t　]))#([\p{L}\p{N}_][\p{L}\p{N}_\-/]*)"
 _HIDDEN = (INLINE_CODE, r"!?\[\[[^\]\n]*\]\]", r"!?\[[^\]\n]*\]\([^)\n]*\)", r"<!--[\s\S]*?-->", r"%%[\s\S]*?%%", r"\$[^$\n]+\$")
@@ -75,4 +75,4 @@ def tag_layout(text: Column, sort: bool = True) -> Column:
     def line(x: Column) -> Column:
         return F.when(~x.contains("#"), x).when(x.rlike(r"^[ \t]*\|"), row(x)).when(F.size(F.split(x, r"\|")) > 2, x).otherwise(block(x))
 
-    return F.when(text.contains("#"), map_lines(text, line)).otherwise(text)
+    return only_if(lambda t: t.contains("#"), lambda t: map_lines(t, line), text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import code_ranges, indented_ranges, inside, let, lines_of, map_lines, no_ranges, protected_ranges, table_ranges
+from notewright.functions.lines import code_ranges, indented_ranges, inside, let, lines_of, map_lines, no_ranges, only_if, protected_ranges, table_ranges
 
 _ITEM = r"^[ \t]*(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$)"
 _MARKER = r"^[ \t]*(?:[-*+](?:[ \t]|$)|\d{1,9}[.)](?:[ \t]|$)|>|#{1,6}(?:[ \t]|$)|\|)"
@@ -84,7 +84,7 @@ def fix_headings(text: Column) -> Column:
 
     new = lambda lines: F.map_from_entries(F.aggregate(headings(lines), start, step, lambda s: s["out"]))
     line = lambda x, i, v: F.when(x.rlike(HEADING) & F.map_contains_key(v["new"], i), F.concat(F.regexp_extract(x, HEADING, 1), F.repeat(F.lit("#"), F.try_element_at(v["new"], i)), F.regexp_replace(x, HEADING, ""))).otherwise(x)
-    return F.when(text.contains("#"), map_lines(text, line, no_ranges, new=new)).otherwise(text)
+    return only_if(lambda t: t.contains("#"), lambda t: map_lines(t, line, no_ranges, new=new), text)
 
 
 def heading_outline(notes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def fix_lists(text: Column) -> Column:
     new = lambda lines: F.map_from_entries(F.transform(F.filter(ordered_items(lines), lambda x: x["number"] != x["new"]), lambda x: F.struct(x["pos"], x["new"])))
     number = r"^((?:[ \t]*>)*[ \t]*)\d{1,9}(?=[.)])"
     line = lambda x, i, v: F.when(F.map_contains_key(v["new"], i), F.concat(F.regexp_extract(x, number, 1), F.try_element_at(v["new"], i).cast("string"), F.regexp_replace(x, number, ""))).otherwise(x)
-    return F.when(text.rlike(r"(?m)^[ \t>]*\d{1,9}[.)][ \t]"), map_lines(text, line, no_ranges, new=new)).otherwise(text)
+    return only_if(lambda t: t.rlike(r"(?m)^[ \t>]*\d{1,9}[.)][ \t]"), lambda t: map_lines(t, line, no_ranges, new=new), text)
 
 
 def list_items(notes: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def messages(notes: DataFrame, as_of: str) -> DataFrame:
     header or the end; what follows is the tail. Text before the first header is a row without a user. Dates without a
     year take the year of ``as_of`` (YYYY-MM-DD), times alone its day, and then has_date is false.
     """
-    rows = notes.where(F.col("text").rlike(HEADER)).select("note_id", F.posexplode(_pieces(F.col("text"))).alias("seq", "_p")).where("_p <> ''")
+    rows = notes.where(F.col("text").rlike(r"\d:\d{2}:\d{2}")).where(F.col("text").rlike(HEADER)).select("note_id", F.posexplode(_pieces(F.col("text"))).alias("seq", "_p")).where("_p <> ''")
     stamp = F.regexp_extract("_p", rf"^{_SENDER}\s*[:：]?\s*({_TIME})", 1)
     is_message = F.col("_p").rlike(rf"^{HEADER}")
     day = F.regexp_extract("_stamp", r"^([\d/-]*?):?\s+", 1)
@@ -74,7 +74,8 @@ def is_chat_log(text: Column) -> Column:
     """One dated header with text after it, or a time that ends its line with text below; else any two headers."""
     dated = rf"{_SENDER}\s*[:：]?\s*(?<!\d)(?:\d{{1,4}}[-/])?\d{{1,2}}[-/]\d{{1,2}}:?\s+\d{{1,2}}:\d{{2}}:\d{{2}}\s*[:：]?[^\n]*\S|{_SENDER}\s*[:：]?\s*(?<!\d)(?:\d{{1,4}}[-/])?\d{{1,2}}[-/]\d{{1,2}}:?\s+\d{{1,2}}:\d{{2}}:\d{{2}}\s*\n\s*\S"
     alone = rf"{_SENDER}\s*[:：]?\s*(?<!\d)\d{{1,2}}:\d{{2}}:\d{{2}}[ \t]*\n[ \t]*\S"
-    return F.coalesce(text.rlike(dated) | text.rlike(alone) | (F.regexp_count(text, F.lit(HEADER)) >= 2), F.lit(False))
+    timed = text.rlike(r"\d:\d{2}:\d{2}")  # most texts hold no time, and need no other search
+    return F.when(timed, text.rlike(dated) | text.rlike(alone) | (F.regexp_count(text, F.lit(HEADER)) >= 2)).otherwise(F.lit(False))
 
 
 def time_ordered(msgs: DataFrame) -> DataFrame:

@@ -141,7 +141,12 @@ def allocate_names(requests: DataFrame, files: DataFrame, as_of: datetime.dateti
     most = counted.select(F.explode(F.sequence(F.lit(0), F.col("_a") + F.col("_b"))).alias("_second"))
     stems = most.withColumn("_stem", preset_stem(F.timestamp_seconds(F.unix_timestamp(start) + F.col("_second")), preset))
     taken = files.select(F.lower(F.regexp_replace("name", r"\.[^.]+$", "")).alias("_taken")).distinct()
-    free = numbered_rows(stems.join(taken, F.lower("_stem") == F.col("_taken"), "left_anti"), ["_second"], "_free")
+    left = stems.join(taken, F.lower("_stem") == F.col("_taken"), "left_anti")
+    # Blocks of a thousand seconds: counts of free ones before a block, and ranks inside it, keep the order of time.
+    block = F.floor(F.col("_second") / 1000)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = left.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    free = left.join(starts, block == F.col("_b")).withColumn("_free", F.row_number().over(Window.partitionBy("_b").orderBy("_second")) - 1 + F.col("_start")).drop("_b", "_start")
     asked = numbered_rows(requests, order, "_asked")
     return asked.join(free, F.col("_asked") == F.col("_free")).withColumn("new_name", F.concat("_stem", F.lit("."), F.lower("ext"))).drop("_asked", "_free", "_second", "_stem")
 

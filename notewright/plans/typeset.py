@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.functions.formulas import declared, symbols_to_commands, wrap_variables
+from notewright.functions.lines import let
 from notewright.functions.spacing import SpacingOptions, fix_spacing
 from notewright.functions.tags import tag_layout
 from notewright.functions.typeset import fix_blank_lines, fix_headings, fix_indent, fix_lists, fix_markers
@@ -51,21 +52,25 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
-    """Notes with text laid out once. Each step is a projection; chat logs and blocks alone are shuffled, by note."""
+    """Notes with text laid out once. Each step is a projection; chat logs and blocks alone are shuffled, by note, and
+    start from rows that are written, so that no step before them is computed twice."""
     t = F.col("text")
     out = notes.withColumn("text", fix_indent(t, o.indent))
     out = out.withColumn("text", fix_markers(t)) if o.indent != "off" else out
     if o.chat:
+        out = _written(out)
         chats = render_chat(out, o.as_of, o.chat).select(F.col("note_id").alias("_n"), F.col("new_text").alias("_chat"))
         out = out.join(chats, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_chat", "text")).drop("_n", "_chat")
     out = out.withColumn("text", fix_lists(t)) if o.lists else out
     out = out.withColumn("text", fix_headings(t)) if o.headings else out
     if o.variables:
-        out = out.withColumn("_letters", F.when(t.contains("$"), declared(t)).otherwise(F.array().cast("array<string>"))).withColumn("text", symbols_to_commands(wrap_variables(t, F.col("_letters")))).drop("_letters")
+        letters = lambda x: F.when(x.contains("$"), declared(x)).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn("text", symbols_to_commands(let(lambda v: wrap_variables(v["x"], letters(v["x"])), x=t)))
     out = out.withColumn("text", fix_spacing(t, o.spacing)) if o.spacing else out
     out = out.withColumn("text", fix_blank_lines(t))
     out = out.withColumn("text", tag_layout(t, o.sort_tags)) if o.tags else out
     if o.sort_blocks:
+        out = _written(out)
         sorted_ = sort_blocks(out).select(F.col("note_id").alias("_n"), "new_text")
         out = out.join(sorted_, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("new_text", "text")).drop("_n", "new_text")
     return out

@@ -29,7 +29,7 @@ def _relative(root: str) -> Column:
 
 def read_notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Every note below ``root`` as one row: note_id (a hash of the path), path, folder, text."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(root)
+    read = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     return read.select(_relative(root).alias("path"), F.col("value").alias("text")).select(F.xxhash64("path").alias("note_id"), "path", _folder(F.col("path")).alias("folder"), "text")
 
 
