@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import gzip
 import hashlib
 import itertools
@@ -454,7 +455,7 @@ def brute_nearest(vectors, k, every):
     whole = {i: v for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = []
     for q in sorted(i for i in whole if i % every == 0):
-        scored = sorted((-float(sum(a * b for a, b in zip(map(float, whole[q]), map(float, whole[i]), strict=True))), i) for i in whole if i != q)
+        scored = sorted((-functools.reduce(lambda t, ab: t + float(ab[0]) * float(ab[1]), zip(whole[q], whole[i], strict=True), 0.0), i) for i in whole if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
 
@@ -462,7 +463,7 @@ def brute_nearest(vectors, k, every):
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * 10.0 ** rng.integers(-2, 3)]) for i in range(300)]
-    data += [(300 + i, data[7][1]) for i in range(30)] + [(400, None), (420, [0.0] * 6), (440, [1.0, float("nan"), 0, 0, 0, 0]), (460, [1.0, None, 0, 0, 0, 0]), (None, data[3][1]), (480, [])]
+    data += [(300 + i, data[7][1]) for i in range(30)] + [(400, None), (420, [0.0] * 6), (440, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (460, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, data[3][1]), (480, [])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, vector_search.nearest(df, k=7, every=20).collect()))
     assert got == brute_nearest(data, 7, 20)
