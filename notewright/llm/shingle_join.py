@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from notewright.llm.components import components
 from notewright.llm.shared import mix, partitions, pieces, small_batches, utf8, words_of, written
 
-#: Class of a shingle so frequent in one block of texts that its nodes skip the exchange by shingle.
-HOT_IN_BLOCK, HOT = 64, 65535
+#: Nodes of one block of texts that a shingle needs to skip the exchange by shingle, and its class then.
+HOT_IN_BLOCK, HOT = 64, 255
 BLOCK_BYTES = 16 << 20
 _ROLES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -113,6 +113,12 @@ def _pack(shingles: np.ndarray, nodes: np.ndarray, parts: int) -> Iterator[list[
         yield [p, n.tobytes(), c.tobytes(), kept.astype(np.uint32).tobytes(), (kept >> np.uint64(32)).astype(np.uint8).tobytes(), _short(announced[announced_part == p], parts).tobytes(), hn.tobytes(), hc.tobytes(), _short(ht, parts).tobytes()]
 
 
+def _classes(df: np.ndarray) -> np.ndarray:
+    """Document frequencies in one byte: as they are up to 127, above by steps of a twelfth."""
+    large = np.minimum(HOT - 1, 128 + (6 * np.log2(np.maximum(df, 128) / 128)).astype(np.int64))
+    return np.where(df < 128, df, large).astype(np.uint8)
+
+
 def _short(shingles: np.ndarray, parts: int) -> np.ndarray:
     """The shingle with the bits that the exchange keeps of it."""
     return _long(shingles // np.uint64(parts), (shingles % np.uint64(parts)), parts)
@@ -143,17 +149,16 @@ def _shared_of_part(table: pa.Table, parts: int) -> Iterator[tuple[np.ndarray, n
     new[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
     t, n, h = t[new], n[new], is_hot[at][new]
     runs = np.diff(_runs(t))
-    df = np.where(h, HOT, np.minimum(np.repeat(runs, runs), HOT - 1)).astype(np.uint16)
-    yield n[df > 1], t[df > 1], df[df > 1]
+    classes = np.where(h, HOT, _classes(np.repeat(runs, runs)))
+    yield n[classes > 1], t[classes > 1], classes[classes > 1].astype(np.uint8)
     hot_nodes = np.concatenate([np.repeat(n, c) for n, c in zip(col("hot_nodes", np.int64), col("hot_counts", np.uint32), strict=True)])
-    yield hot_nodes, np.concatenate(col("hot_shingles", np.uint64)), np.full(len(hot_nodes), HOT, np.uint16)
+    yield hot_nodes, np.concatenate(col("hot_shingles", np.uint64)), np.full(len(hot_nodes), HOT, np.uint8)
 
 
-def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(node, shingles, classes): for each node and part the shingles that other nodes hold too, with min(frequency, HOT)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = max(16, partitions(spark))
+def shared_shingles(docs: DataFrame, parts: int, words: int, text_col: str) -> DataFrame:
+    """(node, shared): for each node and part the shingles that other nodes hold too, with their frequency's class.
+    Shingles are 40 bits beside their part; those that skipped the exchange have part -1 and all their bits."""
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in _PACKED.split(", ")]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +190,24 @@ def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
         yield from out()
 
     def part(table: pa.Table) -> pa.Table:
-        got = [[], [], []]
-        for nodes, shingles, classes in _shared_of_part(table, parts):
+        number = table.column("part")[0].as_py()
+        got: list[list] = [[], [], [], [], []]
+        for own, (nodes, shingles, classes) in zip((number, -1), _shared_of_part(table, parts), strict=True):
             order = np.argsort(nodes, kind="stable")
             runs = _runs(nodes[order])
-            s, c = shingles[order], classes[order]
+            kept = shingles[order] // np.uint64(parts) if own >= 0 else shingles[order]
+            low, high = (kept.astype(np.uint32), (kept >> np.uint64(32)).astype(np.uint8)) if own >= 0 else (kept, kept[:0].astype(np.uint8))
+            c = classes[order]
             got[0].append(nodes[order][runs[:-1]])
-            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
-                got[1].append(s[a:b].tobytes())
-                got[2].append(c[a:b].tobytes())
-        return pa.table({"node": pa.array(np.concatenate(got[0])), "shingles": pa.array(got[1], pa.binary()), "classes": pa.array(got[2], pa.binary())})
+            got[1] += [own] * (len(runs) - 1)
+            for s, e in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                got[2].append(low[s:e].tobytes())
+                got[3].append(high[s:e].tobytes())
+                got[4].append(c[s:e].tobytes())
+        shared = pa.StructArray.from_arrays([pa.array(got[1], pa.int32()), *(pa.array(x, pa.binary()) for x in got[2:])], ["part", "low", "high", "classes"])
+        return pa.table({"node": pa.array(np.concatenate(got[0])), "shared": shared})
 
-    return docs.select(text_col).mapInArrow(blocks, _PACKED).groupBy("part").applyInArrow(part, "node long, shingles binary, classes binary")
+    return docs.select(text_col).mapInArrow(blocks, _PACKED).groupBy("part").applyInArrow(part, "node long, shared struct<part int, low binary, high binary, classes binary>")
 
 
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
@@ -204,12 +215,18 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
-def _sets(batch: pa.RecordBatch) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, parts: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(node, size, shingles, classes) of each row."""
     out = []
-    for node, size, s, c in zip(*(batch.column(k).to_pylist() for k in ("node", "n_shingles", "shingles", "classes")), strict=True):
-        t, first = np.unique(np.frombuffer(b"".join(s), np.uint64), return_index=True)
-        out.append((node, size, t, np.frombuffer(b"".join(c), np.uint16)[first]))
+    for node, size, shared in zip(*(batch.column(k).to_pylist() for k in ("node", "n_shingles", "shared")), strict=True):
+        found = []
+        for x in shared:
+            if x["part"] < 0:
+                found.append(np.frombuffer(x["low"], np.uint64))
+            else:
+                found.append(_long(np.frombuffer(x["low"], np.uint32).astype(np.uint64) | np.frombuffer(x["high"], np.uint8).astype(np.uint64) << np.uint64(32), x["part"], parts))
+        t, first = np.unique(np.concatenate(found), return_index=True)
+        out.append((node, size, t, np.frombuffer(b"".join(x["classes"] for x in shared), np.uint8)[first]))
     return out
 
 
@@ -284,12 +301,12 @@ def links_of_group(sets: list[tuple[int, int, np.ndarray, np.ndarray]], percent:
     return [(sets[i][0], sets[forest.root[i]][0]) for i in range(n) if forest.root[i] != i]
 
 
-def similar_links(nodes: DataFrame, percent: int, group_size: int, label: str = "links") -> DataFrame:
-    """(a, b): links that connect the nodes of ``nodes`` (node, n_shingles, shingles, classes) as similar pairs do."""
+def similar_links(nodes: DataFrame, parts: int, percent: int, group_size: int, label: str = "links") -> DataFrame:
+    """(a, b): links that connect the nodes of ``nodes`` (node, n_shingles, shared) as similar pairs do."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, size, shingles, classes in _sets(batch):
+            for node, size, shingles, classes in _sets(batch, parts):
                 own = _prefix(size, shingles, classes, percent).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], ["shingle", "node"])
 
@@ -308,7 +325,7 @@ def similar_links(nodes: DataFrame, percent: int, group_size: int, label: str =
         def out(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             batch = pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
             side = np.array(batch.column("cut").to_pylist()) if batch.column("mixed")[0].as_py() else None
-            links = links_of_group(_sets(batch), percent, side)
+            links = links_of_group(_sets(batch, parts), percent, side)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -341,10 +358,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, group
     """
     sized = written(set_sizes(docs, words, id_col, text_col), "sets")
     sizes = sized.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min(id_col).alias("_least"))
-    back = shared_shingles(docs, words, text_col)
-    merged = back.groupBy("node").agg(F.sum(F.octet_length("shingles") / 8).cast("long").alias("_shared"), F.collect_list("shingles").alias("shingles"), F.collect_list("classes").alias("classes"))
+    parts = max(16, partitions(docs.sparkSession))
+    back = shared_shingles(docs, parts, words, text_col)
+    merged = back.groupBy("node").agg(F.sum(F.octet_length("shared.classes")).alias("_shared"), F.collect_list("shared").alias("shared"))
     live = merged.join(sizes.select("node", "n_shingles"), "node").where(f"n_shingles - _shared < n_shingles - ceil({percent} * n_shingles / 100) + 1")
-    links = similar_links(written(live.select("node", "n_shingles", "shingles", "classes"), "nodes"), percent, group_size)
+    links = similar_links(written(live.select("node", "n_shingles", "shared"), "nodes"), parts, percent, group_size)
     roots = written(components(links, label="similar"), "roots")
     classes = sizes.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("_least").alias("_lowest"))
