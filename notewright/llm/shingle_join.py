@@ -26,7 +26,10 @@ from notewright.llm.shared import mix, partitions, pieces, small_batches, utf8,
 
 #: Nodes of one block of texts that a shingle needs to skip the exchange by shingle, and its class then.
 HOT_IN_BLOCK, HOT = 64, 255
-BLOCK_BYTES = 16 << 20
+#: Text that is hashed at once, and shingles that are dealt out at once.
+PIECE_BYTES, BLOCK_SHINGLES = 1 << 20, 2_800_000
+#: Most rows of (node, block) to send to all tasks; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 _ROLES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -66,7 +69,7 @@ def set_sizes(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col, BLOCK_BYTES // 4):
+        for batch in pieces(batches, text_col, PIECE_BYTES):
             shingles, first = shingle_sets(*utf8(batch.column(1)), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(node_ids(shingles, first))], [id_col, "n_shingles", "node"])
 
@@ -173,7 +176,7 @@ def shared_shingles(docs: DataFrame, parts: int, words: int, text_col: str) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
         size = 0
-        for batch in pieces(batches, text_col, BLOCK_BYTES // 4):
+        for batch in pieces(batches, text_col, PIECE_BYTES):
             shingles, first = shingle_sets(*utf8(batch.column(0)), words)
             ids = node_ids(shingles, first)
             new = np.zeros(len(ids), bool)
@@ -184,7 +187,7 @@ def shared_shingles(docs: DataFrame, parts: int, words: int, text_col: str) -> D
             wide = np.repeat(new, np.diff(first))
             held.append((shingles[wide], np.repeat(ids, np.diff(first))[wide]))
             size += len(held[-1][0])
-            if size >= BLOCK_BYTES // 6:
+            if size >= BLOCK_SHINGLES:
                 yield from out()
                 size = 0
         yield from out()
@@ -319,7 +322,8 @@ def similar_links(nodes: DataFrame, parts: int, percent: int, group_size: int, l
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(group_size)).cast("int").alias("cuts"))
     placed = groups.join(sizes, "root").withColumn("cuts", F.when(F.col("cuts") <= 2, 1).otherwise(F.col("cuts"))).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("node", "cut", F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("block"), (F.col("cut") != F.col("other")).alias("mixed"))
-    rows = nodes.join(paired, "node").repartition("block").sortWithinPartitions("block", "node")
+    paired = written(paired, "blocks")
+    rows = nodes.join(F.broadcast(paired) if paired.count() <= MOST_SENT else paired, "node").repartition("block").sortWithinPartitions("block", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
