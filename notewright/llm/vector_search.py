@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import partitions, small_batches, written
+from notewright.llm.shared import small_batches, written
 
 #: Most bytes of a block of candidates and of a block of queries, as 32-bit floats; rows of a tile met at once.
 CANDIDATE_BYTES, QUERY_BYTES, ROWS_AT_ONCE = 16 << 20, 4 << 20, 4096
+#: Smaller tables are cut into blocks of a megabyte, up to as many blocks as this, for parallel tiles.
+FEW_BLOCKS, LEAST_BYTES = 16, 1 << 20
 
 
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     usable = vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("x"), F.size(x).alias("dim"))
     asked = usable.where(F.col("id") % every == 0).groupBy("id", "dim").agg(F.min("x").alias("x")).groupBy("id").agg(F.min(F.struct("dim", "x")).alias("v")).select("id", F.col("v.x").alias("x"), F.col("v.dim").alias("dim"))
     sizes = usable.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("n_q"))
-    cuts = sizes.select("dim", F.greatest(F.ceil(F.col("n") * F.col("dim") * 4 / CANDIDATE_BYTES), F.lit(partitions(spark))).cast("int").alias("cs"), F.ceil(F.col("n_q") * F.col("dim") * 4 / QUERY_BYTES).cast("int").alias("qs")).where("qs > 0")
+    cuts = sizes.select("dim", F.greatest(F.ceil(F.col("n") * F.col("dim") * 4 / CANDIDATE_BYTES), F.least(F.ceil(F.col("n") * F.col("dim") * 4 / LEAST_BYTES), F.lit(FEW_BLOCKS))).cast("int").alias("cs"), F.ceil(F.col("n_q") * F.col("dim") * 4 / QUERY_BYTES).cast("int").alias("qs")).where("qs > 0")
     cuts = written(cuts, "cuts")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     c = usable.join(cuts, "dim").select("dim", F.pmod(F.xxhash64("id", "x"), F.col("cs")).cast("int").alias("c"), F.explode(upto("qs")).alias("q"), F.lit(False).alias("asks"), "id", "x")
