@@ -22,7 +22,7 @@ CHUNK_BYTES = 4096
 CHUNK_BANDS = ((500, 0.0, 8.0), (1000, 1.0, 6.0), (2000, 1.2, 6.0), (float("inf"), 1.3, 7.0))
 #: A text is rejected when this share of its chunks is outside their band.
 CHUNK_SHARE = 0.5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
