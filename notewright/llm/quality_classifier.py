@@ -22,7 +22,7 @@ from notewright.llm.shared import mix, pieces, small_batches, span_hashes, utf8,
 
 WORDS, HASHED, SHAPES, WINDOW = 1 << 14, 48, 16, 2
 WIDTH = HASHED + SHAPES
-BLOCK_BYTES, SLOTS_A_ROW = 2 << 20, 256
+BLOCK_BYTES, SLOTS_A_ROW = 1 << 20, 256
 
 # Bytes: 0 blank, 1 letter or digit or part of a longer character, 2 other.
 _CLASS = np.full(256, 2, np.uint8)
