@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import written
+from notewright.llm.shared import free_names, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -34,13 +34,15 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
 
     A line goes when its key has at least ``min_chars`` code points and ``min_documents`` rows hold it. Documents
     that lose nothing keep their text byte for byte. Null texts count as one empty line. Each row is a
-    document, repeated rows and null ids included. Columns of ``docs`` named ``_text_key``, ``_dropped`` or ``_key``
-    must not exist; others pass through.
+    document, repeated rows and null ids included. Columns of ``docs`` that have the names of the three are replaced; all
+    others pass through.
 
     Only hashes are exploded and counted (partial counts first, so a line in every document is no hot group);
     the few keys over the threshold meet the lines again in a join that AQE splits where a key is hot. Each text's
     dropped keys then meet the text by its hash; a hash shared by two texts does no harm, as only common keys
-    are in the set.
+    are in the set. They are written first: Spark then knows their size, sends them to all tasks where that is
+    below its threshold, and beyond splits a text with very many copies, which it does not do in a join that
+    groups in the same stage.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = line_keys(text)
@@ -48,12 +50,13 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
         long_enough = F.transform(F.split(text, "\n"), lambda x: F.char_length(F.btrim(x, F.lit(_BLANKS))) >= min_chars)
         keys = F.zip_with(keys, long_enough, lambda k, ok: F.when(ok, k))
     text_key = F.xxhash64(text)
-    lines = docs.select(text_key.alias("_text_key"), F.explode(F.array_distinct(keys)).alias("_key")).where("_key is not null")
+    by, gone, left = free_names(docs, "_text_key", "_dropped", "_kept")
+    lines = docs.select(text_key.alias(by), F.explode(F.array_distinct(keys)).alias("_key")).where("_key is not null")
     common = written(lines.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("_key"), "common-lines")
-    dropped = lines.join(common, "_key", "left_semi").groupBy("_text_key").agg(F.collect_set("_key").alias("_dropped"))
-    met = docs.withColumn("_text_key", text_key).join(dropped, "_text_key", "left")
+    dropped = written(lines.join(common, "_key", "left_semi").groupBy(by).agg(F.collect_set("_key").alias(gone)), "dropped-lines")
+    met = docs.withColumn(by, text_key).join(dropped, by, "left")
     split = F.split(text, "\n")
-    kept = F.transform(F.filter(F.arrays_zip(split.alias("line"), keys.alias("key")), lambda x: F.col("_dropped").isNull() | x["key"].isNull() | ~F.array_contains("_dropped", x["key"])), lambda x: x["line"])
+    kept = F.transform(F.filter(F.arrays_zip(split.alias("line"), keys.alias("key")), lambda x: F.col(gone).isNull() | x["key"].isNull() | ~F.array_contains(gone, x["key"])), lambda x: x["line"])
     n_lines = F.size(split).cast("long")
-    out = met.withColumn("_kept", F.when(F.col("_dropped").isNotNull(), kept))
-    return out.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long"), "kept_text": F.when(F.col("_kept").isNull(), text).otherwise(F.array_join("_kept", "\n"))}).drop("_text_key", "_dropped", "_kept")
+    out = met.withColumn(left, F.when(F.col(gone).isNotNull(), kept))
+    return out.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col(left).isNull(), F.lit(0)).otherwise(n_lines - F.size(left)).cast("long"), "kept_text": F.when(F.col(left).isNull(), text).otherwise(F.array_join(left, "\n"))}).drop(by, gone, left)

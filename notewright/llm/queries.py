@@ -91,6 +91,21 @@ common AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DIST
 
 #: SQL for the operators whose whole result SQL expresses.
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT ws, min(doc_id) AS node FROM w WHERE len(ws) > 0 GROUP BY ws),
+s AS (SELECT DISTINCT node, array_to_string(ws[i:i + 4], ' ') AS t
+      FROM (SELECT node, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM n)),
+z AS (SELECT node, count(*) AS size FROM s GROUP BY node),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS met FROM s a JOIN s b ON a.t = b.t AND a.node < b.node GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE 100 * met >= 75 * (x.size + y.size - met)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node, node AS root FROM n UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.node),
+lowest AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(z.size, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (ws) LEFT JOIN z ON z.node = n.node LEFT JOIN lowest c ON c.node = n.node
+""",
     "op5_line_dedup": f"""
 WITH {_LINES}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,

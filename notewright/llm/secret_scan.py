@@ -36,17 +36,28 @@ LAYER_BYTES = 64 << 20
 
 
 class Layer(NamedTuple):
-    """A decoded text; character i comes from starts[i]:ends[i] of the original. None: it is the original."""
+    """A decoded text; character i comes from starts[i]:ends[i] of the original. None: it is the original.
+
+    All of a compressed layer comes from one span, so it and what it wraps hold two numbers, not two a character.
+    """
 
     text: str
-    starts: list[int] | None
-    ends: list[int] | None
+    starts: list[int] | int | None
+    ends: list[int] | int | None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return min(self.starts[start:end]), max(self.ends[start:end])
 
+    def place(self) -> tuple[int, int]:
+        """Where its first character begins and its last one ends."""
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
+        return (self.starts[0], self.ends[-1]) if self.starts else (0, 0)
+
 
 class Oversized(Exception):
     pass
@@ -66,6 +77,8 @@ def found(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _by_characters(layer: Layer, at: int, parts: list[tuple[str, int, int]]) -> Layer:
     """A layer from characters that each stand for start:end (relative to ``at``) of the layer above."""
+    if isinstance(layer.starts, int):
+        return Layer("".join(c for c, _, _ in parts), layer.starts, layer.ends)
     spans = [layer.span(at + s, at + e) for _, s, e in parts]
     return Layer("".join(c for c, _, _ in parts), [s for s, _ in spans], [e for _, e in spans])
 
@@ -161,8 +174,7 @@ def layers_in(layer: Layer) -> Iterator[Layer | None]:
         if inner is None:
             continue
         if inner[1]:
-            s, e = layer.span(m.start(), m.end())
-            yield Layer(inner[0], [s] * len(inner[0]), [e] * len(inner[0]))
+            yield Layer(inner[0], *layer.span(m.start(), m.end()))
         else:
             parts, place = [], 0
             for c in inner[0]:
@@ -185,7 +197,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             if inner is None:
                 oversized += 1
                 continue
-            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.starts[0] if inner.starts else 0, inner.ends[-1] if inner.ends else 0)
+            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.place())
             if key in seen or not inner.text:
                 continue
             seen.add(key)

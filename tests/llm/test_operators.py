@@ -105,6 +105,13 @@ def test_bombs_are_counted_not_opened(monkeypatch):
     assert secret_scan.scan(text)[3] == 1
 
 
+def test_layers_under_a_compressed_one_keep_its_span():
+    inner = base64.b64encode(b"password: hunter2secret and more").decode()
+    packed = base64.b64encode(gzip.compress(f"x {inner} y%20token=abcdefghij".encode())).decode()
+    spans = secret_scan.scan(f"see {packed} end")[1]
+    assert spans == [("assign", 4, 4 + len(packed))]
+
+
 def test_secret_rows(spark):
     got = secret_scan.scan_secrets(odd(spark))
     assert got.count() == len(ODD) and {r["base_sha256"] for r in got.collect()} == {hashlib.sha256(b"").hexdigest()}
@@ -305,9 +312,11 @@ def test_lines(spark):
     assert got == brute_lines(texts, 3)
     assert drop_common_lines(odd(spark), 2).where("doc_id = 4 and kept_text = ''").count() == 2
     assert drop_common_lines(odd(spark).limit(0)).count() == 0
+    named = spark.createDataFrame([(1, "a\nb", 7, 8, 9)], "doc_id long, text string, _Dropped int, _text_key int, _kept int")
+    assert drop_common_lines(named, 1).select("_Dropped", "_text_key", "_kept", "n_dropped").collect() == [(7, 8, 9, 2)]
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op10_int8_block_join"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op5_line_dedup", "op10_int8_block_join"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in ("documents", "embeddings"):
