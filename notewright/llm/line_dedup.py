@@ -40,9 +40,8 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
     Only hashes are exploded and counted (partial counts first, so a line in every document is no hot group);
     the few keys over the threshold meet the lines again in a join that AQE splits where a key is hot. Each text's
     dropped keys then meet the text by its hash; a hash shared by two texts does no harm, as only common keys
-    are in the set. They are written first: Spark then knows their size, sends them to all tasks where that is
-    below its threshold, and beyond splits a text with very many copies, which it does not do in a join that
-    groups in the same stage.
+    are in the set. They are written first, and always meet by a sort-merge join: Spark splits a text with very many
+    copies there, which it does not do in a join that groups in the same stage.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = line_keys(text)
@@ -54,7 +53,7 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
     lines = docs.select(text_key.alias(by), F.explode(F.array_distinct(keys)).alias("_key")).where("_key is not null")
     common = written(lines.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("_key"), "common-lines")
     dropped = written(lines.join(common, "_key", "left_semi").groupBy(by).agg(F.collect_set("_key").alias(gone)), "dropped-lines")
-    met = docs.withColumn(by, text_key).join(dropped, by, "left")
+    met = docs.withColumn(by, text_key).join(dropped.hint("merge"), by, "left")
     split = F.split(text, "\n")
     kept = F.transform(F.filter(F.arrays_zip(split.alias("line"), keys.alias("key")), lambda x: F.col(gone).isNull() | x["key"].isNull() | ~F.array_contains(gone, x["key"])), lambda x: x["line"])
     n_lines = F.size(split).cast("long")
