@@ -1,8 +1,8 @@
 """Secret scans by a recursive decoding worklist.
 
-A text is scanned as it stands; then its URL-encoded lines, lines with Unicode escapes, base64 runs and
-compressed base64 runs are unwrapped into layers, each scanned and unwrapped in turn until nothing new
-appears. Every character of a layer keeps the place in the original text that it comes from, so a secret
+A text is scanned as it stands; then its URL-encoded lines, lines with Unicode escapes, base64 runs (also
+those wrapped over lines) and compressed base64 runs are unwrapped into layers, each scanned and unwrapped in
+turn until nothing new appears. Bytes that are no text are read past, and ASCII in UTF-16 is read. Every character of a layer keeps the place in the original text that it comes from, so a secret
 found any number of layers down is reported by its span there.
 """
 
@@ -31,6 +31,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line breaks, as MIME, PEM and the base64 tool wrap it; lines may be indented.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:(?:\r?\n[ \t]*)?={1,2})*")
+ODD = re.compile("[\udc80-\udcff]")
+CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
+WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){8,}[\t\n\r -~]?|(?:\x00[\t\n\r -~]){8,}")
 #: A layer that unpacks to more is left packed and counted in n_oversized.
 LAYER_BYTES = 64 << 20
 
@@ -128,31 +133,65 @@ def _unpacked(data: bytes) -> bytes | None:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
+def _marked(text: str) -> bool:
+    """Whether a text holds a secret or something to unwrap."""
+    return any(sought.search(text) for sought in (PERCENT, ESCAPE, BASE64)) or next(found(text), None) is not None
+
 
+def _readings(data: bytes) -> Iterator[tuple[str, int, bool]]:
+    """Texts in bytes, the byte at which each begins, and whether a character takes two bytes (ASCII in UTF-16).
 
-def _base64(run: str) -> tuple[str, bool] | None:
-    """The text in a base64 run, and whether it was compressed too."""
+    Bytes that are no UTF-8 come as lone surrogates. Bytes that are not plain text count only if what is read is marked.
+    """
+    text = data.decode("utf-8", "surrogateescape")
+    plain = not CONTROL.search(text) and not ODD.search(text)
+    if text and (plain or _marked(text)):
+        yield text, 0, False
+    if not plain:
+        for m in WIDE.finditer(data):
+            if _marked(text := m[0].replace(b"\0", b"").decode()):
+                yield text, m.start(), True
+
+
+def _data(run: str) -> bytes | None:
+    """The bytes in a base64 run without breaks."""
     body = run.rstrip("=")
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    if (text := _readable(data)) is not None:
-        return text, False
+
+
+def _opened(data: bytes) -> Iterator[str]:
+    """The texts in compressed bytes."""
     for _ in range(8):  # compressed more than once
         if (data := _unpacked(data)) is None:
-            return None
-        if (text := _readable(data)) is not None:
-            return text, True
-    return None
+            return
+        for text, _, _ in _readings(data):
+            yield ODD.sub("\ufffd", text)
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, list[int] | None]]:
+    """Base64 runs start:end of a text, each line by itself and joined over breaks, with the places of a joined one's characters.
+
+    A line before the wrapped lines may be joined to them out of step, so lines of one width are taken as a run too.
+    """
+    for m in BASE64.finditer(text):
+        yield m.start(), m.end(), None
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\s]+", m[0])]
+        cuts, first = {(0, len(lines))}, 0
+        for i in range(1, len(lines) + 1):
+            width = lines[first][1] - lines[first][0]
+            if i == len(lines) or lines[i][1] - lines[i][0] != width:
+                # The last line of wrapped base64 is shorter.
+                last = i + (i < len(lines) and lines[i][1] - lines[i][0] < width)
+                if last - first > 1:
+                    cuts.add((first, last))
+                first = i
+        for i, j in sorted(cuts):
+            yield lines[i][0], lines[j - 1][1], [k for s, e in lines[i:j] for k in range(s, e)]
 
 
 def layers_in(layer: Layer) -> Iterator[Layer | None]:
@@ -165,23 +204,26 @@ def layers_in(layer: Layer) -> Iterator[Layer | None]:
                 if sought.search(line):
                     yield _by_characters(layer, at, decode(line))
                 at += len(line) + 1
-    for m in BASE64.finditer(text):
+    for start, end, places in _runs(text):
+        data = _data(text[start:end] if places is None else "".join(text[i] for i in places))
+        if not data:
+            continue
+        for inner, at, wide in _readings(data):
+            parts, place, n = [], at, end - start if places is None else len(places)
+            for c in inner:
+                odd = "\udc80" <= c <= "\udcff"
+                width = 2 if wide else 1 if odd else len(c.encode())
+                first, last = place * 4 // 3, min(-(-(place + width) * 4 // 3), n)
+                if places is not None:
+                    first, last = places[first] - start, places[last - 1] + 1 - start
+                parts.append(("\ufffd" if odd else c, first, last))
+                place += width
+            yield _by_characters(layer, start, parts)
         try:
-            inner = _base64(m[0])
+            for inner in _opened(data):
+                yield Layer(inner, *layer.span(start, end))
         except Oversized:
             yield None
-            continue
-        if inner is None:
-            continue
-        if inner[1]:
-            yield Layer(inner[0], *layer.span(m.start(), m.end()))
-        else:
-            parts, place = [], 0
-            for c in inner[0]:
-                width = len(c.encode())
-                parts.append((c, place * 4 // 3, min(-(-(place + width) * 4 // 3), m.end() - m.start())))
-                place += width
-            yield _by_characters(layer, m.start(), parts)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:

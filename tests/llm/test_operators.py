@@ -112,6 +112,32 @@ def test_layers_under_a_compressed_one_keep_its_span():
     assert spans == [("assign", 4, 4 + len(packed))]
 
 
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_base64_wrapped_over_lines_is_joined(eol, width, pack):
+    noise = base64.b85encode(np.random.default_rng(1).bytes(600)).decode().replace("\\", "")
+    for shift in range(40, 60):
+        run = base64.b64encode(pack(f"{'x' * shift} {SECRET} {noise}".encode())).decode()
+        block = eol.join(run[i : i + width] for i in range(0, len(run), width))
+        for before in ("see\n\n", "a-line-of-23-characters\n"):
+            text = f"é {before}{block}\n\nend"
+            at, spans = text.index(block), secret_scan.scan(text)[1]
+            if pack is gzip.compress:
+                assert any(k == "assign" and at <= s and e <= at + len(block) for k, s, e in spans)
+                continue
+            place = lambda i: at + i + i // width * len(eol)
+            first, last = (shift + 1) * 4 // 3, -(-(shift + 1 + len(SECRET)) * 4 // 3)
+            assert ("assign", place(first), place(last - 1) + 1) in spans
+
+
+@pytest.mark.parametrize("data", [b"\x01\xff " + SECRET.encode() + b" \xfe", ("é " + SECRET).encode("utf-16"), SECRET.encode("utf-16-be"), b"\x07" + SECRET.encode("utf-16-le")])
+def test_odd_bytes_do_not_hide_secrets(data):
+    for run in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode()):
+        spans = secret_scan.scan(f"é {run} end")[1]
+        assert any(k == "assign" and 2 <= s < e <= 2 + len(run) for k, s, e in spans)
+
+
 def test_secret_rows(spark):
     got = secret_scan.scan_secrets(odd(spark))
     assert got.count() == len(ODD) and {r["base_sha256"] for r in got.collect()} == {hashlib.sha256(b"").hexdigest()}
