@@ -12,6 +12,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -36,8 +37,9 @@ WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:(?
 ODD = re.compile("[\udc80-\udcff]")
 CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){8,}[\t\n\r -~]?|(?:\x00[\t\n\r -~]){8,}")
-#: A layer that unpacks to more is left packed and counted in n_oversized.
-LAYER_BYTES = 64 << 20
+RUN_BYTES = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+#: A layer that unpacks to more is counted in n_oversized and read in pieces, each with the start of the next.
+LAYER_BYTES, PIECE_BYTES, OVERLAP_BYTES, STEP_BYTES = 64 << 20, 8 << 20, 1 << 20, 1 << 20
 
 
 class Layer(NamedTuple):
@@ -64,10 +66,6 @@ class Layer(NamedTuple):
         return (self.starts[0], self.ends[-1]) if self.starts else (0, 0)
 
 
-class Oversized(Exception):
-    pass
-
-
 def found(text: str) -> Iterator[tuple[str, int, int]]:
     """Secrets of one layer: leftmost, non-overlapping for each kind; matches that are too short are dropped."""
     for m in ASSIGN.finditer(text):
@@ -112,25 +110,48 @@ def _escapes(line: str) -> list[tuple[str, int, int]]:
     return parts + [(line[i], i, i + 1) for i in range(at, len(line))]
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or xz data hold; None where the bytes are none of these."""
+def _decompressor(data: bytes):  # noqa: ANN202
+    """A decompressor for gzip, zlib, bzip2 or xz data; None where the bytes are none of these."""
     if data[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
-        opened = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor(memlimit=256 << 20)
-    else:
-        return None
-    try:
-        out = opened.decompress(data, LAYER_BYTES + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    if len(out) > LAYER_BYTES:
-        raise Oversized
-    return out
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=256 << 20)
+    return None
+
+
+def _unpacking(source: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed bytes unpack to, member after member, in small pieces.
+
+    Bytes after the last member follow a line break as they are. Data that break off or are damaged give what comes before.
+    """
+    held, members = b"", 0
+    while True:
+        while len(held) < 6 and (more := next(source, None)) is not None:
+            held = (held + more).lstrip(b"\0") if members else held + more
+        opened = _decompressor(held)
+        if opened is None:
+            if members and held:
+                yield b"\n" + held
+                yield from source
+            return
+        members += 1
+        while not opened.eof:
+            try:
+                out = opened.decompress(held, STEP_BYTES)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            if out:
+                yield out
+            held = getattr(opened, "unconsumed_tail", b"")
+            if not opened.eof and not held and len(out) < STEP_BYTES and getattr(opened, "needs_input", True):
+                if (more := next(source, None)) is None:
+                    return
+                held = more
+        held = opened.unused_data.lstrip(b"\0")
 
 
 def _marked(text: str) -> bool:
@@ -163,13 +184,73 @@ def _data(run: str) -> bytes | None:
         return None
 
 
-def _opened(data: bytes) -> Iterator[str]:
-    """The texts in compressed bytes."""
-    for _ in range(8):  # compressed more than once
-        if (data := _unpacked(data)) is None:
-            return
-        for text, _, _ in _readings(data):
-            yield ODD.sub("\ufffd", text)
+def _opened(data: bytes) -> Iterator[str | None]:
+    """The texts in compressed bytes, however often they are compressed; None stands for a layer read in pieces."""
+    work, met = [data], set()
+    while work:
+        stream, out = _unpacking(iter((work.pop(),))), bytearray()
+        for piece in stream:
+            out += piece
+            if len(out) > LAYER_BYTES:
+                yield None
+                yield from _pieces(itertools.chain((bytes(out),), stream))
+                break
+        else:
+            out = bytes(out)
+            key = hashlib.blake2b(out, digest_size=16).digest()
+            if not out or key in met:
+                continue
+            met.add(key)
+            for text, _, _ in _readings(out):
+                yield ODD.sub("\ufffd", text)
+            work.append(out)
+
+
+def _pieces(stream: Iterator[bytes]) -> Iterator[str]:
+    """Marked texts in a layer too large to hold, read in pieces that overlap, and in what it unpacks to in turn."""
+    met, size = set(), PIECE_BYTES + OVERLAP_BYTES
+    while True:
+        held = bytearray()
+        for step in stream:
+            held += step
+            if len(held) >= size:
+                break
+        key = hashlib.blake2b(held, digest_size=16).digest()
+        if _decompressor(held[:6]) is None or key in met:
+            break
+        met.add(key)
+        inner = _unpacking(itertools.chain((bytes(held),), stream))
+        if (first := next(inner, None)) is None:
+            break
+        stream = itertools.chain((first,), inner)
+    more = True
+    while more:
+        more = False
+        for step in stream:
+            held += step
+            if len(held) >= size:
+                more = True
+                break
+        while len(held) > size:
+            yield from _marked_texts(bytes(held[:size]))
+            del held[: _in_step(held, PIECE_BYTES)]
+    yield from _marked_texts(bytes(held))
+
+
+def _marked_texts(data: bytes) -> Iterator[str]:
+    return (ODD.sub("\ufffd", text) for text, _, _ in _readings(data) if _marked(text))
+
+
+def _in_step(data: bytearray, cut: int) -> int:
+    """The cut, moved back by up to three base64 characters so that a run cut there is decoded in step."""
+    m = next((m for m in RUN_BYTES.finditer(data, max(0, cut - OVERLAP_BYTES)) if m.end() > cut), None)
+    if m is None or m.start() >= cut:
+        return cut
+    odd = len(re.sub(rb"\s", b"", data[m.start() : cut])) % 4
+    while odd:
+        cut -= 1
+        odd -= not data[cut : cut + 1].isspace()
+    return cut
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, list[int] | None]]:
@@ -195,7 +276,7 @@ def _runs(text: str) -> Iterator[tuple[int, int, list[int] | None]]:
 
 
 def layers_in(layer: Layer) -> Iterator[Layer | None]:
-    """The layers wrapped in a layer; None stands for one that would unpack to more than LAYER_BYTES."""
+    """The layers wrapped in a layer; None stands for one of more than LAYER_BYTES, whose pieces follow."""
     text = layer.text
     for mark, sought, decode in (("%", PERCENT, _percent), ("\\", ESCAPE, _escapes)):
         if mark in text and sought.search(text):
@@ -219,15 +300,12 @@ def layers_in(layer: Layer) -> Iterator[Layer | None]:
                 parts.append(("\ufffd" if odd else c, first, last))
                 place += width
             yield _by_characters(layer, start, parts)
-        try:
-            for inner in _opened(data):
-                yield Layer(inner, *layer.span(start, end))
-        except Oversized:
-            yield None
+        for inner in _opened(data):
+            yield inner if inner is None else Layer(inner, *layer.span(start, end))
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """Base spans, all spans, number of layers below the text, and of those left packed.
+    """Base spans, all spans, number of layers below the text, and of those read in pieces.
 
     The worklist ends because a layer with a text and place already met is not taken again.
     """

@@ -1,11 +1,13 @@
 """The training-data operators against brute force, round trips and held-out rows, on small tables."""
 
 import base64
+import bz2
 import collections
 import functools
 import gzip
 import hashlib
 import itertools
+import lzma
 import re
 import zlib
 
@@ -138,6 +140,30 @@ def test_odd_bytes_do_not_hide_secrets(data):
         assert any(k == "assign" and 2 <= s < e <= 2 + len(run) for k, s, e in spans)
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_layers_open_to_the_end(pack):
+    members = pack(b"first, ") + pack(b"second pass") + pack(SECRET[4:].encode() + b" third")
+    deep = SECRET.encode()
+    for _ in range(12):
+        deep = pack(deep)
+    for data in (members, pack(b"x") + bz2.compress(SECRET.encode()), deep, pack(SECRET.encode() * 9)[:-4], pack(b"x") + b" then " + SECRET.encode()):
+        run = base64.b64encode(data).decode()
+        assert ("assign", 4, 4 + len(run)) in secret_scan.scan(f"see {run} end")[1]
+
+
+@pytest.mark.parametrize("place", [0, 990, 1500, 3990, 4000, 7000])
+def test_large_layers_are_read_in_pieces(monkeypatch, place):
+    for name, n in (("LAYER_BYTES", 3000), ("PIECE_BYTES", 1000), ("OVERLAP_BYTES", 200), ("STEP_BYTES", 300)):
+        monkeypatch.setattr(secret_scan, name, n)
+    filler = ("word " * 2000)[:place]
+    for inner in (SECRET, base64.b64encode(f"some text, {SECRET}".encode()).decode(), wrapped("gzip", SECRET)):
+        data = f"{filler} {inner} {'word ' * 1000}".encode()
+        for packed in (gzip.compress(data), gzip.compress(gzip.compress(data))):
+            run = base64.b64encode(packed).decode()
+            _, spans, _, oversized = secret_scan.scan(f"see {run} end")
+            assert ("assign", 4, 4 + len(run)) in spans and oversized == 1
+
+
 def test_secret_rows(spark):
     got = secret_scan.scan_secrets(odd(spark))
     assert got.count() == len(ODD) and {r["base_sha256"] for r in got.collect()} == {hashlib.sha256(b"").hexdigest()}
