@@ -347,6 +347,19 @@ def test_clean_documents_stay(spark):
     assert quality_rules.rate_quality(d).where("not kept and not base_failed").count() == 0
 
 
+@pytest.mark.parametrize("encode", [base64.b64encode, base64.encodebytes])
+@pytest.mark.parametrize("share", [0.5, 0.6, 0.7, 0.8])
+def test_prose_with_a_dump_is_outside(spark, encode, share):
+    z, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(1)
+    prose = max((r["text"] for r in documents(spark).collect()), key=lambda t: quality_rules.compression_verdict(t.encode(), z)[0] and len(t)).encode()
+    for size in (6000, 9000, 12000, 20000):
+        dump = encode(rng.bytes(size))[: int(size * share)]
+        text = prose[: size - len(dump)]
+        assert len(text) + len(dump) == size and quality_rules.compression_verdict(text, z)[0]
+        for at in (0, len(text) // 2, len(text)):
+            assert not quality_rules.compression_verdict(text[:at] + dump + text[at:], z)[0]
+
+
 # --- 5 lines ----------------------------------------------------------------------------------------------
 
 
