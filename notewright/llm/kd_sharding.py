@@ -38,9 +38,9 @@ def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None,
     Size is the UTF-8 bytes of the text (null: none) plus 1. Points are texts, each with the bytes of all its
     copies, so equal texts share a shard; a text whose copies hold more than half a shard is spread over several
     points by a hash of the id. Dimensions are the logarithm of the size and a hash of each ``metadata`` column (the
-    smallest of the copies; null: its own value), scaled to 0..1, and the hash of the text. A node that is to give k
+    smallest of the copies; null: its own value), each scaled so that all points span 0..1. A node that is to give k
     shards is cut along its widest dimension where k // 2 of k shares of its bytes are reached, until every
-    leaf is one shard. With ``target_bytes`` the number of shards is the total over it, rounded up.
+    leaf is one shard; a hash of the text orders points of one place, so it alone cuts where all points are alike. With ``target_bytes`` the number of shards is the total over it, rounded up.
     Shards differ by a few texts' bytes. Slots run from 0 without gaps. Empty tables give no row; null ids and
     repeated rows are placed as other rows; no other column is read.
     """
@@ -57,11 +57,14 @@ def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None,
     # At most 2 * shards texts hold more than half a shard.
     heavy = texts.where(F.col("bytes") > half).select(F.col("_text_key").alias("_heavy"), pieces.alias("_pieces"))
     light = light.join(heavy, F.col("_text_key") == F.col("_heavy"), "left").withColumn("_piece", F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col), F.coalesce("_pieces", F.lit(1)))).cast("int")).drop("_heavy", "_pieces")
-    dims = ["_d0", *[f"_m{i}" for i in range(len(names))], "_tie"]
+    dims = ["_d0", *[f"_m{i}" for i in range(len(names))]]
     tie = F.xxhash64("_text_key", "_piece").bitwiseAND((1 << TIE_BITS) - 1)
-    points = light.groupBy("_text_key", "_piece").agg(F.sum("size").alias("bytes"), (F.log2(F.max("size").cast("double")) / 64).alias("_d0"), *[F.min(f"_m{i}").alias(f"_m{i}") for i in range(len(names))])
-    points = points.withColumn("_hash", tie).withColumn("_tie", F.col("_hash") / F.lit(float(1 << TIE_BITS)))
+    points = light.groupBy("_text_key", "_piece").agg(F.sum("size").alias("bytes"), F.log2(F.max("size").cast("double")).alias("_d0"), *[F.min(f"_m{i}").alias(f"_m{i}") for i in range(len(names))])
+    points = points.withColumn("_hash", tie)
     points = written(points.withColumns({"node": F.lit(0).cast("long"), "leaves": F.lit(shards).cast("long"), "first": F.lit(0).cast("long")}), "points")
+    ends = points.agg(*[f(d).alias(f"{d}{f.__name__}") for d in dims for f in (F.min, F.max)]).first()
+    root = {d: (ends[f"{d}min"] or 0.0, (ends[f"{d}max"] or 0.0) - (ends[f"{d}min"] or 0.0)) for d in dims}
+    points = points.withColumns({d: (F.col(d) - low) / wide if wide else F.lit(0.0) for d, (low, wide) in root.items()})
     open_leaves = shards
     while open_leaves > 1:
         spread = F.array(*[F.struct((F.max(d) - F.min(d)).alias("width"), F.lit(-i).alias("i")) for i, d in enumerate(dims)])

@@ -511,6 +511,19 @@ def test_shards(spark):
     assert (out.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
 
 
+def test_shards_are_cut_by_metadata(spark):
+    """The root by size, its halves by language, their halves along what is widest of size, language and source."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    out = kd_sharding.kd_shards(docs, shards=8).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    out["lang"], out["source"] = (out[c].map(lambda x: zlib.crc32(x.encode())) for c in ("lang", "source"))
+    part = lambda *shards: out[out.shard.isin(shards)]
+    assert part(0, 1, 2, 3)["size"].max() <= part(4, 5, 6, 7)["size"].min()
+    for i in (0, 4):
+        assert part(i, i + 1).lang.max() <= part(i + 2, i + 3).lang.min()
+    for i in range(0, 8, 2):
+        assert any(part(i)[c].max() <= part(i + 1)[c].min() for c in ("size", "lang", "source"))
+
+
 def test_shards_of_copies_and_odd_rows(spark):
     copies = spark.createDataFrame([(i, "same text") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(100)], "doc_id long, text string")
     sums = [r["sum(size)"] for r in kd_sharding.kd_shards(copies, shards=4).groupBy("shard").sum("size").collect()]
