@@ -10,7 +10,7 @@ from notewright.functions.spacing import HAN
 
 _FORMULA = r"\$\$([^$]+)\$\$|\$([^$\n]+)\$"
 #: Greek letters and marks with their commands.
-SYMBOLS = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "θ": "theta", "λ": "lambda", "μ": "mu", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "φ": "phi", "ω": "omega", "Γ": "Gamma", "Δ": "Delta", "Λ": "Lambda", "Σ": "Sigma", "Φ": "Phi", "Ω": "Omega", "∈": "in", "≤": "le", "≥": "ge", "≠": "ne", "×": "times", "→": "to", "∞": "infty"}
+SYMBOLS = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega", "Γ": "Gamma", "Δ": "Delta", "Θ": "Theta", "Λ": "Lambda", "Ξ": "Xi", "Π": "Pi", "Σ": "Sigma", "Υ": "Upsilon", "Φ": "Phi", "Ψ": "Psi", "Ω": "Omega", "×": "times", "÷": "div", "±": "pm", "∓": "mp", "·": "cdot", "⋅": "cdot", "∈": "in", "∉": "notin", "∋": "ni", "≤": "le", "≥": "ge", "≠": "ne", "≈": "approx", "≡": "equiv", "⊂": "subset", "⊆": "subseteq", "⊃": "supset", "⊇": "supseteq", "∪": "cup", "∩": "cap", "∧": "land", "∨": "lor", "→": "to", "←": "leftarrow", "↔": "leftrightarrow", "⇒": "Rightarrow", "⇔": "Leftrightarrow", "∞": "infty", "∑": "sum", "∏": "prod", "∫": "int"}
 
 
 def _open_text(text: Column) -> Column:

@@ -126,3 +126,8 @@ def test_names(spark):
     assert dict(df.collect()) == {i: x for i, (_, x) in enumerate(cases)}
     row = spark.createDataFrame([("a/b: c?.",)], "t string").select(images.safe_name(F.col("t"))).first()
     assert row[0] == "a b c"
+
+
+def test_all_symbols(spark):
+    assert len(formulas.SYMBOLS) == 34 + 31
+    run(spark, [("设 $ζx ± ∑ ⊂ ← Ψ$，值", "设 $\\zeta x \\pm \\sum \\subset \\leftarrow \\Psi$，值")], formulas.symbols_to_commands)
