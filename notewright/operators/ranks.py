@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewright.session import written
 
-def numbered_rows(df: DataFrame, order: list[str], out: str, blocks: int | None = None) -> DataFrame:
-    """Adds ``out``: a position from 0 without gaps. Rows are cut into blocks by a hash of ``order``, blocks follow
-    one another, and inside a block rows are sorted by ``order``; only the counts of blocks meet in one place."""
-    blocks = blocks or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    counts = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    starts = counts.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block").orderBy(*order)
-    return cut.join(starts, F.col("_block") == F.col("_b")).withColumn(out, F.row_number().over(inside) - 1 + F.col("_start")).drop("_block", "_b", "_start")
+#: Rows of a range that one task sorts and numbers.
+ROWS_A_RANGE = 100_000
+
+
+def numbered_rows(df: DataFrame, order: list[str | Column], out: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Adds ``out``: a position from 0 without gaps, in the order of ``order``; rows that tie there are numbered at will.
+
+    Rows are dealt into ranges of the order, as many as their number asks for, and written, as ranges come from a
+    sample. The ranges' counts give each its first position; inside a range rows are sorted.
+    """
+    ranges = max(1, -(-df.count() // rows_a_range))
+    cut = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return cut.join(starts, F.col("_range") == F.col("_r")).withColumn(out, F.row_number().over(inside) - 1 + F.col("_start")).drop("_range", "_r", "_start")

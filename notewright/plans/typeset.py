@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.formulas import declared, symbols_to_commands, wrap_variables
@@ -16,6 +14,7 @@ from notewright.functions.tags import tag_layout
 from notewright.functions.typeset import fix_blank_lines, fix_headings, fix_indent, fix_lists, fix_markers
 from notewright.operators.blocks import sort_blocks
 from notewright.operators.chat import ChatOptions, render_chat
+from notewright.session import drop_since, mark, written
 
 MOST_PASSES = 5
 
@@ -36,21 +35,6 @@ class LayoutOptions:
     as_of: str = "2024-01-01"
 
 
-def _folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="notewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """A pass's result in the shared folder, so that the next pass starts from rows and not from a longer plan."""
-    path = f"{_folder(df.sparkSession)}/notewright/pass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
     """Notes with text laid out once. Each step is a projection; chat logs and blocks alone are shuffled, by note, and
     start from rows that are written, so that no step before them is computed twice."""
@@ -58,7 +42,7 @@ def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
     out = notes.withColumn("text", fix_indent(t, o.indent))
     out = out.withColumn("text", fix_markers(t)) if o.indent != "off" else out
     if o.chat:
-        out = _written(out)
+        out = written(out, "pass")
         chats = render_chat(out, o.as_of, o.chat).select(F.col("note_id").alias("_n"), F.col("new_text").alias("_chat"))
         out = out.join(chats, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_chat", "text")).drop("_n", "_chat")
     out = out.withColumn("text", fix_lists(t)) if o.lists else out
@@ -70,7 +54,7 @@ def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
     out = out.withColumn("text", fix_blank_lines(t))
     out = out.withColumn("text", tag_layout(t, o.sort_tags)) if o.tags else out
     if o.sort_blocks:
-        out = _written(out)
+        out = written(out, "pass")
         sorted_ = sort_blocks(out).select(F.col("note_id").alias("_n"), "new_text")
         out = out.join(sorted_, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("new_text", "text")).drop("_n", "new_text")
     return out
@@ -81,8 +65,9 @@ def typeset(notes: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataF
     work = notes.select("note_id", "text")
     done: list[DataFrame] = []
     for k in range(MOST_PASSES):
-        old = work.withColumnRenamed("text", "_old")
-        after = _written(one_pass(work, options).join(old.withColumnRenamed("note_id", "_n"), F.col("note_id") == F.col("_n"), "left").select("note_id", "text", "_old"))
+        old, since = work.select(F.col("note_id").alias("_n"), F.col("text").alias("_old")), mark()
+        after = written(one_pass(work, options).join(old, F.col("note_id") == F.col("_n"), "left").select("note_id", "text", "_old"), "pass")
+        drop_since(notes.sparkSession, since, after)
         changed = ~F.col("text").eqNullSafe(F.col("_old"))
         done.append(after.where(~changed if k < MOST_PASSES - 1 else F.lit(True)).select("note_id", "text"))
         work = after.where(changed).select("note_id", "text")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from notewright.functions.lines import lines_of
 from notewright.operators import blocks, chat, forum, images, resolve
 from notewright.plans import images as image_plans
 from notewright.plans import typeset as layout
+from notewright.session import shared_folder
 from notewright.sources import notes as sources
 from notewright.sources.derived import derived, with_tables
 from notewright.streaming import edits
@@ -621,8 +621,7 @@ def x2_settled_edits(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT conv_id AS topic, count(DISTINCT CAST(turn % 2 AS STRING) || '|' || role || '|' || substr(text, 1, 40)) AS n_posts FROM conversations GROUP BY conv_id")
 def x3_distinct_post_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The conversations as a stream of files; what the stream keeps is appended to a table and counted."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="notewright-")
-    at = f"{folder}/notewright/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/notewright/stream-{uuid.uuid4().hex}"
     schema = _table(spark, sf, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/conversations.parquet")
     posts = stream.select(F.col("conv_id").alias("topic"), (F.col("turn") % 2).cast("string").alias("floor"), F.col("role").alias("user"), F.col("text").alias("body"), F.lit("2025-09-15 20:26:00").cast("timestamp").alias("ts"))

@@ -1,14 +1,22 @@
-"""What jobs with Python workers need from a session."""
+"""What jobs need from a session: the package on the workers, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
+import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: The tables that an application has written and not dropped yet, numbered; and the path of each.
+_WRITTEN: dict[str, dict[str, int]] = {}
+_NUMBERS = itertools.count()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -23,3 +31,57 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(home.rglob("*.py")):
             z.write(f, f.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(to))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where both are unset, a session in one JVM gets a temporary folder; on a cluster no machine-local folder will do,
+    so that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="notewright-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/notewright/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = next(_NUMBERS)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN[spark.sparkContext.applicationId].pop(path, None)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave, when what was made of them has been written in turn. Others are left."""
+    for table in tables:
+        path = _PATHS.pop(table, None) if table is not None else None
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def mark() -> int:
+    """A point in time for ``drop_since``."""
+    return next(_NUMBERS)
+
+
+def drop_since(spark: SparkSession, since: int = -1, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written after a ``mark``, but ``keep``. Without a mark: all, once a job's results are saved."""
+    kept = _PATHS.get(keep) if keep is not None else None
+    for path, number in list(_WRITTEN.get(spark.sparkContext.applicationId, {}).items()):
+        if number > since and path != kept:
+            _delete(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notewright.operators.forum import post_key
 from notewright.plans.typeset import LayoutOptions, one_pass
+from notewright.session import drop_since, mark
 
 QUIET, LONGEST = "5 seconds", "20 seconds"
 
@@ -32,6 +33,8 @@ def tidy_stream(notes: DataFrame, target: str, checkpoint: str, options: LayoutO
     """Lays out notes as they arrive and appends them to Parquet. Steps that order rows run on each micro-batch."""
 
     def batch(df: DataFrame, number: int) -> None:
+        since = mark()
         one_pass(df, options).write.mode("append").parquet(target)
+        drop_since(df.sparkSession, since)
 
     return notes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
