@@ -2,8 +2,8 @@
 
 Queries and candidates are dealt into blocks; each pair of blocks is one tile. In a tile vectors are rounded to
 int8, products of the rounded vectors bound every inner product from both sides, and only pairs whose upper bound
-reaches the k-th best lower bound are computed anew in double precision. Heaps merge the tiles' results. Every
-candidate is weighed, so the result is exact.
+reaches the k-th best so far are computed anew in double precision. A tile is met in slices, and each slice leaves
+the k best of a query only. Heaps merge the tiles' results. Every candidate is weighed, so the result is exact.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from notewright.llm.shared import small_batches, written
 
-#: Most bytes of a block of candidates and of a block of queries, as 32-bit floats; rows of a tile met at once.
-CANDIDATE_BYTES, QUERY_BYTES, ROWS_AT_ONCE = 16 << 20, 4 << 20, 4096
+#: Most bytes of a block of candidates and of a block of queries, as 32-bit floats.
+CANDIDATE_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
+#: Candidates and queries of a slice, which holds a few arrays of their product; pairs computed anew at once.
+ROWS_AT_ONCE, QUERIES_AT_ONCE, PAIRS_AT_ONCE = 4096, 512, 1 << 16
 #: Smaller tables are cut into blocks of a megabyte, up to as many blocks as this, for parallel tiles.
 FEW_BLOCKS, LEAST_BYTES = 16, 1 << 20
 
@@ -39,36 +41,63 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def without_surplus(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows that may be among some query's ``k`` best: of equal vectors those of the ``k`` + 1 smallest ids (one may be the
+    query's own), and of one id ``k`` rows at most. The others come behind them in every tie."""
+    keys = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, vector = np.unique(keys, return_inverse=True)
+    order = np.lexsort((ids, vector))
+    v, i = vector[order], ids[order]
+    new_vector = np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]
+    new_id = new_vector | np.concatenate(([True], i[1:] != i[:-1]))[: len(v)]
+    at = np.arange(len(v))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    nth_id = np.cumsum(new_id)
+    nth_id -= np.maximum.accumulate(np.where(new_vector, nth_id, 0))
+    return np.sort(order[(nth_row < k) & (nth_id <= k)])
+
+
 def tile(ids_q: np.ndarray, q: np.ndarray, ids_c: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, score) of each query's ``k`` best candidates of a tile, ties to smaller ids."""
+    rows = without_surplus(ids_c, c, k)
+    ids_c, c = ids_c[rows], c[rows]
+    candidates = rounded(c)
+    found = [_slice_of_queries(ids_q[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE], ids_c, c, candidates, k) for at in range(0, len(q), QUERIES_AT_ONCE)]
+    i = np.concatenate([x[0] + at * QUERIES_AT_ONCE for at, x in enumerate(found)] or [np.empty(0, np.int64)])
+    return i, *(np.concatenate([x[j] for x in found] or [np.empty(0)]) for j in (1, 2))
+
+
+def _slice_of_queries(ids_q: np.ndarray, q: np.ndarray, ids_c: np.ndarray, c: np.ndarray, candidates: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qi, qs, qn, qe = rounded(q)
-    ci, cs, cn, ce = rounded(c)
+    ci, cs, cn, ce = candidates
     left = qi.astype(np.float32 if q.shape[1] <= 1000 else np.float64)  # sums of int8 products stay exact
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # query row, candidate row, score: at most k a query
     floor = np.full(len(q), -np.inf)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    lows: np.ndarray | None = None
     for at in range(0, len(c), ROWS_AT_ONCE):
         own = slice(at, at + ROWS_AT_ONCE)
-        near = (left @ ci[own].astype(left.dtype).T).astype(np.float64) * (qs[:, None] * cs[own])
-        slack = qe[:, None] * cn[own] + (qn + qe)[:, None] * ce[own] + 1e-9 * qn[:, None] * cn[own]
-        low = np.where(ids_q[:, None] == ids_c[own], -np.inf, near - slack)
-        lows = low if lows is None else np.concatenate((lows, low), 1)
-        if lows.shape[1] > k:
-            lows = np.partition(lows, lows.shape[1] - k, axis=1)[:, -k:]
-        if lows.shape[1] == k:
-            floor = lows.min(1)
-        i, j = np.nonzero((near + slack >= floor[:, None]) & (ids_q[:, None] != ids_c[own]))
-        kept.append((i, j + at))
-    i, j = (np.concatenate(x) for x in zip(*kept, strict=True))
-    score = np.empty(len(i))
-    for at in range(0, len(i), 1 << 16):
-        own = slice(at, at + (1 << 16))
-        score[own] = exact(q[i[own]], c[j[own]])
-    order = np.lexsort((ids_c[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    starts = np.searchsorted(i, np.arange(len(q)))
-    best = np.arange(len(i)) - starts[i] < k
-    return i[best], ids_c[j[best]], score[best]
+        near = (left @ ci[own].astype(left.dtype).T).astype(np.float64)
+        near *= qs[:, None]
+        near *= cs[own]
+        slack = qe[:, None] * cn[own]
+        slack += (qn + qe)[:, None] * ce[own]
+        slack += (1e-9 * qn)[:, None] * cn[own]
+        near[ids_q[:, None] == ids_c[own]] = -np.inf  # a query's own row
+        if near.shape[1] > k:
+            low = np.partition(near - slack, near.shape[1] - k, axis=1)[:, -k]
+            floor = np.maximum(floor, low)
+        near += slack
+        i, j = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
+        j += at
+        score = np.concatenate([exact(q[i[p : p + PAIRS_AT_ONCE]], c[j[p : p + PAIRS_AT_ONCE]]) for p in range(0, len(i), PAIRS_AT_ONCE)] or [np.empty(0)])
+        i, j, score = (np.concatenate(x) for x in zip(best, (i, j, score), strict=True))
+        order = np.lexsort((ids_c[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i]
+        kept = nth < k
+        last = i[nth == k - 1]
+        floor[last] = np.maximum(floor[last], score[nth == k - 1])
+        best = i[kept], j[kept], score[kept]
+    return best[0], ids_c[best[1]], best[2]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -79,8 +108,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     take no part; vectors of another length are no candidates. Of a repeated query id the smallest vector asks;
     repeated candidates are found each by itself. No other column is read.
 
-    Blocks are bounded in bytes, so a tile fits in a worker whatever the input; each tile passes on at most ``k``
-    rows for each query.
+    Blocks are bounded in bytes and met in slices, so a tile takes less than half a gigabyte whatever the input and however
+    many vectors are equal; each tile passes on at most ``k`` rows for each query.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
