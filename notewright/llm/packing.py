@@ -62,5 +62,5 @@ def pack(docs: DataFrame, length: Column | None = None, max_length: int = 2048,
     placed = cut.withColumn("bucket", F.size(F.filter(limit, lambda x: x < F.col("n_tokens"))))
     placed = placed.withColumn("bucket_length", F.element_at(limit, F.col("bucket") + 1))
     room = F.greatest(F.lit(1), F.floor(budget / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
-    ranked = slots(placed, ["bucket"], [id_col, "_text_key", "piece"], "_slot")
+    ranked = slots(placed, ["bucket"], [id_col, "_text_key", "piece"], "_slot", sum(c for _, c in found))
     return ranked.select(id_col, "piece", "start", "n_tokens", "bucket", "bucket_length", F.floor(F.col("_slot") / room).cast("long").alias("batch"), F.pmod("_slot", room).cast("int").alias("place"), (F.col("bucket_length") - F.col("n_tokens")).alias("n_padding"))

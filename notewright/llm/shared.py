@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,29 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notewright.session import ship_package
+from notewright.session import drop, drop_since, mark, ship_package, written
+
+__all__ = ["drop", "drop_since", "mark", "written"]
 
 #: A word, in Spark's (Java) and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="notewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/notewright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}
@@ -65,23 +48,29 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slots(df: DataFrame, group: list[str], order: list[str], out: str, blocks: int | None = None) -> DataFrame:
+#: Rows that one task numbers in ``slots``.
+ROWS_A_BLOCK = 50_000
+
+
+def slots(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """Adds ``out``, each row's position from 0 in its group, without gaps and without a window over a whole group.
 
-    A group is cut into ``blocks`` by a hash of the ``order`` columns. Counts per block give each block its
-    first position; inside a block rows are ordered by ``order``. Null keys form a group of their own.
+    Of ``rows`` rows in all, a group is cut into blocks of about ``rows_a_block`` by a hash of the ``order`` columns, so
+    that no block grows with the input. Counts per block give each block its first position; inside a block rows
+    are ordered by ``order``. Null keys form a group of their own. Columns of ``df`` may have any names.
     """
-    blocks = blocks or 2 * partitions(df.sparkSession)
-    cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    counts = cut.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = F.col("_block") == F.col("_b")
-    for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*group, "_block").orderBy(*order)
-    ranked = cut.join(starts, same).withColumn(out, F.row_number().over(inside) - 1 + F.col("_start"))
-    return ranked.drop("_block", "_b", "_start", *[f"_g{i}" for i in range(len(group))])
+    block, own, n, start, *keys = free_names(df, "_block", "_own", "_n", "_start", *[f"_g{i}" for i in range(len(group))])
+    blocks = max(1, -(-rows // rows_a_block))
+    cut = df.withColumn(block, F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    counts = cut.groupBy(*group, block).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(block).alias(own), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    same = F.col(block) == F.col(own)
+    for g, k in zip(group, keys, strict=True):
+        same &= F.col(g).eqNullSafe(F.col(k))
+    inside = Window.partitionBy(*group, block).orderBy(*order)
+    ranked = cut.join(starts, same).withColumn(out, F.row_number().over(inside) - 1 + F.col(start))
+    return ranked.drop(block, own, start, *keys)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import slots, word_count, written
+from notewright.llm.shared import drop, slots, word_count, written
+from notewright.operators.ranks import numbered_rows
 
 TOLERANCE, MOST_STEPS = 1e-7, 60
 
@@ -19,17 +20,23 @@ TOLERANCE, MOST_STEPS = 1e-7, 60
 def _targets(sources: DataFrame, weights: list[float], cap: float) -> DataFrame:
     """Adds target: shares of all sizes by weight, none above cap * source_size, the excess reshared by weight.
 
-    Sources fill up in the order of cap * size / weight; those before the first that stays below take their cap.
+    Sources are ranked by name in ranges. The words a unit of weight gets rise as sources fill up, until no
+    more do: one sum over the sources for each step, and a step fills at least one source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    place = numbered_rows(sources, [F.col("source").asc_nulls_last()], "_place")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = sources.withColumn("weight", F.element_at(cycle, F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)).withColumn("most", cap * F.col("source_size"))
-    by_fill = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    filled = weighed.withColumns({"full": F.coalesce(F.sum("most").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "rest": F.sum("weight").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "total": F.sum("source_size").over(everything)})
-    share = (F.col("total") - F.col("full")) / F.col("rest")  # words a unit of weight, if all before are full
-    level = F.max(F.when(share * F.col("weight") <= F.col("most"), share)).over(everything)
-    return filled.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))).drop("weight", "most", "full", "rest", "total")
+    weighed = written(place.withColumn("_weight", F.element_at(cycle, (F.pmod("_place", F.lit(len(weights))) + 1).cast("int"))).drop("_place"), "sources")
+    most, level = cap * F.col("source_size"), 0.0
+    while True:
+        full = most <= level * F.col("_weight")
+        total, filled, rest = weighed.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("_weight")))).first()
+        if not rest:  # no source at all, or all are full
+            break
+        higher = ((total or 0) - cap * (filled or 0)) / rest
+        if higher <= level:
+            break
+        level = higher
+    return weighed.withColumn("target", F.least(most, level * F.col("_weight"))).drop("_weight")
 
 
 def _rate(cap: float) -> Column:
@@ -54,12 +61,12 @@ def _solve(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
         off = F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
         done = (off < TOLERANCE) | (F.col("target") >= cap * F.col("source_size")) | (F.col("target") <= 0)
         moved = step.select("source", "source_size", "mean", "target", F.when(done, F.col("lam")).otherwise(F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)).alias("lam"), low.alias("low"), high.alias("high"), F.when(done, 0.0).otherwise(off).alias("off"))
-        state = written(moved, "multipliers")
+        before, state = state, written(moved, "multipliers")
+        drop(before)
         worst = state.agg(F.max("off")).first()[0]
-        state = state.drop("off")
         if worst is None or worst < TOLERANCE:
             break
-    return state
+    return state.drop("off")
 
 
 def _nudged(rows: DataFrame, cap: int) -> DataFrame:
@@ -73,39 +80,59 @@ def _nudged(rows: DataFrame, cap: int) -> DataFrame:
     return rows.join(best, rows["source"].eqNullSafe(best["_s"]) & (rows["size"] == best["_size"]), "left").withColumn("copies", F.col("copies") + F.coalesce("_sign", F.lit(0))).drop("_s", "_size", "_sign")
 
 
-def mix_sources(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, copies and taken (copies * size) added.
+#: Columns that ``mix_sources`` adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
-    Size is the number of words (null: 0). Sources by code point, null last, weigh ``weights``, repeating; their
-    targets share all sizes and stop at ``cap`` times their own. A document has 0 to ``cap`` copies; a source's
-    words miss its target by about half its largest document at most, mostly by a few words. Documents without
-    words get the copies their rate gives but take nothing. Equal documents may differ by one copy; which one
-    has more depends on a hash of id and text, so reruns agree. Repeated rows count each by itself. Columns of
-    ``docs`` with the names added are replaced.
 
-    Only ids, sources and hashes of texts are dealt out, besides what else ``docs`` holds; the
-    table of sizes is counted before it is dealt, and copies are ranked in blocks, so one hot source is no hot task.
+def _mixed(docs: DataFrame, carried: list[str], weights: list[float], cap: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (a struct of the ``carried`` columns) and the columns of ADDED, for every row of ``docs``.
+
+    The caller's columns travel in the struct, so they may have any names. Texts are read once: what is made of them is
+    written, and only that is counted and dealt out.
     """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*kept, word_count(text_col).alias("size"), F.xxhash64(text_col).alias("_text_key"))
-    light = written(sized.groupBy(F.col(source_col).alias("source"), "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    sources = light.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.greatest(F.avg(F.when(F.col("size") > 0, F.col("size").cast("double"))), F.lit(1.0)).alias("mean"))
-    solved = _solve(light, _targets(sources.withColumn("mean", F.coalesce("mean", F.lit(1.0))), list(weights), float(cap)), float(cap))
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
+    sized = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("text_key"))
+    sized = written(sized, "sized")
+    light = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sources = light.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("rows"), F.greatest(F.avg(F.when(F.col("size") > 0, F.col("size").cast("double"))), F.lit(1.0)).alias("mean"))
+    sources = written(sources.withColumn("mean", F.coalesce("mean", F.lit(1.0))), "source-sizes")
+    rows_in_all = sources.agg(F.sum("rows")).first()[0] or 0
+    solved = _solve(light, _targets(sources.drop("rows"), list(weights), float(cap)), float(cap))
     rates = light.join(solved, light["source"].eqNullSafe(solved["source"])).drop(solved["source"]).withColumn("rate", _rate(float(cap)))
     upto = Window.partitionBy("source").orderBy(F.desc("size"))
     reach = F.round(F.sum(F.col("n") * F.col("rate")).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ends = rates.withColumn("_reach", reach)
     rows = written(ends.withColumn("copies", (F.col("_reach") - F.coalesce(F.lag("_reach").over(upto), F.lit(0.0))).cast("long")).select("source", "size", "n", "source_size", "target", "rate", "copies"), "copies")
+    drop(light, sources)
     for _ in range(3):
-        rows = _nudged(rows, cap)
-    rows = written(rows, "copies").select(F.col("source").alias("_s"), F.col("size").alias("_size"), "source_size", "target", F.floor(F.col("copies") / F.col("n")).cast("int").alias("_each"), F.pmod("copies", "n").alias("_more"))
-    ranked = slots(sized, [source_col, "size"], [id_col, "_text_key"], "_slot")
-    met = ranked.join(rows, ranked[source_col].eqNullSafe(rows["_s"]) & (ranked["size"] == rows["_size"]))
+        before, rows = rows, written(_nudged(rows, cap), "copies")
+        drop(before)
+    rows = rows.select(F.col("source").alias("_s"), F.col("size").alias("_size"), "source_size", "target", F.floor(F.col("copies") / F.col("n")).cast("int").alias("_each"), F.pmod("copies", "n").alias("_more"))
+    ranked = slots(sized, ["source", "size"], ["id", "text_key"], "_slot", rows_in_all)
+    met = ranked.join(rows, ranked["source"].eqNullSafe(rows["_s"]) & (ranked["size"] == rows["_size"]))
     copies = F.col("_each") + (F.col("_slot") < F.col("_more")).cast("int")
-    return met.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return met.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mix_sources(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row of ``docs`` without its text, with size, source_size, target, copies and taken (copies * size) added.
+
+    Size is the number of words (null: 0). Sources by code point, null last, weigh ``weights``, repeating; their
+    targets share all sizes and stop at ``cap`` times their own. A document has 0 to ``cap`` copies; a source's
+    words miss its target by about half its largest document at most, mostly by a few words. Documents without
+    words get the copies their rate gives but take nothing. Equal documents may differ by one copy; which one
+    has more depends on a hash of id and text, so reruns agree. Repeated rows count each by itself. Columns of
+    ``docs`` with the names added give way to them; ``mixed_rows`` keeps all. Empty tables give no row.
+
+    Only sizes and hashes of texts are dealt out, besides what else ``docs`` holds; the table of sizes is counted
+    before it is dealt, sources and copies are ranked in ranges and blocks, so one hot source is no hot task.
+    """
+    carried = [c for c in docs.columns if c.lower() not in (*ADDED, text_col.lower())]
+    out = _mixed(docs, carried, weights, cap, id_col, text_col, source_col)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], *ADDED)
 
 
-def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it has copies, with the columns of ``docs``."""
-    out = mix_sources(docs, **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix_sources`` gives it copies, every column as it was."""
+    out = _mixed(docs, docs.columns, weights, cap, id_col, text_col, source_col).where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
