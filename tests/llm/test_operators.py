@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import lzma
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -491,6 +492,16 @@ def test_rates_are_exponential_tilts(spark):
     assert (odds[1] - odds[0]) / 3 == pytest.approx((odds[2] - odds[1]) / 5)
 
 
+def test_mixed_rows_keep_every_column_as_it_was(spark):
+    names = ("size", "Target", "taken", "copies", "source_size", "_slot", "_copy", "_text_key", "_s", "_block", "id", "row", "rate")
+    rows_ = [(i, "word " * (i % 7 + 1), f"s{i % 3}", *(100 * i + k for k in range(len(names)))) for i in range(60)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    copies = {r["doc_id"]: r["copies"] for r in source_mixing.mix_sources(df).select("doc_id", "copies").collect()}
+    mixed = source_mixing.mixed_rows(df)
+    assert mixed.columns == df.columns
+    assert sorted(map(tuple, mixed.collect())) == sorted(r for r in rows_ for _ in range(copies[r[0]]))
+
+
 def test_mix_odd_rows(spark):
     out = source_mixing.mix_sources(odd(spark))
     assert out.count() == len(ODD) and {r["size"] for r in out.where("doc_id in (1, 2, 3)").collect()} == {0}
@@ -524,6 +535,45 @@ def test_shards_are_cut_by_metadata(spark):
         assert any(part(i)[c].max() <= part(i + 1)[c].min() for c in ("size", "lang", "source"))
 
 
+@pytest.mark.parametrize("shards", [8, 5])
+def test_shards_equal_a_tree_built_point_by_point(spark, shards):
+    """Dimension, cut and shard of every document: the widest dimension of each node, and the first place in its order
+    at which half of the node's shares of bytes are reached."""
+    d = documents(spark).withColumns({"_key": F.xxhash64("text"), "_hash": F.xxhash64(F.xxhash64("text"), F.lit(0)).bitwiseAND((1 << 40) - 1)})
+    points = {}
+    for r in d.collect():
+        size = len(r["text"].encode()) + 1
+        own = (zlib.crc32(r["lang"].encode()) / 2**32, zlib.crc32(r["source"].encode()) / 2**32)
+        old = points.get(r["_key"])
+        points[r["_key"]] = (size + old[0], old[1], tuple(map(min, own, old[2])), r["_hash"]) if old else (size, np.log2(float(size)), own, r["_hash"])
+    total = sum(p[0] for p in points.values())
+    assert all(p[0] <= total // (2 * shards) for p in points.values())  # none is spread
+    place = {k: (p[1], *p[2]) for k, p in points.items()}
+    low, high = (np.array([f(x) for x in zip(*place.values(), strict=True)]) for f in (min, max))
+    place = {k: (np.array(v) - low) / (high - low) for k, v in place.items()}
+    want = {}
+
+    def split(keys, k, first):
+        if k == 1:
+            want.update(dict.fromkeys(keys, first))
+            return
+        widths = [max(place[x][i] for x in keys) - min(place[x][i] for x in keys) for i in range(3)]
+        i = widths.index(max(widths))
+        order = sorted(keys, key=lambda x: (int(place[x][i] * kd_sharding.SCALE), points[x][3]))
+        goal, upto, left = k // 2 * sum(points[x][0] for x in keys) / k, 0, []
+        for x in order:
+            if upto >= goal:
+                break
+            upto += points[x][0]
+            left.append(x)
+        split(left, k // 2, first)
+        split(order[len(left) :], k - k // 2, first + k // 2)
+
+    split(list(points), shards, 0)
+    got = {r["doc_id"]: r["shard"] for r in kd_sharding.kd_shards(documents(spark), shards=shards).collect()}
+    assert got == {r["doc_id"]: want[r["_key"]] for r in d.collect()}
+
+
 def test_shards_of_copies_and_odd_rows(spark):
     copies = spark.createDataFrame([(i, "same text") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(100)], "doc_id long, text string")
     sums = [r["sum(size)"] for r in kd_sharding.kd_shards(copies, shards=4).groupBy("shard").sum("size").collect()]
@@ -566,6 +616,36 @@ def test_bounds_hold():
     assert (np.abs(near - a @ b.T) <= np.outer(ea, nb) + np.outer(na + ea, eb) + 1e-9).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_tiles_in_small_slices(monkeypatch, seed):
+    for name, n in (("ROWS_AT_ONCE", 50), ("QUERIES_AT_ONCE", 16), ("PAIRS_AT_ONCE", 100)):
+        monkeypatch.setattr(vector_search, name, n)
+    rng = np.random.default_rng(seed)
+    q, c = rng.integers(-2, 3, (rng.integers(1, 60), 3)).astype(float), rng.integers(-2, 3, (rng.integers(1, 400), 3)).astype(float)
+    if seed % 3 == 0:
+        c[:] = c[0]
+    ids_q, ids_c = rng.choice(1000, len(q), replace=False), rng.integers(0, 60 if seed % 2 else 1000, len(c))
+    want = []
+    for a in range(len(q)):
+        score = vector_search.exact(np.repeat(q[a : a + 1], len(c), 0), c)
+        want += [(a, ids_c[b], score[b]) for b in [b for b in np.lexsort((ids_c, -score)) if ids_c[b] != ids_q[a]][:5]]
+    assert list(zip(*[x.tolist() for x in vector_search.tile(ids_q, q, ids_c, c, 5)], strict=True)) == want
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_a_tile_of_full_width_is_bounded(equal):
+    """A whole block of candidates against an eighth of a block of queries, which are met in slices one after the other."""
+    rng = np.random.default_rng(1)
+    c, q = rng.normal(size=(65536, 64)), rng.normal(size=(2048, 64))
+    if equal:
+        c[:], q[:] = c[0], c[0]
+    tracemalloc.start()
+    found = vector_search.tile(np.arange(2048) * 20, q, np.arange(65536), c, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 2048 * 20 and peak < 300e6
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------
 
 
