@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import written
+from notewright.llm.shared import drop, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "links") -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "links
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(lowest, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("w"))
-        edges = written(small.where("u <> v").select("u", "v").union(small.select(F.col("w").alias("u"), "v")).distinct(), label)
+        old, edges = edges, written(small.where("u <> v").select("u", "v").union(small.select(F.col("w").alias("u"), "v")).distinct(), label)
+        drop(old)
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,12 +4,12 @@
 2. A second pass deals (shingle, node) out by shingle, packed into arrays. Each shingle that two or more
    nodes hold goes back to its nodes with its document frequency. A node whose prefix holds only
    shingles of its own can have no partner and drops out here; mostly these are nearly all nodes.
-3. Nodes that share a shingle of their rare-first prefixes get linked to the smallest of them, and
-   the components of these links are the candidate groups. Any similar pair shares such a shingle, so it is
-   in one group.
-4. Inside a group a pair is verified when it also shares prefix shingles under the other orders, its
-   sizes allow the similarity, and other links do not connect it yet. Groups above ``group_size`` are cut into
-   blocks, and blocks are paired.
+3. Candidates share a shingle of their prefixes under the first order, rare shingles first: a join on the shingle.
+   The candidates are then joined with the nodes' prefixes under two more orders, which a hash decides and not
+   frequency; only pairs that share enough there under both are joined with the sets and counted.
+4. Pairs inside what is known to be one component are never made. While many holders of one shingle lie
+   in different components, each compares itself with one representative of the largest; what links joins that
+   component. Then every holder outside the largest component of a shingle meets all holders in other components.
 """
 
 from __future__ import annotations
@@ -18,18 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.components import components
-from notewright.llm.shared import mix, partitions, pieces, small_batches, utf8, words_of, written
+from notewright.llm.shared import drop, mix, pieces, small_batches, utf8, words_of, written
 
 #: Nodes of one block of texts that a shingle needs to skip the exchange by shingle, and its class then.
 HOT_IN_BLOCK, HOT = 64, 255
 #: Text that is hashed at once, and shingles that are dealt out at once.
 PIECE_BYTES, BLOCK_SHINGLES = 1 << 20, 2_800_000
-#: Most rows of (node, block) to send to all tasks; more are joined by a shuffle.
-MOST_SENT = 1_000_000
+#: Shingles of a part, on average, which one task sorts; nodes whose sets are unpacked at once.
+PART_SHINGLES, NODES_AT_ONCE = 1_000_000, 64
+#: Most pairs (two numbers each) to send to all tasks; more are joined by a shuffle.
+MOST_SENT = 500_000
+#: A representative is tried while holders would meet more than this many times the rows of prefixes, in so many rounds at
+#: most and only while a round spares a fifth of the meetings. Neither number changes what is found.
+FEW_MEETINGS, MOST_ROUNDS = 16, 8
 _ROLES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -213,9 +218,26 @@ def shared_shingles(docs: DataFrame, parts: int, words: int, text_col: str) -> D
     return docs.select(text_col).mapInArrow(blocks, _PACKED).groupBy("part").applyInArrow(part, "node long, shared struct<part int, low binary, high binary, classes binary>")
 
 
-def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
-    """How many first shingles of a set, under any one order, meet those of every set that is similar enough."""
-    return size - -(-percent * size // 100) + 1
+def fewest_shared(size: int, percent: int) -> int:
+    """How many shingles of a set any set that is similar enough must share."""
+    return -(-percent * size // 100)
+
+
+def least_met(size: int, percent: int) -> int:
+    """How many shingles must meet in the longer prefixes under the second and third order."""
+    return min(1 + size // 8, fewest_shared(size, percent))
+
+
+def prefixes(size: int, shingles: np.ndarray, classes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The shingles that other nodes hold in the prefixes under each order, first ones first.
+
+    Orders: rare first, equally rare ones by a hash; by a hash; by another hash. Shingles of the node's own come first in
+    every order. Similar sets share ``want`` shingles or more of their first size - fewest_shared + want ones.
+    """
+    room = size - fewest_shared(size, percent) - (size - len(shingles))
+    wants = (1, least_met(size, percent), least_met(size, percent))
+    by = (np.lexsort((mix(shingles), classes)), np.argsort(mix(shingles ^ _SALTS[1])), np.argsort(mix(shingles ^ _SALTS[2])))
+    return [shingles[o[: max(0, room + want)]] for o, want in zip(by, wants, strict=True)]
 
 
 def _sets(batch: pa.RecordBatch, parts: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -233,141 +255,145 @@ def _sets(batch: pa.RecordBatch, parts: int) -> list[tuple[int, int, np.ndarray,
     return out
 
 
-def _prefix(size: int, shingles: np.ndarray, classes: np.ndarray, percent: int, order: int = 0) -> np.ndarray:
-    """The shingles of the prefix that other nodes hold: rare first, equally rare ones by a hash that ``order`` decides.
-    Those of the node's own come first in every order."""
-    n = int(prefix_length(np.int64(size), percent)) - (size - len(shingles))
-    if n <= 0:
-        return shingles[:0]
-    return shingles[np.lexsort((mix(shingles ^ _SALTS[order]), classes))[:n]]
+_ORDERS = ("order0", "order1", "order2")
+
+
+def node_sets(docs: DataFrame, sizes: DataFrame, n_shingles: int, words: int, percent: int, text_col: str) -> DataFrame:
+    """(node, n_shingles, least_met, n_held, shingles, order0, order1, order2) of nodes that may have a partner.
+
+    ``shingles`` are the n_held ones that other nodes hold too, the orders their prefixes.
+    """
+    parts = max(16, -(-n_shingles // PART_SHINGLES))
+    back = shared_shingles(docs, parts, words, text_col)
+    merged = back.groupBy("node").agg(F.sum(F.octet_length("shared.classes")).alias("_shared"), F.collect_list("shared").alias("shared"))
+    live = merged.join(sizes.select("node", "n_shingles"), "node").where(f"n_shingles - _shared < n_shingles - ceil({percent} * n_shingles / 100) + 1")
+    names = ["node", "n_shingles", "least_met", "n_held", "shingles", *_ORDERS]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, NODES_AT_ONCE):
+                sets = _sets(batch.slice(at, NODES_AT_ONCE), parts)
+                arrays = [[s[2] for s in sets], *zip(*[prefixes(s[1], s[2], s[3], percent) for s in sets], strict=True)]
+                numbers = zip(*[(s[0], s[1], least_met(s[1], percent), len(s[2])) for s in sets], strict=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), pa.array(np.concatenate(own).view(np.int64))) for own in arrays]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *lists], names)
+
+    schema = ", ".join(f"{n} long" for n in names[:4]) + ", " + ", ".join(f"{n} array<long>" for n in names[4:])
+    return written(live.select("node", "n_shingles", "shared").mapInArrow(work, schema), "nodes")
+
+
+def _both(pairs: DataFrame, n: int, nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(a, b, of_a, of_b): pairs with those columns of both nodes. Each side meets the nodes by itself and the two sides meet
+    by the pair, so a node of many pairs is no hot key there."""
+    sent = F.broadcast(pairs) if n <= MOST_SENT else pairs
+    side = lambda x: nodes.select(F.col("node").alias(x), F.struct(*columns).alias(f"of_{x}")).join(sent, x)
+    return side("a").join(side("b"), ["a", "b"])
+
 
+def _meets(order: str, percent: int) -> Column:
+    """Whether the prefixes of a pair share enough shingles under an order. Both sizes say how many the sets must share, so
+    the prefixes can be shorter than those kept for any partner: size - that + least_met, less the node's own shingles."""
+    must = F.ceil(F.lit(percent) * (F.col("of_a.n_shingles") + F.col("of_b.n_shingles")) / F.lit(100 + percent))
+    least = F.least("of_a.least_met", "of_b.least_met")
+    first = lambda x: F.slice(f"of_{x}.{order}", F.lit(1), F.greatest(F.col(f"of_{x}.n_held") - must + least, F.lit(0)).cast("int"))
+    return F.size(F.array_intersect(first("a"), first("b"))) >= least
 
-class Forest:
-    """Union-find over 0..n-1."""
 
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
-    def join(self, a: int, others: np.ndarray) -> None:
-        roots = np.unique(self.root[np.append(others, a)])
-        if len(roots) > 1:
-            self.root[np.isin(self.root, roots)] = roots[0]
 
+def _similar(percent: int) -> Column:
+    shared = F.size(F.array_intersect("of_a.shingles", "of_b.shingles"))
+    return F.lit(100) * shared >= F.lit(percent) * (F.col("of_a.n_shingles") + F.col("of_b.n_shingles") - shared)
 
-def links_of_group(sets: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (node, smallest node) that connect all that similar pairs connect.
 
-    A pair is counted when the prefixes meet under every order, the sizes allow it and nothing connects it yet.
-    ``side``: only pairs of two rows that differ here are sought; other blocks hold the rest.
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs (a written table of candidates under the first order) that pass the other orders and are similar."""
+    heads = _both(pairs, pairs.count(), nodes, ("n_shingles", "least_met", "n_held", *_ORDERS[1:]))
+    allowed = _sizes_allow(F.col("of_a.n_shingles"), F.col("of_b.n_shingles"), percent)
+    left = written(heads.where(allowed & _meets("order1", percent) & _meets("order2", percent)).select("a", "b"), "filtered")
+    out = written(_both(left, left.count(), nodes, ("n_shingles", "shingles")).where(_similar(percent)).select("a", "b"), "links")
+    drop(left)
+    return out
+
+
+def similar_links(nodes: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of (a, b): links that connect the nodes of ``node_sets`` as all similar pairs do."""
+    rows = written(nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"), F.col("node").alias("label")), "prefixes")
+    few, before, found = FEW_MEETINGS * rows.count(), float("inf"), []
+    for number in range(MOST_ROUNDS):
+        # Labels of a shingle's holders, the one with most holders, and a representative of it.
+        labels = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("rep"))
+        mains = labels.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("holders"), F.max_by(F.struct("label", "rep"), F.struct("n", F.bitwise_not("label"))).alias("main")).where("labels > 1")
+        met = written(rows.join(mains, "shingle").select("shingle", "node", "size", "label", "holders", F.col("main.label").alias("main"), F.col("main.rep").alias("rep")), "open")
+        drop(rows)
+        meetings = met.where("label <> main").agg(F.sum("holders")).first()[0] or 0
+        if meetings <= few or meetings > 0.8 * before or number == MOST_ROUNDS - 1:
+            break
+        before = meetings
+        tried = met.where("label <> main").groupBy("node", "label").agg(F.min_by(F.struct("rep", "main"), F.xxhash64("rep", F.lit(number))).alias("r"))
+        tried = written(tried.select(F.least("node", "r.rep").alias("a"), F.greatest("node", "r.rep").alias("b"), "label", F.col("r.main").alias("main")), "tried")
+        links = verified(tried.select("a", "b"), nodes, percent)
+        found.append(links)
+        # The smallest label within three steps: nodes with one label are connected.
+        edges = tried.join(links, ["a", "b"]).select(F.col("label").alias("u"), F.col("main").alias("v"))
+        edges = written(edges.union(edges.select("v", "u")).distinct(), "label-links")
+        near = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        for _ in range(2):
+            near = edges.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+        near = written(near.select(F.col("u").alias("label"), "m"), "labels")
+        rows = written(met.join(near, "label", "left").select("shingle", "node", "size", F.coalesce("m", "label").alias("label")), "prefixes")
+        drop(met, tried, edges, near)
+    x = met.where("label <> main").select("shingle", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"))
+    y = met.select("shingle", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("inside"))
+    pairs = x.join(y, "shingle").where((F.col("label_x") != F.col("label_y")) & (F.col("inside") | (F.col("x") < F.col("y"))) & _sizes_allow(F.col("size_x"), F.col("size_y"), percent))
+    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    found.append(verified(pairs, nodes, percent))
+    drop(met, pairs)
+    return found
+
+
+def _prepared(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sizes of all documents, those of the nodes, and the sets of nodes that may have a partner."""
+    sized = written(set_sizes(docs, words, id_col, text_col), "sets")
+    sizes = sized.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min(id_col).alias("_least"))
+    total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    return sized, sizes, node_sets(docs, sizes, total, words, percent, text_col)
+
+
+def filter_counts(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
+    """A report: pairs of different sets that share a prefix shingle under the first order and that sizes allow, what
+    the second and the third order leave of them, and how many are similar. It makes all pairs, so it is no part of the join.
     """
-    n = len(sets)
-    sizes = np.array([s[1] for s in sets])
-    flat = np.concatenate([s[2] for s in sets])
-    first = np.concatenate(([0], np.cumsum([len(s[2]) for s in sets])))
-    known, local = np.unique(flat, return_inverse=True)
-    holders = []
-    for order in range(len(_SALTS)):
-        prefixes = [np.searchsorted(known, _prefix(s[1], s[2], s[3], percent, order)) for s in sets]
-        ids = np.concatenate(prefixes)
-        who = np.repeat(np.arange(n), [len(p) for p in prefixes])
-        by = np.argsort(ids, kind="stable")
-        holders.append((prefixes, who[by], np.searchsorted(ids[by], np.arange(len(known) + 1))))
-    forest, marked = Forest(n), np.zeros(len(known), bool)
-    for i in range(n):
-        near = None
-        for prefixes, who, start in holders:
-            met = np.zeros(n, bool)
-            for t in prefixes[i].tolist():
-                met[who[start[t] : start[t + 1]]] = True
-            near = met if near is None else near & met
-            if not near[i + 1 :].any():
-                break
-        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        near &= (forest.root != forest.root[i]) & (100 * small >= percent * large)
-        near[: i + 1] = False
-        if side is not None:
-            near &= side != side[i]
-        others = np.flatnonzero(near)
-        if not len(others):
-            continue
-        marked[local[first[i] : first[i + 1]]] = True
-        lengths = first[others + 1] - first[others]
-        ends = np.cumsum(lengths)
-        where = np.arange(ends[-1]) + np.repeat(first[others] - (ends - lengths), lengths)
-        shared = np.add.reduceat(np.append(marked[local[where]], False).astype(np.int64), np.minimum(ends - lengths, len(where)))
-        shared[lengths == 0] = 0
-        marked[local[first[i] : first[i + 1]]] = False
-        union = sizes[i] + sizes[others] - shared
-        similar = others[100 * shared >= percent * union]
-        if len(similar):
-            forest.join(i, similar)
-    return [(sets[i][0], sets[forest.root[i]][0]) for i in range(n) if forest.root[i] != i]
-
-
-def similar_links(nodes: DataFrame, parts: int, percent: int, group_size: int, label: str = "links") -> DataFrame:
-    """(a, b): links that connect the nodes of ``nodes`` (node, n_shingles, shared) as similar pairs do."""
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, size, shingles, classes in _sets(batch, parts):
-                own = _prefix(size, shingles, classes, percent).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], ["shingle", "node"])
-
-    # A shingle's smallest holder stands for it; a hot shingle costs one row for each holder, not for each pair.
-    met = nodes.mapInArrow(prefixes, "shingle long, node long")
-    least = met.groupBy("shingle").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = met.join(least, "shingle").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-    groups = written(components(stars, label="candidates"), "groups")
-    # Blocks of a group: the whole of it, or pairs of its parts where it is large.
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(group_size)).cast("int").alias("cuts"))
-    placed = groups.join(sizes, "root").withColumn("cuts", F.when(F.col("cuts") <= 2, 1).otherwise(F.col("cuts"))).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("node", "cut", F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("block"), (F.col("cut") != F.col("other")).alias("mixed"))
-    paired = written(paired, "blocks")
-    rows = nodes.join(F.broadcast(paired) if paired.count() <= MOST_SENT else paired, "node").repartition("block").sortWithinPartitions("block", "node")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-            batch = pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
-            side = np.array(batch.column("cut").to_pylist()) if batch.column("mixed")[0].as_py() else None
-            links = links_of_group(_sets(batch, parts), percent, side)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = _runs(blocks)
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                new = held and held[-1].column("block")[-1].as_py() != blocks[s]
-                if new and (n + e - s > group_size // 2 or batch.column("mixed")[s].as_py() or held[-1].column("mixed")[-1].as_py()):
-                    yield out(held)
-                    held, n = [], 0
-                held.append(batch.slice(s, e - s))
-                n += e - s
-        if held:
-            yield out(held)
-
-    return written(rows.mapInArrow(verify, "a long, b long"), label)
-
-
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, group_size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    _, _, nodes = _prepared(docs, words, percent, id_col, text_col)
+    rows = nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"))
+    other = rows.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    pairs = rows.join(other, "shingle").where((F.col("node") < F.col("b")) & _sizes_allow(F.col("size"), F.col("size_b"), percent))
+    pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct(), "candidates")
+    n = pairs.count()
+    met = _both(pairs, n, nodes, ("n_shingles", "least_met", "n_held", "shingles", *_ORDERS[1:])).withColumns({"second": _meets("order1", percent), "third": _meets("order2", percent), "similar": _similar(percent)})
+    counts = met.agg(F.count_if("second").alias("second"), F.count_if(F.col("second") & F.col("third")).alias("both"), F.count_if("similar").alias("similar"), F.count_if(F.col("similar") & ~(F.col("second") & F.col("third"))).alias("lost")).first()
+    return {"first order": n, "second order": counts["second"], "third order": counts["both"], "similar": counts["similar"], "lost": counts["lost"]}
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose shingle sets have 100 * intersection >= percent * union are linked; one row a document:
     the id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Words are split at ASCII blanks after A-Z are lower-cased. Null and empty texts and texts without words have
     no shingle and no link. Repeated rows and equal sets are one node and linked. A null id counts for no
-    component_id: its row has the smallest other id of its component, or null. No other column is read.
-    Needs an integer id. Sets are compared by 64-bit hashes of words, of which 40 bits beside the part's
+    component_id: its row has the smallest other id of its component, or null. Empty tables give no row. No other
+    column is read. Needs an integer id. Sets are compared by 64-bit hashes of words, of which 40 bits beside the part's
     number go through the exchange.
     """
-    sized = written(set_sizes(docs, words, id_col, text_col), "sets")
-    sizes = sized.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min(id_col).alias("_least"))
-    parts = max(16, partitions(docs.sparkSession))
-    back = shared_shingles(docs, parts, words, text_col)
-    merged = back.groupBy("node").agg(F.sum(F.octet_length("shared.classes")).alias("_shared"), F.collect_list("shared").alias("shared"))
-    live = merged.join(sizes.select("node", "n_shingles"), "node").where(f"n_shingles - _shared < n_shingles - ceil({percent} * n_shingles / 100) + 1")
-    links = similar_links(written(live.select("node", "n_shingles", "shared"), "nodes"), parts, percent, group_size)
-    roots = written(components(links, label="similar"), "roots")
+    sized, sizes, nodes = _prepared(docs, words, percent, id_col, text_col)
+    links = similar_links(nodes, percent)
+    linked = links[0]
+    for more in links[1:]:
+        linked = linked.union(more)
+    roots = written(components(linked, label="similar"), "roots")
+    drop(nodes, *links)
     classes = sizes.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("_least").alias("_lowest"))
     by_node = classes.join(lowest, "root").select("node", "_lowest")
@@ -378,9 +404,10 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 75, id_col
     """``docs`` with one row of each component, that with the smallest id; of repeated rows of an id one stays.
 
     Texts without words are linked with nothing and stay. Rows with a null id cannot be named, so they are not
-    compared and stay.
+    compared and stay. The caller's columns travel in a struct, so they may have any names.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    first = jaccard_components(named, words, percent, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = named.join(first, id_col, "left_semi").withColumn("_text_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
+    first = jaccard_components(named, words, percent, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    kept = rows.join(first, F.col("id") == F.col("first"), "left_semi").dropDuplicates(["id", "key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return kept.union(docs.where(F.col(id_col).isNull()))

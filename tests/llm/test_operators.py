@@ -211,14 +211,42 @@ def near_copies(n, words=60, seed=1):
     return out + [(1000 + i, shared_passage + " " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(120)] + [(5000, ""), (5001, None), (5002, "a b"), (5003, "A B")]
 
 
-@pytest.mark.parametrize("group_size", [4096, 16])
-def test_components_equal_all_pairs(spark, group_size):
-    pairs = near_copies(150)
+@pytest.mark.parametrize("few, words", [(4, 60), (0, 60), (0, 12)])
+def test_components_equal_all_pairs(spark, monkeypatch, few, words):
+    """With representatives tried as long as they help (few = 0), and with pairs alone."""
+    monkeypatch.setattr(shingle_join, "FEW_MEETINGS", few)
+    pairs = near_copies(150, words)
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(df, group_size=group_size).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect()}
     assert got == brute_components(pairs)
 
 
+@given(st.integers(1, 40), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32), st.sampled_from([60, 75, 90]))
+@settings(max_examples=300, deadline=None)
+def test_similar_sets_meet_under_every_order(both, left, right, seed, percent):
+    """The first prefixes share a shingle, the longer ones as many as the smaller set asks; own shingles come first."""
+    rng = np.random.default_rng(seed)
+    shingles = np.unique(rng.integers(0, 2**63, both + left + right).astype(np.uint64))
+    a, b = set(shingles[: both + left].tolist()), set([*shingles[:both].tolist(), *shingles[both + left :].tolist()])
+    if 100 * len(a & b) < percent * len(a | b):
+        return
+    classes = {t: int(c) for t, c in zip(shingles.tolist(), rng.integers(2, 6, len(shingles)), strict=True)}
+    held = []
+    for s in (a, b):
+        shared = np.array(sorted(t for t in s if t in a & b or rng.random() < 0.5), np.uint64)
+        held.append((len(s), shared, shingle_join.prefixes(len(s), shared, np.array([classes[t] for t in shared.tolist()], np.uint8), percent)))
+    least = min(shingle_join.least_met(n, percent) for n, _, _ in held)
+    must = -(-percent * (len(a) + len(b)) // (100 + percent))
+    for order, want in enumerate((1, least, least)):
+        cut = [p[order][: max(0, len(shared) - must + want)] for _, shared, p in held]
+        assert len(np.intersect1d(*cut)) >= want
+
+
+def test_each_filter_leaves_fewer_pairs_and_loses_none(spark):
+    counts = shingle_join.filter_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert counts["lost"] == 0 and counts["first order"] > counts["second order"] >= counts["third order"] >= counts["similar"] > 0
+
+
 def test_components_of_the_documents(spark):
     d = documents(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op2_ngram_jaccard_join"](spark, SF).collect()}
@@ -257,6 +285,8 @@ def test_odd_rows_join(spark):
     got = rows(shingle_join.jaccard_components(odd(spark)).where("doc_id is null or doc_id in (1, 2, 3, 4, 5)"))
     assert got == sorted([(None, 5, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 4, 4), (4, 4, 4), (5, 4, 4)], key=repr)
     assert shingle_join.jaccard_components(odd(spark).limit(0)).count() == 0
+    clash = odd(spark).withColumns({"row": F.lit(1), "id": F.lit(2), "key": F.lit(3), "_text_key": F.lit(4), "first": F.lit(5)})
+    assert {tuple(r)[-5:] for r in shingle_join.one_of_each_group(clash).collect()} == {(1, 2, 3, 4, 5)}
     kept = shingle_join.one_of_each_group(odd(spark))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
 
