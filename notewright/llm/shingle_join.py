@@ -7,9 +7,10 @@
 3. Candidates share a shingle of their prefixes under the first order, rare shingles first: a join on the shingle.
    The candidates are then joined with the nodes' prefixes under two more orders, which a hash decides and not
    frequency; only pairs that share enough there under both are joined with the sets and counted.
-4. Pairs inside what is known to be one component are never made. While many holders of one shingle lie
-   in different components, each compares itself with one representative of the largest; what links joins that
-   component. Then every holder outside the largest component of a shingle meets all holders in other components.
+4. Pairs inside what is known to be one component are never made. A shingle of at most CROWD holders makes fewer
+   than CROWD pairs for each of them. Holders of crowded shingles first compare themselves with a representative of the
+   largest component there, as long as that connects many; what then is still in another component than most of
+   its candidates meets them in tiles, which test all three orders and count without making a row for a pair.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,13 @@ HOT_IN_BLOCK, HOT = 64, 255
 #: Text that is hashed at once, and shingles that are dealt out at once.
 PIECE_BYTES, BLOCK_SHINGLES = 1 << 20, 2_800_000
 #: Shingles of a part, on average, which one task sorts; nodes whose sets are unpacked at once.
-PART_SHINGLES, NODES_AT_ONCE = 1_000_000, 64
+PART_SHINGLES, NODES_AT_ONCE = 3_000_000, 64
 #: Most pairs (two numbers each) to send to all tasks; more are joined by a shuffle.
-MOST_SENT = 500_000
-#: A representative is tried while holders would meet more than this many times the rows of prefixes, in so many rounds at
-#: most and only while a round spares a fifth of the meetings. Neither number changes what is found.
+MOST_SENT = 200_000
+#: Holders up to which a shingle makes pairs; nodes and shingles of one side of a tile.
+CROWD, TILE_NODES, TILE_SHINGLES = 32, 512, 1_000_000
+#: A representative is tried while holders of crowded shingles would meet more than this many times the rows of prefixes, in
+#: so many rounds at most and only while a round spares a fifth of the meetings. None of these changes what is found.
 FEW_MEETINGS, MOST_ROUNDS = 16, 8
 _ROLES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -293,14 +297,21 @@ def _both(pairs: DataFrame, n: int, nodes: DataFrame, columns: tuple[str, ...])
 def _meets(order: str, percent: int) -> Column:
     """Whether the prefixes of a pair share enough shingles under an order. Both sizes say how many the sets must share, so
     the prefixes can be shorter than those kept for any partner: size - that + least_met, less the node's own shingles."""
-    must = F.ceil(F.lit(percent) * (F.col("of_a.n_shingles") + F.col("of_b.n_shingles")) / F.lit(100 + percent))
+    must = _must_share(F.col("of_a.n_shingles"), F.col("of_b.n_shingles"), percent)
     least = F.least("of_a.least_met", "of_b.least_met")
     first = lambda x: F.slice(f"of_{x}.{order}", F.lit(1), F.greatest(F.col(f"of_{x}.n_held") - must + least, F.lit(0)).cast("int"))
     return F.size(F.array_intersect(first("a"), first("b"))) >= least
 
 
-def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def _must_share(a: Column, b: Column, percent: int) -> Column:
+    """How many shingles similar sets of these sizes share at least."""
+    return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
+
+
+def _allowed(x: str, y: str, percent: int) -> Column:
+    """Whether sizes, and what other nodes hold of both, let two nodes be similar; columns size_x, held_x and so on."""
+    a, b = F.col(f"size_{x}"), F.col(f"size_{y}")
+    return F.least(f"held_{x}", f"held_{y}", a, b) >= _must_share(a, b, percent)
 
 
 def _similar(percent: int) -> Column:
@@ -311,28 +322,114 @@ def _similar(percent: int) -> Column:
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs (a written table of candidates under the first order) that pass the other orders and are similar."""
     heads = _both(pairs, pairs.count(), nodes, ("n_shingles", "least_met", "n_held", *_ORDERS[1:]))
-    allowed = _sizes_allow(F.col("of_a.n_shingles"), F.col("of_b.n_shingles"), percent)
-    left = written(heads.where(allowed & _meets("order1", percent) & _meets("order2", percent)).select("a", "b"), "filtered")
+    left = written(heads.where(_meets("order1", percent) & _meets("order2", percent)).select("a", "b"), "filtered")
     out = written(_both(left, left.count(), nodes, ("n_shingles", "shingles")).where(_similar(percent)).select("a", "b"), "links")
     drop(left)
     return out
 
 
+def links_of_tile(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links (node, smallest node) that connect what similar pairs of a tile connect: pairs of two labels, and of two sides
+    where there are two. A pair is counted when the prefixes meet under every order, sizes and what other nodes hold
+    allow it, and nothing connects it yet."""
+    n = table.num_rows
+    ids, label, side, size, held = (table.column(c).to_numpy() for c in ("node", "label", "side", "n_shingles", "n_held"))
+    two_sides = side.min() != side.max()
+    lists = lambda c: (table.column(c).combine_chunks().flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(table.column(c)).to_numpy()))))
+    flat, first = lists("shingles")
+    known, flat = np.unique(flat, return_inverse=True)
+    # Prefixes in which one shingle must meet, as the number of a shingle in ``known`` by its holders.
+    holders = []
+    for order in _ORDERS:
+        values, start = lists(order)
+        length = np.minimum(np.diff(start), np.maximum(0, held - -(-percent * size // 100) + 1))
+        at = np.repeat(start[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        shingle, who = np.searchsorted(known, values[at]), np.repeat(np.arange(n), length)
+        by = np.argsort(shingle, kind="stable")
+        holders.append((shingle, np.concatenate(([0], np.cumsum(length))), who[by], np.searchsorted(shingle[by], np.arange(len(known) + 1))))
+    root, marked = np.unique(label, return_inverse=True)[1], np.zeros(len(known) + 1, bool)
+    links = []
+    for i in range(n - 1):
+        near = root != root[i]
+        near[: i + 1] = False
+        if two_sides:
+            near &= side != side[i]
+        must = -(-percent * (size[i] + size) // (100 + percent))
+        near &= (np.minimum(held, size) >= must) & (min(held[i], size[i]) >= must)
+        for shingle, start, who, begin in holders:
+            if not near.any():
+                break
+            met = np.zeros(n, bool)
+            for t in shingle[start[i] : start[i + 1]].tolist():
+                met[who[begin[t] : begin[t + 1]]] = True
+            near &= met
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        marked[flat[first[i] : first[i + 1]]] = True
+        lengths = first[others + 1] - first[others]
+        ends = np.cumsum(lengths)
+        shared = np.add.reduceat(marked[flat[np.arange(ends[-1]) + np.repeat(first[others] - (ends - lengths), lengths)]].astype(np.int64), ends - lengths)
+        marked[flat[first[i] : first[i + 1]]] = False
+        for j in others[100 * shared >= percent * (size[i] + size[others] - shared)].tolist():
+            if root[j] != root[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def crowded_links(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the holders of crowded shingles (shingle, node, label, main) that lie in different components.
+
+    Holders of one shingle, and of what they hold besides, are a group. Its nodes outside the group's largest
+    component meet each other and those in it, in tiles of two blocks; no tile holds two blocks of that component.
+    """
+    stars = met.join(met.groupBy("shingle").agg(F.min("node").alias("least")), "shingle").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    groups = components(stars, label="crowds")
+    held = nodes.select(F.col("node").alias("_n"), "n_held")
+    members = written(groups.join(met.select("node", "label").distinct(), "node").join(held, F.col("node") == F.col("_n")).drop("_n"), "crowds")
+    labels = members.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_held").alias("held"))
+    blocks = lambda n, h: F.ceil(F.greatest(n / TILE_NODES, h / TILE_SHINGLES)).cast("int")
+    largest = labels.groupBy("root").agg(F.max_by(F.struct("label", "n", "held"), F.struct("n", F.bitwise_not("label"))).alias("main"), F.sum("n").alias("n"), F.sum("held").alias("held"))
+    cuts = largest.where(F.col("n") > F.col("main.n")).select(F.col("root").alias("_r"), F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.held")).alias("ins"), blocks(F.col("n") - F.col("main.n"), F.col("held") - F.col("main.held")).alias("outs"))
+    placed = members.join(cuts, F.col("root") == F.col("_r")).withColumn("out", (F.col("label") != F.col("main")).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("out") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    tile = lambda a_out, a, b: F.struct(F.lit(a_out).alias("out"), a.alias("a"), b.alias("b"))
+    with_outs = F.transform(upto("outs"), lambda k: F.when(F.col("out") == 1, tile(1, F.least(k, F.col("own")), F.greatest(k, F.col("own")))).otherwise(tile(0, F.col("own"), k)))
+    with_ins = F.when(F.col("out") == 1, F.transform(upto("ins"), lambda k: tile(0, k, F.col("own"))))
+    sent = placed.withColumn("own", own).select("root", "node", "label", "out", "own", F.explode(F.concat(with_outs, F.coalesce(with_ins, F.array().cast("array<struct<out:int,a:int,b:int>>")))).alias("t"))
+    sent = sent.select("node", "label", F.when(F.col("t.out") == 1, F.col("own")).otherwise(-F.col("out")).alias("side"), F.xxhash64("root", "t").alias("tile"))
+
+    def work(table: pa.Table) -> pa.Table:
+        links = links_of_tile(table, percent)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    rows = sent.join(nodes.select("node", "n_shingles", "n_held", "shingles", *_ORDERS), "node")
+    out = written(rows.groupBy("tile").applyInArrow(work, "a long, b long"), "links")
+    drop(members)
+    return out
+
+
 def similar_links(nodes: DataFrame, percent: int) -> list[DataFrame]:
     """Tables of (a, b): links that connect the nodes of ``node_sets`` as all similar pairs do."""
-    rows = written(nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"), F.col("node").alias("label")), "prefixes")
+    rows = written(nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"), F.col("n_held").alias("held"), F.col("node").alias("label")), "prefixes")
     few, before, found = FEW_MEETINGS * rows.count(), float("inf"), []
     for number in range(MOST_ROUNDS):
-        # Labels of a shingle's holders, the one with most holders, and a representative of it.
-        labels = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("rep"))
-        mains = labels.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("holders"), F.max_by(F.struct("label", "rep"), F.struct("n", F.bitwise_not("label"))).alias("main")).where("labels > 1")
-        met = written(rows.join(mains, "shingle").select("shingle", "node", "size", "label", "holders", F.col("main.label").alias("main"), F.col("main.rep").alias("rep")), "open")
+        # Of a shingle: its holders, the label most of them have, and one of these as representative.
+        if number == 0:  # each node is its own label
+            mains = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("main"), F.min("node").alias("rep")).where("holders > 1")
+        else:
+            labels = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("rep"))
+            mains = labels.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("holders"), F.max_by(F.struct("label", "rep"), F.struct("n", F.bitwise_not("label"))).alias("m")).where("labels > 1").select("shingle", "holders", F.col("m.label").alias("main"), F.col("m.rep").alias("rep"))
+        met = written(rows.join(mains, "shingle"), "open")
         drop(rows)
-        meetings = met.where("label <> main").agg(F.sum("holders")).first()[0] or 0
+        crowded = met.where(f"holders > {CROWD}")
+        meetings = crowded.where("label <> main").agg(F.sum("holders")).first()[0] or 0
         if meetings <= few or meetings > 0.8 * before or number == MOST_ROUNDS - 1:
             break
         before = meetings
-        tried = met.where("label <> main").groupBy("node", "label").agg(F.min_by(F.struct("rep", "main"), F.xxhash64("rep", F.lit(number))).alias("r"))
+        tried = crowded.where("label <> main").groupBy("node", "label").agg(F.min_by(F.struct("rep", "main"), F.xxhash64("rep", F.lit(number))).alias("r"))
         tried = written(tried.select(F.least("node", "r.rep").alias("a"), F.greatest("node", "r.rep").alias("b"), "label", F.col("r.main").alias("main")), "tried")
         links = verified(tried.select("a", "b"), nodes, percent)
         found.append(links)
@@ -343,13 +440,16 @@ def similar_links(nodes: DataFrame, percent: int) -> list[DataFrame]:
         for _ in range(2):
             near = edges.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
         near = written(near.select(F.col("u").alias("label"), "m"), "labels")
-        rows = written(met.join(near, "label", "left").select("shingle", "node", "size", F.coalesce("m", "label").alias("label")), "prefixes")
+        rows = written(met.join(near, "label", "left").select("shingle", "node", "size", "held", F.coalesce("m", "label").alias("label")), "prefixes")
         drop(met, tried, edges, near)
-    x = met.where("label <> main").select("shingle", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"))
-    y = met.select("shingle", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("inside"))
-    pairs = x.join(y, "shingle").where((F.col("label_x") != F.col("label_y")) & (F.col("inside") | (F.col("x") < F.col("y"))) & _sizes_allow(F.col("size_x"), F.col("size_y"), percent))
-    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    few_holders = met.where(f"holders <= {CROWD}")
+    side = lambda x: few_holders.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "held", "label")], (F.col("label") == F.col("main")).alias(f"inside_{x}"))
+    apart = (F.col("label_x") != F.col("label_y")) & (F.col("inside_y") | (F.col("node_x") < F.col("node_y")))
+    pairs = side("x").where("not inside_x").join(side("y"), "shingle").where(apart & _allowed("x", "y", percent))
+    pairs = written(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "candidates")
     found.append(verified(pairs, nodes, percent))
+    if meetings:
+        found.append(crowded_links(crowded, nodes, percent))
     drop(met, pairs)
     return found
 
@@ -363,14 +463,13 @@ def _prepared(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
 
 
 def filter_counts(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
-    """A report: pairs of different sets that share a prefix shingle under the first order and that sizes allow, what
+    """A report: pairs of different sets that share a prefix shingle under the first order and whose sizes allow it, what
     the second and the third order leave of them, and how many are similar. It makes all pairs, so it is no part of the join.
     """
     _, _, nodes = _prepared(docs, words, percent, id_col, text_col)
-    rows = nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"))
-    other = rows.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"))
-    pairs = rows.join(other, "shingle").where((F.col("node") < F.col("b")) & _sizes_allow(F.col("size"), F.col("size_b"), percent))
-    pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct(), "candidates")
+    side = lambda x: nodes.select(F.explode("order0").alias("shingle"), F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"))
+    sizes_allow = F.least("size_a", "size_b") >= _must_share(F.col("size_a"), F.col("size_b"), percent)
+    pairs = written(side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & sizes_allow).select("a", "b").distinct(), "candidates")
     n = pairs.count()
     met = _both(pairs, n, nodes, ("n_shingles", "least_met", "n_held", "shingles", *_ORDERS[1:])).withColumns({"second": _meets("order1", percent), "third": _meets("order2", percent), "similar": _similar(percent)})
     counts = met.agg(F.count_if("second").alias("second"), F.count_if(F.col("second") & F.col("third")).alias("both"), F.count_if("similar").alias("similar"), F.count_if(F.col("similar") & ~(F.col("second") & F.col("third"))).alias("lost")).first()
