@@ -36,9 +36,9 @@ PART_SHINGLES, NODES_AT_ONCE = 3_000_000, 64
 MOST_SENT = 200_000
 #: Holders up to which a shingle makes pairs; nodes and shingles of one side of a tile.
 CROWD, TILE_NODES, TILE_SHINGLES = 32, 512, 1_000_000
-#: A representative is tried while holders of crowded shingles would meet more than this many times the rows of prefixes, in
-#: so many rounds at most and only while a round spares a fifth of the meetings. None of these changes what is found.
-FEW_MEETINGS, MOST_ROUNDS = 16, 8
+#: A representative is tried while nodes outside would meet more than this many others on average, in so many rounds at most
+#: and only while a round spares a fifth of the meetings. None of these changes what is found.
+FEW_MEETINGS, MOST_ROUNDS = 20_000, 8
 _ROLES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -379,13 +379,12 @@ def links_of_tile(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 
 def crowded_links(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the holders of crowded shingles (shingle, node, label, main) that lie in different components.
+    """(a, b): links between the holders of crowded shingles (shingle, node, label, main, rep) that lie in different components.
 
     Holders of one shingle, and of what they hold besides, are a group. Its nodes outside the group's largest
     component meet each other and those in it, in tiles of two blocks; no tile holds two blocks of that component.
     """
-    stars = met.join(met.groupBy("shingle").agg(F.min("node").alias("least")), "shingle").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-    groups = components(stars, label="crowds")
+    groups = components(met.select(F.col("node").alias("a"), F.col("rep").alias("b")), label="crowds")
     held = nodes.select(F.col("node").alias("_n"), "n_held")
     members = written(groups.join(met.select("node", "label").distinct(), "node").join(held, F.col("node") == F.col("_n")).drop("_n"), "crowds")
     labels = members.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_held").alias("held"))
@@ -414,7 +413,7 @@ def crowded_links(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def similar_links(nodes: DataFrame, percent: int) -> list[DataFrame]:
     """Tables of (a, b): links that connect the nodes of ``node_sets`` as all similar pairs do."""
     rows = written(nodes.select(F.explode("order0").alias("shingle"), "node", F.col("n_shingles").alias("size"), F.col("n_held").alias("held"), F.col("node").alias("label")), "prefixes")
-    few, before, found = FEW_MEETINGS * rows.count(), float("inf"), []
+    before, found = float("inf"), []
     for number in range(MOST_ROUNDS):
         # Of a shingle: its holders, the label most of them have, and one of these as representative.
         if number == 0:  # each node is its own label
@@ -425,8 +424,9 @@ def similar_links(nodes: DataFrame, percent: int) -> list[DataFrame]:
         met = written(rows.join(mains, "shingle"), "open")
         drop(rows)
         crowded = met.where(f"holders > {CROWD}")
-        meetings = crowded.where("label <> main").agg(F.sum("holders")).first()[0] or 0
-        if meetings <= few or meetings > 0.8 * before or number == MOST_ROUNDS - 1:
+        outside = crowded.where("label <> main").groupBy("node").agg(F.max("holders").alias("n"))
+        meetings, n_outside = outside.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        if meetings <= FEW_MEETINGS * n_outside or meetings > 0.8 * before or number == MOST_ROUNDS - 1:
             break
         before = meetings
         tried = crowded.where("label <> main").groupBy("node", "label").agg(F.min_by(F.struct("rep", "main"), F.xxhash64("rep", F.lit(number))).alias("r"))

@@ -211,7 +211,7 @@ def near_copies(n, words=60, seed=1):
     return out + [(1000 + i, shared_passage + " " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(120)] + [(5000, ""), (5001, None), (5002, "a b"), (5003, "A B")]
 
 
-@pytest.mark.parametrize("few, crowd, tile, words", [(16, 32, 512, 60), (0, 4, 16, 60), (0, 0, 16, 12), (10**9, 0, 40, 60), (0, 10**9, 512, 60)])
+@pytest.mark.parametrize("few, crowd, tile, words", [(20000, 32, 512, 60), (0, 4, 16, 60), (0, 0, 16, 12), (20000, 0, 40, 60), (20000, 10**9, 512, 60)])
 def test_components_equal_all_pairs(spark, monkeypatch, few, crowd, tile, words):
     """As it comes; with representatives tried as long as they help; in small tiles; in tiles alone; by pairs alone."""
     for name, n in (("FEW_MEETINGS", few), ("CROWD", crowd), ("TILE_NODES", tile)):
