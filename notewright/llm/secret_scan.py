@@ -2,8 +2,10 @@
 
 A text is scanned as it stands; then its URL-encoded lines, lines with Unicode escapes, base64 runs (also
 those wrapped over lines) and compressed base64 runs are unwrapped into layers, each scanned and unwrapped in
-turn until nothing new appears. Bytes that are no text are read past, and ASCII in UTF-16 is read. Every character of a layer keeps the place in the original text that it comes from, so a secret
-found any number of layers down is reported by its span there.
+turn until nothing new appears. A base64 run is read from each of its first four characters, as what stands before
+it may belong to the same alphabet, and compressed data are looked for inside it. Bytes that are no text are read
+past, and ASCII in UTF-16 is read. A layer knows where its characters lie in the layer above, so a secret found any
+number of layers down is reported by its span in the original text.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from notewright.llm.shared import small_batches
+from notewright.llm.shared import pieces, small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -38,32 +41,28 @@ ODD = re.compile("[\udc80-\udcff]")
 CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){8,}[\t\n\r -~]?|(?:\x00[\t\n\r -~]){8,}")
 RUN_BYTES = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
-#: A layer that unpacks to more is counted in n_oversized and read in pieces, each with the start of the next.
+#: How the base64 of gzip, bzip2 and xz data begins, wherever it stands; that of zlib data is looked for after a mark.
+PACKED = re.compile(r"H4sI|Qlpo|/Td6WFo|_Td6WFo|(?<=[/_+-])[eaCGK][0-9A-Za-z+/_-]{3}")
+#: A layer that unpacks to more is read in pieces, each with the start of the next.
 LAYER_BYTES, PIECE_BYTES, OVERLAP_BYTES, STEP_BYTES = 64 << 20, 8 << 20, 1 << 20, 1 << 20
+#: Text of one batch.
+BATCH_BYTES = 1 << 20
 
 
 class Layer(NamedTuple):
-    """A decoded text; character i comes from starts[i]:ends[i] of the original. None: it is the original.
-
-    All of a compressed layer comes from one span, so it and what it wraps hold two numbers, not two a character.
-    """
+    """A text, the layer it is wrapped in (None: it is the original), and the span there of its characters start:end."""
 
     text: str
-    starts: list[int] | int | None
-    ends: list[int] | int | None
+    above: Layer | None = None
+    up: Callable[[int, int], tuple[int, int]] | None = None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        if isinstance(self.starts, int):
-            return self.starts, self.ends
-        return min(self.starts[start:end]), max(self.ends[start:end])
-
-    def place(self) -> tuple[int, int]:
-        """Where its first character begins and its last one ends."""
-        if isinstance(self.starts, int):
-            return self.starts, self.ends
-        return (self.starts[0], self.ends[-1]) if self.starts else (0, 0)
+        """The span in the original."""
+        layer = self
+        while layer.above is not None:
+            start, end = layer.up(start, end)
+            layer = layer.above
+        return start, end
 
 
 def found(text: str) -> Iterator[tuple[str, int, int]]:
@@ -78,36 +77,49 @@ def found(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def _by_characters(layer: Layer, at: int, parts: list[tuple[str, int, int]]) -> Layer:
-    """A layer from characters that each stand for start:end (relative to ``at``) of the layer above."""
-    if isinstance(layer.starts, int):
-        return Layer("".join(c for c, _, _ in parts), layer.starts, layer.ends)
-    spans = [layer.span(at + s, at + e) for _, s, e in parts]
-    return Layer("".join(c for c, _, _ in parts), [s for s, _ in spans], [e for _, e in spans])
+def _widths(text: str) -> np.ndarray:
+    """How many bytes of UTF-8 each character took; a lone surrogate stands for one byte that was no UTF-8."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((c < 0x80) | ((c >= 0xDC80) & (c <= 0xDCFF)), 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))).astype(np.int32)
+
+
+def _between(cuts: np.ndarray, at: int) -> Callable[[int, int], tuple[int, int]]:
+    """Spans of characters that follow one another: character i comes from cuts[i]:cuts[i + 1], from ``at`` on."""
+    return lambda start, end: (at + int(cuts[start]), at + int(cuts[end]))
 
 
-def _percent(line: str) -> list[tuple[str, int, int]]:
-    """Runs of %XX decoded as UTF-8; bytes that are none become U+FFFD."""
-    parts, at = [], 0
-    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", line):
-        parts += [(line[i], i, i + 1) for i in range(at, m.start())]
-        raw, at = bytes.fromhex(m[0].replace("%", "")), m.end()
-        place = 0
-        for c in raw.decode("utf-8", "surrogateescape"):
-            width = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-            parts.append(("\ufffd" if width == 1 and ord(c) > 127 else c, m.start() + 3 * place, m.start() + 3 * (place + width)))
-            place += width
-    return parts + [(line[i], i, i + 1) for i in range(at, len(line))]
+_HEX = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(b"0123456789abcdef"):
+    _HEX[[_c, ord(chr(_c).upper())]] = _i
 
 
-def _escapes(line: str) -> list[tuple[str, int, int]]:
-    parts, at = [], 0
-    for m in ESCAPE.finditer(line):
+def _percent(line: str) -> tuple[str, np.ndarray]:
+    """The line with %XX decoded as UTF-8, and the place in it where each character begins, and its end. Bytes that are no UTF-8
+    become U+FFFD."""
+    raw = np.frombuffer(line.encode("utf-8", "surrogatepass"), np.uint8)
+    place = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
+    value = _HEX[raw]
+    at = np.flatnonzero((raw[:-2] == 0x25) & (value[1:-1] < 16) & (value[2:] < 16))
+    out, kept = raw.copy(), np.ones(len(raw), bool)
+    out[at] = value[at + 1] * 16 + value[at + 2]
+    kept[at + 1] = kept[at + 2] = False
+    text = out[kept].tobytes().decode("utf-8", "surrogateescape")
+    begins = np.cumsum(_widths(text), dtype=np.int32)
+    return ODD.sub("\ufffd", text), np.concatenate(([0], np.append(place[kept], len(line))[begins]))
+
+
+def _escapes(line: str) -> tuple[str, np.ndarray]:
+    """The line with its escapes decoded, and the place where each character begins, and the line's end."""
+
+    def decoded(m: re.Match[str]) -> str:
         code = int(next(g for g in m.groups() if g is not None), 16)
-        parts += [(line[i], i, i + 1) for i in range(at, m.start())]
-        parts.append((chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", m.start(), m.end()))
-        at = m.end()
-    return parts + [(line[i], i, i + 1) for i in range(at, len(line))]
+        return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd"
+
+    spans = np.array([m.span() for m in ESCAPE.finditer(line)], np.int64).reshape(-1, 2)
+    inner = np.zeros(len(line) + 1, np.int32)
+    inner[spans[:, 0] + 1] += 1
+    inner[spans[:, 1]] -= 1
+    return ESCAPE.sub(decoded, line), np.append(np.flatnonzero(np.cumsum(inner)[:-1] == 0), len(line))
 
 
 def _decompressor(data: bytes):  # noqa: ANN202
@@ -119,7 +131,7 @@ def _decompressor(data: bytes):  # noqa: ANN202
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=256 << 20)
+        return lzma.LZMADecompressor(memlimit=1 << 30)
     return None
 
 
@@ -159,13 +171,13 @@ def _marked(text: str) -> bool:
     return any(sought.search(text) for sought in (PERCENT, ESCAPE, BASE64)) or next(found(text), None) is not None
 
 
-def _readings(data: bytes) -> Iterator[tuple[str, int, bool]]:
+def _readings(data: bytes, plain_counts: bool = True) -> Iterator[tuple[str, int, bool]]:
     """Texts in bytes, the byte at which each begins, and whether a character takes two bytes (ASCII in UTF-16).
 
     Bytes that are no UTF-8 come as lone surrogates. Bytes that are not plain text count only if what is read is marked.
     """
     text = data.decode("utf-8", "surrogateescape")
-    plain = not CONTROL.search(text) and not ODD.search(text)
+    plain = plain_counts and not CONTROL.search(text) and not ODD.search(text)
     if text and (plain or _marked(text)):
         yield text, 0, False
     if not plain:
@@ -184,15 +196,14 @@ def _data(run: str) -> bytes | None:
         return None
 
 
-def _opened(data: bytes) -> Iterator[str | None]:
-    """The texts in compressed bytes, however often they are compressed; None stands for a layer read in pieces."""
+def _opened(data: bytes) -> Iterator[str]:
+    """The texts in compressed bytes, however often they are compressed."""
     work, met = [data], set()
     while work:
         stream, out = _unpacking(iter((work.pop(),))), bytearray()
         for piece in stream:
             out += piece
             if len(out) > LAYER_BYTES:
-                yield None
                 yield from _pieces(itertools.chain((bytes(out),), stream))
                 break
         else:
@@ -253,13 +264,13 @@ def _in_step(data: bytearray, cut: int) -> int:
     return cut
 
 
-def _runs(text: str) -> Iterator[tuple[int, int, list[int] | None]]:
-    """Base64 runs start:end of a text, each line by itself and joined over breaks, with the places of a joined one's characters.
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray | int]]:
+    """Base64 runs of a text, each line by itself and joined over breaks, and where the run or each of its characters stands.
 
     A line before the wrapped lines may be joined to them out of step, so lines of one width are taken as a run too.
     """
     for m in BASE64.finditer(text):
-        yield m.start(), m.end(), None
+        yield m[0], m.start()
     for m in WRAPPED.finditer(text):
         lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\s]+", m[0])]
         cuts, first = {(0, len(lines))}, 0
@@ -272,58 +283,70 @@ def _runs(text: str) -> Iterator[tuple[int, int, list[int] | None]]:
                     cuts.add((first, last))
                 first = i
         for i, j in sorted(cuts):
-            yield lines[i][0], lines[j - 1][1], [k for s, e in lines[i:j] for k in range(s, e)]
+            yield "".join(text[s:e] for s, e in lines[i:j]), np.concatenate([np.arange(s, e, dtype=np.int32) for s, e in lines[i:j]])
 
 
-def layers_in(layer: Layer) -> Iterator[Layer | None]:
-    """The layers wrapped in a layer; None stands for one of more than LAYER_BYTES, whose pieces follow."""
+def _decoded(run: str, skip: int, at: np.ndarray | int, inner: str, byte: int, wide: bool) -> Callable[[int, int], tuple[int, int]]:
+    """Spans of a text read in a run's bytes from ``byte`` on, where decoding began ``skip`` characters into the run."""
+    begins = None if inner.isascii() else np.concatenate(([0], np.cumsum(_widths(inner), dtype=np.int64)))
+
+    def up(start: int, end: int) -> tuple[int, int]:
+        first, last = (start, end) if begins is None else (int(begins[start]), int(begins[end]))
+        first, last = (byte + 2 * first, byte + 2 * last) if wide else (byte + first, byte + last)
+        first, last = skip + first * 4 // 3, min(skip - (-last * 4 // 3), len(run))
+        return (at + first, at + last) if isinstance(at, int) else (int(at[first]), int(at[last - 1]) + 1)
+
+    return up
+
+
+def _in_run(layer: Layer, run: str, at: np.ndarray | int) -> Iterator[Layer]:
+    """Layers in one base64 run: its bytes from each of four characters on, and what compressed data in it unpack to."""
+    end = len(run)
+    whole = (at, at + end) if isinstance(at, int) else (int(at[0]), int(at[-1]) + 1)
+    for skip in range(min(4, end)):
+        for inner, byte, wide in _readings(_data(run[skip:]) or b"", skip == 0):
+            yield Layer(ODD.sub("\ufffd", inner), layer, _decoded(run, skip, at, inner, byte, wide))
+    for start in sorted({0, *(m.start() for m in PACKED.finditer(run))}):
+        if _decompressor(_data(run[start : start + 12]) or b"") is not None:
+            own = (whole[0] + start if isinstance(at, int) else int(at[start]), whole[1])
+            for inner in _opened(_data(run[start:]) or b""):
+                yield Layer(inner, layer, lambda s, e, own=own: own)
+
+
+def layers_in(layer: Layer) -> Iterator[Layer]:
+    """The layers wrapped in a layer."""
     text = layer.text
     for mark, sought, decode in (("%", PERCENT, _percent), ("\\", ESCAPE, _escapes)):
         if mark in text and sought.search(text):
             at = 0
             for line in text.split("\n"):
-                if sought.search(line):
-                    yield _by_characters(layer, at, decode(line))
+                if mark in line and sought.search(line):
+                    inner, cuts = decode(line)
+                    yield Layer(inner, layer, _between(cuts, at))
                 at += len(line) + 1
-    for start, end, places in _runs(text):
-        data = _data(text[start:end] if places is None else "".join(text[i] for i in places))
-        if not data:
-            continue
-        for inner, at, wide in _readings(data):
-            parts, place, n = [], at, end - start if places is None else len(places)
-            for c in inner:
-                odd = "\udc80" <= c <= "\udcff"
-                width = 2 if wide else 1 if odd else len(c.encode())
-                first, last = place * 4 // 3, min(-(-(place + width) * 4 // 3), n)
-                if places is not None:
-                    first, last = places[first] - start, places[last - 1] + 1 - start
-                parts.append(("\ufffd" if odd else c, first, last))
-                place += width
-            yield _by_characters(layer, start, parts)
-        for inner in _opened(data):
-            yield inner if inner is None else Layer(inner, *layer.span(start, end))
-
-
-def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """Base spans, all spans, number of layers below the text, and of those read in pieces.
+    for run, at in _runs(text):
+        yield from _in_run(layer, run, at)
+
+
+def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """Base spans, all spans, and the number of layers below the text.
 
     The worklist ends because a layer with a text and place already met is not taken again.
     """
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted(found(text), key=lambda x: (x[1], order[x[0]]))
-    spans, seen, oversized, work = set(base), set(), 0, [Layer(text, None, None)]
+    spans, seen, work = set(base), set(), [Layer(text)]
     while work:
         for inner in layers_in(work.pop()):
-            if inner is None:
-                oversized += 1
+            if not inner.text:
                 continue
-            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.place())
-            if key in seen or not inner.text:
+            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.span(0, len(inner.text)))
+            if key in seen:
                 continue
             seen.add(key)
             spans.update((kind, *inner.span(s, e)) for kind, s, e in found(inner.text))
             work.append(inner)
-    return base, sorted(spans, key=lambda x: (x[1], order[x[0]], x[2])), len(seen), oversized
+    return base, sorted(spans, key=lambda x: (x[1], order[x[0]], x[2])), len(seen)
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -334,19 +357,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of every whole text, one row a document, in a single pass without a shuffle.
 
     Columns: the id, n_assign, n_access, n_hex and base_sha256 (of the text as it stands), spans (base and
-    decoded ones, ``kind:start:end`` in code points of the original), n_layers, n_oversized.
-    Null and empty texts give no span; null ids and repeated rows each give a row; other columns are not read.
+    decoded ones, ``kind:start:end`` in code points of the original), n_layers.
+    Null and empty texts give no span; null ids and repeated rows each give a row; empty tables give none; other columns are
+    not read. Nothing bounds the number of layers or members, or what they unpack to; large ones are read in pieces. An xz
+    stream that asks for more than 1 GiB of memory (its own presets ask for 65 MiB at most) is not opened.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col, BATCH_BYTES):
             rows = []
             for text in batch.column(1):
-                base, spans, layers, oversized = scan(text.as_py() or "")
-                rows.append([*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers, oversized])
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2, strict=True))], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_oversized"])
+                base, spans, layers = scan(text.as_py() or "")
+                rows.append([*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers])
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()], strict=True))], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_oversized long")
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")
