@@ -47,6 +47,40 @@ def image_refs(notes: DataFrame) -> DataFrame:
     return rows.select("note_id", "folder", "line", F.posexplode(found).alias("ord", "ref")).select("note_id", "folder", "line", "ord", "ref.kind", "ref.target")
 
 
+#: Every kind of link that names a file: wiki links and embeds, Markdown images, file entries of canvases.
+FILE_LINK = r'!?\[\[[^\[\]\n]+\]\]|!\[[^\]\n]*\]\([^)\n]*\)|"file"\s*:\s*"[^"\n]+"'
+
+
+def _decoded(target: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))), target)
+
+
+def link_target(link: Column) -> Column:
+    """What a link of any kind names: without alias, title, brackets and escapes; Markdown targets URL-decoded."""
+    wiki = _unescaped(F.trim(F.regexp_extract(link, r"^!?\[\[([^|\]]+)", 1)))
+    return F.when(link.startswith('"'), F.regexp_extract(link, r':\s*"([^"]+)"$', 1)).when(link.rlike(r"^!?\[\["), wiki).otherwise(_decoded(_bare(F.regexp_extract(link, r"\]\(([^)]*)\)$", 1))))
+
+
+def with_target(link: Column, new: Column) -> Column:
+    """The link with another file in it; fragment, alias, an escaped bar, alt text, brackets and title stay."""
+    whole = F.regexp_extract(link, r"^!?\[\[([^|\]]+)", 1)
+    wiki = F.concat(F.regexp_extract(link, r"^(!?\[\[)", 1), new, F.regexp_extract(whole, r"^[^#]*(#[^\\]*)?", 1), F.regexp_extract(link, r"^!?\[\[[^|\]]+?(\\?(?:\|[^\]]*)?\]\])$", 1))
+    inside = F.regexp_extract(link, r"\]\(([^)]*)\)$", 1)
+    angled = F.trim(inside).startswith("<")
+    path = F.when(angled, F.concat(F.lit("<"), new, F.lit(">"))).otherwise(F.replace(F.replace(F.replace(F.replace(new, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")))
+    title = F.regexp_extract(inside, r"""(\s+["'][^"']*["']\s*)$""", 1)
+    markdown = F.concat(F.regexp_extract(link, r"^(!\[[^\]\n]*\]\()", 1), path, F.regexp_extract(_bare(inside), r"(#.*)?$", 1), title, F.lit(")"))
+    canvas = F.concat(F.regexp_extract(link, r'^("file"\s*:\s*")', 1), new, F.lit('"'))
+    return F.when(link.startswith('"'), canvas).when(link.rlike(r"^!?\[\["), wiki).otherwise(markdown)
+
+
+def file_links(docs: DataFrame) -> DataFrame:
+    """(note_id, target): what images a document's links of any kind name, in code too; each once."""
+    targets = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({FILE_LINK})"), F.lit(1)), link_target))
+    images = F.filter(targets, lambda t: without_fragment(t).rlike(IMAGE))
+    return docs.where(F.col("text").isNotNull()).select("note_id", F.explode(images).alias("target"))
+
+
 def referenced_names(docs: DataFrame) -> DataFrame:
     """(note_id, name): lower-cased image names a document refers to, once for each reference.
 
@@ -88,6 +122,7 @@ def size_argument(width: str, height: str = "") -> str:
     return f"{width}x{height}" if height else width
 
 
+_SIZED_LINK = r"!\[\[[^\]\n|]+(?:\|[^\]\n]*)?\]\]|!\[[^\]\n]*\]\([^)\n]*\)"
 _SIZE = r"^\s*\d+(?:x\d+)?\s*$"
 
 
@@ -96,7 +131,7 @@ def sized_links(text: Column, size: str, overwrite: bool = True) -> Column:
 
     Each line is cut at its image links; pieces that are image links are written anew.
     """
-    link = rf"!\[\[[^\]\n|]+(?:\|[^\]\n]*)?\]\]|!\[[^\]\n]*\]\([^)\n]*\)"
+    link = _SIZED_LINK
 
     def piece(x: Column, in_table: Column) -> Column:
         target = F.regexp_extract(x, r"^!\[\[([^\]|]+)", 1)
@@ -126,3 +161,20 @@ def sized_links(text: Column, size: str, overwrite: bool = True) -> Column:
 def size_changes(notes: DataFrame, size: str, overwrite: bool = True) -> DataFrame:
     """(note_id, text, new_text) of notes that a size run would change."""
     return notes.withColumn("new_text", sized_links(F.col("text"), size, overwrite)).where("new_text <> text").select("note_id", "text", "new_text")
+
+
+def size_preview(notes: DataFrame, size: str, overwrite: bool = True, samples: int = 5) -> DataFrame:
+    """(note_id, changed, skipped, samples) of notes with images that a size run would write anew or pass over.
+
+    Skipped are images with a caption, and with a size that is not to be overwritten; samples are the first before and
+    after. A link that has the size already is neither. Notes without such an image give no row.
+    """
+    found = lambda t: F.regexp_extract_all(t, F.lit(f"({_SIZED_LINK})"), F.lit(1))
+    pairs = F.arrays_zip(found(F.col("text")).alias("before"), found(sized_links(F.col("text"), size, overwrite)).alias("after"))
+    both = notes.where(F.col("text").contains("![")).select("note_id", pairs.alias("_p"))
+    name = lambda x: F.when(x.startswith("![["), F.coalesce(F.nullif(F.regexp_extract(x, r"^!\[\[[^\]|]+\|([^\]]*)\]\]$", 1), F.lit("")), F.lit(""))).otherwise(F.regexp_extract(x, r"^!\[([^\]]*)\]", 1))
+    image = lambda x: F.element_at(F.split(link_target(x), "[?#]"), 1).rlike(IMAGE)
+    changed = F.filter("_p", lambda p: p["before"] != p["after"])
+    passed = F.filter("_p", lambda p: (p["before"] == p["after"]) & image(p["before"]) & (name(p["before"]) != "") & (~name(p["before"]).rlike(_SIZE) | F.lit(not overwrite)))
+    out = both.select("note_id", F.size(changed).cast("long").alias("changed"), F.size(passed).cast("long").alias("skipped"), F.slice(changed, 1, samples).alias("samples"))
+    return out.where("changed + skipped > 0")

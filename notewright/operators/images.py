@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators.ranks import numbered_rows
 from notewright.operators.resolve import reference_counts
+from notewright.session import written
 from notewright.sources.notes import IMPORT_EXTENSIONS, images_only
 
 PRESET = "Pasted image {YYYY}{MM}{DD}{HH}{mm}{ss}"
@@ -20,15 +22,31 @@ _EXTENSION = rf"(?i)\.(?:{'|'.join(IMPORT_EXTENSIONS)})$"
 # --- copies -----------------------------------------------------------------------------------------------
 
 
+#: Most rows of keys to send to all tasks; more are joined by a shuffle.
+MOST_SENT = 200_000
+
+
+def digests(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``files`` that have the columns of ``wanted`` (distinct rows), with digest (SHA-256) instead of content.
+
+    The few keys, which are counted, go to the files, and only files that match are hashed, where they lie; with very
+    many keys all files are hashed where they lie and then joined. Contents are never shuffled.
+    """
+    keys = written(wanted.select(*[F.col(c).alias(f"_{c}") for c in wanted.columns]), "keys")
+    same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in wanted.columns])
+    digest = F.sha2(F.col("content").cast("binary"), 256)
+    if keys.count() <= MOST_SENT:
+        return files.join(F.broadcast(keys), same, "left_semi").withColumn("digest", digest).drop("content")
+    return files.withColumn("digest", digest).drop("content").join(keys, same, "left_semi")
+
+
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """Files whose bytes another file in the same folder has: their columns without content, and digest.
 
-    Folder and size are counted on metadata alone; only files that share both are read and hashed where they
-    lie, so contents are never shuffled. The digest is SHA-256, and the byte length is part of the key.
+    Folder and size are counted on metadata alone; only files that share both are hashed. The byte length is part of the key.
     """
-    same = images_only(files).groupBy(F.col("folder").alias("_f"), F.col("size").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    hashed = images_only(files).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
-    met = hashed.join(same, (F.col("folder") == F.col("_f")) & (F.col("size") == F.col("_s"))).drop("_f", "_s").where("digest is not null")
+    same = images_only(files).groupBy("folder", "size").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    met = digests(images_only(files), same).where("digest is not null")
     sizes = met.groupBy(F.col("folder").alias("_f"), F.col("size").alias("_s"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return met.join(sizes, (F.col("folder") == F.col("_f")) & (F.col("size") == F.col("_s")) & (F.col("digest") == F.col("_d"))).drop("_f", "_s", "_d")
 
@@ -87,6 +105,20 @@ def safe_name(title: Column, fallback: str = "untitled", most: int = 80) -> Colu
     return F.coalesce(F.when(x != "", x), F.lit(fallback))
 
 
+#: Extensions of the image types that a clipboard names.
+MIME_EXTENSIONS = {"image/png": "png", "image/jpeg": "jpg", "image/jpg": "jpg", "image/gif": "gif", "image/bmp": "bmp", "image/webp": "webp", "image/heic": "heic", "image/heif": "heic", "image/avif": "avif"}
+
+
+def pasted_name(name: Column, mime: Column) -> Column:
+    """A file name for a pasted image: its own without marks of paths, if it is one; the extension is that of its type, else png.
+    Names of more than 80 characters and data URLs count as none."""
+    own = F.coalesce(name, F.lit(""))
+    kept = F.when((F.length(own) > 80) | own.startswith("data:"), "").otherwise(F.trim(F.regexp_replace(own, r"[\\/:*?\"<>|]", "")))
+    types = F.create_map(*[F.lit(x) for pair in MIME_EXTENSIONS.items() for x in pair])
+    ext = F.coalesce(F.try_element_at(types, F.lower(F.coalesce(mime, F.lit("")))), F.lit("png"))
+    return F.when(kept.rlike(r"^.+\.[^.]+$"), kept).otherwise(F.concat_ws(".", F.when(kept == "", "pasted-image").otherwise(kept), ext))
+
+
 def attachment_folder(folder: Column, mode: str, root: str = "", custom: str = "") -> Column:
     """Where a note's images belong: the vault's setting, its root, the note's folder, a folder below it, or a fixed one.
     ``./sub`` is relative to the note."""
@@ -136,9 +168,9 @@ def allocate_names(requests: DataFrame, files: DataFrame, as_of: datetime.dateti
     Requests are numbered and free seconds are numbered, and the two numbers are joined: no probing. Enough seconds
     are laid out, as many as requests and files named by the preset together.
     """
-    counted = requests.agg(F.count(F.lit(1)).alias("_a")).join(files.where(matches_preset(F.col("name"), preset)).agg(F.count(F.lit(1)).alias("_b")))
+    seconds = requests.count() + files.where(matches_preset(F.col("name"), preset)).count() + 1
     start = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-    most = counted.select(F.explode(F.sequence(F.lit(0), F.col("_a") + F.col("_b"))).alias("_second"))
+    most = files.sparkSession.range(0, seconds, 1, max(1, -(-seconds // 100_000))).select(F.col("id").alias("_second"))
     stems = most.withColumn("_stem", preset_stem(F.timestamp_seconds(F.unix_timestamp(start) + F.col("_second")), preset))
     taken = files.select(F.lower(F.regexp_replace("name", r"\.[^.]+$", "")).alias("_taken")).distinct()
     left = stems.join(taken, F.lower("_stem") == F.col("_taken"), "left_anti")

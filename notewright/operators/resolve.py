@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.links import WIKI, image_refs, referenced_names
+from notewright.functions.links import FILE_LINK, file_links, image_refs, link_target, referenced_names, with_target
 
 
 def ambiguous_names(files: DataFrame) -> DataFrame:
@@ -79,38 +79,39 @@ def images_used_by(files: DataFrame, refs: DataFrame) -> DataFrame:
     return files.join(hits, files["path"] == F.col("resolved_path"), "left_semi")
 
 
-def _linked(target: Column, new: Column, x: Column) -> Column:
-    """One link with its target replaced: the fragment, the alias and an escaped bar stay."""
-    whole = F.regexp_extract(x, r"^!\[\[([^|\]]+)", 1)
-    frag = F.regexp_extract(whole, r"^[^#]*(#[^\\]*)?", 1)
-    rest = F.regexp_extract(x, r"^!\[\[[^|\]]+?(\\?(?:\|[^\]]*)?\]\])$", 1)
-    return F.concat(F.lit("![["), new, frag, rest)
+def rewrite_links(notes: DataFrame, mapping: DataFrame, kinds: str = "all") -> DataFrame:
+    """Documents with changed links: note_id, path, folder, text, new_text.
 
-
-def rewrite_links(notes: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Notes with changed embeds: note_id, path, folder, text, new_text.
-
-    ``mapping`` has note_id (null: every note), target and new_target. Only notes that hold a mapped target are
-    rebuilt: their mappings are gathered to one map a note, and the text is cut at its embeds and joined again.
+    ``mapping`` has note_id (null: every document), target and new_target. ``kinds``: links of every kind, wiki links,
+    Markdown images and file entries of canvases, or ``embeds`` of wiki style only. Only documents that hold a mapped
+    target are rebuilt: their mappings meet their links by (document, target), those of every document by target,
+    and are gathered to one map a document; the text is cut at its links and joined again.
     """
-    refs = image_refs(notes).where("kind = 'wiki'").select("note_id", "target").distinct()
-    own = mapping.select(F.col("note_id").alias("_n"), F.col("target").alias("_t"), "new_target")
-    met = refs.join(own, (F.col("target") == F.col("_t")) & (F.col("_n").isNull() | (F.col("_n") == F.col("note_id"))))
+    link = FILE_LINK if kinds == "all" else r"!\[\[[^\[\]\n]+\]\]"
+    refs = file_links(notes)
+    own = mapping.where("note_id is not null").select(F.col("note_id").alias("_n"), F.col("target").alias("_t"), "new_target")
+    everywhere = mapping.where("note_id is null").groupBy(F.col("target").alias("_t")).agg(F.min("new_target").alias("new_target"))
+    met = refs.join(own, (F.col("note_id") == F.col("_n")) & (F.col("target") == F.col("_t"))).select("note_id", "target", "new_target")
+    met = met.union(refs.join(everywhere, F.col("target") == F.col("_t")).select("note_id", "target", "new_target"))
     maps = met.groupBy(F.col("note_id").alias("_note"), "target").agg(F.min("new_target").alias("new")).groupBy("_note").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "new")))).alias("_map"))
     text = F.col("text")
-    link = r"!\[\[[^\[\]\n]+\]\]"
     links = F.regexp_extract_all(text, F.lit(f"({link})"), F.lit(1))
 
     def changed(x: Column) -> Column:
-        target = F.regexp_replace(F.trim(F.regexp_extract(x, WIKI, 1)), r"\\+$", "")
-        new = F.try_element_at(F.col("_map"), target)
-        return F.when(new.isNotNull(), _linked(target, new, x)).otherwise(x)
+        new = F.try_element_at(F.col("_map"), link_target(x))
+        return F.when(new.isNotNull(), with_target(x, new)).otherwise(x)
 
     whole = F.zip_with(F.split(text, link), F.concat(F.transform(links, changed), F.array(F.lit(""))), lambda g, y: F.concat(g, F.coalesce(y, F.lit(""))))
     out = notes.join(maps, F.col("note_id") == F.col("_note")).withColumn("new_text", F.array_join(whole, ""))
     return out.where("new_text <> text").select("note_id", "path", "folder", "text", "new_text")
 
 
+def moved_links(docs: DataFrame, files: DataFrame, moved: DataFrame) -> DataFrame:
+    """(note_id, target, new_target) of every link, of any kind and in any document, that means a file of ``moved`` (src, dst)."""
+    found = resolve_refs(file_links(docs), files).where("resolved_path is not null")
+    return found.join(moved.select(F.col("src").alias("_src"), "dst"), F.col("resolved_path") == F.col("_src")).select("note_id", "target", F.col("dst").alias("new_target"))
+
+
 def link_format(notes: DataFrame, files: DataFrame, full: bool = True) -> DataFrame:
     """Notes whose resolved embeds are written as the full path, or as the bare name where only one file has it."""
     refs = image_refs(notes).where("kind = 'wiki'")
@@ -122,4 +123,4 @@ def link_format(notes: DataFrame, files: DataFrame, full: bool = True) -> DataFr
         shared = ambiguous_names(files).select(F.col("name").alias("_shared"))
         wanted = found.join(shared, F.lower(name) == F.col("_shared"), "left").withColumn("new", F.when(F.col("_shared").isNull(), name).otherwise(F.col("resolved_path"))).drop("_shared")
     mapping = wanted.select("note_id", "target", F.col("new").alias("new_target"))
-    return rewrite_links(notes, mapping)
+    return rewrite_links(notes, mapping, kinds="embeds")

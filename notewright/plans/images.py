@@ -8,19 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.links import external_images, image_refs, remote_images
-from notewright.operators.images import PRESET, allocate_names, attachment_folder, conversions, free_suffixes, is_garbled, keepers, matches_preset
-from notewright.operators.resolve import ambiguous_names, resolve_refs, rewrite_links, unreferenced, users
+from notewright.operators.images import PRESET, allocate_names, attachment_folder, conversions, digests, free_suffixes, is_garbled, keepers, matches_preset
+from notewright.operators.resolve import ambiguous_names, moved_links, resolve_refs, rewrite_links, unreferenced, users
+from notewright.session import written
 from notewright.sources.notes import all_documents, images_only, plan_rows
 
 
 def tidy_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, target: str = "webp") -> tuple[DataFrame, DataFrame]:
-    """Copies merged into their keepers, conversions of what stays, then images that the rewritten documents do not use."""
+    """Copies merged into their keepers, conversions of what stays, then images that the rewritten documents do not use.
+
+    Links of every kind in notes and canvases that mean a copy are rewritten to its keeper. With an unreadable document no
+    copy is dropped, as it may be linked there.
+    """
     docs = all_documents(notes, canvases)
     kept = keepers(files, docs)
-    drops = kept.where(~F.col("is_keeper"))
-    found = resolve_refs(image_refs(notes).where("kind = 'wiki'").select("note_id", "target").distinct(), files)
-    mapping = found.join(drops.select(F.col("path").alias("_p"), "keeper"), F.col("resolved_path") == F.col("_p")).select("note_id", "target", F.col("keeper").alias("new_target"))
-    changed = rewrite_links(notes, mapping)
+    unread = docs.agg(F.count_if(F.col("text").isNull()).alias("_unread"))  # one row
+    drops = kept.where(~F.col("is_keeper")).join(F.broadcast(unread), F.col("_unread") == 0).drop("_unread")
+    mapping = moved_links(docs, files, drops.select(F.col("path").alias("src"), F.col("keeper").alias("dst")))
+    changed = rewrite_links(docs, mapping)
     after = docs.join(changed.select(F.col("note_id").alias("_n"), "new_text"), F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("new_text", "text")).drop("_n", "new_text")
     left = images_only(files).join(drops.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left_anti")
     loose = unreferenced(left, after)
@@ -39,10 +44,15 @@ def organise_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, mode:
     refs = image_refs(notes).where("kind = 'wiki'").join(notes.select(F.col("note_id").alias("_n"), attachment_folder(F.col("folder"), mode, custom=custom).alias("want")), F.col("note_id") == F.col("_n")).drop("_n", "folder")
     found = resolve_refs(refs, files)
     skipped = plan_rows(found.where("resolved_path is null"), "skip", F.col("target"), F.lit(None).cast("string"), F.col("note_id"), F.when(F.col("ambiguous"), "ambiguous").otherwise("missing"))
-    meta = files.select(F.col("path").alias("resolved_path"), "name", F.col("folder").alias("at"), "size", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    meta = files.select(F.col("path").alias("resolved_path"), "name", F.col("folder").alias("at"), "size")
     away = found.where("resolved_path is not null").select("note_id", "target", "want", "resolved_path").distinct().join(meta, "resolved_path").where("at <> want")
-    there = files.select(F.col("folder").alias("_f"), F.lower("name").alias("_l"), F.col("size").alias("_s"), F.sha2(F.col("content").cast("binary"), 256).alias("_d"), F.col("path").alias("same"))
-    met = away.join(there, (F.col("want") == F.col("_f")) & (F.lower("name") == F.col("_l")) & (F.col("size") == F.col("_s")) & (F.col("digest") == F.col("_d")), "left").drop("_f", "_l", "_s", "_d")
+    # The same name and size in the wanted folder; only such pairs are hashed.
+    there = files.select(F.col("folder").alias("want"), F.lower("name").alias("_l"), "size", F.col("path").alias("_there"))
+    alike = written(away.select("resolved_path", "want", "size", F.lower("name").alias("_l")).distinct().join(there, ["want", "_l", "size"]).select("resolved_path", "want", "_there"), "alike")
+    hashed = digests(files.select("path", "content"), alike.select(F.col("resolved_path").alias("path")).union(alike.select("_there")).distinct()).where("digest is not null")
+    of = lambda path, digest: hashed.select(F.col("path").alias(path), F.col("digest").alias(digest))
+    same = alike.join(of("resolved_path", "_d1"), "resolved_path").join(of("_there", "_d2"), "_there").where("_d1 = _d2").groupBy("resolved_path", "want").agg(F.min("_there").alias("same"))
+    met = away.join(same, ["resolved_path", "want"], "left")
     used = users(docs).select(F.col("name").alias("_l"), "n_documents")
     unread = docs.agg(F.count_if(F.col("text").isNull()).alias("unread"))
     met = met.join(used, F.lower("name") == F.col("_l"), "left").drop("_l").join(F.broadcast(unread))  # one row
@@ -57,12 +67,16 @@ def organise_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, mode:
     shared = ambiguous_names(files).select(F.col("name").alias("_shared"))
     name = F.element_at(F.split("dst", "/"), -1)
     mapping = full.join(shared, F.lower(name) == F.col("_shared"), "left").select("note_id", "target", F.when((F.col("action") == "move") & F.col("_shared").isNull(), name).otherwise(F.col("dst")).alias("new_target"))
-    return plan, rewrite_links(notes, mapping)
+    # What moves is written anew in links of the other kinds too.
+    moved = moved_links(docs, files, full.where("action = 'move'").select(F.col("resolved_path").alias("src"), "dst").distinct())
+    other = moved.join(mapping.select("note_id", "target"), ["note_id", "target"], "left_anti")
+    return plan, rewrite_links(docs, mapping.union(other))
 
 
-def rename_plan(notes: DataFrame, files: DataFrame, as_of: datetime.datetime, garbled_only: bool = True, force: bool = False, mode: str = "current", preset: str = PRESET) -> tuple[DataFrame, DataFrame]:
+def rename_plan(notes: DataFrame, files: DataFrame, as_of: datetime.datetime, garbled_only: bool = True, force: bool = False, mode: str = "current", preset: str = PRESET, canvases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Images renamed by the preset, each once: those with garbled names, which go to the attachment folder of the
-    first note that holds them, or all that do not match the preset yet (with ``force``, all)."""
+    first note that holds them, or all that do not match the preset yet (with ``force``, all). Links of every kind
+    that mean them, in ``canvases`` too where given, follow."""
     refs = image_refs(notes).where("kind = 'wiki'")
     if garbled_only:
         refs = refs.where(is_garbled(F.element_at(F.split(F.element_at(F.split("target", "#"), 1), "/"), -1)))
@@ -74,9 +88,9 @@ def rename_plan(notes: DataFrame, files: DataFrame, as_of: datetime.datetime, ga
         first = first.join(shared, F.lower("name") == F.col("_shared"), "left").where(~matches_preset(F.col("name"), preset) | F.col("_shared").isNotNull()).drop("_shared")
     named = allocate_names(first, files, as_of, ["note_id", "resolved_path"], preset).withColumn("dst", F.concat_ws("/", F.when(F.col("want") != "", F.col("want")), F.col("new_name")))
     plan = plan_rows(named, "rename", F.col("resolved_path"), F.col("dst"), F.col("note_id"))
-    everywhere = resolve_refs(image_refs(notes).where("kind = 'wiki'").select("note_id", "target").distinct(), files)
-    mapping = everywhere.join(named.select(F.col("resolved_path").alias("_p"), "dst"), F.col("resolved_path") == F.col("_p")).select("note_id", "target", F.col("dst").alias("new_target"))
-    return plan, rewrite_links(notes, mapping)
+    docs = all_documents(notes, canvases) if canvases is not None else notes
+    mapping = moved_links(docs, files, named.select(F.col("resolved_path").alias("src"), "dst"))
+    return plan, rewrite_links(docs, mapping)
 
 
 def rename_preview(notes: DataFrame, files: DataFrame, preset: str = PRESET) -> DataFrame:

@@ -96,6 +96,45 @@ def test_tidy_plan_keeps_the_keeper(spark):
     assert changed.first()["new_text"] == "![[a/2.png|9]] ![[a/2.png]] ![[2.png]]"
 
 
+def test_tidy_plan_rewrites_links_of_every_kind(spark):
+    f = files(spark, "a/1.png", "a/2 b.png", content={"a/1.png": "s", "a/2 b.png": "s"})
+    n = notes(spark, x='![](a/2%20b.png) [[a/2 b.png#x|see]] ![t](<a/2 b.png> "title") ![[a/1.png]]', z="![[a/1.png]] ![[a/1.png]] ![[a/1.png]] ![[a/1.png]]")
+    c = spark.createDataFrame([(9, "b.canvas", "", '{"nodes":[{"file":"a/2 b.png"}]}')], NOTES)
+    plan, changed = plans.tidy_plan(n, c, f)
+    assert [(r["src"], r["dst"]) for r in plan.where("action = 'trash'").collect()] == [("a/2 b.png", "a/1.png")]
+    assert {r["note_id"]: r["new_text"] for r in changed.collect()} == {0: '![](a/1.png) [[a/1.png#x|see]] ![t](<a/1.png> "title") ![[a/1.png]]', 9: '{"nodes":[{"file":"a/1.png"}]}'}
+    bad = n.union(spark.createDataFrame([(7, "n/bad.md", "n", None)], NOTES))
+    assert plans.tidy_plan(bad, c, f)[0].where("action = 'trash'").count() == 0
+
+
+def test_mappings_of_every_and_of_one_document(spark):
+    n = spark.createDataFrame([(i, f"n/{i}.md", "n", "![[logo.png]] ![[own.png|5]]") for i in range(300)], NOTES)
+    mapping = n.select("note_id", F.lit("own.png").alias("target"), F.concat(F.lit("x y "), F.col("note_id").cast("string"), F.lit(".png")).alias("new_target")).union(spark.createDataFrame([(None, "logo.png", "new.png")], "note_id long, target string, new_target string"))
+    out = resolve.rewrite_links(n, mapping)
+    assert {r["new_text"] for r in out.collect()} == {f"![[new.png]] ![[x y {i}.png|5]]" for i in range(300)}
+    text = "\n".join(line for line in out._jdf.queryExecution().toString().split("\n") if "CartesianProduct" in line or "NestedLoop" in line)
+    assert text == ""
+
+
+def test_only_files_that_share_folder_and_size_are_hashed(spark):
+    f = files(spark, "a/1.png", "a/2.png", content={"a/1.png": "s", "a/2.png": "s"})
+    lines = images.duplicate_groups(f)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda what: min(len(x) - len(x.lstrip(" :+-")) for x in lines if what in x)
+    assert depth("sha2(") < depth("Join LeftSemi")
+
+
+def test_pasted_names(spark):
+    cases = [("a/b.png", "image/png", "ab.png"), ("photo", "image/jpeg", "photo.jpg"), ("", "image/heif", "pasted-image.heic"), (None, None, "pasted-image.png"), ("data:image/png;base64,x", "image/gif", "pasted-image.gif"), ("x" * 81 + ".png", "", "pasted-image.png"), (".png", "image/bmp", ".png.bmp")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, n string, m string").select("i", images.pasted_name(F.col("n"), F.col("m")).alias("x"))
+    assert dict(df.collect()) == {i: x for i, (_, _, x) in enumerate(cases)}
+
+
+def test_size_preview(spark):
+    n = notes(spark, x="![[a.png]] ![[b.png|300]] ![[c.png|100]] ![[d.png|a caption]] ![](e.jpg) ![f](g.png) ![[h.md]]", y="plain ![[h.md]]", z=None)
+    assert [(r["changed"], r["skipped"], [tuple(s) for s in r["samples"]]) for r in links.size_preview(n, "100").collect()] == [(3, 2, [("![[a.png]]", "![[a.png|100]]"), ("![[b.png|300]]", "![[b.png|100]]"), ("![](e.jpg)", "![100](e.jpg)")])]
+    assert links.size_preview(n, "100", overwrite=False).first()["skipped"] == 4
+
+
 def test_allocated_names_skip_taken_seconds(spark):
     f = files(spark, "a/x.png", "a/Pasted image 20260420123046.png")
     asked = spark.createDataFrame([("p", "png"), ("q", "jpg"), ("r", "png")], "path string, ext string")
