@@ -25,7 +25,7 @@ PROTECTED = {
     "url": r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s\u3000-\u303f\uff00-\uffef\p{IsHan}]+",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "host_port": r"(?:localhost|\d{1,3}(?:\.\d{1,3}){3}):\d+",
-    "domain": r"(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|io|cn|dev|tv|me)(?:/[^\s\p{IsHan}]*)?(?![A-Za-z0-9])",
+    "domain": r"(?:[A-Za-z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s\p{IsHan}]*)?(?![A-Za-z0-9])",
     "entity": r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);",
     "html": r"</?[A-Za-z][^<>\n]*>",
     "tag": r"(?<![^\s\u3000])#[\p{L}\p{N}_][\p{L}\p{N}_\-/]*",
@@ -36,7 +36,7 @@ _WORD = r"[A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff](?:[A-Za-z0-9\u00c0-
 _FULL = "，。、；：！？（）【】「」『』—…～·《》〈〉“”‘’"
 _EMPHASIS = rf"(?<star>\*\*|__|~~|==|\*)(?=\S)[^*_~=\n]+(?<=\S)\k<star>"
 #: Units that may follow a number.
-UNITS = ("mm", "cm", "km", "kg", "mg", "ml", "ms", "Hz", "kHz", "MHz", "GHz", "KB", "MB", "GB", "TB", "kW", "kWh", "px", "dpi", "rpm", "m", "g", "s", "h", "V", "W", "A", "K", "N", "J")
+UNITS = ("km", "cm", "mm", "um", "μm", "nm", "m", "ml", "mL", "L", "ms", "us", "μs", "ns", "min", "h", "Hz", "kHz", "MHz", "GHz", "rpm", "kg", "mg", "ug", "μg", "g", "W", "kW", "MW", "V", "mV", "kV", "A", "mA", "Ω", "ohm", "Pa", "kPa", "MPa", "GPa", "N", "J", "kJ", "MJ", "cal", "kcal", "mol", "KB", "MB", "GB", "TB", "bit", "Byte", "px", "pt", "dpi", "ppi", "fps")
 
 _SPECIAL = "|".join(p.replace(r"(`+)", "(?<tick>`+)").replace(r"\1", r"\k<tick>") for p in PROTECTED.values())
 TOKEN = rf"({_SPECIAL}|{_TITLE}|{_MATH}|{_EMPHASIS}|{HAN}+|{_WORD}|[{_FULL}]|\.\.\.|[ \t\u00a0]+|.)"
@@ -116,19 +116,34 @@ def _spaced_line(line: Column, o: SpacingOptions) -> Column:
     return F.when(line.rlike(r"\S"), F.concat(lead, joined, F.when(lead == line, "").otherwise(trail))).otherwise(line)
 
 
+def _half_width(sentence: Column, before_han: Column) -> Column:
+    """Full-width marks of an English sentence as half-width ones; the last stays where Chinese follows at once."""
+    end = F.when(before_han, F.regexp_extract(sentence, r"([。！？；])$", 1)).otherwise("")
+    half = F.substring(sentence, F.lit(1), F.length(sentence) - F.length(end))
+    for full, mark in (("，", ", "), ("。", ". "), ("、", ", "), ("；", "; "), ("！", "! "), ("？", "? ")):
+        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*$", mark.strip())
+        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*", mark)
+    return F.concat(half, end)
+
+
 def context_width(line: Column) -> Column:
-    """Half-width , : ; ! ? next to Chinese become full-width; full-width marks of a line of Latin words become half-width."""
+    """Half-width , : ; ! ? next to Chinese become full-width; full-width marks of an English sentence become half-width.
+
+    Sentences end at 。！？； and are English without Chinese and with two Latin words or more.
+    """
     out = line
     for half, full in ((",", "，"), (":", "："), (";", "；"), ("!", "！"), ("?", "？")):
         mark = rf"\{half}"
         out = F.regexp_replace(out, rf"(?<={HAN}|\$)[ ]*{mark}[ ]*(?={HAN}|\$|[A-Za-z0-9 ]|$)(?!//)", full) if half != ":" else F.regexp_replace(out, rf"(?<={HAN})[ ]*{mark}[ ]*(?![/\]:-])", full)
         out = F.regexp_replace(out, rf"(?<=[A-Za-z0-9]){mark}[ ]*(?={HAN})", full)
-    english = ~line.rlike(HAN) & (F.regexp_count(line, F.lit(r"[A-Za-z]{2,}")) >= 2)
-    half = line
-    for full, mark in (("，", ", "), ("。", ". "), ("、", ", "), ("；", "; "), ("！", "! "), ("？", "? ")):
-        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*$", mark.strip())
-        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*", mark)
-    return F.when(english, half).when(line.rlike(HAN), out).otherwise(line)
+
+    def by_sentence(v: Column) -> Column:
+        english = lambda s: ~s.rlike(HAN) & (F.regexp_count(s, F.lit(r"[A-Za-z]{2,}")) >= 2) & s.rlike("[，。、；！？]")
+        joined = F.transform(v["s"], lambda s, i: F.when(english(s), F.concat(_half_width(s, F.coalesce(F.get(v["s"], i + 1).rlike(rf"^{HAN}"), F.lit(False))), F.when(s.rlike("[。！？；]$") & F.get(v["s"], i + 1).rlike("^[A-Za-z0-9]"), " ").otherwise(""))).otherwise(s))
+        return F.array_join(joined, "")
+
+    sentences = let(by_sentence, s=F.regexp_extract_all(F.when(line.rlike(HAN), out).otherwise(line), F.lit(r"([^。！？；]*[。！？；]|[^。！？；]+$)"), F.lit(1)))
+    return F.when(line.rlike("[，。、；！？]") & line.rlike("[A-Za-z]{2,}"), sentences).when(line.rlike(HAN), out).otherwise(line)
 
 
 def chapter_space(line: Column) -> Column:

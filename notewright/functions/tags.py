@@ -33,9 +33,15 @@ def note_tags(notes: DataFrame) -> DataFrame:
 
 
 def collation_key(text: Column) -> Column:
-    """Orders as a Chinese collator with numbers by value does: digits padded to twelve, pinyin, case and accents apart."""
-    padded = F.regexp_replace(F.regexp_replace(text, r"(\d+)", "000000000000$1"), r"\d*(\d{12})(?!\d)", "$1")
-    return F.collate(padded, "zh_CI_AI")
+    """Orders as a Chinese collator with numbers by value does: pinyin, case and accents apart. A number of any length is written
+    as how many digits it has (six digits hold that) and the digits, without leading zeros."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(x)
+
+    return F.collate(F.when(text.rlike(r"\d"), F.array_join(F.transform(runs, part), "")).otherwise(text), "zh_CI_AI")
 
 
 def sorted_tags(tags: Column) -> Column:

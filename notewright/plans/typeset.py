@@ -14,6 +14,7 @@ from notewright.functions.tags import tag_layout
 from notewright.functions.typeset import fix_blank_lines, fix_headings, fix_indent, fix_lists, fix_markers
 from notewright.operators.blocks import sort_blocks
 from notewright.operators.chat import ChatOptions, render_chat
+from notewright.operators.forum import FLOOR, ForumOptions, floors, is_forum_dump, render_threads
 from notewright.session import drop_since, mark, written
 
 MOST_PASSES = 5
@@ -32,6 +33,7 @@ class LayoutOptions:
     sort_tags: bool = True
     sort_blocks: bool = False
     chat: ChatOptions | None = field(default_factory=ChatOptions)
+    forum: ForumOptions | None = field(default_factory=ForumOptions)
     as_of: str = "2024-01-01"
 
 
@@ -45,6 +47,13 @@ def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
         out = written(out, "pass")
         chats = render_chat(out, o.as_of, o.chat).select(F.col("note_id").alias("_n"), F.col("new_text").alias("_chat"))
         out = out.join(chats, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_chat", "text")).drop("_n", "_chat")
+    if o.forum:
+        out = written(out, "pass")
+        # Most notes hold no header of a floor and are not looked at again.
+        dumps = out.where(t.rlike(rf"(?m)^{FLOOR}$")).where(is_forum_dump(t)).select(F.col("note_id").alias("topic"), "text")
+        before = dumps.select("topic", F.regexp_replace(F.element_at(F.split("text", rf"(?m)(?=^{FLOOR}$)", 2), 1), r"\s+$", "").alias("_before"))
+        threads = render_threads(floors(dumps), o.forum).join(before, "topic").select(F.col("topic").alias("_n"), F.concat_ws("\n\n", F.when(~F.col("_before").rlike(rf"^(?:{FLOOR})?$"), F.col("_before")), "text").alias("_thread"))
+        out = out.join(threads, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_thread", "text")).drop("_n", "_thread")
     out = out.withColumn("text", fix_lists(t)) if o.lists else out
     out = out.withColumn("text", fix_headings(t)) if o.headings else out
     if o.variables:

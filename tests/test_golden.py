@@ -131,3 +131,21 @@ def test_names(spark):
 def test_all_symbols(spark):
     assert len(formulas.SYMBOLS) == 34 + 31
     run(spark, [("设 $ζx ± ∑ ⊂ ← Ψ$，值", "设 $\\zeta x \\pm \\sum \\subset \\leftarrow \\Psi$，值")], formulas.symbols_to_commands)
+
+
+def test_sentence_widths_and_units(spark):
+    run(spark, [("中文内容。Hello world，good day", "中文内容。Hello world, good day"), ("Hello big world。中文，内容", "Hello big world。中文，内容"), ("One line，of words。And more words！", "One line, of words. And more words!"), ("参数 gain=50、shift=0", "参数 gain=50、shift=0")], spacing.fix_spacing)
+    units = lambda t: spacing.fix_spacing(t, spacing.SpacingOptions(digit_unit=True))
+    run(spark, [("长100 kg的", "长100 kg 的"), ("共 5 fps 呢", "共5 fps 呢")], units)
+
+
+def test_topic_addresses(spark):
+    cases = [("https://bgm.tv/group/topic/12", ("group", 12)), ("m.bangumi.tv/subject/topic/3/", ("subject", 3)), ("http://WWW.bgm.tv/group/topic/4?page=2#x", ("group", 4)), ("https://chii.in/group/topic/5", None), ("https://bgm.tv/group/topic/6/x", None), ("https://x.org/group/topic/7", None), (None, None)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string").select("i", forum.topic_url(F.col("u")).alias("t"))
+    assert {r["i"]: r["t"] and (r["t"]["kind"], r["t"]["id"]) for r in df.collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
+def test_collated_numbers_of_any_length(spark):
+    names = ["note 9", "note 10", "note 0010b", "Note 123456789012345", "note 1234567890123456", "note 99999999999999999999999"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "t string").orderBy(tags.collation_key(F.col("t")))
+    assert [r["t"] for r in df.collect()] == names

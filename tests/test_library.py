@@ -171,6 +171,12 @@ def test_typeset_settles(spark):
     assert twice.where("new_text <> text").count() == 0
 
 
+def test_typeset_renders_threads(spark):
+    text = "Intro\n\n#1 - 2025-9-15 20:26\n...\nalice (sig)\nfirst\n收集\n#2 - 2025-9-15 20:30\nbob\nsecond\n"
+    out = typeset(notes(spark, x=text, y="plain #1 text"), LayoutOptions(chat=None)).orderBy("note_id").collect()
+    assert [r["new_text"] for r in out] == ["Intro\n\n**alice** (sig)\nfirst\n\n**bob**\nsecond", "plain #1 text"]
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:03"), (1, "2024-01-01 00:00:30"), (2, "2024-01-01 00:00:01")]
     e = spark.createDataFrame(rows, "note_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
