@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from notewright.functions import formulas, links, spacing, tags, typeset
 from notewright.functions.lines import lines_of
 from notewright.operators import blocks, chat, forum, images, resolve
+from notewright.operators.ranks import numbered_rows
 from notewright.plans import images as image_plans
 from notewright.plans import typeset as layout
 from notewright.session import shared_folder
@@ -155,14 +156,12 @@ def e7_protected_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spacing.protected_spans(derived(spark, sf, "notes"))
 
 
-@query(with_tables("notes") + r""" SELECT note_id, (len(string_split(text, chr(10))) - 1)::INTEGER AS line, 0 AS ord,
-  CASE note_id % 10 WHEN 4 THEN 'topic' WHEN 6 THEN 'tag-' || CAST(note_id % 7 AS STRING) ELSE 'code' END AS tag FROM notes WHERE note_id % 10 IN (4, 6, 7)""")
+@query(_REFS + r""", hidden AS (SELECT note_id, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x2, '!?\[\[[^\]]*\]\]', chr(1), 'g'), '!?\[[^\]]*\]\([^)]*\)', chr(1), 'g'), '<!--.*?-->', chr(1), 'g'), '%%.*?%%', chr(1), 'g'), '\$[^$]+\$', chr(1), 'g') AS x
+  FROM (SELECT note_id, line, regexp_replace(x, '`[^`]*`', chr(1), 'g') AS x2 FROM marked WHERE NOT fence AND k % 2 = 0 AND contains(x, '#'))),
+t AS (SELECT note_id, line::INTEGER AS line, list_filter(list_transform(regexp_extract_all(x, '(?:^|[ \t　])#([\p{L}\p{N}_][\p{L}\p{N}_\-/]*)', 1), lambda g: regexp_replace(g, '[-/]+$', '')), lambda g: regexp_matches(g, '\p{L}')) AS g FROM hidden)
+SELECT note_id, line, unnest(range(len(g)))::INTEGER AS ord, unnest(g) AS tag FROM t""")
 def e8_note_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Tags of the last line: those that the texts themselves hold are marks of junk (###, $$$) and no tags."""
-    notes = derived(spark, sf, "notes")
-    last = notes.select(F.col("note_id").alias("_n"), (F.size(lines_of(F.col("text"))) - 1).alias("_last"))
-    found = tags.note_tags(notes)
-    return found.join(last, (F.col("note_id") == F.col("_n")) & (F.col("line") == F.col("_last"))).drop("_n", "_last")
+    return tags.note_tags(derived(spark, sf, "notes"))
 
 
 _MESSAGES = r"""
@@ -209,10 +208,11 @@ def _post_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("topic", "page").agg(F.concat(F.lit("<h1>a<br>topic</h1>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", html.alias("b")))), lambda x: x["b"]), "")).alias("html"))
 
 
-@query("""SELECT conv_id AS topic, (turn % 3) AS page, 'reply' AS kind, CAST(turn AS STRING) AS floor, '2025-09-15 20:26' AS post_date,
-  CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS "user", '/user/' || CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS url, 'sig' AS signature FROM conversations""")
+@query(r"""SELECT conv_id AS topic, (turn % 3) AS page, 'reply' AS kind, CAST(turn AS STRING) AS floor, '2025-09-15 20:26' AS post_date,
+  CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS "user", '/user/' || CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS url, 'sig' AS signature,
+  regexp_replace(regexp_replace(regexp_replace(text, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM conversations""")
 def e13_html_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return forum.html_posts(_post_pages(spark, sf)).select("topic", "page", "kind", "floor", "post_date", "user", "url", "signature")
+    return forum.html_posts(_post_pages(spark, sf)).select("topic", "page", "kind", "floor", "post_date", "user", "url", "signature", "body")
 
 
 @query()
@@ -220,15 +220,22 @@ def e14_html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return forum.html_to_markdown(_table(spark, sf, "pages").select("page_id", "html")).select("page_id", "markdown")
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base FROM pages)
+SELECT page_id, n::INTEGER AS page, CASE WHEN n = 1 THEN base ELSE base || '?page=' || CAST(n AS STRING) END AS link FROM (SELECT page_id, base, unnest([1, 2, 3 + page_id % 4]) AS n FROM p) GROUP BY ALL""")
 def e15_page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return forum.page_links(_table(spark, sf, "pages"))
+    """The pages with a bar of page numbers: relative, absolute, twice, page 0, another topic's and another site's."""
+    base = F.regexp_replace("url", r"[?#].*$", "")
+    last = (3 + F.col("page_id") % 4).cast("string")
+    a = lambda *href: F.concat(F.lit('<a href="'), *href, F.lit('">n</a>'))
+    bar = F.concat(a(F.lit("?page=0")), a(F.lit("?page=2")), a(base, F.lit("?p=2")), a(base, F.lit("?x=1&page="), last), a(F.lit("/elsewhere/1?page=7")), a(F.lit("https://other.example/?page=8")), a(F.lit("?size=9")))
+    return forum.page_links(_table(spark, sf, "pages").select("page_id", "url", F.concat("html", bar).alias("html")))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'group' ELSE 'subject' END END AS kind, CASE WHEN doc_id % 3 < 2 THEN doc_id END AS id,
-  CASE WHEN doc_id % 3 < 2 THEN 'https://bgm.tv/' || CASE WHEN doc_id % 2 = 0 THEN 'group' ELSE 'subject' END || '/topic/' || CAST(doc_id AS STRING) END AS canonical FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN CASE WHEN doc_id % 2 = 0 THEN 'group' ELSE 'subject' END END AS kind, CASE WHEN doc_id % 6 < 4 THEN doc_id END AS id,
+  CASE WHEN doc_id % 6 < 4 THEN 'https://bgm.tv/' || CASE WHEN doc_id % 2 = 0 THEN 'group' ELSE 'subject' END || '/topic/' || CAST(doc_id AS STRING) END AS canonical FROM documents""")
 def e16_topic_urls(spark: SparkSession, sf: str) -> DataFrame:
-    host = F.element_at(F.array(F.lit("https://bgm.tv"), F.lit("http://chii.in"), F.lit("https://x.org")), (F.col("doc_id") % 3 + 1).cast("int"))
+    """Addresses of the site's names and of two others."""
+    host = F.element_at(F.array(*[F.lit(h) for h in ("https://bgm.tv", "http://m.bgm.tv", "www.bangumi.tv", "https://m.bangumi.tv", "https://chii.in", "https://bgm.tv.example.org")]), (F.col("doc_id") % 6 + 1).cast("int"))
     url = F.concat(host, F.when(F.col("doc_id") % 2 == 0, "/group").otherwise("/subject"), F.lit("/topic/"), F.col("doc_id").cast("string"), F.lit("?page=2"))
     return _table(spark, sf, "documents").select("doc_id", forum.topic_url(url).alias("t")).select("doc_id", "t.kind", "t.id", "t.canonical")
 
@@ -346,15 +353,18 @@ def j6_rewritten_links(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.rewrite_links(derived(spark, sf, "notes"), mapping).select("note_id", "new_text")
 
 
-@query(_REFS + " SELECT DISTINCT f.path, f.size FROM files f JOIN resolved s ON f.path = s.resolved_path JOIN refs r USING (target) WHERE r.note_id % 2 = 0")
+@query(_REFS + " SELECT DISTINCT f.path, f.size FROM files f JOIN resolved s ON f.path = s.resolved_path JOIN refs r USING (target) WHERE r.folder = (SELECT min(folder) FROM notes)")
 def j7_images_used(spark: SparkSession, sf: str) -> DataFrame:
-    some = links.image_refs(derived(spark, sf, "notes")).where("note_id % 2 = 0")
-    return resolve.images_used_by(derived(spark, sf, "files"), some).select("path", "size")
+    """Images that the notes of the first folder use."""
+    notes = derived(spark, sf, "notes")
+    folder = notes.agg(F.min("folder")).first()[0] or "/"
+    return resolve.images_used_by(derived(spark, sf, "files"), links.image_refs(sources.in_folder(notes, folder))).select("path", "size")
 
 
-@query(r"""SELECT doc_id AS note_id, '讨论 $' || substr('abcdefghijklmnopqrstuvwxyz', CAST(doc_id % 26 + 1 AS INT), 1) || '$ 的模长，λ 值' AS last FROM documents""")
+@query(r"""WITH l AS (SELECT *, substr('abcdefghijklmnopqrstuvwxyz', CAST(doc_id % 26 + 1 AS INT), 1) AS x FROM documents)
+SELECT doc_id AS note_id, regexp_replace(text, '[$`]', '', 'g') || chr(10) || '设 $' || x || ' = \mathrm{Re} Z$ 已知' || chr(10) || '讨论 $' || x || '$ 的模长，λ 值' AS new_text FROM l""")
 def j8_wrapped_variables(spark: SparkSession, sf: str) -> DataFrame:
-    return formulas.wrap_declared(_math_notes(spark, sf)).select("note_id", F.element_at(F.split("new_text", "\n"), -1).alias("last"))
+    return formulas.wrap_declared(_math_notes(spark, sf)).select("note_id", "new_text")
 
 
 # --- aggregates -------------------------------------------------------------------------------------------
@@ -396,10 +406,14 @@ def a6_ambiguous_names(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.ambiguous_names(derived(spark, sf, "files"))
 
 
-@query(with_tables("notes") + " SELECT count(*) AS n_changed, min(note_id) AS first_note FROM notes WHERE note_id % 10 IN (0, 3, 4, 5, 8, 1, 7)")
+@query(with_tables("notes") + r""", p AS (SELECT note_id, CASE note_id % 10 WHEN 1 THEN 2 WHEN 4 THEN 2 WHEN 8 THEN 2 WHEN 2 THEN 0 WHEN 6 THEN 0 WHEN 9 THEN 0 ELSE 1 END AS changed,
+  CASE note_id % 10 WHEN 2 THEN 1 WHEN 9 THEN 2 ELSE 0 END AS skipped, regexp_extract_all(text, '!\[\[[^\]|]+(?:\|[^\]]*)?\]\]', 0) AS x FROM notes)
+SELECT note_id, changed::BIGINT AS changed, skipped::BIGINT AS skipped,
+  array_to_string(list_transform(x, lambda e: e || ' -> ' || regexp_replace(e, '(?:\|[^\]]*)?\]\]$', '|120]]')), chr(10)) AS samples FROM p WHERE changed + skipped > 0""")
 def a7_size_preview(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes that a run to 120 would change: all with an embed that has no such size yet, in code too."""
-    return links.size_changes(derived(spark, sf, "notes").where("note_id % 10 not in (2, 9)"), "120").agg(F.count(F.lit(1)).alias("n_changed"), F.min("note_id").alias("first_note"))
+    """What a run to 120 would change and pass over in each note, in code too, and its first links before and after."""
+    found = links.size_preview(derived(spark, sf, "notes"), "120")
+    return found.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat(x["before"], F.lit(" -> "), x["after"])), "\n"))
 
 
 @query(_REFS + r""" SELECT count(DISTINCT resolved_path) AS n_renames FROM resolved JOIN refs USING (target) WHERE kind = 'wiki' AND resolved_path IS NOT NULL AND NOT regexp_matches(string_split(resolved_path, '/')[-1], '(?i)^Pasted image [0-9]{14}\.[^.]+$')""")
@@ -446,11 +460,10 @@ def w5_sorted_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.sort_blocks(derived(spark, sf, "outlines"))
 
 
-@query(with_tables("files") + r""" SELECT count(*) AS n, count(DISTINCT file_id) AS n_names, 'Pasted image 20260420123045.png' AS first_name FROM files WHERE ext = 'png'""")
+@query(with_tables("files") + r""" SELECT path, 'Pasted image ' || strftime(TIMESTAMP '2026-04-20 12:30:45' + to_seconds(row_number() OVER (ORDER BY path) - 1), '%Y%m%d%H%M%S') || '.png' AS new_name FROM files WHERE ext = 'png'""")
 def w6_allocated_names(spark: SparkSession, sf: str) -> DataFrame:
     files = derived(spark, sf, "files")
-    named = images.allocate_names(files.where("ext = 'png'").select("path", "ext"), files, AS_OF, ["path"])
-    return named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("new_name").alias("n_names"), F.min("new_name").alias("first_name"))
+    return images.allocate_names(files.where("ext = 'png'").select("path", "ext"), files, AS_OF, ["path"]).select("path", "new_name")
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -477,12 +490,9 @@ def w9_image_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def o1_collated_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's place among those of its source and language by its first words, collated with numbers by value."""
-    from pyspark.sql import Window
-
-    key = F.concat(F.substring("text", 1, 12), F.lit(" "), (F.col("doc_id") % 100).cast("string"))
-    w = Window.partitionBy("source", "lang").orderBy(tags.collation_key(key), "doc_id")
-    return _table(spark, sf, "documents").select("doc_id", F.row_number().over(w).alias("place"))
+    """Each document's place among all, by its whole text collated with numbers by value."""
+    docs = _table(spark, sf, "documents").select("doc_id", tags.collation_key(F.col("text")).alias("key"))
+    return numbered_rows(docs, ["key", "doc_id"], "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query(_REFS + """, r AS (SELECT note_id, line, ord, target, row_number() OVER (PARTITION BY folder ORDER BY note_id, line, ord) AS n FROM refs) SELECT note_id, line, ord, target FROM r WHERE n <= 5""")
@@ -512,10 +522,10 @@ def _text_query(name: str, change: Callable, table: str = "notes", sql: str = ""
 
 _text_query("t1_fixed_indents", lambda t: typeset.fix_indent(F.concat(F.lit(" \tlead\n    four\n"), t)), "outlines", with_tables("outlines") + r" SELECT note_id, chr(9) || 'lead' || chr(10) || chr(9) || 'four' || chr(10) || text AS new_text FROM outlines")
 _text_query("t2_fixed_markers", lambda t: typeset.fix_markers(F.concat(F.lit(">>quote\n-    item\n##   head\n\n"), t)), "outlines", with_tables("outlines") + r" SELECT note_id, '> > quote' || chr(10) || '- item' || chr(10) || '## head' || chr(10) || chr(10) || text AS new_text FROM outlines")
-_text_query("t7_image_sizes", lambda t: links.sized_links(t, "120"))
+_text_query("t7_image_sizes", lambda t: links.sized_links(t, "120"), sql=with_tables("notes") + r""" SELECT note_id, regexp_replace(text, '!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', '![[\1|120]]', 'g') AS new_text FROM notes""")
 _text_query("t9_spacing", lambda t: spacing.fix_spacing(F.concat(F.lit("用anki卡片记笔记\n"), t)))
-_text_query("t14_blank_lines", lambda t: typeset.fix_blank_lines(F.concat(F.lit(" \t\n"), t)), "outlines")
-_text_query("t15_tag_layout", lambda t: tags.tag_layout(t))
+_text_query("t14_blank_lines", lambda t: typeset.fix_blank_lines(F.concat(F.lit(" \t\n"), t)), "outlines", with_tables("outlines") + r""" SELECT note_id, array_to_string(list_transform(string_split(' ' || chr(9) || chr(10) || text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^[\s\x{00a0}]+$') THEN '' ELSE x END), chr(10)) AS new_text FROM outlines""")
+_text_query("t15_tag_layout", lambda t: tags.tag_layout(t), sql=with_tables("notes") + r""" SELECT note_id, regexp_replace(regexp_replace(text, '\n(!\[\[missing_[0-9]+\.png\]\]) #topic (!\[\[[0-9]+\.5\.png\]\])$', chr(10) || '\1 \2 #topic'), '\nplain #(tag-[0-9]) text$', chr(10) || 'plain text #\1') AS new_text FROM notes""")
 
 
 @query(_MESSAGES + """, o AS (SELECT note_id, "user", h, mi, body, row_number() OVER (PARTITION BY note_id ORDER BY mi, seq) AS p FROM m)
@@ -524,14 +534,17 @@ def t3_rendered_chats(spark: SparkSession, sf: str) -> DataFrame:
     return chat.render_chat(derived(spark, sf, "chats"), DAY, chat.ChatOptions(merge_same_user=False))
 
 
-@query("SELECT conv_id, turn, trim(replace(text, chr(10), ' '), ' ' || chr(9) || chr(13)) AS body FROM conversations")
+@query(r"""WITH p AS (SELECT conv_id, turn, '@name ' || trim(replace(text, chr(10), ' '), ' ' || chr(9) || chr(13)) || ' @other 大家好 a@b.example' AS x FROM conversations)
+SELECT conv_id, turn, rtrim(regexp_replace(x, '(^|\s)[@＠][^\s@＠]+[ \t]*', '\1', 'g'), ' ') AS body FROM p""")
 def t4_dropped_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn between two mentions and an address, which is none."""
     plain = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), r"^[ \t\r]+|[ \t\r]+$", "")
-    body = chat.without_mentions(F.array(F.concat(F.lit("@name "), plain)))
-    return _table(spark, sf, "conversations").where("not text rlike '(^|\\\\s)@'").select("conv_id", "turn", F.coalesce(F.get(body, F.lit(0)), F.lit("")).alias("body"))
+    body = chat.without_mentions(F.array(F.concat(F.lit("@name "), plain, F.lit(" @other 大家好 a@b.example"))))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.get(body, F.lit(0)), F.lit("")).alias("body"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS u, rtrim(replace(text, chr(10), ' '), ' ') AS body FROM conversations)
+SELECT conv_id AS topic, string_agg('**' || u || '** (sig) #' || CAST(turn AS STRING) || ' · 2025-09-15 20:26' || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS text FROM p GROUP BY conv_id""")
 def t5_rendered_threads(spark: SparkSession, sf: str) -> DataFrame:
     return forum.render_threads(forum.floors(_pasted(spark, sf)), forum.ForumOptions(show_floor=True, show_time=True))
 
@@ -554,11 +567,10 @@ def t13_chapters_and_widths(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", line("章矩阵").alias("spaced"), line("章、矩阵").alias("kept"), spacing.space_line(F.concat(F.lit("元素: $A$"), F.when(F.col("doc_id") < 0, n).otherwise(""))).alias("wide"))
 
 
-@query(r"""SELECT doc_id AS note_id, '设 $\alpha x$，值' AS last FROM documents""")
+@query(r"""SELECT doc_id AS note_id, replace(text, '`', '') || chr(10) || '设 $\alpha x$，值' AS new_text FROM documents""")
 def t16_symbols_to_commands(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat("text", F.lit("\n设 $αx$，值"))
-    done = _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), formulas.symbols_to_commands(F.regexp_replace(text, "`", "")).alias("t"))
-    return done.select("note_id", F.element_at(F.split("t", "\n"), -1).alias("last"))
+    text = F.regexp_replace(F.concat("text", F.lit("\n设 $αx$，值")), "`", "")
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), formulas.symbols_to_commands(text).alias("new_text"))
 
 
 @query()
@@ -581,29 +593,57 @@ def g2_organise_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan
 
 
-@query()
+_NAMED = _REFS + r""", f AS (SELECT s.resolved_path, min((r.note_id, r.line, r.ord, r.folder)) AS m FROM refs r JOIN resolved s USING (target) WHERE kind = 'wiki' AND s.resolved_path IS NOT NULL AND {which} GROUP BY 1),
+chosen AS (SELECT f.resolved_path, m[1] AS note_id, m[4] AS folder, files.ext FROM f JOIN files ON path = resolved_path WHERE {files}),
+dated AS (SELECT *, 'Pasted image ' || strftime(TIMESTAMP '2026-04-20 12:30:45' + to_seconds(row_number() OVER (ORDER BY note_id, resolved_path) - 1), '%Y%m%d%H%M%S') || '.' || lower(ext) AS new_name FROM chosen)
+SELECT 'rename' AS action, resolved_path AS src, {want} || '/' || new_name AS dst, note_id, NULL::VARCHAR AS reason FROM dated"""
+_GARBLED = _NAMED.replace("{which}", r"""(regexp_matches(regexp_extract(string_split(target, '#')[1], '[^/]*$'), '[\\%{}()\[\]~`^]') OR regexp_matches(regexp_extract(string_split(target, '#')[1], '[^/]*$'), '^[0-9.\s_-]+\.(png|jpg|jpeg|gif|bmp|webp|heic)$'))""").replace("{files}", "true").replace("{want}", "folder")
+_PRESET = _NAMED.replace("{which}", "true").replace("{files}", r"""(NOT regexp_matches(name, '(?i)^Pasted image [0-9]{14}\.[^.]+$') OR lower(name) IN (SELECT lower(name) FROM files GROUP BY 1 HAVING count(*) > 1))""").replace("{want}", "regexp_replace(resolved_path, '/[^/]*$', '')")
+
+
+
+@query(_GARBLED)
 def g3_garbled_renames(spark: SparkSession, sf: str) -> DataFrame:
-    plan, _ = image_plans.rename_plan(derived(spark, sf, "notes"), derived(spark, sf, "files"), AS_OF)
+    plan, _ = image_plans.rename_plan(derived(spark, sf, "notes"), derived(spark, sf, "files"), AS_OF, canvases=derived(spark, sf, "canvases"))
     return plan
 
 
-@query()
+@query(_GARBLED)
+def s7_change_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan of the query before, written by action and read again."""
+    at = f"{shared_folder(spark)}/notewright/plan-{uuid.uuid4().hex}"
+    sources.write_plan(g3_garbled_renames(spark, sf), at)
+    schema = "src string, dst string, note_id long, reason string, action string"
+    return spark.read.schema(schema).parquet(at).select("action", "src", "dst", "note_id", "reason")
+
+
+@query(_PRESET)
 def g4_preset_renames(spark: SparkSession, sf: str) -> DataFrame:
-    plan, _ = image_plans.rename_plan(derived(spark, sf, "notes"), derived(spark, sf, "files"), AS_OF, garbled_only=False)
+    plan, _ = image_plans.rename_plan(derived(spark, sf, "notes"), derived(spark, sf, "files"), AS_OF, garbled_only=False, canvases=derived(spark, sf, "canvases"))
     return plan
 
 
-@query()
+@query(with_tables("notes") + r""", have AS (SELECT 'file:///C:/pics/pic_' || CAST(doc_id AS STRING) || '.png' AS path FROM documents WHERE lang = 'en'),
+asked AS (SELECT note_id, folder, regexp_extract(text, '\((file:[^)]*)\)', 1) AS src FROM notes WHERE note_id % 10 = 9),
+named AS (SELECT *, 'Pasted image ' || strftime(TIMESTAMP '2026-04-20 12:30:45' + to_seconds(row_number() OVER (ORDER BY note_id, src) - 1), '%Y%m%d%H%M%S') || '.webp' AS new_name FROM asked JOIN have ON src = path)
+SELECT 'import' AS action, src, folder || '/' || new_name AS dst, note_id, NULL::VARCHAR AS reason FROM named
+UNION ALL SELECT 'skip', src, NULL, note_id, 'unreadable' FROM asked WHERE src NOT IN (SELECT path FROM have)""")
 def g5_external_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be read: the pictures of English documents."""
     notes = derived(spark, sf, "notes")
-    have = links.external_images(notes).where("note_id % 20 = 9").select(F.col("target").alias("path"), F.lit("png").alias("ext")).distinct()
+    have = _table(spark, sf, "documents").where("lang = 'en'").select(F.expr("'file:///C:/pics/pic_' || CAST(doc_id AS STRING) || '.png'").alias("path"), F.lit("png").alias("ext"))
     return image_plans.import_plan(notes, have, derived(spark, sf, "files"), AS_OF, target="webp")
 
 
-@query()
+@query(with_tables("notes") + r""", have AS (SELECT 'https://x.org/a/' || CAST(doc_id AS STRING) || '.jpg?s=1' AS path FROM documents WHERE lang = 'en'),
+asked AS (SELECT note_id, folder, regexp_extract(text, '(https://x.org/a/[0-9]+\.jpg\?s=1)', 1) AS src FROM notes WHERE note_id % 10 = 9),
+named AS (SELECT *, 'Pasted image ' || strftime(TIMESTAMP '2026-04-20 12:30:45' + to_seconds(row_number() OVER (ORDER BY note_id, src) - 1), '%Y%m%d%H%M%S') || '.jpg' AS new_name FROM asked JOIN have ON src = path)
+SELECT 'import' AS action, src, folder || '/' || new_name AS dst, note_id, NULL::VARCHAR AS reason FROM named
+UNION ALL SELECT 'skip', src, NULL, note_id, 'unreadable' FROM asked WHERE src NOT IN (SELECT path FROM have)""")
 def g6_remote_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be read: the pictures of English documents."""
     notes = derived(spark, sf, "notes")
-    have = links.remote_images(notes).where("note_id % 20 = 9").select(F.col("url").alias("path"), F.lit("jpg").alias("ext")).distinct()
+    have = _table(spark, sf, "documents").where("lang = 'en'").select(F.expr("'https://x.org/a/' || CAST(doc_id AS STRING) || '.jpg?s=1'").alias("path"), F.lit("jpg").alias("ext"))
     return image_plans.import_plan(notes, have, derived(spark, sf, "files"), AS_OF, remote=True)
 
 
@@ -627,3 +667,14 @@ def x3_distinct_post_stream(spark: SparkSession, sf: str) -> DataFrame:
     posts = stream.select(F.col("conv_id").alias("topic"), (F.col("turn") % 2).cast("string").alias("floor"), F.col("role").alias("user"), F.col("text").alias("body"), F.lit("2025-09-15 20:26:00").cast("timestamp").alias("ts"))
     edits.distinct_post_stream(posts).select("topic").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("topic long").parquet(f"{at}/out").groupBy("topic").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
+@query()
+def x1_tidied_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as notes that arrive as files; what the stream lays out is appended to a table and read."""
+    at = f"{shared_folder(spark)}/notewright/stream-{uuid.uuid4().hex}"
+    schema = _table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/documents.parquet")
+    notes = stream.select(F.col("doc_id").alias("note_id"), F.concat("source", F.lit("/n.md")).alias("path"), F.col("source").alias("folder"), F.concat("text", F.lit("\n##  head\n\n\n3. x\n4. y")).alias("text"))
+    edits.tidy_stream(notes, f"{at}/out", f"{at}/checkpoint", layout.LayoutOptions(chat=None, forum=None)).awaitTermination()
+    return spark.read.schema(notes.schema).parquet(f"{at}/out").select("note_id", "text")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright import queries
-from notewright.functions import links
+from notewright.functions import links, tags
 from notewright.operators import images, resolve
 from notewright.plans import images as plans
 from notewright.plans.typeset import LayoutOptions, typeset
@@ -16,7 +16,7 @@ from notewright.sources import notes as sources
 from notewright.streaming import edits
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["j1_resolved_links", "j4_unreferenced_images", "a4_keepers", "e1_image_embeds", "w2_merged_senders", "w4_fixed_headings", "p4_converted_names", "u3_set_differences", "x2_settled_edits"]
+CHEAP = ["j1_resolved_links", "j4_unreferenced_images", "a4_keepers", "e1_image_embeds", "w2_merged_senders", "w4_fixed_headings", "p4_converted_names", "u3_set_differences", "x2_settled_edits", "e8_note_tags", "e15_page_links", "e16_topic_urls", "w6_allocated_names", "a7_size_preview", "g4_preset_renames", "t15_tag_layout"]
 
 
 def canonical(frame, columns):
@@ -197,6 +197,13 @@ def test_partition_counts_do_not_matter(spark):
     assert one == many
 
 
+def test_collated_order_is_that_of_one_sort(spark):
+    got = queries.QUERIES["o1_collated_order"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [r["doc_id"] for r in docs.orderBy(tags.collation_key(F.col("text")), "doc_id").select("doc_id").collect()]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(len(want)))
+
+
 def test_entry_without_the_extra_operators(spark):
     import __spark_entry__ as entry
 
