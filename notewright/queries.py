@@ -82,6 +82,14 @@ hits AS (SELECT target, path, 0 AS p FROM asked JOIN files ON contains(t, '/') A
 resolved AS (SELECT target, CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN min(path) FILTER (WHERE p = 0) WHEN count(*) = 1 THEN min(path) END AS resolved_path,
                CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 1 ELSE count(*) END AS n_candidates FROM hits GROUP BY target)"""
 
+_ORGANISED = _DOCS + _REFS.removeprefix(with_tables("notes", "files")) + r""",
+away AS (SELECT DISTINCT r.note_id, r.target, r.folder || '/attachments' AS want, s.resolved_path FROM refs r JOIN resolved s USING (target) WHERE kind = 'wiki' AND s.resolved_path IS NOT NULL),
+used AS (SELECT name AS used_name, count(DISTINCT note_id) AS n FROM names GROUP BY 1),
+organised AS (SELECT CASE WHEN coalesce(n, 0) <= 1 THEN 'move' ELSE 'copy' END AS action, resolved_path AS src, want || '/' || name AS dst, note_id, NULL::VARCHAR AS reason
+              FROM away JOIN files ON path = resolved_path LEFT JOIN used ON used_name = lower(name) WHERE folder <> want
+              UNION ALL SELECT 'skip', r.target, NULL, r.note_id, CASE WHEN coalesce(s.n_candidates, 0) > 1 THEN 'ambiguous' ELSE 'missing' END
+              FROM refs r LEFT JOIN resolved s USING (target) WHERE kind = 'wiki' AND s.resolved_path IS NULL)"""
+
 # --- sources, sets and reports ----------------------------------------------------------------------------
 
 
@@ -421,7 +429,7 @@ def a8_rename_preview(spark: SparkSession, sf: str) -> DataFrame:
     return image_plans.rename_preview(derived(spark, sf, "notes"), derived(spark, sf, "files"))
 
 
-@query()
+@query(_ORGANISED + " SELECT action, count(*) AS n, coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason), '') AS reasons FROM organised GROUP BY action")
 def a9_organise_report(spark: SparkSession, sf: str) -> DataFrame:
     plan, _ = image_plans.organise_plan(derived(spark, sf, "notes"), derived(spark, sf, "canvases"), derived(spark, sf, "files"))
     return sources.organise_report(plan)
@@ -555,7 +563,10 @@ def t6_dropped_smilies(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", forum.without_smilies(marked).alias("text"))
 
 
-@query()
+@query(_REFS + r""", shared AS (SELECT lower(name) AS l FROM files GROUP BY 1 HAVING count(*) > 1),
+wanted AS (SELECT DISTINCT note_id, string_split(target, '#')[1] AS old, CASE WHEN lower(regexp_extract(resolved_path, '[^/]*$')) IN (SELECT l FROM shared) THEN resolved_path ELSE regexp_extract(resolved_path, '[^/]*$') END AS new
+           FROM refs JOIN resolved USING (target) WHERE kind = 'wiki' AND resolved_path IS NOT NULL)
+SELECT note_id, replace(text, '![[' || old, '![[' || new) AS new_text FROM wanted JOIN notes USING (note_id) WHERE old <> new""")
 def t8_link_format(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.link_format(derived(spark, sf, "notes"), derived(spark, sf, "files"), full=False).select("note_id", "new_text")
 
@@ -587,7 +598,7 @@ def g1_tidy_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan
 
 
-@query()
+@query(_ORGANISED + " SELECT action, src, dst, note_id, reason FROM organised")
 def g2_organise_plan(spark: SparkSession, sf: str) -> DataFrame:
     plan, _ = image_plans.organise_plan(derived(spark, sf, "notes"), derived(spark, sf, "canvases"), derived(spark, sf, "files"))
     return plan
