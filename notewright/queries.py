@@ -64,6 +64,13 @@ found AS (
 names AS (SELECT note_id, lower(string_split(trim(string_split(t, '#')[1]), '/')[-1]) AS name FROM found
           WHERE regexp_matches(trim(string_split(t, '#')[1]), '(?i)\\.(png|jpg|jpeg|gif|bmp|webp|heic|avif|svg)$'))"""
 
+#: What the asked targets resolve to.
+_RESOLVED = """hits AS (SELECT target, path, 0 AS p FROM asked JOIN files ON contains(t, '/') AND path = t
+         UNION ALL SELECT target, path, 1 FROM asked JOIN files ON contains(t, '/') AND ends_with(lower(path), '/' || lower(t))
+         UNION ALL SELECT target, path, 1 FROM asked JOIN files ON NOT contains(t, '/') AND lower(name) = lower(t)),
+resolved AS (SELECT target, CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN min(path) FILTER (WHERE p = 0) WHEN count(*) = 1 THEN min(path) END AS resolved_path,
+               CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 1 ELSE count(*) END AS n_candidates FROM hits GROUP BY target)"""
+
 _REFS = with_tables("notes", "files") + """,
 rows AS (SELECT note_id, folder, unnest(range(len(ls))) AS line, unnest(ls) AS x FROM (SELECT note_id, folder, string_split(text, chr(10)) AS ls FROM notes)),
 marked AS (SELECT *, regexp_matches(x, '^[ \\t]*(```|~~~)') AS fence,
@@ -76,11 +83,7 @@ kept AS (SELECT note_id, folder, line, list_filter(w, lambda t: regexp_matches(s
 refs AS (SELECT note_id, folder, line::INTEGER AS line, unnest(range(len(w)))::INTEGER AS ord, 'wiki' AS kind, unnest(w) AS target FROM kept
          UNION ALL SELECT note_id, folder, line::INTEGER, (len(w) + unnest(range(len(m))))::INTEGER, 'markdown', unnest(m) FROM kept),
 asked AS (SELECT DISTINCT target, regexp_replace(trim(string_split(target, '#')[1]), '^\\./', '') AS t FROM refs),
-hits AS (SELECT target, path, 0 AS p FROM asked JOIN files ON contains(t, '/') AND path = t
-         UNION ALL SELECT target, path, 1 FROM asked JOIN files ON contains(t, '/') AND ends_with(lower(path), '/' || lower(t))
-         UNION ALL SELECT target, path, 1 FROM asked JOIN files ON NOT contains(t, '/') AND lower(name) = lower(t)),
-resolved AS (SELECT target, CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN min(path) FILTER (WHERE p = 0) WHEN count(*) = 1 THEN min(path) END AS resolved_path,
-               CASE WHEN count(*) FILTER (WHERE p = 0) > 0 THEN 1 ELSE count(*) END AS n_candidates FROM hits GROUP BY target)"""
+""" + _RESOLVED
 
 _ORGANISED = _DOCS + _REFS.removeprefix(with_tables("notes", "files")) + r""",
 away AS (SELECT DISTINCT r.note_id, r.target, r.folder || '/attachments' AS want, s.resolved_path FROM refs r JOIN resolved s USING (target) WHERE kind = 'wiki' AND s.resolved_path IS NOT NULL),
@@ -592,7 +595,15 @@ def t17_typeset(spark: SparkSession, sf: str) -> DataFrame:
 # --- plans ------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(_GROUPS + r""", drops AS (SELECT path AS dropped, keeper FROM kept WHERE path <> keeper),
+asked AS (SELECT DISTINCT t AS target, regexp_replace(trim(string_split(t, '#')[1]), '^\./', '') AS t FROM found
+          WHERE regexp_matches(trim(string_split(t, '#')[1]), '(?i)\.(png|jpg|jpeg|gif|bmp|webp|heic|avif|svg)$')),
+""" + _RESOLVED + r""", spared AS (SELECT * FROM files WHERE path NOT IN (SELECT dropped FROM drops)),
+linked AS (SELECT lower(regexp_extract(coalesce(keeper, t), '[^/]*$')) AS name FROM asked LEFT JOIN resolved USING (target) LEFT JOIN drops ON dropped = resolved_path)
+SELECT 'trash' AS action, dropped AS src, keeper AS dst, NULL::BIGINT AS note_id, 'copy' AS reason FROM drops
+UNION ALL SELECT 'convert', path, regexp_replace(path, '\.[^./]+$', '.webp'), NULL, NULL FROM spared
+  WHERE ext IN ('png', 'jpg') AND lower(regexp_replace(path, '\.[^./]+$', '.webp')) NOT IN (SELECT lower(path) FROM spared)
+UNION ALL SELECT 'trash', path, NULL, NULL, 'unused' FROM spared WHERE lower(name) NOT IN (SELECT name FROM linked)""")
 def g1_tidy_plan(spark: SparkSession, sf: str) -> DataFrame:
     plan, _ = image_plans.tidy_plan(derived(spark, sf, "notes"), derived(spark, sf, "canvases"), derived(spark, sf, "files"))
     return plan
