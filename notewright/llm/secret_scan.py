@@ -29,20 +29,25 @@ from notewright.llm.shared import pieces, small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+#: One of these stands in the name of every assignment.
+NAMES = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: The same over line breaks, as MIME, PEM and the base64 tool wrap it; lines may be indented.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:(?:\r?\n[ \t]*)?={1,2})*")
+#: What may stand between the lines of wrapped base64: a line break, blanks before and after it, marks of a quotation; or
+#: the break as JSON and code write it, a backslash and a letter. All repeats are possessive, so a run is read once.
+BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?:>[ \t]*+)*+")
+#: Base64 over such breaks, as MIME, PEM and the base64 tool wrap it.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++(?:(?:{BREAK.pattern})?+={{1,2}}+)*+")
 ODD = re.compile("[\udc80-\udcff]")
 CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){8,}[\t\n\r -~]?|(?:\x00[\t\n\r -~]){8,}")
-RUN_BYTES = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
-#: How the base64 of gzip, bzip2 and xz data begins, wherever it stands; that of zlib data is looked for after a mark.
-PACKED = re.compile(r"H4sI|Qlpo|/Td6WFo|_Td6WFo|(?<=[/_+-])[eaCGK][0-9A-Za-z+/_-]{3}")
+RUN_BYTES = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:" + BREAK.pattern.encode() + rb"[A-Za-z0-9+/_-]++)*+")
+#: How the base64 of gzip, bzip2, xz and lzma data begins, wherever it stands; that of zlib data is looked for after a mark.
+PACKED = re.compile(r"H4sI|Qlpo|/Td6WFo|_Td6WFo|XQAA|(?<=[/_+-])[eaCGK][0-9A-Za-z+/_-]{3}")
 #: A layer that unpacks to more is read in pieces, each with the start of the next.
 LAYER_BYTES, PIECE_BYTES, OVERLAP_BYTES, STEP_BYTES = 64 << 20, 8 << 20, 1 << 20, 1 << 20
 #: Text of one batch.
@@ -67,9 +72,11 @@ class Layer(NamedTuple):
 
 def found(text: str) -> Iterator[tuple[str, int, int]]:
     """Secrets of one layer: leftmost, non-overlapping for each kind; matches that are too short are dropped."""
-    for m in ASSIGN.finditer(text):
-        if len(m[2]) >= 8:
-            yield "assign", m.start(), m.end()
+    low = text.lower()
+    if any(name in low for name in NAMES):  # else no match begins, and the search for one is slow
+        for m in ASSIGN.finditer(text):
+            if len(m[2]) >= 8:
+                yield "assign", m.start(), m.end()
     for m in ACCESS.finditer(text):
         if len(m[0]) >= 16:
             yield "access", m.start(), m.end()
@@ -77,9 +84,22 @@ def found(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
+def _codes(text: str) -> np.ndarray:
+    """The code points of a text, lone surrogates included."""
+    return np.array([text]).view(np.uint32) if text else np.empty(0, np.uint32)
+
+
+def _mended(text: str) -> str:
+    """The text with U+FFFD for each byte that was no UTF-8."""
+    if not ODD.search(text):
+        return text
+    c = _codes(text)
+    return np.where((c >= 0xDC80) & (c <= 0xDCFF), 0xFFFD, c).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def _widths(text: str) -> np.ndarray:
     """How many bytes of UTF-8 each character took; a lone surrogate stands for one byte that was no UTF-8."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _codes(text)
     return np.where((c < 0x80) | ((c >= 0xDC80) & (c <= 0xDCFF)), 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))).astype(np.int32)
 
 
@@ -105,7 +125,7 @@ def _percent(line: str) -> tuple[str, np.ndarray]:
     kept[at + 1] = kept[at + 2] = False
     text = out[kept].tobytes().decode("utf-8", "surrogateescape")
     begins = np.cumsum(_widths(text), dtype=np.int32)
-    return ODD.sub("\ufffd", text), np.concatenate(([0], np.append(place[kept], len(line))[begins]))
+    return _mended(text), np.concatenate(([0], np.append(place[kept], len(line))[begins]))
 
 
 def _escapes(line: str) -> tuple[str, np.ndarray]:
@@ -123,9 +143,11 @@ def _escapes(line: str) -> tuple[str, np.ndarray]:
 
 
 def _decompressor(data: bytes):  # noqa: ANN202
-    """A decompressor for gzip, zlib, bzip2 or xz data; None where the bytes are none of these."""
+    """A decompressor for gzip, zlib, bzip2, xz or lzma data; None where the bytes are none of these."""
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
+    if data[:3] == b"\x5d\0\0" and len(data) > 12 and (data[5:13] == b"\xff" * 8 or data[11:13] == b"\0\0"):
+        return lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=1 << 30)
     if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
         return zlib.decompressobj()
     if data[:3] == b"BZh":
@@ -142,7 +164,7 @@ def _unpacking(source: Iterator[bytes]) -> Iterator[bytes]:
     """
     held, members = b"", 0
     while True:
-        while len(held) < 6 and (more := next(source, None)) is not None:
+        while len(held) < 13 and (more := next(source, None)) is not None:
             held = (held + more).lstrip(b"\0") if members else held + more
         opened = _decompressor(held)
         if opened is None:
@@ -171,6 +193,16 @@ def _marked(text: str) -> bool:
     return any(sought.search(text) for sought in (PERCENT, ESCAPE, BASE64)) or next(found(text), None) is not None
 
 
+def _every_other_is_zero(data: bytes) -> bool:
+    """Whether eight bytes, each two after the last, are zero anywhere, as in every match of WIDE."""
+    if data.count(0) < 8:
+        return False
+    zero = np.frombuffer(data, np.uint8) == 0
+    for step in (2, 4, 8):
+        zero = zero[:-step] & zero[step:]
+    return bool(zero.any())
+
+
 def _readings(data: bytes, plain_counts: bool = True) -> Iterator[tuple[str, int, bool]]:
     """Texts in bytes, the byte at which each begins, and whether a character takes two bytes (ASCII in UTF-16).
 
@@ -180,7 +212,7 @@ def _readings(data: bytes, plain_counts: bool = True) -> Iterator[tuple[str, int
     plain = plain_counts and not CONTROL.search(text) and not ODD.search(text)
     if text and (plain or _marked(text)):
         yield text, 0, False
-    if not plain:
+    if not plain and _every_other_is_zero(data):
         for m in WIDE.finditer(data):
             if _marked(text := m[0].replace(b"\0", b"").decode()):
                 yield text, m.start(), True
@@ -196,15 +228,23 @@ def _data(run: str) -> bytes | None:
         return None
 
 
-def _opened(data: bytes) -> Iterator[str]:
+def _steps(data: memoryview) -> Iterator[bytes]:
+    """Bytes in steps, short ones first: what only looks like compressed data is not read further than the decompressor does."""
+    at, size = 0, 64
+    while at < len(data):
+        yield bytes(data[at : at + size])
+        at, size = at + size, min(2 * size, STEP_BYTES)
+
+
+def _opened(stream: Iterator[bytes]) -> Iterator[str]:
     """The texts in compressed bytes, however often they are compressed."""
-    work, met = [data], set()
+    work, met = [stream], set()
     while work:
-        stream, out = _unpacking(iter((work.pop(),))), bytearray()
-        for piece in stream:
+        inner, out = _unpacking(work.pop()), bytearray()
+        for piece in inner:
             out += piece
             if len(out) > LAYER_BYTES:
-                yield from _pieces(itertools.chain((bytes(out),), stream))
+                yield from _pieces(itertools.chain((bytes(out),), inner))
                 break
         else:
             out = bytes(out)
@@ -213,8 +253,53 @@ def _opened(data: bytes) -> Iterator[str]:
                 continue
             met.add(key)
             for text, _, _ in _readings(out):
-                yield ODD.sub("\ufffd", text)
-            work.append(out)
+                yield _mended(text)
+            work.append(iter((out,)))
+
+
+def _inflated(data: bytes) -> Iterator[str]:
+    """The texts in deflated bytes without a header. As almost anything may look so, they must end well and hold a secret or
+    something to unwrap."""
+    if not data or data[0] & 6 == 6:  # no kind of block
+        return
+    opened, out = zlib.decompressobj(-15), bytearray()
+    try:
+        for step in _steps(memoryview(data)):
+            out += opened.decompress(step, LAYER_BYTES + 1 - len(out))
+            if opened.eof or len(out) > LAYER_BYTES:
+                break
+    except zlib.error:
+        return
+    if opened.eof and out:
+        yield from _marked_texts(bytes(out))
+    elif len(out) > LAYER_BYTES:
+        yield from _pieces(_raw(data))
+
+
+def _raw(data: bytes) -> Iterator[bytes]:
+    opened, held = zlib.decompressobj(-15), data
+    while held and not opened.eof:
+        try:
+            yield opened.decompress(held, STEP_BYTES)
+        except zlib.error:
+            return
+        held = opened.unconsumed_tail
+
+
+def _gzip_body(data: bytes, zeros: np.ndarray, at: int) -> int | None:
+    """Where the deflated data of a gzip member begin whose header begins at ``at``; None where the header does not end."""
+    if len(data) < at + 10 or data[at + 2] != 8 or data[at + 3] & 0xE0:
+        return None
+    flags, end = data[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for mark in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & mark:
+            k = int(np.searchsorted(zeros, end))
+            if k == len(zeros):
+                return None
+            end = int(zeros[k]) + 1
+    return end + (2 if flags & 2 else 0)
 
 
 def _pieces(stream: Iterator[bytes]) -> Iterator[str]:
@@ -249,7 +334,7 @@ def _pieces(stream: Iterator[bytes]) -> Iterator[str]:
 
 
 def _marked_texts(data: bytes) -> Iterator[str]:
-    return (ODD.sub("\ufffd", text) for text, _, _ in _readings(data) if _marked(text))
+    return (_mended(text) for text, _, _ in _readings(data) if _marked(text))
 
 
 def _in_step(data: bytearray, cut: int) -> int:
@@ -272,7 +357,8 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray | int]]:
     for m in BASE64.finditer(text):
         yield m[0], m.start()
     for m in WRAPPED.finditer(text):
-        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\s]+", m[0])]
+        breaks = [(m.start(), m.start()), *(x.span() for x in BREAK.finditer(text, m.start(), m.end())), (m.end(), m.end())]
+        lines = [(a[1], b[0]) for a, b in itertools.pairwise(breaks) if b[0] > a[1]]
         cuts, first = {(0, len(lines))}, 0
         for i in range(1, len(lines) + 1):
             width = lines[first][1] - lines[first][0]
@@ -305,12 +391,30 @@ def _in_run(layer: Layer, run: str, at: np.ndarray | int) -> Iterator[Layer]:
     whole = (at, at + end) if isinstance(at, int) else (int(at[0]), int(at[-1]) + 1)
     for skip in range(min(4, end)):
         for inner, byte, wide in _readings(_data(run[skip:]) or b"", skip == 0):
-            yield Layer(ODD.sub("\ufffd", inner), layer, _decoded(run, skip, at, inner, byte, wide))
+            yield Layer(_mended(inner), layer, _decoded(run, skip, at, inner, byte, wide))
+    read: dict[int, tuple[bytes, np.ndarray]] = {}
+    bodies: set[tuple[int, int]] = set()
     for start in sorted({0, *(m.start() for m in PACKED.finditer(run))}):
-        if _decompressor(_data(run[start : start + 12]) or b"") is not None:
-            own = (whole[0] + start if isinstance(at, int) else int(at[start]), whole[1])
-            for inner in _opened(_data(run[start:]) or b""):
-                yield Layer(inner, layer, lambda s, e, own=own: own)
+        head = _data(run[start : start + 20]) or b""
+        if _decompressor(head) is None or head[:3] == b"BZh" and head[4:10] not in (b"1AY&SY", b"\x17rE8P\x90"):
+            continue
+        step = start % 4  # places in one step share their bytes
+        if step not in read:
+            data = _data(run[step:]) or b""
+            read[step] = data, np.flatnonzero(np.frombuffer(data, np.uint8) == 0)
+        data, zeros = read[step]
+        byte = start // 4 * 3
+        if head[:2] == b"\x1f\x8b":
+            # Headers before the same data: the first stands for all.
+            body = _gzip_body(data, zeros, byte)
+            if body is None or (step, body) in bodies:
+                continue
+            bodies.add((step, body))
+        own = (whole[0] + start if isinstance(at, int) else int(at[start]), whole[1])
+        for inner in _opened(_steps(memoryview(data)[byte:])):
+            yield Layer(inner, layer, lambda s, e, own=own: own)
+    for inner in _inflated(_data(run) or b""):
+        yield Layer(inner, layer, lambda s, e: whole)
 
 
 def layers_in(layer: Layer) -> Iterator[Layer]:

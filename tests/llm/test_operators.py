@@ -3,12 +3,14 @@
 import base64
 import bz2
 import collections
+import contextlib
 import functools
 import gzip
 import hashlib
 import itertools
 import lzma
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -74,6 +76,10 @@ SECRET = "password=hunter2hunter2"
 
 
 def wrapped(kind, s):
+    return packed(kind, s)
+
+
+def packed(kind, s):
     return {
         "url": lambda: "".join(f"%{b:02X}" for b in s.encode()),
         "unicode": lambda: "".join(f"\\u{ord(c):04x}" for c in s),
@@ -109,7 +115,7 @@ def test_layers_under_a_compressed_one_keep_its_span():
     assert spans == [("assign", 4, 4 + len(packed))]
 
 
-@pytest.mark.parametrize("eol", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\n  ", " \t\n", "\n> ", "\r\n>> ", "\\n", "\\r\\n"])
 @pytest.mark.parametrize("width", [64, 76])
 @pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
 def test_base64_wrapped_over_lines_is_joined(eol, width, pack):
@@ -170,6 +176,46 @@ def test_runs_that_begin_out_of_step(before, pack):
         assert ("assign", at + 5 * 4 // 3, at - (-(5 + len(SECRET)) * 4 // 3)) in spans
 
 
+def noise(n):
+    return np.random.default_rng(n).bytes(n)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [lambda n: base64.b64encode(noise(n * 3 // 4)).decode(), lambda n: "a" * n, lambda n: noise(n // 2).hex(), lambda n: "/" * n, lambda n: "x " * (n // 2), lambda n: "A" * 20 + " " * n, lambda n: "A" * 20 + "\n" + ">" * n, lambda n: "password" + " " * n],
+    ids=["base64", "letter", "hex", "slashes", "words", "blanks", "quotes", "assign"],
+)
+def test_time_grows_with_the_text(make):
+    """A run of one or four megabytes on one line takes seconds, in proportion."""
+    took = []
+    for n in (1 << 20, 4 << 20):
+        text = make(n)
+        best = 1e9
+        for _ in range(2):
+            start = time.process_time()
+            secret_scan.scan(text)
+            best = min(best, time.process_time() - start)
+        took.append(best)
+    assert took[1] < 15 and took[1] < 8 * took[0] + 0.5  # a quadratic scan would take 16 times as long
+
+
+@pytest.mark.parametrize("start", ["H4sI", "H4sIG", "/eJx", "/Td6WFoA", "XQAAgAD//", "QlpoOTFB"])
+def test_what_only_looks_compressed_is_not_read_to_the_end(start):
+    took = []
+    for n in (40_000, 160_000):
+        begin = time.process_time()
+        secret_scan.scan(start * (n // len(start)))
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_headerless_and_old_formats_open():
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    for data in (deflate.compress(f"some {SECRET} text".encode()) + deflate.flush(), lzma.compress(f"some {SECRET} text".encode(), format=lzma.FORMAT_ALONE)):
+        run = base64.b64encode(data).decode()
+        assert ("assign", 4, 4 + len(run)) in secret_scan.scan(f"see {run} end")[1]
+
+
 def test_a_long_coded_line_takes_little_memory():
     text = "".join(f"%{b:02X}" for b in (f"filler words, é {SECRET} " * 34000).encode())
     assert len(text) > 4_000_000
@@ -181,6 +227,93 @@ def test_a_long_coded_line_takes_little_memory():
     assert len(spans) == 34000 and spans[1] == ("assign", width + 3 * 17, width + 3 * (17 + len(SECRET))) and peak < 250e6
 
 
+ALPHABET = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+
+
+def own_runs(t):
+    """Places of the characters of every base64 run, character by character: single ones, then those over breaks."""
+
+    def letters(i):
+        while i < len(t) and t[i] in ALPHABET:
+            i += 1
+        return i
+
+    def after_break(i):
+        while i < len(t) and t[i] in " \t":
+            i += 1
+        for mark in ("\r\n", "\n", "\\r\\n", "\\n"):
+            if t.startswith(mark, i):
+                i += len(mark)
+                break
+        else:
+            return None
+        while i < len(t) and t[i] in " \t":
+            i += 1
+        while i < len(t) and t[i] == ">":
+            i += 1
+            while i < len(t) and t[i] in " \t":
+                i += 1
+        return i
+
+    i = 0
+    while i < len(t):
+        end = letters(i)
+        if end - i >= 16:
+            tail = end
+            while tail < min(end + 2, len(t)) and t[tail] == "=":
+                tail += 1
+            yield list(range(i, tail))
+        i = max(end, i + 1)
+    i = 0
+    while i < len(t):
+        end = letters(i)
+        lines = [(i, end)]
+        while end - i >= 16 and (a := after_break(lines[-1][1])) is not None and letters(a) > a:
+            lines.append((a, letters(a)))
+        if len(lines) < 2:
+            i = max(end, i + 1)
+            continue
+        at = lines[-1][1]
+        while True:  # marks at the end, on the last line or on lines of their own
+            a = after_break(at)
+            a = at if a is None else a
+            n = next((n for n in (2, 1) if t.startswith("=" * n, a)), 0)
+            if not n:
+                break
+            if a == at:
+                lines[-1] = (lines[-1][0], a + n)
+            else:
+                lines.append((a, a + n))
+            at = a + n
+        width = [b - a for a, b in lines]
+        parts = {(0, len(lines))}
+        for x in range(len(lines)):
+            y = x
+            while y < len(lines) and width[y] == width[x]:
+                y += 1
+            if (x == 0 or width[x - 1] != width[x]) and (end_ := y + (y < len(lines) and width[y] < width[x])) - x > 1:
+                parts.add((x, end_))
+        for x, y in parts:
+            yield [k for a, b in lines[x:y] for k in range(a, b)]
+        i = at
+
+
+def own_marked(s):
+    looked = (r"%[0-9A-Fa-f]{2}", r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}", r"[A-Za-z0-9+/_-]{16}", r"AKIA[A-Z0-9]", r"[0-9a-f]{32}")
+    return any(re.search(x, s) for x in looked) or any(len(m[2]) >= 8 for m in secret_scan.ASSIGN.finditer(s))
+
+
+def own_unpacked(data):
+    """What one whole member unpacks to, by the modules' plain functions."""
+    for magic, open_ in ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ", lzma.decompress), (b"\x5d\0\0", lzma.decompress), (b"\x78", zlib.decompress)):
+        if data.startswith(magic):
+            try:
+                return open_(data)
+            except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+                return None
+    return None
+
+
 def brute_scan(text):
     """All spans by an own reading of the method: every character keeps its span in the original, step by step."""
     spans, seen = set(), set()
@@ -214,8 +347,16 @@ def brute_scan(text):
                     out += own[i : m.start()] + [(chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", own[m.start()][1], own[m.end() - 1][2])]
                     i = m.end()
                 look(out + own[i:])
-        for run, where in secret_scan._runs(t):
-            own = [chars[where + i] if isinstance(where, int) else chars[int(where[i])] for i in range(len(run))]
+        for where in own_runs(t):
+            run, own = "".join(t[i] for i in where), [chars[i] for i in where]
+            for start in range(len(run)):
+                body = run[start:].rstrip("=").replace("-", "+").replace("_", "/")
+                body = body[: len(body) - (len(body) % 4 == 1)]
+                got = own_unpacked(base64.b64decode(body + "=" * (-len(body) % 4)))
+                while got:
+                    with contextlib.suppress(UnicodeDecodeError):
+                        look([(c, own[start][1], own[-1][2]) for c in got.decode()])
+                    got = own_unpacked(got)
             for skip in range(4):
                 body = run[skip:].rstrip("=").replace("-", "+").replace("_", "/")
                 body = body[: len(body) - (len(body) % 4 == 1)]
@@ -224,7 +365,7 @@ def brute_scan(text):
                 got = texts_of(raw)
                 s = "".join(c for c, _, _ in got)
                 plain = skip == 0 and "\ufffd" not in s and not secret_scan.CONTROL.search(s)
-                if plain or secret_scan._marked(s):
+                if plain or own_marked(s):
                     look(got)
 
     def texts_of(raw):
@@ -249,11 +390,19 @@ def brute_scan(text):
 
 def test_all_spans_of_the_documents(spark):
     """Every document as it is, and with its words wrapped by a scheme that its id decides."""
-    kinds = ["url", "unicode", "base64"]
+    kinds = ["url", "unicode", "base64", "gzip", "zlib", "lines", "quoted", "json", "bz2", "lzma"]
+    breaks = {"lines": "  \n", "quoted": "\r\n> ", "json": "\\n"}
+
+    def wrapped(kind, s):  # noqa: ANN001, ANN202
+        if kind in breaks:
+            run = base64.b64encode(s.encode()).decode()
+            return breaks[kind].join(run[i : i + 60] for i in range(0, len(run), 60))
+        return base64.b64encode({"bz2": bz2, "lzma": lzma}[kind].compress(s.encode())).decode() if kind in ("bz2", "lzma") else packed(kind, s)
+
     for r in documents(spark).select("doc_id", "text").collect():
         i, t = r["doc_id"], r["text"]
         part = (t[:200] + SECRET).replace("\n", " ")
-        for text in (t, f"é {wrapped(kinds[i % 3], part)} end", f"x/y/{wrapped('base64', wrapped(kinds[i % 3], part))} {part}"):
+        for text in (t, f"é {wrapped(kinds[i % 10], part)} end", f"x/y/{wrapped('base64', wrapped(kinds[i % 10], part))} {part}"):
             assert set(secret_scan.scan(text)[1]) == brute_scan(text), i
 
 
