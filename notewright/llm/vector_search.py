@@ -1,44 +1,58 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
-Queries and candidates are dealt into blocks; each pair of blocks is one tile. In a tile vectors are rounded to
-int8, products of the rounded vectors bound every inner product from both sides, and only pairs whose upper bound
-reaches the k-th best so far are computed anew in double precision. A tile is met in slices, and each slice leaves
-the k best of a query only. Heaps merge the tiles' results. Every candidate is weighed, so the result is exact.
+Vectors are rounded to int8; only these, their scales and what rounding lost travel. Queries and candidates are dealt into blocks;
+each pair of blocks is one tile. In a tile products of the rounded vectors bound every inner product from both sides, and a
+pair survives if its upper bound reaches the k-th best lower bound. A tile is met in slices. Heaps merge what the tiles
+leave of a query, and the pairs that survive there as well fetch their vectors by id and are computed anew in double
+precision. Every candidate is weighed, so the result is exact.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.llm.shared import small_batches, written
 
-#: Most bytes of a block of candidates and of a block of queries, as 32-bit floats.
-CANDIDATE_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
-#: Candidates and queries of a slice, which holds a few arrays of their product; pairs computed anew at once.
-ROWS_AT_ONCE, QUERIES_AT_ONCE, PAIRS_AT_ONCE = 4096, 512, 1 << 16
-#: Smaller tables are cut into blocks of a megabyte, up to as many blocks as this, for parallel tiles.
-FEW_BLOCKS, LEAST_BYTES = 16, 1 << 20
+#: Most bytes of int8 values in a block of candidates and in a block of queries.
+CANDIDATE_BYTES, QUERY_BYTES = 16 << 20, 8 << 20
+#: Candidates and queries of a slice, which holds a few arrays of their product.
+ROWS_AT_ONCE, QUERIES_AT_ONCE = 4096, 512
+#: Smaller tables are cut into blocks of a quarter of a megabyte, up to as many blocks as this, for parallel tiles.
+FEW_BLOCKS, LEAST_BYTES = 16, 1 << 18
+#: Pairs of a query that the merge holds before it drops those below the k-th best.
+HELD = 4
 
 
-def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values, scales, norms of the vectors and of what rounding lost."""
-    scale = np.maximum(np.abs(x).max(1, initial=0), 1e-300) / 127
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    return q, scale, np.sqrt((x * x).sum(1)), np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
+class Rounded(NamedTuple):
+    """Ids, hashes of the vectors, int8 values, scales, and norms of the vectors and of what rounding lost."""
 
+    ids: np.ndarray
+    v: np.ndarray
+    q: np.ndarray
+    scale: np.ndarray
+    norm: np.ndarray
+    lost: np.ndarray
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added up in the order of the components."""
-    total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
-    return total
+    def rows(self, at: np.ndarray | slice) -> Rounded:
+        return Rounded(*(x[at] for x in self))
+
+
+def _norm(x: Column) -> Column:
+    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
+
+
+def rounded(vectors: DataFrame, x: str) -> DataFrame:
+    """Rows with the columns v, q, scale, norm and lost made of the vector ``x`` of doubles, which is left behind."""
+    scaled = vectors.withColumn("scale", F.greatest(F.array_max(F.transform(x, F.abs)), F.lit(1e-300)) / 127)
+    whole = scaled.withColumns({"v": F.xxhash64(x), "norm": _norm(F.col(x)), "q": F.transform(x, lambda v: F.rint(v / F.col("scale")).cast("tinyint"))})
+    return whole.withColumn("lost", _norm(F.zip_with(x, "q", lambda v, q: v - q * F.col("scale")))).drop(x)
 
 
 def without_surplus(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -57,47 +71,47 @@ def without_surplus(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[(nth_row < k) & (nth_id <= k)])
 
 
-def tile(ids_q: np.ndarray, q: np.ndarray, ids_c: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of each query's ``k`` best candidates of a tile, ties to smaller ids."""
-    rows = without_surplus(ids_c, c, k)
-    ids_c, c = ids_c[rows], c[rows]
-    candidates = rounded(c)
-    found = [_slice_of_queries(ids_q[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE], ids_c, c, candidates, k) for at in range(0, len(q), QUERIES_AT_ONCE)]
+def tile(queries: Rounded, given: Rounded, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, its vector's hash, lowest and highest score) of the pairs of a tile that may be among a query's ``k`` best."""
+    given = given.rows(without_surplus(given.ids, given.v[:, None], k))
+    found = [_slice_of_queries(queries.rows(slice(at, at + QUERIES_AT_ONCE)), given, k) for at in range(0, len(queries.ids), QUERIES_AT_ONCE)]
     i = np.concatenate([x[0] + at * QUERIES_AT_ONCE for at, x in enumerate(found)] or [np.empty(0, np.int64)])
-    return i, *(np.concatenate([x[j] for x in found] or [np.empty(0)]) for j in (1, 2))
-
-
-def _slice_of_queries(ids_q: np.ndarray, q: np.ndarray, ids_c: np.ndarray, c: np.ndarray, candidates: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    qi, qs, qn, qe = rounded(q)
-    ci, cs, cn, ce = candidates
-    left = qi.astype(np.float32 if q.shape[1] <= 1000 else np.float64)  # sums of int8 products stay exact
-    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # query row, candidate row, score: at most k a query
-    floor = np.full(len(q), -np.inf)
-    for at in range(0, len(c), ROWS_AT_ONCE):
-        own = slice(at, at + ROWS_AT_ONCE)
-        near = (left @ ci[own].astype(left.dtype).T).astype(np.float64)
-        near *= qs[:, None]
-        near *= cs[own]
-        slack = qe[:, None] * cn[own]
-        slack += (qn + qe)[:, None] * ce[own]
-        slack += (1e-9 * qn)[:, None] * cn[own]
-        near[ids_q[:, None] == ids_c[own]] = -np.inf  # a query's own row
+    j, low, high = (np.concatenate([x[n] for x in found] or [np.empty(0, np.int64)]) for n in (1, 2, 3))
+    return i, given.ids[j], given.v[j], low, high
+
+
+def _slice_of_queries(queries: Rounded, given: Rounded, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    left = queries.q.astype(np.float32 if queries.q.shape[1] <= 1000 else np.float64)  # sums of int8 products stay exact
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)  # query row, candidate row, bounds
+    floor = np.full(len(left), -np.inf)
+    for at in range(0, len(given.ids), ROWS_AT_ONCE):
+        own = given.rows(slice(at, at + ROWS_AT_ONCE))
+        near = (left @ own.q.astype(left.dtype).T).astype(np.float64)
+        near *= queries.scale[:, None]
+        near *= own.scale
+        slack = queries.lost[:, None] * own.norm
+        slack += (queries.norm + queries.lost)[:, None] * own.lost
+        slack += (1e-9 * queries.norm)[:, None] * own.norm
+        near[queries.ids[:, None] == own.ids] = -np.inf  # a query's own row
         if near.shape[1] > k:
-            low = np.partition(near - slack, near.shape[1] - k, axis=1)[:, -k]
-            floor = np.maximum(floor, low)
-        near += slack
-        i, j = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
-        j += at
-        score = np.concatenate([exact(q[i[p : p + PAIRS_AT_ONCE]], c[j[p : p + PAIRS_AT_ONCE]]) for p in range(0, len(i), PAIRS_AT_ONCE)] or [np.empty(0)])
-        i, j, score = (np.concatenate(x) for x in zip(best, (i, j, score), strict=True))
-        order = np.lexsort((ids_c[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i]
-        kept = nth < k
-        last = i[nth == k - 1]
-        floor[last] = np.maximum(floor[last], score[nth == k - 1])
-        best = i[kept], j[kept], score[kept]
-    return best[0], ids_c[best[1]], best[2]
+            floor = np.maximum(floor, np.partition(near - slack, near.shape[1] - k, axis=1)[:, -k])
+        i, j = np.nonzero((near + slack >= floor[:, None]) & (near > -np.inf))
+        i, j, low, high = (np.concatenate(x) for x in zip(best, (i, j + at, near[i, j] - slack[i, j], near[i, j] + slack[i, j]), strict=True))
+        order = np.lexsort((-low, i))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, np.arange(len(left)))[i]
+        floor[i[nth == k - 1]] = np.maximum(floor[i[nth == k - 1]], low[nth == k - 1])
+        kept = high >= floor[i]
+        best = i[kept], j[kept], low[kept], high[kept]
+    return best
+
+
+def _best(pairs: list[tuple[float, float, int, int]], k: int) -> list[tuple[float, float, int, int]]:
+    """Pairs (lowest, highest, id, hash) whose highest score reaches the k-th of the lowest."""
+    if len(pairs) <= k:
+        return pairs
+    floor = heapq.nlargest(k, (p[0] for p in pairs))[-1]
+    return [p for p in pairs if p[1] >= floor]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -106,49 +120,52 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     Queries are the ids divisible by ``every``; candidates are all rows but those with the query's id; ties go to
     the smaller id. Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite components,
     take no part; vectors of another length are no candidates. Of a repeated query id the smallest vector asks;
-    repeated candidates are found each by itself. No other column is read.
+    repeated candidates are found each by itself. No other column is read. Equal vectors are told by 64-bit hashes.
 
     Blocks are bounded in bytes and met in slices, so a tile takes less than half a gigabyte whatever the input and however
-    many vectors are equal; each tile passes on at most ``k`` rows for each query.
+    many vectors are equal; each tile passes on those pairs of a query that int8 cannot tell from its ``k`` best.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     x = F.col(vector_col)
     whole = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     usable = vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("x"), F.size(x).alias("dim"))
-    asked = usable.where(F.col("id") % every == 0).groupBy("id", "dim").agg(F.min("x").alias("x")).groupBy("id").agg(F.min(F.struct("dim", "x")).alias("v")).select("id", F.col("v.x").alias("x"), F.col("v.dim").alias("dim"))
+    asked = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "x")).alias("w")).select("id", F.col("w.x").alias("x"), F.col("w.dim").alias("dim"))
     sizes = usable.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("n_q"))
-    cuts = sizes.select("dim", F.greatest(F.ceil(F.col("n") * F.col("dim") * 4 / CANDIDATE_BYTES), F.least(F.ceil(F.col("n") * F.col("dim") * 4 / LEAST_BYTES), F.lit(FEW_BLOCKS))).cast("int").alias("cs"), F.ceil(F.col("n_q") * F.col("dim") * 4 / QUERY_BYTES).cast("int").alias("qs")).where("qs > 0")
+    cuts = sizes.select("dim", F.greatest(F.ceil(F.col("n") * F.col("dim") / CANDIDATE_BYTES), F.least(F.ceil(F.col("n") * F.col("dim") / LEAST_BYTES), F.lit(FEW_BLOCKS))).cast("int").alias("cs"), F.ceil(F.col("n_q") * F.col("dim") / QUERY_BYTES).cast("int").alias("qs")).where("qs > 0")
     cuts = written(cuts, "cuts")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    c = usable.join(cuts, "dim").select("dim", F.pmod(F.xxhash64("id", "x"), F.col("cs")).cast("int").alias("c"), F.explode(upto("qs")).alias("q"), F.lit(False).alias("asks"), "id", "x")
-    q = asked.join(cuts, "dim").select("dim", F.explode(upto("cs")).alias("c"), F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("q"), F.lit(True).alias("asks"), "id", "x")
+    sent = ["id", "v", "q8", "scale", "norm", "lost"]
+    c = rounded(usable, "x").withColumnRenamed("q", "q8").join(cuts, "dim").select("dim", F.pmod(F.xxhash64("id", "v"), F.col("cs")).cast("int").alias("c"), F.explode(upto("qs")).alias("q"), F.lit(False).alias("asks"), *sent)
+    q = rounded(asked, "x").withColumnRenamed("q", "q8").join(cuts, "dim").select("dim", F.explode(upto("cs")).alias("c"), F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("q"), F.lit(True).alias("asks"), *sent)
 
     def work(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        ids = table.column("id").to_numpy()
-        data = table.column("x").combine_chunks()
-        data = data.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        if asks.all() or not asks.any():
-            found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        else:
-            found = tile(ids[asks], data[asks], ids[~asks], data[~asks], k)
-        return pa.table({"query_id": pa.array(ids[asks][found[0]], pa.int64()), "id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        data = table.column("q8").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), -1)
+        rows = Rounded(table.column("id").to_numpy(), table.column("v").to_numpy(), data, *(table.column(n).to_numpy() for n in ("scale", "norm", "lost")))
+        i, ids, v, low, high = tile(rows.rows(asks), rows.rows(~asks), k)
+        return pa.table({"query_id": rows.ids[asks][i], "id": ids, "v": v, "low": low, "high": high})
 
-    best = c.union(q).groupBy("dim", "q", "c").applyInArrow(work, "query_id long, id long, score double")
+    pairs = c.union(q).groupBy("dim", "q", "c").applyInArrow(work, "query_id long, id long, v long, low double, high double")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        held: dict[int, list[tuple[float, float, int, int]]] = {}
+        full: dict[int, int] = {}
         for batch in batches:
-            for query, i, score in zip(*(batch.column(n).to_pylist() for n in ("query_id", "id", "score")), strict=True):
-                heap = heaps.setdefault(query, [])
-                if len(heap) < k:
-                    heapq.heappush(heap, (score, -i))
-                elif (score, -i) > heap[0]:
-                    heapq.heapreplace(heap, (score, -i))
-        rows = [(query, rank, -i, score) for query, heap in heaps.items() for rank, (score, i) in enumerate(sorted(heap, reverse=True), 1)]
-        for at in range(0, len(rows), 10000):
-            columns = list(zip(*rows[at : at + 10000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", id_col, "score"])
-
-    return best.repartition("query_id").mapInArrow(merge, f"query_id long, rank int, `{id_col}` long, score double")
+            for query, *pair in zip(*(batch.column(n).to_pylist() for n in ("query_id", "low", "high", "id", "v")), strict=True):
+                own = held.setdefault(query, [])
+                own.append(tuple(pair))
+                if len(own) >= full.get(query, HELD * k):
+                    held[query] = _best(own, k)
+                    full[query] = max(HELD * k, 2 * len(held[query]))
+        rows = ((query, i, v) for query, own in held.items() for _, _, i, v in _best(own, k))
+        while part := [row for row, _ in zip(rows, range(10000))]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], ["query_id", "id", "v"])
+
+    left = pairs.repartition("query_id").mapInArrow(merge, "query_id long, id long, v long")
+    # The vectors of the pairs that are left, once for each id and vector.
+    theirs = usable.select("id", F.xxhash64("x").alias("v"), F.col("x").alias("y")).dropDuplicates(["id", "v"])
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda t, p: t + p)
+    scored = left.join(theirs, ["id", "v"]).join(asked.select(F.col("id").alias("query_id"), "x"), "query_id").select("query_id", "id", product.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

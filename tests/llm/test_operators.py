@@ -16,6 +16,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import zstandard
@@ -880,42 +881,74 @@ def test_search_equals_brute_force(spark):
     assert vector_search.nearest(df.limit(0)).count() == 0
 
 
-def test_bounds_hold():
+def rounded_rows(spark, x, ids=None):
+    ids = np.arange(len(x)) if ids is None else ids
+    df = spark.createDataFrame(pd.DataFrame({"n": range(len(x)), "id": ids, "x": [r.tolist() for r in x]}), "n long, id long, x array<double>")
+    r = vector_search.rounded(df, "x").toPandas().sort_values("n")
+    return vector_search.Rounded(r.id.to_numpy(), r.v.to_numpy(), np.array(r.q.tolist(), np.int8).reshape(len(x), -1), *(r[c].to_numpy() for c in ("scale", "norm", "lost")))
+
+
+def test_bounds_hold(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 16)), rng.normal(size=(60, 16)) * 100
-    (qa, sa, na, ea), (qb, sb, nb, eb) = vector_search.rounded(a), vector_search.rounded(b)
+    (_, _, qa, sa, na, ea), (_, _, qb, sb, nb, eb) = rounded_rows(spark, a), rounded_rows(spark, b)
     near = (qa.astype(float) @ qb.astype(float).T) * np.outer(sa, sb)
+    assert np.abs(qa).max(1).min() == 127
     assert (np.abs(near - a @ b.T) <= np.outer(ea, nb) + np.outer(na + ea, eb) + 1e-9).all()
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_tiles_in_small_slices(monkeypatch, seed):
-    for name, n in (("ROWS_AT_ONCE", 50), ("QUERIES_AT_ONCE", 16), ("PAIRS_AT_ONCE", 100)):
+def test_tiles_in_small_slices(spark, monkeypatch, seed):
+    """Nothing that may be among the best is left out, and bounds leave out most of the rest."""
+    for name, n in (("ROWS_AT_ONCE", 50), ("QUERIES_AT_ONCE", 16)):
         monkeypatch.setattr(vector_search, name, n)
     rng = np.random.default_rng(seed)
     q, c = rng.integers(-2, 3, (rng.integers(1, 60), 3)).astype(float), rng.integers(-2, 3, (rng.integers(1, 400), 3)).astype(float)
+    q[~q.any(1)], c[~c.any(1)] = 1, 1
     if seed % 3 == 0:
         c[:] = c[0]
     ids_q, ids_c = rng.choice(1000, len(q), replace=False), rng.integers(0, 60 if seed % 2 else 1000, len(c))
-    want = []
+    i, ids, v, low, high = vector_search.tile(rounded_rows(spark, q, ids_q), rounded_rows(spark, c, ids_c), 5)
+    hashes = rounded_rows(spark, c, ids_c).v
     for a in range(len(q)):
-        score = vector_search.exact(np.repeat(q[a : a + 1], len(c), 0), c)
-        want += [(a, ids_c[b], score[b]) for b in [b for b in np.lexsort((ids_c, -score)) if ids_c[b] != ids_q[a]][:5]]
-    assert list(zip(*[x.tolist() for x in vector_search.tile(ids_q, q, ids_c, c, 5)], strict=True)) == want
+        score = c @ q[a]
+        best = [b for b in np.lexsort((ids_c, -score)) if ids_c[b] != ids_q[a]][:5]
+        mine = collections.Counter(zip(ids[i == a].tolist(), v[i == a].tolist(), strict=True))
+        assert not collections.Counter((int(ids_c[b]), int(hashes[b])) for b in best) - mine
+        place = {(int(x), int(y)): s for x, y, s in zip(ids_c, hashes, score, strict=True)}
+        for x, y, lo, hi in zip(ids[i == a].tolist(), v[i == a].tolist(), low[i == a], high[i == a], strict=True):
+            assert lo - 1e-9 <= place[x, y] <= hi + 1e-9
 
 
 @pytest.mark.parametrize("equal", [False, True])
 def test_a_tile_of_full_width_is_bounded(equal):
-    """A whole block of candidates against an eighth of a block of queries, which are met in slices one after the other."""
+    """A large block of candidates against a sixteenth of a block of queries, which are met in slices one after the other."""
     rng = np.random.default_rng(1)
-    c, q = rng.normal(size=(65536, 64)), rng.normal(size=(2048, 64))
+    n, m = 65536, 2048
+    c, q = (rng.integers(-127, 128, (size, 64)).astype(np.int8) for size in (n, m))
+    v = np.arange(n)
     if equal:
-        c[:], q[:] = c[0], c[0]
+        c[:], q[:], v[:] = c[0], c[0], 0
+    half = lambda size: (np.full(size, 0.01), np.full(size, 6.0), np.full(size, 0.02))
     tracemalloc.start()
-    found = vector_search.tile(np.arange(2048) * 20, q, np.arange(65536), c, 20)
+    found = vector_search.tile(vector_search.Rounded(np.arange(m) * 20, np.arange(m), q, *half(m)), vector_search.Rounded(np.arange(n), v, c, *half(n)), 20)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(found[0]) == 2048 * 20 and peak < 300e6
+    assert m * 20 <= len(found[0]) <= m * 45 and peak < 300e6
+
+
+def test_vectors_that_int8_cannot_tell_apart(spark):
+    """Hundreds of vectors nearer to one another than int8 shows: bounds keep them all, doubles order them."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    data = [(i, (base + rng.normal(0, 1e-4, 8)).tolist()) for i in range(400)] + [(i, data) for i, data in ((400, base.tolist()), (400, base.tolist()), (401, (2 * base).tolist()))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vector_search.nearest(df, k=6, every=50).collect()))
+    x = dict(data)
+    assert len(got) == 9 * 6
+    for q in range(0, 401, 50):
+        score = sorted((-functools.reduce(lambda t, ab: t + ab[0] * ab[1], zip(x[q], v, strict=True), 0.0), i) for i, v in data if i != q)
+        assert [r[1:] for r in got if r[0] == q] == [(r, i, -s) for r, (s, i) in enumerate(score[:6], 1)]
 
 
 # --- pipeline ---------------------------------------------------------------------------------------------
