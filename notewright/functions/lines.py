@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE = r"^[ \t]*(`{3,}|~{3,})"
@@ -24,6 +24,18 @@ def let(use: Callable[[Column], Column], **values: Column) -> Column:
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def only_if(test: Callable[[Column], Column], change: Callable[[Column], Column], text: Column) -> Column:
     """``change`` of texts that pass a cheap test; the others as they are."""
     return let(lambda v: F.when(test(v["t"]), change(v["t"])).otherwise(v["t"]), t=text)

@@ -1,50 +1,27 @@
-"""Spaces and punctuation between Chinese, Latin, digits and formulas.
+"""Spaces and the width of marks between Chinese, Latin, digits and formulas.
 
-A line is cut into tokens once; each token has a class at its left and right end, and one rule decides what stands
-between two tokens. Protected parts (code, links, tags, formulas, titles in quotes) are single tokens.
+A line is cut into tokens once (``tokens``); one rule decides what stands between two neighbours. The rules are looked at in
+the order of the branches of ``_between``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import inside, let, lines_of, map_lines, math_ranges, protected_ranges, table_ranges
-
-HAN = r"[\p{IsHan}\u3040-\u30ff]"
-#: Kinds of protected spans, in the order in which they are looked for.
-PROTECTED = {
-    "comment": r"%%[^\n]*?%%",
-    "code": r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)",
-    "wikilink": r"!?\[\[[^\]\n]*\]\]",
-    "footnote": r"\[\^[^\]\n]+\]",
-    "link": r"!?\[[^\]\n]*\]\([^)\n]*\)",
-    "url": r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s\u3000-\u303f\uff00-\uffef\p{IsHan}]+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "host_port": r"(?:localhost|\d{1,3}(?:\.\d{1,3}){3}):\d+",
-    "domain": r"(?:[A-Za-z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s\p{IsHan}]*)?(?![A-Za-z0-9])",
-    "entity": r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);",
-    "html": r"</?[A-Za-z][^<>\n]*>",
-    "tag": r"(?<![^\s\u3000])#[\p{L}\p{N}_][\p{L}\p{N}_\-/]*",
-}
-_TITLE = r"《[^《》\n]*》|〈[^〈〉\n]*〉|“[^“”\n]*”|‘[^‘’\n]*’"
-_MATH = r"\$\$[^$\n]+\$\$|\$(?!\s)[^$\n]+(?<!\s)\$"
-_WORD = r"[A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff](?:[A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff]|[._'’:/-](?=[A-Za-z0-9]))*%?"
-_FULL = "，。、；：！？（）【】「」『』—…～·《》〈〉“”‘’"
-_EMPHASIS = rf"(?<star>\*\*|__|~~|==|\*)(?=\S)[^*_~=\n]+(?<=\S)\k<star>"
-#: Units that may follow a number.
-UNITS = ("km", "cm", "mm", "um", "μm", "nm", "m", "ml", "mL", "L", "ms", "us", "μs", "ns", "min", "h", "Hz", "kHz", "MHz", "GHz", "rpm", "kg", "mg", "ug", "μg", "g", "W", "kW", "MW", "V", "mV", "kV", "A", "mA", "Ω", "ohm", "Pa", "kPa", "MPa", "GPa", "N", "J", "kJ", "MJ", "cal", "kcal", "mol", "KB", "MB", "GB", "TB", "bit", "Byte", "px", "pt", "dpi", "ppi", "fps")
-
-_SPECIAL = "|".join(p.replace(r"(`+)", "(?<tick>`+)").replace(r"\1", r"\k<tick>") for p in PROTECTED.values())
-TOKEN = rf"({_SPECIAL}|{_TITLE}|{_MATH}|{_EMPHASIS}|{HAN}+|{_WORD}|[{_FULL}]|\.\.\.|[ \t\u00a0]+|.)"
+from notewright.functions.lines import free_names, inside, let, lines_of, math_ranges, protected_ranges, table_ranges
+from notewright.functions.tokens import BLANK, HAN, HINT, LATIN, PROTECTED, SPECIAL, UNITS, is_wordlike, token_steps
+
+__all__ = ["HAN", "PROTECTED", "UNITS", "SpacingOptions", "chapter_space", "fix_spacing", "protected_spans"]
 
 
 @dataclass(frozen=True)
 class SpacingOptions:
-    """space: one blank; none: no blank; keep: as it was."""
+    """space: one blank; none: no blank; keep: as it was. The others switch a rule."""
 
     cjk_latin: str = "space"
     cjk_digit: str = "none"
@@ -52,98 +29,78 @@ class SpacingOptions:
     math_text: str = "space"
     digit_unit: bool = False
     punctuation: bool = True
+    symbols: bool = True
+    brackets: bool = True
     context_width: bool = True
     chapters: bool = True
 
 
-def _class(c: Column, whole: Column) -> Column:
-    """The class of one end of a token: C Han, L Latin, D digits, M formula, F full-width mark, H half-width mark, O and P
-    brackets, X not to be touched, S other."""
-    return (
-        F.when(whole.rlike(r"^(?:%%|<|&[A-Za-z#].*;$)"), "X")
-        .when(whole.rlike(r"^(?:`|!?\[|#[\p{L}\p{N}_]|[a-zA-Z][a-zA-Z0-9+.-]*://|\S+@\S+\.)"), F.when(F.length(whole) > 1, "L").otherwise("O"))
-        .when(whole.rlike(r"^\$.+\$$"), "M")
-        .when(c.rlike(rf"^{HAN}$"), "C")
-        .when(c.rlike(rf"^[{_FULL}]$"), "F")
-        .when(whole.rlike(r"^[\d.,:/%-]*\d[\d.,:/%-]*$"), "D")
-        .when(c.rlike(r"^[A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff%]$"), "L")
-        .when(whole == "...", "S")
-        .when(c.isin(",", ".", "!", "?", ":", ";"), "H")
-        .when(c.isin("(", "["), "O")
-        .when(c.isin(")", "]"), "P")
-        .otherwise("S")
-    )
-
-
-def _tokens(line: Column) -> Column:
-    """Structs of text, left and right class, and whether a blank came before; blanks themselves are no tokens."""
-    raw = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(1))
-    core = lambda t: F.regexp_replace(t, r"^(?:\*\*|__|~~|==|\*)(?=[^*_~=]+(?:\*\*|__|~~|==|\*)$)|(?<=[^*_~=])(?:\*\*|__|~~|==|\*)$", "")
-    with_blank = let(lambda v: F.transform(v["raw"], lambda t, i: F.struct(t.alias("text"), core(t).alias("core"), (F.get(v["raw"], i - 1).rlike(r"^[ \t\u00a0]+$") & (i > 0)).alias("spaced"))), raw=raw)
-    kept = F.filter(with_blank, lambda x: ~x["text"].rlike(r"^[ \t\u00a0]+$"))
-    return F.transform(kept, lambda x: F.struct(x["text"], _class(F.substring(x["core"], 1, 1), x["core"]).alias("left"), _class(F.substring(x["core"], -1, 1), x["core"]).alias("right"), F.coalesce(x["spaced"], F.lit(False)).alias("spaced")))
-
-
-def _between(a: Column, b: Column, o: SpacingOptions) -> Column:
-    """What stands between two tokens."""
-    keep = F.when(b["spaced"], F.lit(" ")).otherwise("")
-    blank = {"space": F.lit(" "), "none": F.lit(""), "keep": keep}
-    l, r = a["right"], b["left"]  # noqa: E741
-    pair = lambda x, y: ((l == x) & (r == y)) | ((l == y) & (r == x))
-    out = F.when((l == "X") | (r == "X"), keep)
+def _asked(rule: Column, other: Column) -> Column:
+    """What a symbol's wish comes to against its neighbour: none, space, or nothing."""
+    plain = (other["k"] == "S") & (other["l"] == "") & ~F.lit("/\\=+<>*~^_#@%$&|→×÷±≤≥≠").contains(F.substring(other["t"], 1, 1))
+    content = is_wordlike(other) | other["k"].isin("C", "P")
+    return F.when(rule.isin("", "keep"), "").when(rule == "none", "none").when(plain, "").when(F.when(rule == "latin", is_wordlike(other)).otherwise(content), "space").otherwise("none")
+
+
+def _between(a: Column, b: Column, gap: Column, o: SpacingOptions) -> Column:
+    """What stands between two tokens that had ``gap`` between them."""
+    blank = {"space": F.lit(" "), "none": F.lit(""), "keep": gap}
+    pair = lambda x, y: (a["k"].isin(*x) & b["k"].isin(*y)) | (a["k"].isin(*y) & b["k"].isin(*x))
+    first, last = F.substring(b["t"], 1, 1), F.substring(a["t"], -1, 1)
+    a_mark, b_mark = a["k"].isin("F", "T"), b["k"].isin("F", "T")
+    opening, closing = "（【「『〔〖｛［《〈“‘", "）】」』〕〗｝］》〉”’"
+    quotes, angles = "“”‘’", "《〈"
+    has = lambda marks, c: F.lit(marks).contains(c)
+    word = b["k"].isin("L", "W", "E", "M")
+    out = F.when(F.lit(False), "")
+    if o.symbols:
+        # Full-width marks but brackets that open and quotes have rules of their own.
+        own = (a_mark & ~has(opening + quotes, last)) | (b_mark & ~has(opening + quotes, first))
+        right, left = _asked(a["r"], b), _asked(b["l"], a)
+        out = out.when(~own & ((right == "none") | (left == "none")), "").when(~own & ((right == "space") | (left == "space")), " ")
+    if o.brackets:
+        english = (a["z"] == "en") | (b["z"] == "en")
+        out = out.when((a["k"] == "O") | (b["k"] == "P"), "").when(~english & ((b["k"] == "O") | (a["k"] == "P")), "")
     if o.punctuation:
-        closing = F.substring(a["text"], -1, 1).isin("）", "》", "〉", "”", "’")
-        out = out.when((l == "F") & closing & r.isin("L", "M"), " ").when((l == "F") | (r == "F"), "")
-        single = a["text"].rlike("^[A-Za-z]$")
-        out = out.when(l == "O", "").when(r == "P", "").when((r == "O") & ((l == "C") | single), "").when((l == "P") & (r == "C"), "")
-    unit = b["text"].isin(*UNITS)
+        english = (a["z"] == "en") | (b["z"] == "en")
+        marked = F.when(a_mark & has(closing, last) & word, " ").when((a_mark & has(opening, last)) | (b_mark & (has(closing, first) | ~has(quotes, first))), "").when(a_mark, F.when(has(quotes + angles, last), gap).otherwise(""))
+        out = out.when(~english & (a_mark | b_mark), F.coalesce(marked, gap))
     if o.digit_unit:
-        out = out.when((l == "D") & unit, " ")
-    out = out.when(pair("C", "L"), blank[o.cjk_latin]).when(pair("C", "D"), blank[o.cjk_digit]).when(pair("L", "D"), blank[o.latin_digit])
-    out = out.when(((l == "M") & r.isin("C", "L", "D")) | ((r == "M") & l.isin("C", "L", "D")), blank[o.math_text])
+        out = out.when(a["k"].isin("D", "E") & ((b["k"] == "U") | b["t"].isin(*UNITS)), " ")
+    out = out.when(pair("C", "LWE"), blank[o.cjk_latin]).when(pair("C", "D"), blank[o.cjk_digit]).when(pair("LW", "DE"), blank[o.latin_digit])
+    out = out.when(((a["k"] == "M") & (is_wordlike(b) | (b["k"] == "C"))) | ((b["k"] == "M") & (is_wordlike(a) | a["k"].isin("C", "P"))), blank[o.math_text])
     if o.punctuation:
-        out = out.when(r == "H", F.when(l.isin("S", "H"), F.when((l == "S") & b["spaced"], "").otherwise("")).otherwise(""))
-        out = out.when(l == "H", F.when(r.isin("L", "C", "M"), F.when((r == "C") & ~b["spaced"], "").otherwise(" ")).when(r.isin("S", "H"), "").otherwise(keep))
-        out = out.when(pair("C", "S"), "").when((a["text"] == "^") | (b["text"] == "^"), "").when(b["text"] == "...", "")
-    return out.otherwise(keep)
+        content = lambda x: is_wordlike(x) | x["k"].isin("C", "P")
+        out = out.when((a["k"] == "H") & content(b), " ").when((b["k"] == "H") & content(a), "")
+    return out.otherwise(gap)
 
 
-def _spaced_line(line: Column, o: SpacingOptions) -> Column:
-    lead = F.regexp_extract(line, r"^([ \t]*(?:>[ \t]?)*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?|#{1,6}[ \t]+)?)", 1)
-    trail = F.regexp_extract(line, r"([ \t]*)$", 1)
-    tokens = _tokens(F.substring(line, F.length(lead) + 1, F.length(line)))
-    joined = F.array_join(let(lambda v: F.transform(v["t"], lambda b, i: F.concat(F.when(i == 0, "").otherwise(_between(F.get(v["t"], i - 1), b, o)), b["text"])), t=tokens), "")
-    return F.when(line.rlike(r"\S"), F.concat(lead, joined, F.when(lead == line, "").otherwise(trail))).otherwise(line)
+#: Marks of emphasis in a row that are looked past.
+_DEEP = 4
 
 
-def _half_width(sentence: Column, before_han: Column) -> Column:
-    """Full-width marks of an English sentence as half-width ones; the last stays where Chinese follows at once."""
-    end = F.when(before_han, F.regexp_extract(sentence, r"([。！？；])$", 1)).otherwise("")
-    half = F.substring(sentence, F.lit(1), F.length(sentence) - F.length(end))
-    for full, mark in (("，", ", "), ("。", ". "), ("、", ", "), ("；", "; "), ("！", "! "), ("？", "? ")):
-        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*$", mark.strip())
-        half = F.regexp_replace(half, rf"[ ]*{full}[ ]*", mark)
-    return F.concat(half, end)
+def _neighbours(x: Column) -> Column:
+    """Each token t with the two between which its space stands, a and b. Marks of emphasis belong to what they wrap, so spaces
+    stand outside them: there is none (null) after a mark that opens or before one that closes."""
 
+    def near(i: Column, step: int, sign: int) -> Column:
+        """The first token from ``i`` on that is no mark of emphasis of that sign."""
+        out = F.get(x, i + step * _DEEP)
+        for k in range(_DEEP - 1, -1, -1):
+            out = F.when(F.get(x, i + step * k)["e"] == sign, out).otherwise(F.get(x, i + step * k))
+        return out
 
-def context_width(line: Column) -> Column:
-    """Half-width , : ; ! ? next to Chinese become full-width; full-width marks of an English sentence become half-width.
+    def one(t: Column, i: Column) -> Column:
+        apart = (i > 0) & (t["e"] != -1) & (F.get(x, i - 1)["e"] != 1)
+        return F.struct(t.alias("t"), F.when(apart, near(i - 1, -1, -1)).alias("a"), F.when(apart, near(i, 1, 1)).alias("b"))
 
-    Sentences end at 。！？； and are English without Chinese and with two Latin words or more.
-    """
-    out = line
-    for half, full in ((",", "，"), (":", "："), (";", "；"), ("!", "！"), ("?", "？")):
-        mark = rf"\{half}"
-        out = F.regexp_replace(out, rf"(?<={HAN}|\$)[ ]*{mark}[ ]*(?={HAN}|\$|[A-Za-z0-9 ]|$)(?!//)", full) if half != ":" else F.regexp_replace(out, rf"(?<={HAN})[ ]*{mark}[ ]*(?![/\]:-])", full)
-        out = F.regexp_replace(out, rf"(?<=[A-Za-z0-9]){mark}[ ]*(?={HAN})", full)
+    return F.transform(x, one)
 
-    def by_sentence(v: Column) -> Column:
-        english = lambda s: ~s.rlike(HAN) & (F.regexp_count(s, F.lit(r"[A-Za-z]{2,}")) >= 2) & s.rlike("[，。、；！？]")
-        joined = F.transform(v["s"], lambda s, i: F.when(english(s), F.concat(_half_width(s, F.coalesce(F.get(v["s"], i + 1).rlike(rf"^{HAN}"), F.lit(False))), F.when(s.rlike("[。！？；]$") & F.get(v["s"], i + 1).rlike("^[A-Za-z0-9]"), " ").otherwise(""))).otherwise(s))
-        return F.array_join(joined, "")
 
-    sentences = let(by_sentence, s=F.regexp_extract_all(F.when(line.rlike(HAN), out).otherwise(line), F.lit(r"([^。！？；]*[。！？；]|[^。！？；]+$)"), F.lit(1)))
-    return F.when(line.rlike("[，。、；！？]") & line.rlike("[A-Za-z]{2,}"), sentences).when(line.rlike(HAN), out).otherwise(line)
+def _joined(x: Column, o: SpacingOptions) -> Column:
+    """The tokens put together."""
+    between = lambda w: F.when(w["a"].isNull() | w["b"].isNull(), "").otherwise(_between(w["a"], w["b"], w["t"]["g"], o))
+    return F.array_join(F.transform(x, lambda w: F.concat(between(w), w["t"]["t"])), "")
 
 
 def chapter_space(line: Column) -> Column:
@@ -151,29 +108,77 @@ def chapter_space(line: Column) -> Column:
     return F.regexp_replace(line, r"^([ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d{1,9}[.)])[ \t]+)?(?:第[一二三四五六七八九十百零〇两\d]+[章节课讲篇]|附录[A-Z]))(?=[\p{IsHan}A-Za-z$])(?![的和与及至到或中里内])", "$1 ")
 
 
-def space_line(line: Column, o: SpacingOptions = SpacingOptions()) -> Column:
-    line = context_width(line) if o.context_width else line
-    line = _spaced_line(line, o)
-    return chapter_space(line) if o.chapters else line
+#: Lines of Latin words with marks in their places have nothing to change and are not cut. Each branch begins with a rare
+#: character, so that most characters are passed by at once.
+_MIXED = (
+    r"[\u2010-\u206f→|^$&\"°\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\x{20000}-\x{3ffff}]"
+    rf"|[,.!?:)](?:(?<={BLANK}.)|(?<=[{LATIN})\]*_=~`>].|[0-9][,!?])(?=[{LATIN}0-9($`\[*_=~]))"
+    rf"|[(](?:(?={BLANK})|(?<={BLANK}.))|[.]{{2}}"
+)
+_LEAD = r"^([ \t]*(?:>[ \t]?)*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?|#{1,6}[ \t]+)?)"
+
+
+def _on_cut_lines(tokens: str, step: Callable[[Column], Column]) -> Column:
+    return F.transform(tokens, lambda x: F.when(x.isNotNull(), step(x)))
 
 
-def fix_spacing(text: Column, o: SpacingOptions = SpacingOptions()) -> Column:
-    """Spaces, marks and widths of every line but code, tables and formula blocks. Lines of one class are not cut."""
+def fix_spacing(notes: DataFrame, o: SpacingOptions = SpacingOptions(), text_col: str = "text") -> DataFrame:
+    """Notes with the spaces, marks and widths of every line put right but in code, tables and formula blocks. Null stays null.
+
+    A chain of projections without a shuffle. Most lines of Latin words hold nothing to change and are not cut.
+    """
+    mixed = _MIXED + (r"|\d" if o.digit_unit or o.latin_digit != "keep" else "")
+
     def skip(lines: Column) -> Column:
         return let(lambda v: F.concat(v["kept"], table_ranges(v["lines"]), math_ranges(v["lines"], v["kept"])), lines=lines, kept=protected_ranges(lines))
 
-    # Lines of Latin words with marks in their places have nothing to change and are not cut.
-    mixed = r"[\p{IsHan}\u2010-\u206f\u3000-\u30ff\uff00-\uffef\u2190-\u22ff]|\$| [,.!?:;)\]](?:\s|$)|[A-Za-z][,!?;](?=[A-Za-z])|[(\[] |\^"
-    return map_lines(text, lambda x: F.when(x.rlike(mixed), space_line(x, o)).otherwise(x), skip)
+    def cut(v: Column) -> Column:
+        """Lines in their head (marks of quotes, items and headings), the part that is cut (null: none) and the blanks after it."""
 
+        def one(x: Column, i: Column) -> Column:
+            head, tail = F.regexp_extract(x, _LEAD, 1), F.regexp_extract(x, rf"({BLANK}*)$", 1)
+            changes = x.rlike(mixed) & (head != x) & ~inside(v["kept"], i)
+            body = F.substring(x, F.length(head) + 1, F.length(x) - F.length(head) - F.length(tail))
+            return F.struct(x.alias("line"), F.when(changes, F.struct(head.alias("head"), body.alias("body"), tail.alias("tail"))).alias("cut"))
 
-def _span(kind: str) -> Callable[[Column, Column], Column]:
-    return lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), s.alias("span"))
+        return F.transform(v["lines"], one)
+
+    lines, tokens = free_names(notes, "_lines", "_tokens")
+    split = F.split(F.col(text_col), "\n")
+    out = notes.withColumn(lines, F.when(F.col(text_col).rlike(mixed), let(lambda w: let(cut, lines=w["x"], kept=skip(w["x"])), x=split)))
+    out = out.withColumn(tokens, F.transform(lines, lambda x: x["cut"]["body"]))
+    for step in [*token_steps(o.context_width, o.digit_unit), _neighbours, partial(_joined, o=o)]:
+        out = out.withColumn(tokens, _on_cut_lines(tokens, step))
+    chapter = chapter_space if o.chapters else lambda x: x
+    joined = F.zip_with(lines, tokens, lambda x, t: F.when(t.isNull(), x["line"]).otherwise(chapter(F.concat(x["cut"]["head"], t, x["cut"]["tail"]))))
+    return out.withColumn(text_col, F.coalesce(F.array_join(joined, "\n"), text_col)).drop(lines, tokens)
+
+
+def _span_kind(span: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(PROTECTED.items()):
+        out = F.when(span.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+    return out
 
 
 def protected_spans(notes: DataFrame) -> DataFrame:
-    """(note_id, line, kind, ord, span): parts of lines that text jobs leave alone; code blocks are not searched."""
+    """(note_id, line, kind, ord, span, start, end): parts of lines that text jobs leave alone, from left to right and apart
+    from one another: what begins inside a span is part of it. Places are characters from 0, the end excluded; code blocks
+    are not searched."""
     lines = lines_of(F.col("text"))
     rows = notes.where(F.col("text").isNotNull()).withColumn("_code", protected_ranges(lines)).select("note_id", "_code", F.posexplode(lines).alias("line", "_x")).where(~inside(F.col("_code"), F.col("line")))
-    spans = F.flatten(F.array(*[F.transform(F.regexp_extract_all("_x", F.lit(f"({p.replace(chr(92) + '1', chr(92) + '2')})"), F.lit(1)), _span(k)) for k, p in PROTECTED.items()]))
-    return rows.select("note_id", "line", F.explode(spans).alias("s")).select("note_id", "line", "s.kind", "s.ord", "s.span")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<span:string,start:int,end:int>>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.char_length(x["gap"])
+        end = begin + F.char_length(x["span"])
+        return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(x["span"].alias("span"), begin.alias("start"), end.alias("end")))).alias("found"))
+
+    def placed(v: Column) -> Column:
+        # One match more than gaps: what follows the last span is left out.
+        pairs = F.filter(F.arrays_zip(v["gap"], v["span"]), lambda x: x["span"].isNotNull())
+        return F.aggregate(pairs, start, step, lambda s: s["found"])
+
+    found = let(placed, gap=F.split(F.col("_x"), SPECIAL, -1), span=F.regexp_extract_all("_x", F.lit(f"({SPECIAL})"), F.lit(1)))
+    spans = rows.where(F.col("_x").rlike(HINT)).select("note_id", "line", F.posexplode(found).alias("ord", "s"))
+    return spans.select("note_id", "line", _span_kind(F.col("s.span")).alias("kind"), "ord", "s.span", "s.start", "s.end")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.lines import inside, lines_of, protected_ranges
 from notewright.functions.tags import collation_key
 from notewright.operators.chat import HEADER
+from notewright.operators.ranks import numbered_rows, ranged, running_total, with_last, with_previous
+from notewright.session import written
 
 
 def _kind(x: Column) -> Column:
@@ -28,19 +30,20 @@ def sort_key(lines: Column) -> Column:
 
 
 def blocks(notes: DataFrame) -> DataFrame:
-    """(note_id, seq, kind, key, lines): runs of lines that belong together. An item takes its indented lines with it;
+    """(note_id, seq, kind, key, lines): runs of lines that belong together; seq grows down a note. An item takes its indented lines with it;
     paragraphs and quotes run to a line of another kind; blank lines and barriers stand alone; protected lines are
     barriers."""
     lines = lines_of(F.col("text"))
     rows = notes.where(F.col("text").isNotNull()).withColumn("_code", protected_ranges(lines)).select("note_id", "_code", F.posexplode(lines).alias("pos", "x"))
     rows = rows.withColumn("kind", F.when(inside(F.col("_code"), F.col("pos")), "barrier").otherwise(_kind(F.col("x")))).drop("_code")
-    w = Window.partitionBy("note_id").orderBy("pos")
-    before = F.lag("kind").over(w)
-    owner = F.last(F.when(~((F.col("kind") == "paragraph") & F.col("x").rlike(r"^[ \t]")), F.col("kind")), True).over(w)
+    order = ["note_id", "pos"]
+    cut = with_previous(ranged(rows, order), ["note_id"], order, ["kind"], "_before")
+    cut = with_last(cut, ["note_id"], order, F.when(~((F.col("kind") == "paragraph") & F.col("x").rlike(r"^[ \t]")), F.col("kind")), "_owner")
+    before, owner = F.col("_before.kind"), F.col("_owner")
     joins = ((F.col("kind") == before) & F.col("kind").isin("paragraph", "quote")) | ((before == "item") & (F.col("kind") == "paragraph") & F.col("x").rlike(r"^[ \t]")) | ((before == "paragraph") & (F.col("kind") == "paragraph") & (owner == "item"))
     nested = (F.col("kind") == "item") & F.col("x").rlike(r"^[ \t]+") & F.coalesce(before.isin("item", "paragraph"), F.lit(False)) & (owner == "item")
     starts = F.when(F.coalesce(joins | nested, F.lit(False)), 0).otherwise(1)
-    numbered = rows.withColumn("seq", F.sum(starts).over(w) - 1)
+    numbered = running_total(cut, order, starts, "seq")
     out = numbered.groupBy("note_id", "seq").agg(F.min_by("kind", "pos").alias("kind"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("lines"))
     return out.select("note_id", "seq", "kind", sort_key(F.col("lines")).alias("key"), "lines")
 
@@ -48,17 +51,17 @@ def blocks(notes: DataFrame) -> DataFrame:
 def sort_blocks(notes: DataFrame) -> DataFrame:
     """(note_id, new_text): consecutive blocks of one kind in the collated order of their keys, between blank lines and
     barriers that stay. Items that were counted one by one are counted anew."""
-    b = blocks(notes)
-    w = Window.partitionBy("note_id").orderBy("seq")
-    segment = F.sum(F.when(F.col("kind").eqNullSafe(F.lag("kind").over(w)) & F.col("kind").isin("item", "paragraph", "quote"), 0).otherwise(1)).over(w)
-    s = b.withColumn("_segment", segment)
-    inner = Window.partitionBy("note_id", "_segment")
-    first = F.min("seq").over(inner)
-    place = first + F.row_number().over(inner.orderBy(F.when(F.col("kind").isin("item", "paragraph", "quote"), collation_key(F.col("key"))), "seq")) - 1
+    order = ["note_id", "seq"]
+    sortable = F.col("kind").isin("item", "paragraph", "quote")
+    cut = with_previous(ranged(written(blocks(notes), "blocks"), order), ["note_id"], order, ["kind"], "_before")
+    segments = running_total(cut, order, F.when(F.col("kind").eqNullSafe(F.col("_before.kind")) & sortable, 0).otherwise(1), "_segment")
     number = F.regexp_extract(F.col("lines")[0], r"^[ \t]*(?:>[ \t]?)*(\d{1,9})[.)]", 1)
-    counted = s.withColumns({"_place": place, "_number": F.when(number != "", number.cast("int"))})
-    low, high, n = F.min("_number").over(inner), F.max("_number").over(inner), F.count("_number").over(inner)
-    run = (n > 1) & (high - low + 1 == n) & (F.count(F.lit(1)).over(inner) == n) & (F.size(F.collect_set("_number").over(inner)) == n)
+    keyed = segments.withColumns({"_number": F.when(number != "", number.cast("int")), "_by": F.when(sortable, collation_key(F.col("key")))}).drop("_before", "_range")
+    # The order of all blocks, segment by segment; a segment of any length is cut into ranges there.
+    placed = written(numbered_rows(keyed, ["_segment", "_by", "seq"], "_place"), "placed")
+    stats = placed.groupBy(F.col("_segment").alias("_s")).agg(F.min("_place").alias("_first"), F.min("_number").alias("_low"), F.max("_number").alias("_high"), F.count("_number").alias("_n"), F.count(F.lit(1)).alias("_all"), F.count_distinct("_number").alias("_distinct"))
+    run = (F.col("_n") > 1) & (F.col("_high") - F.col("_low") + 1 == F.col("_n")) & (F.col("_all") == F.col("_n")) & (F.col("_distinct") == F.col("_n"))
+    counted = placed.join(stats, F.col("_segment") == F.col("_s")).withColumn("_run", run)
     renumbered = F.transform("lines", lambda x, i: F.when((i == 0) & F.col("_run"), F.concat(F.regexp_extract(x, r"^([ \t]*(?:>[ \t]?)*)\d", 1), (F.col("_low") + F.col("_place") - F.col("_first")).cast("string"), F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)*\d{1,9}(?=[.)])", ""))).otherwise(x))
-    out = counted.withColumns({"_run": run, "_low": low, "_first": first}).withColumn("lines", renumbered)
+    out = counted.withColumn("lines", renumbered)
     return out.groupBy("note_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "lines"))), lambda s: s["lines"])), "\n").alias("new_text"))

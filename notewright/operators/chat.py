@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.operators.ranks import numbered_rows, ranged, running_total, with_previous
+from notewright.session import written
+
 _SENDER = r"(?!(?:\d{1,4}[-/])?\d{1,2}[-/]\d{1,2}:?\s)[^\n\[\]\s:|：]+"
 _TIME = r"(?<!\d)(?:(?:\d{1,4}[-/])?\d{1,2}[-/]\d{1,2}:?\s+)?\d{1,2}:\d{2}:\d{2}"
 HEADER = rf"{_SENDER}\s*[:：]?\s*{_TIME}"
@@ -80,28 +83,32 @@ def is_chat_log(text: Column) -> Column:
 
 def time_ordered(msgs: DataFrame) -> DataFrame:
     """Adds place: the order of messages when each run with comparable times is sorted. A run ends where its
-    tail, or that of the row before, holds text; it stays as it is if a time is missing or only some have dates."""
-    by_note = Window.partitionBy("note_id").orderBy("seq")
+    tail, or that of the row before, holds text; it stays as it is if a time is missing or only some have dates.
+
+    A log of any length is cut into ranges; its runs are numbered by a running total and sorted by one numbering of all rows.
+    """
+    cut = with_previous(ranged(msgs, ["note_id", "seq"]), ["note_id"], ["note_id", "seq"], ["tail", "user"], "_before")
     # A row that is no message, or that ends in text, parts what comes before and after it.
-    breaks = (F.lag("tail").over(by_note).rlike(r"\S") | F.lag("user").over(by_note).isNull() | F.col("user").isNull()).cast("int")
-    runs = msgs.withColumn("_run", F.sum(F.coalesce(breaks, F.lit(1))).over(by_note))
-    run = Window.partitionBy("note_id", "_run")
-    last = F.max("seq").over(run)
-    comparable = (F.count(F.when(F.col("key").isNull(), 1)).over(run) == 0) & (F.min("has_date").over(run) == F.max("has_date").over(run))
-    flagged = runs.withColumns({"_ok": comparable, "_last": last, "_tail": F.last("tail").over(run.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    ranked = flagged.withColumn("_rank", F.row_number().over(Window.partitionBy("note_id", "_run").orderBy(F.when(F.col("_ok"), F.col("key")), "seq")))
-    size = F.count(F.lit(1)).over(run)
-    placed = ranked.withColumn("place", F.col("_last") - size + F.col("_rank"))
+    breaks = (F.col("_before.tail").rlike(r"\S") | F.col("_before.user").isNull() | F.col("user").isNull()).cast("int")
+    runs = written(running_total(cut, ["note_id", "seq"], F.coalesce(breaks, F.lit(1)), "_run").drop("_before", "_range"), "runs")
+    comparable = (F.count(F.when(F.col("key").isNull(), 1)) == 0) & (F.min("has_date") == F.max("has_date"))
+    stats = runs.groupBy(F.col("_run").alias("_stats_run")).agg(comparable.alias("_ok"), F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_size"), F.max_by("tail", "seq").alias("_tail"))
+    sortable = runs.join(stats, F.col("_run") == F.col("_stats_run")).drop("_stats_run").withColumn("_by", F.when(F.col("_ok"), F.col("key")))
+    numbered = numbered_rows(sortable, ["_run", "_by", "seq"], "_at")
+    starts = numbered.groupBy(F.col("_run").alias("_s")).agg(F.min("_at").alias("_start"))
+    ranked = numbered.join(starts, F.col("_run") == F.col("_s")).withColumn("_rank", F.col("_at") - F.col("_start") + 1)
+    placed = ranked.withColumn("place", F.col("_last") - F.col("_size") + F.col("_rank"))
     # The run's text after it stays behind its new last message.
-    tail = F.when(F.col("user").isNull(), F.col("tail")).when(F.col("_rank") == size, F.col("_tail")).otherwise("")
-    return placed.withColumn("tail", tail).drop("_run", "_ok", "_last", "_tail", "_rank")
+    tail = F.when(F.col("user").isNull(), F.col("tail")).when(F.col("_rank") == F.col("_size"), F.col("_tail")).otherwise("")
+    return placed.withColumn("tail", tail).select(*msgs.columns, "place")
 
 
 def merged_senders(msgs: DataFrame, place: str = "seq") -> DataFrame:
     """Consecutive messages of one sender as one row: first header, all bodies in order. Text between messages parts them."""
-    by_note = Window.partitionBy("note_id").orderBy(place)
-    changes = (~F.col("user").eqNullSafe(F.lag("user").over(by_note)) | F.col("user").isNull() | F.lag("tail").over(by_note).rlike(r"\S")).cast("int")
-    islands = msgs.withColumn("_island", F.sum(F.coalesce(changes, F.lit(1))).over(by_note))
+    order = ["note_id", place]
+    cut = with_previous(ranged(msgs, order), ["note_id"], order, ["tail", "user"], "_before")
+    changes = (~F.col("user").eqNullSafe(F.col("_before.user")) | F.col("user").isNull() | F.col("_before.tail").rlike(r"\S")).cast("int")
+    islands = running_total(cut, order, F.coalesce(changes, F.lit(1)), "_island")
     first = lambda c: F.min_by(c, place).alias(c)
     grouped = islands.groupBy("note_id", "_island").agg(F.min(place).alias("place"), first("user"), first("date"), first("time"), first("has_date"), first("key"), F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), "body"))).alias("_b"), F.max_by("tail", place).alias("tail"), F.count(F.lit(1)).alias("n_messages"))
     return grouped.withColumn("body", F.flatten(F.col("_b.body"))).drop("_b", "_island")

@@ -15,7 +15,7 @@ from notewright.functions.typeset import fix_blank_lines, fix_headings, fix_inde
 from notewright.operators.blocks import sort_blocks
 from notewright.operators.chat import ChatOptions, render_chat
 from notewright.operators.forum import FLOOR, ForumOptions, floors, is_forum_dump, render_threads
-from notewright.session import drop_since, mark, written
+from notewright.session import table_scope, written
 
 MOST_PASSES = 5
 
@@ -59,7 +59,7 @@ def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
     if o.variables:
         letters = lambda x: F.when(x.contains("$"), declared(x)).otherwise(F.array().cast("array<string>"))
         out = out.withColumn("text", symbols_to_commands(let(lambda v: wrap_variables(v["x"], letters(v["x"])), x=t)))
-    out = out.withColumn("text", fix_spacing(t, o.spacing)) if o.spacing else out
+    out = fix_spacing(out, o.spacing) if o.spacing else out
     out = out.withColumn("text", fix_blank_lines(t))
     out = out.withColumn("text", tag_layout(t, o.sort_tags)) if o.tags else out
     if o.sort_blocks:
@@ -74,9 +74,10 @@ def typeset(notes: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataF
     work = notes.select("note_id", "text")
     done: list[DataFrame] = []
     for k in range(MOST_PASSES):
-        old, since = work.select(F.col("note_id").alias("_n"), F.col("text").alias("_old")), mark()
-        after = written(one_pass(work, options).join(old, F.col("note_id") == F.col("_n"), "left").select("note_id", "text", "_old"), "pass")
-        drop_since(notes.sparkSession, since, after)
+        old = work.select(F.col("note_id").alias("_n"), F.col("text").alias("_old"))
+        with table_scope() as tables:
+            after = written(one_pass(work, options).join(old, F.col("note_id") == F.col("_n"), "left").select("note_id", "text", "_old"), "pass")
+            tables.keep(after)
         changed = ~F.col("text").eqNullSafe(F.col("_old"))
         done.append(after.where(~changed if k < MOST_PASSES - 1 else F.lit(True)).select("note_id", "text"))
         work = after.where(changed).select("note_id", "text")

@@ -534,11 +534,70 @@ def _text_query(name: str, change: Callable, table: str = "notes", sql: str = ""
 _text_query("t1_fixed_indents", lambda t: typeset.fix_indent(F.concat(F.lit(" \tlead\n    four\n"), t)), "outlines", with_tables("outlines") + r" SELECT note_id, chr(9) || 'lead' || chr(10) || chr(9) || 'four' || chr(10) || text AS new_text FROM outlines")
 _text_query("t2_fixed_markers", lambda t: typeset.fix_markers(F.concat(F.lit(">>quote\n-    item\n##   head\n\n"), t)), "outlines", with_tables("outlines") + r" SELECT note_id, '> > quote' || chr(10) || '- item' || chr(10) || '## head' || chr(10) || chr(10) || text AS new_text FROM outlines")
 _text_query("t7_image_sizes", lambda t: links.sized_links(t, "120"), sql=with_tables("notes") + r""" SELECT note_id, regexp_replace(text, '!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', '![[\1|120]]', 'g') AS new_text FROM notes""")
-_text_query("t9_spacing", lambda t: spacing.fix_spacing(F.concat(F.lit("用anki卡片记笔记\n"), t)))
 _text_query("t14_blank_lines", lambda t: typeset.fix_blank_lines(F.concat(F.lit(" \t\n"), t)), "outlines", with_tables("outlines") + r""" SELECT note_id, array_to_string(list_transform(string_split(' ' || chr(9) || chr(10) || text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^[\s\x{00a0}]+$') THEN '' ELSE x END), chr(10)) AS new_text FROM outlines""")
 _text_query("t15_tag_layout", lambda t: tags.tag_layout(t), sql=with_tables("notes") + r""" SELECT note_id, regexp_replace(regexp_replace(text, '\n(!\[\[missing_[0-9]+\.png\]\]) #topic (!\[\[[0-9]+\.5\.png\]\])$', chr(10) || '\1 \2 #topic'), '\nplain #(tag-[0-9]) text$', chr(10) || 'plain text #\1') AS new_text FROM notes""")
 
 
+#: An English word of each text, the first of three letters or more, or the note's number in letters where there is none.
+_WORDS = r"""WITH w AS (SELECT doc_id AS note_id, coalesce(nullif(regexp_extract(text, '[A-Za-z]{3,}'), ''), 'none') AS w FROM documents)"""
+
+
+def _lines(spark: SparkSession, sf: str, *lines: str) -> DataFrame:
+    """Notes of some lines, each with the word of a document in place of W and its number in place of 7."""
+    w = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit("")), F.lit("none"))
+    n = F.col("doc_id").cast("string")
+    text = F.replace(F.replace(F.lit("\n".join(lines)), F.lit("7"), n), F.lit("W"), w)
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), text.alias("text"))
+
+
+def _lines_sql(*lines: str) -> str:
+    text = "\n".join(lines).replace("'", "''")
+    return _WORDS + f""" SELECT note_id, replace(replace('{text}', '7', CAST(note_id AS VARCHAR)), 'W', w) AS new_text FROM w"""
+
+
+_SPACES = {
+    "用W卡片记": "用 W 卡片记", "第 7 章": "第7章", "用W7写": "用 W7 写", "设$x$为W": "设 $x$ 为 W", "**矩阵**$P$": "**矩阵** $P$", "中文**W**中文": "中文 **W** 中文", "见[[W]]和`W`吗": "见 [[W]] 和 `W` 吗", "- 做W 7": "- 做 W 7", "|W|7|": "|W|7|",
+}
+_SYMBOLS = {
+    "中文 ，内容 。": "中文，内容。", "W,W": "W, W", "如, ：": "如,：", "甲 & 乙": "甲&乙", "甲 | 乙": "甲|乙", "甲 → 乙": "甲→乙", "W & W": "W & W", "$A$ & $B$": "$A$ & $B$", "（ + ）": "（+）", '" + "': '"+"', "《 W名 》": "《W名》", "x ^ 2": "x^2", "等等 ... 内容": "等等...内容", "( x )": "(x)", "中文 (说明)": "中文(说明)", "f (x)": "f(x)", "|x|": "|x|", "P(A|B)": "P(A|B)", "Q&A": "Q&A", "e.g. W": "e.g. W", "7. 并列：&": "7. 并列：&",
+}
+_WIDTHS = {
+    "元素: $A$": "元素：$A$", "没有 $M_{ij}$, 且": "没有 $M_{ij}$，且", "中文;内容": "中文；内容", "真的吗?不是!": "真的吗？不是！", "Hello W，good day": "Hello W, good day", "中文。Hello W，good day": "中文。Hello W, good day", "参数 gain=7、shift=7": "参数 gain=7、shift=7", "`f(中,文)`": "`f(中,文)`", "[[笔记,W]]": "[[笔记,W]]", "![[图:一,二.png]]": "![[图:一,二.png]]", "[说明](a/中,W.md)": "[说明](a/中,W.md)", "$x中,文$": "$x中,文$", "《书,W》": "《书,W》", "张三: 2024/01/05 14:30:25": "张三: 2024/01/05 14:30:25", "1,000个": "1,000个", "时间12:30到": "时间12:30到", "(中, W)好": "(中, W)好", "中文/, 好": "中文/, 好",
+}
+_UNITS = {"长7kg": "长 7 kg", "7 kg": "7 kg", "7fps的": "7 fps 的", "7℃": "7 ℃", "1.5mm": "1.5 mm", "3D打印": "3D 打印"}
+
+
+def _spacing_query(name: str, lines: dict[str, str], options: spacing.SpacingOptions = spacing.SpacingOptions()) -> None:
+    @query(_lines_sql(*lines.values()))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return spacing.fix_spacing(_lines(spark, sf, *lines), options).select("note_id", F.col("text").alias("new_text"))
+
+    QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
+
+
+_spacing_query("t9_script_spacing", _SPACES)
+_spacing_query("t10_symbol_spacing", _SYMBOLS)
+_spacing_query("t11_widths", _WIDTHS)
+_spacing_query("t12_units", _UNITS, spacing.SpacingOptions(digit_unit=True))
+
+
+_TAG_LINES = ["# head #W one", "one #x7 W", "two W", "three #W.", "", "> quoted #b", "> text #a W", "other #c", "- item #z W", "- next", "", "#only", "#tags", "", "#lead W", "more", "| #k cell | W |", "a | #b | c"]
+_TAGS_LAID = ["# head one #W", "one W", "two W", "three. #x7 #W", "", "> quoted", "> text W #b #a", "other #c", "- item W #z", "- next", "", "#only", "#tags", "", "W", "more #lead", "| cell #k | W |", "a | #b | c"]
+
+
+@query(_lines_sql(*_TAGS_LAID))
+def t15_tag_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of several lines, quotes, items, rows and headings, with the word of each document; its tags keep their order."""
+    return _lines(spark, sf, *_TAG_LINES).select("note_id", tags.tag_layout(F.col("text"), sort=False).alias("new_text"))
+
+
+@query()
+def t9_spacing(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with a Chinese line before them."""
+    notes = _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.concat(F.lit("用anki卡片记笔记\n"), "text").alias("new_text"))
+    return spacing.fix_spacing(notes, text_col="new_text")
+
+
 @query(_MESSAGES + """, o AS (SELECT note_id, "user", h, mi, body, row_number() OVER (PARTITION BY note_id ORDER BY mi, seq) AS p FROM m)
 SELECT note_id, string_agg("user" || ': 2024/01/05 ' || lpad(h, 2, '0') || ':' || mi || ':07' || CASE WHEN body <> '' THEN chr(10) || chr(9) || body ELSE '' END, chr(10) ORDER BY p) || chr(10) AS new_text FROM o GROUP BY note_id""")
 def t3_rendered_chats(spark: SparkSession, sf: str) -> DataFrame:
@@ -577,8 +636,10 @@ def t8_link_format(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""SELECT doc_id, '第' || CAST(doc_id AS STRING) || '章 矩阵' AS spaced, '第' || CAST(doc_id AS STRING) || '章、矩阵' AS kept, '元素：$A$' AS wide FROM documents""")
 def t13_chapters_and_widths(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
-    line = lambda end: spacing.space_line(F.concat(F.lit("第"), n, F.lit(end)))
-    return _table(spark, sf, "documents").select("doc_id", line("章矩阵").alias("spaced"), line("章、矩阵").alias("kept"), spacing.space_line(F.concat(F.lit("元素: $A$"), F.when(F.col("doc_id") < 0, n).otherwise(""))).alias("wide"))
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("第"), n, F.lit("章矩阵")).alias("spaced"), F.concat(F.lit("第"), n, F.lit("章、矩阵")).alias("kept"), F.concat(F.lit("元素: $A$"), F.when(F.col("doc_id") < 0, n).otherwise("")).alias("wide"))
+    for column in ("spaced", "kept", "wide"):
+        docs = spacing.fix_spacing(docs, text_col=column)
+    return docs
 
 
 @query(r"""SELECT doc_id AS note_id, replace(text, '`', '') || chr(10) || '设 $\alpha x$，值' AS new_text FROM documents""")
@@ -698,5 +759,5 @@ def x1_tidied_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = _table(spark, sf, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/documents.parquet")
     notes = stream.select(F.col("doc_id").alias("note_id"), F.concat("source", F.lit("/n.md")).alias("path"), F.col("source").alias("folder"), F.concat("text", F.lit("\n##  head\n\n\n3. x\n4. y")).alias("text"))
-    edits.tidy_stream(notes, f"{at}/out", f"{at}/checkpoint", layout.LayoutOptions(chat=None, forum=None)).awaitTermination()
-    return spark.read.schema(notes.schema).parquet(f"{at}/out").select("note_id", "text")
+    edits.tidy_stream(notes, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return edits.tidied(spark, f"{at}/out", notes.schema).select("note_id", "text")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import itertools
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: The tables that an application has written and not dropped yet, numbered; and the path of each.
-_WRITTEN: dict[str, dict[str, int]] = {}
-_NUMBERS = itertools.count()
+#: The paths of written tables, and the scope of the running thread or task.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPE: contextvars.ContextVar[TableScope | None] = contextvars.ContextVar("notewright_scope", default=None)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -55,33 +56,48 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/notewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = next(_NUMBERS)
     _PATHS[out] = path
+    if (scope := _SCOPE.get()) is not None:
+        scope.tables.append(out)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN[spark.sparkContext.applicationId].pop(path, None)
-
-
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables that ``written`` gave, when what was made of them has been written in turn. Others are left."""
     for table in tables:
         path = _PATHS.pop(table, None) if table is not None else None
         if path:
-            _delete(table.sparkSession, path)
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+class TableScope:
+    """The tables written in a ``with table_scope()`` block by its own thread."""
 
-def mark() -> int:
-    """A point in time for ``drop_since``."""
-    return next(_NUMBERS)
+    def __init__(self, outer: TableScope | None) -> None:
+        self.outer = outer
+        self.tables: list[DataFrame] = []
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Leaves tables to the scope around this one, or, without one, to the caller."""
+        for table in tables:
+            self.tables = [t for t in self.tables if t is not table]
+            if self.outer is not None:
+                self.outer.tables.append(table)
 
-def drop_since(spark: SparkSession, since: int = -1, keep: DataFrame | None = None) -> None:
-    """Deletes the tables written after a ``mark``, but ``keep``. Without a mark: all, once a job's results are saved."""
-    kept = _PATHS.get(keep) if keep is not None else None
-    for path, number in list(_WRITTEN.get(spark.sparkContext.applicationId, {}).items()):
-        if number > since and path != kept:
-            _delete(spark, path)
+
+@contextlib.contextmanager
+def table_scope() -> Iterator[TableScope]:
+    """Drops, at its end, the tables written inside it but those kept. Save the results of jobs before.
+
+    A scope sees only what its own thread (or task of an event loop) writes: jobs side by side in one session, streams among
+    them, never drop one another's tables.
+    """
+    scope = TableScope(_SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        drop(*scope.tables)

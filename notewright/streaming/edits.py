@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from notewright.operators.forum import post_key
-from notewright.plans.typeset import LayoutOptions, one_pass
-from notewright.session import drop_since, mark
+from notewright.plans.typeset import LayoutOptions, typeset
+from notewright.session import table_scope
 
 QUIET, LONGEST = "5 seconds", "20 seconds"
 
@@ -29,12 +30,21 @@ def distinct_post_stream(posts: DataFrame, lateness: str = "1 hour") -> DataFram
     return posts.withColumn("post_key", post_key()).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["topic", "post_key"])
 
 
+def tidy_batch(notes: DataFrame, number: int, target: str, options: LayoutOptions = LayoutOptions()) -> None:
+    """Lays out one micro-batch until no note changes, and writes it as the folder ``batch=number`` of ``target``.
+
+    A batch that runs again, after a driver was lost, replaces its folder, so each note is there once.
+    """
+    with table_scope():
+        done = typeset(notes, options)
+        done.select(*[F.col("new_text").alias("text") if c == "text" else c for c in notes.columns]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
 def tidy_stream(notes: DataFrame, target: str, checkpoint: str, options: LayoutOptions = LayoutOptions()) -> StreamingQuery:
-    """Lays out notes as they arrive and appends them to Parquet. Steps that order rows run on each micro-batch."""
+    """Lays out notes as they arrive: the same steps as for tables, on each micro-batch. Read the result with ``tidied``."""
+    return notes.writeStream.foreachBatch(lambda df, number: tidy_batch(df, number, target, options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def batch(df: DataFrame, number: int) -> None:
-        since = mark()
-        one_pass(df, options).write.mode("append").parquet(target)
-        drop_since(df.sparkSession, since)
 
-    return notes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def tidied(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The notes that ``tidy_stream`` has laid out, with the number of their batch."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", target).parquet(target)

@@ -7,13 +7,17 @@ from notewright.functions import formulas, links, spacing, tags, typeset
 from notewright.operators import chat, forum, images
 
 
-def run(spark, cases, change):
+def run(spark, cases, change, frame=False):
+    """``change`` of each text, and that it leaves its own output alone. With ``frame`` it takes and gives a table."""
+
+    def changed(df):
+        return change(df).withColumnRenamed("text", "out") if frame else df.select("i", change(F.col("text")).alias("out"))
+
     rows = [(i, before) for i, (before, _) in enumerate(cases)]
-    df = spark.createDataFrame(rows, "i int, text string").select("i", change(F.col("text")).alias("out"))
-    got = dict(df.collect())
+    got = dict(changed(spark.createDataFrame(rows, "i int, text string")).collect())
     for i, (before, after) in enumerate(cases):
         assert got[i] == after, f"{before!r}: {got[i]!r}, not {after!r}"
-    again = spark.createDataFrame([(i, got[i]) for i in got], "i int, text string").select("i", change(F.col("text")).alias("out"))
+    again = changed(spark.createDataFrame([(i, got[i]) for i in got], "i int, text string"))
     assert dict(again.collect()) == got
 
 
@@ -57,7 +61,7 @@ def test_tags(spark):
 
 def test_spacing(spark):
     cases = [("用anki卡片记笔记", "用 anki 卡片记笔记"), ("第 3 章", "第3章"), ("用GPT4写代码", "用 GPT4 写代码"), ("设$x$为未知数", "设 $x$ 为未知数"), ("中文 ，内容 。", "中文，内容。"), ("元素: $A$", "元素：$A$"), ("第一章矩阵", "第一章 矩阵"), ("第一章、矩阵", "第一章、矩阵"), ("中文**English**中文", "中文 **English** 中文"), ("**可逆矩阵**$P$", "**可逆矩阵** $P$"), ("甲 & 乙", "甲&乙"), ("`code`中文", "`code` 中文"), ("《新 吊带袜天使》", "《新 吊带袜天使》"), ("A & B", "A & B"), ("word,word", "word, word"), ("1.2.2 12:30 a", "1.2.2 12:30 a"), ("```\n用anki\n```", "```\n用anki\n```"), (None, None)]
-    run(spark, cases, spacing.fix_spacing)
+    run(spark, cases, spacing.fix_spacing, frame=True)
 
 
 def test_variables_and_symbols(spark):
@@ -133,10 +137,42 @@ def test_all_symbols(spark):
     run(spark, [("设 $ζx ± ∑ ⊂ ← Ψ$，值", "设 $\\zeta x \\pm \\sum \\subset \\leftarrow \\Psi$，值")], formulas.symbols_to_commands)
 
 
-def test_sentence_widths_and_units(spark):
-    run(spark, [("中文内容。Hello world，good day", "中文内容。Hello world, good day"), ("Hello big world。中文，内容", "Hello big world。中文，内容"), ("One line，of words。And more words！", "One line, of words. And more words!"), ("参数 gain=50、shift=0", "参数 gain=50、shift=0")], spacing.fix_spacing)
-    units = lambda t: spacing.fix_spacing(t, spacing.SpacingOptions(digit_unit=True))
-    run(spark, [("长100 kg的", "长100 kg 的"), ("共 5 fps 呢", "共5 fps 呢")], units)
+def test_widths_by_sentence(spark):
+    cases = [("中文内容。Hello world，good day", "中文内容。Hello world, good day"), ("Hello big world。中文，内容", "Hello big world。中文，内容"), ("One line，of words。And more words！", "One line, of words. And more words!"), ("参数 gain=50、shift=0", "参数 gain=50、shift=0"), ("没有 $M_{ij}$, 且", "没有 $M_{ij}$，且"), ("中文;英文", "中文；英文"), ("好?不", "好？不"), ("1,000个", "1,000个"), ("时间12:30到", "时间12:30到"), ("中文/, 好", "中文/, 好")]
+    run(spark, cases, spacing.fix_spacing, frame=True)
+
+
+def test_protected_text_keeps_every_mark(spark):
+    kept = ["`f(中,文)`", "[[笔记,甲]]", "![[图:一,二.png]]", "[说明](a/中,文.md)", "$x中,文$", "《书,名》", "“引,文”", "张三: 2024/01/05 14:30:25", "%%注,释%%", "<a title=中,文>", "[^注,一]", "$$中,文$$", "```\n中,文 a中\n```", "| 中,文 | a中 |\n|---|---|\n| 甲,乙 | b乙 |", "---\na: 中,文\n---", "$$\n中,文\n$$", "x\r", "\u2028x\u0085y \u2028"]
+    run(spark, [(t, t) for t in kept], spacing.fix_spacing, frame=True)
+
+
+def test_symbols_and_wrappers(spark):
+    cases = [("中文 ，内容 。", "中文，内容。"), ("word,word", "word, word"), ("如, ：", "如,："), ("7. 并列：&", "7. 并列：&"), ("甲 & 乙", "甲&乙"), ("甲 | 乙", "甲|乙"), ("甲 → 乙", "甲→乙"), ("A & B", "A & B"), ("$A$ & $B$", "$A$ & $B$"), ("word, word", "word, word"), ("（ + ）", "（+）"), ('" + "', '"+"'), ("《 书名 》", "《书名》"), ("《新 吊带袜天使》", "《新 吊带袜天使》"), ("x ^ 2", "x^2"), ("等等 ... 内容", "等等...内容"), ("( x )", "(x)"), ("中文 (说明)", "中文(说明)"), ("f (x)", "f(x)"), ("an (aside) here", "an (aside) here"), ("|x|", "|x|"), ("P(A|B)", "P(A|B)"), ("x || y", "x || y"), ("e.g. this", "e.g. this"), ("Q&A", "Q&A"), ("ctrl+c", "ctrl+c"), ("1.2.2 and 12:30", "1.2.2 and 12:30"), ('say "hi there" now', 'say "hi there" now'), ('说 "好" 了', '说"好"了')]
+    run(spark, cases, spacing.fix_spacing, frame=True)
+
+
+def test_emphasis_is_looked_past(spark):
+    cases = [("**可逆矩阵**$P$", "**可逆矩阵** $P$"), ("中文**English**中文", "中文 **English** 中文"), ("~~旧~~new", "~~旧~~ new"), ("甲***abc***乙", "甲 ***abc*** 乙"), ("**中_abc_文**x", "**中 _abc_ 文** x"), ("2*3", "2*3"), ("a*b", "a*b")]
+    run(spark, cases, spacing.fix_spacing, frame=True)
+
+
+def test_units(spark):
+    units = lambda df: spacing.fix_spacing(df, spacing.SpacingOptions(digit_unit=True))
+    run(spark, [("长100 kg的", "长 100 kg 的"), ("共 5 fps 呢", "共 5 fps 呢"), ("100kg", "100 kg"), ("1.5mm", "1.5 mm"), ("20℃", "20 ℃"), ("3D打印", "3D 打印"), ("4K", "4K")], units, frame=True)
+
+
+def test_protected_spans_do_not_overlap(spark):
+    text = "`https://a.b/c` [x](http://y.z/a) <b> me@x.org, localhost:80 a.bc &amp; #tag %%c `d`%% [^1]"
+    df = spark.createDataFrame([(1, text), (2, "```\n`x`\n```"), (3, None), (4, "")], "note_id long, text string")
+    rows = spacing.protected_spans(df).orderBy("note_id", "line", "ord").collect()
+    assert [(r["kind"], r["span"]) for r in rows] == [("code", "`https://a.b/c`"), ("link", "[x](http://y.z/a)"), ("html", "<b>"), ("email", "me@x.org"), ("host_port", "localhost:80"), ("domain", "a.bc"), ("entity", "&amp;"), ("tag", "#tag"), ("comment", "%%c `d`%%"), ("footnote", "[^1]")]
+    assert all(r["note_id"] == 1 and text[r["start"] : r["end"]] == r["span"] for r in rows) and [r["ord"] for r in rows] == list(range(10))
+
+
+def test_tags_of_a_paragraph(spark):
+    cases = [("one #x\ntwo text", "one\ntwo text #x"), ("> a #x\n> b #y\nc #z", "> a\n> b #x #y\nc #z"), ("#x\ntext", "\ntext #x"), ("text\n#x", "text\n#x"), ("#b\n#a", "#b\n#a"), ("a #x\n\nb", "a #x\n\nb"), ("- a #x b\n- c", "- a b #x\n- c"), ("a #x\n# h\nb", "a #x\n# h\nb"), ("a #x\n```\n#c d\n```", "a #x\n```\n#c d\n```")]
+    run(spark, cases, tags.tag_layout)
 
 
 def test_topic_addresses(spark):
