@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notewright.session import drop, drop_since, mark, ship_package, written
+from notewright.session import drop, ship_package, table_scope, written
 
-__all__ = ["drop", "drop_since", "mark", "written"]
+__all__ = ["drop", "table_scope", "written"]
 
 #: A word, in Spark's (Java) and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
