@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from notewright.llm.line_dedup import drop_common_lines
 from notewright.llm.packing import pack
 from notewright.llm.quality_rules import rate_quality
-from notewright.llm.shared import written
+from notewright.llm.shared import drop, table_scope, written
 from notewright.llm.shingle_join import one_of_each_group
 from notewright.llm.source_mixing import mixed_rows
 
@@ -56,5 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with table_scope() as tables:
+            after = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.keep(after)
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
