@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams, each scaled by its naive Bayes log-count ratio.
 
 1. A text's features are the distinct n-grams of 2 to 5 of its characters, letters in lower case, named by 64-bit hashes.
-2. Over all labelled texts, documents of each label are counted for each n-gram. The log ratio of the two smoothed
+2. Over labelled texts (a bounded number), documents of each label are counted for each n-gram. The log ratio of the two smoothed
    shares is the n-gram's scale; those whose counts differ most between the labels (by the likelihood ratio) are kept.
-3. A logistic model on the scaled features is fitted to a bounded sample of labelled texts, its bias and slope are set
+3. A logistic model on the scaled features is fitted to a smaller sample of labelled texts, its bias and slope are set
    on a part held back from the fit.
 """
 
@@ -197,13 +197,13 @@ def fit(model: Model, packed: np.ndarray, labels: np.ndarray, epochs: int = 30,
     return model
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_grams: int = 2048, least_texts: int = 5, most_labelled: int = 20000, threshold: float = 0.7, folds: int = 3, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_grams: int = 2048, least_texts: int = 5, most_counted: int = 200_000, most_labelled: int = 20_000, threshold: float = 0.7, folds: int = 3, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every document.
 
     Rows whose crc32(id as text) mod ``folds`` is ``held_fold`` are held out: their labels are never read. N-grams are counted over
-    all other labelled documents; the ``most_grams`` strongest of those in ``least_texts`` texts or more are the model's
-    features, and its weights are fitted to at most ``most_labelled`` labelled documents, the first by a hash of the
-    id. Scores use the text alone, whole, in windows, so very long texts take no more memory than their characters.
+    at most ``most_counted`` of the other labelled documents; the ``most_grams`` strongest of those in ``least_texts`` texts or
+    more are the model's features, and its weights are fitted to at most ``most_labelled`` of them. Both samples are the
+    first by a hash of the id; their ids and labels go to all tasks, so that no text is shuffled. Scores use the text alone, whole, in windows, so very long texts take no more memory than their characters.
     Null and empty texts are scored by the bias. Null ids are in the fold of the empty text and have no label; of
     an id labelled twice the smaller label counts; null labels are left out, labels above 0 count as 1; repeated
     rows are scored each by itself; no other column is read.
@@ -213,7 +213,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxi
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != held_fold)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     known = known.withColumn("_label", (F.col("_label") > 0).cast("int"))
-    labelled = docs.select(id_col, text_col).join(known, id_col)
+    # At most most_counted ids with a label: 12 bytes each, small enough to send to each task.
+    counted = written(known.orderBy(F.xxhash64(id_col), id_col).limit(most_counted), "counted")
+    labelled = docs.select(id_col, text_col).join(F.broadcast(counted), id_col)
     sizes = labelled.agg(F.count(F.when(F.col("_label") == 0, 1)).alias("texts0"), F.count(F.when(F.col("_label") == 1, 1)).alias("texts1")).first()
     model = Model(np.empty(0, np.uint64), np.empty(0), np.empty(0))
     if sizes["texts0"] and sizes["texts1"]:
@@ -224,8 +226,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxi
         order = np.argsort(grams)
         model = Model(grams[order], np.array([r["scale"] for r in best])[order], np.zeros(len(best)))
 
-    # At most most_labelled ids: small enough to send to each task.
-    chosen = written(known.orderBy(F.xxhash64(id_col), id_col).limit(most_labelled), "labelled")
+    chosen = written(counted.orderBy(F.xxhash64(id_col), id_col).limit(most_labelled), "labelled")
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -238,7 +239,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxi
     rows = sample.select(id_col, text_col, "_label").mapInArrow(learn, f"`{id_col}` {id_type}, x binary, y int").groupBy(id_col).agg(F.min(F.struct("x", "y")).alias("r")).select(id_col, "r.*").collect()
     rows.sort(key=lambda r: r[0])
     packed = np.array([np.frombuffer(r["x"], np.uint8) for r in rows]).reshape(len(rows), -(-len(model.grams) // 8))
-    drop(chosen)
+    drop(counted, chosen)
     fit(model, packed, np.array([r["y"] for r in rows], np.int64))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
