@@ -136,7 +136,7 @@ def fix_spacing(notes: DataFrame, o: SpacingOptions = SpacingOptions(), text_col
         """Lines in their head (marks of quotes, items and headings), the part that is cut (null: none) and the blanks after it."""
 
         def one(x: Column, i: Column) -> Column:
-            head, tail = F.regexp_extract(x, _LEAD, 1), F.regexp_extract(x, rf"({BLANK}*)$", 1)
+            head, tail = F.regexp_extract(x, _LEAD, 1), F.regexp_extract(x, rf"({BLANK}*)\z", 1)
             changes = x.rlike(mixed) & (head != x) & ~inside(v["kept"], i)
             body = F.substring(x, F.length(head) + 1, F.length(x) - F.length(head) - F.length(tail))
             return F.struct(x.alias("line"), F.when(changes, F.struct(head.alias("head"), body.alias("body"), tail.alias("tail"))).alias("cut"))
