@@ -130,7 +130,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """The mean of each text's word vectors, then the mean of its words' own shapes; without words, zeros."""
+    """The mean of each text's word vectors; without words, zeros."""
     data, offsets = utf8(column)
     tokens = tokens_of(data, offsets)
     n = len(tokens.first) - 1
