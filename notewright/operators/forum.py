@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.operators.ranks import numbered_rows
 from notewright.session import ship_package
 
 _NUMBER, _DAY, _CLOCK = r"#(\d+)(?:-(\d+))?", r"(\d{4})-(\d\d?)-(\d\d?)", r"(\d\d?):(\d\d)"
@@ -184,9 +185,20 @@ def topic_url(url: Column, hosts: tuple[str, ...] = TOPIC_HOSTS) -> Column:
 
 
 def in_page_order(posts: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
-    """Adds place, the position of a post over the pages of its topic; pages beyond the fiftieth are not taken."""
-    ranked = posts.withColumn("_page", F.dense_rank().over(Window.partitionBy("topic").orderBy("page"))).where(F.col("_page") <= most_pages).drop("_page")
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("page", "seq")).cast("long"))
+    """Adds place, the position of a post over the pages of its topic from 1; pages beyond the fiftieth are not taken.
+
+    Pages are numbered over all topics, and so are the posts that are left; a topic's first number is taken off. So no task
+    holds a whole topic.
+    """
+
+    def from_one(numbered: DataFrame, out: str) -> DataFrame:
+        first = numbered.groupBy(F.col("topic").alias("_t")).agg(F.min("_at").alias("_first"))
+        return numbered.join(first, F.col("topic").eqNullSafe(F.col("_t"))).withColumn(out, (F.col("_at") - F.col("_first") + 1).cast("long")).drop("_t", "_first", "_at")
+
+    pages = from_one(numbered_rows(posts.select("topic", "page").distinct(), ["topic", "page"], "_at"), "_nth").where(F.col("_nth") <= most_pages)
+    pages = pages.select(F.col("topic").alias("_topic"), F.col("page").alias("_page"))
+    taken = posts.join(pages, F.col("topic").eqNullSafe(F.col("_topic")) & F.col("page").eqNullSafe(F.col("_page")), "left_semi")
+    return from_one(numbered_rows(taken, ["topic", "page", "seq"], "_at"), "place")
 
 
 def post_key() -> Column:
@@ -194,10 +206,10 @@ def post_key() -> Column:
 
 
 def distinct_posts(posts: DataFrame) -> DataFrame:
-    """Posts without repeats (same floor, user and first 40 characters): the first in page order stays."""
-    keyed = posts.withColumn("_key", post_key())
-    rank = F.row_number().over(Window.partitionBy("topic", "_key").orderBy("page", "seq"))
-    return keyed.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_key")
+    """Posts without repeats (same floor, user and first 40 characters): the first in page order stays. Tasks find their own
+    first before the shuffle, so a post repeated without end is no hot key."""
+    first = F.min_by(F.struct(*posts.columns), F.struct("page", "seq")).alias("_row")
+    return posts.groupBy(F.col("topic").alias("_topic"), post_key().alias("_key")).agg(first).select("_row.*")
 
 
 def without_smilies(body: Column) -> Column:

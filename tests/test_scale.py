@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.operators import blocks, chat, ranks
+from notewright.operators import blocks, chat, forum, ranks
 from notewright.plans.typeset import LayoutOptions, typeset
 from notewright.session import drop, shared_folder, table_scope, written
 from notewright.streaming import edits
@@ -125,3 +125,21 @@ def test_ranges_do_not_matter(spark, monkeypatch, size):
     n = spark.createDataFrame([(1, "\n".join(["- b", "  more", "- a", "", "z", "", "3. y", "2. x", "", "> q", "> p"] * 9)), (2, None), (3, ""), (4, "2. b\n1. a")], "note_id long, text string")
     block = "- a\n- b\n  more\n\nz\n\n2. x\n3. y\n\n> q\n> p"
     assert dict(blocks.sort_blocks(n).collect()) == {1: "\n".join([block] * 9).replace("2. x\n3. y", "2. x\n3. y"), 3: "", 4: "1. a\n2. b"}
+
+
+@pytest.mark.parametrize("size", [13, 100_000])
+def test_pages_of_a_hot_topic(spark, monkeypatch, size):
+    """A topic of 60 pages beside small ones: fifty pages are taken, and no window is by topic."""
+    monkeypatch.setattr(forum.numbered_rows, "__defaults__", (size,))
+    rows = [(1, 2 * p, s, f"b{p}{s}") for p in range(60) for s in range(3)] + [(None, 1, 0, "n"), (2, 5, 1, "x"), (2, 5, 0, "y"), (2, None, 9, "z")]
+    posts = spark.createDataFrame(rows, "topic long, page int, seq int, body string").repartition(4)
+    out = forum.in_page_order(posts)
+    assert "partitionBy topic" not in out._jdf.queryExecution().toString() and "Window [topic" not in out._jdf.queryExecution().toString()
+    got = sorted(((r["topic"] or 0, r["place"], r["body"]) for r in out.collect()))
+    assert got == [(0, 1, "n"), *[(1, 3 * p + s + 1, f"b{p}{s}") for p in range(50) for s in range(3)], (2, 1, "z"), (2, 2, "y"), (2, 3, "x")]
+
+
+def test_first_of_repeated_posts(spark):
+    rows = [(1, 2, 0, "1", "u", "same"), (1, 1, 5, "1", "u", "same"), (1, 1, 4, "1", "u", "x" * 40 + "a"), (1, 1, 6, "1", "u", "x" * 40 + "b"), (None, 1, 0, None, "u", None), (None, 1, 1, None, "u", None)]
+    posts = spark.createDataFrame(rows, "topic long, page int, seq int, floor string, user string, body string")
+    assert sorted((r["page"], r["seq"], r["topic"] or 0) for r in forum.distinct_posts(posts).collect()) == [(1, 0, 0), (1, 4, 1), (1, 5, 1)]
