@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import INLINE_CODE, fence_ranges, inside, lines_of, map_lines, no_ranges, table_ranges
+from notewright.functions.lines import INLINE_CODE, fence_ranges, inside, let, lines_of, map_lines, no_ranges, table_ranges
 from notewright.sources.notes import IMAGE_EXTENSIONS, IMPORT_EXTENSIONS
 
 _ANY = "|".join(IMAGE_EXTENSIONS)
@@ -40,20 +40,25 @@ def _unescaped(target: Column) -> Column:
     return F.regexp_replace(target, r"\\+$", "")
 
 
+def _embeds(line: Column) -> Column:
+    """The image embeds of a line, outside its code: kind and target, wiki embeds first."""
+    plain = F.regexp_replace(line, INLINE_CODE, "`")
+    wiki = F.transform(F.regexp_extract_all(plain, F.lit(WIKI), F.lit(1)), lambda t: F.struct(F.lit("wiki").alias("kind"), _unescaped(F.trim(t)).alias("target")))
+    md = F.transform(F.regexp_extract_all(plain, F.lit(MARKDOWN), F.lit(1)), lambda t: F.struct(F.lit("markdown").alias("kind"), _unescaped(_bare(t)).alias("target")))
+    return F.filter(F.concat(wiki, md), lambda x: F.element_at(F.split(x["target"], "#"), 1).rlike(IMAGE))
+
+
 def image_refs(notes: DataFrame) -> DataFrame:
     """Image embeds outside code: note_id, folder, line, ord (from 0 in the line), kind, target. Notes without '!' are not split."""
     lines = lines_of(F.col("text"))
     some = notes.where(F.contains(F.col("text"), F.lit("!"))).withColumn("_code", fence_ranges(lines))
     rows = some.select("note_id", "folder", "_code", F.posexplode(lines).alias("line", "_line")).where(F.col("_line").contains("!") & ~inside(F.col("_code"), F.col("line")))
-    plain = F.regexp_replace("_line", INLINE_CODE, "`")
-    wiki = F.transform(F.regexp_extract_all(plain, F.lit(WIKI), F.lit(1)), lambda t: F.struct(F.lit("wiki").alias("kind"), _unescaped(F.trim(t)).alias("target")))
-    md = F.transform(F.regexp_extract_all(plain, F.lit(MARKDOWN), F.lit(1)), lambda t: F.struct(F.lit("markdown").alias("kind"), _unescaped(_bare(t)).alias("target")))
-    found = F.filter(F.concat(wiki, md), lambda x: F.element_at(F.split(x["target"], "#"), 1).rlike(IMAGE))
-    return rows.select("note_id", "folder", "line", F.posexplode(found).alias("ord", "ref")).select("note_id", "folder", "line", "ord", "ref.kind", "ref.target")
+    return rows.select("note_id", "folder", "line", F.posexplode(_embeds(F.col("_line"))).alias("ord", "ref")).select("note_id", "folder", "line", "ord", "ref.kind", "ref.target")
 
 
 #: Every kind of link that names a file: wiki links and embeds, Markdown images, file entries of canvases.
-FILE_LINK = r'!?\[\[[^\[\]\n]+\]\]|!\[[^\]\n]*\]\([^)\n]*\)|"file"\s*:\s*"[^"\n]+"'
+#: The look ahead passes by most characters at once.
+FILE_LINK = r'(?=[!\["])(?:!?\[\[[^\[\]\n]+\]\]|!\[[^\]\n]*\]\([^)\n]*\)|"file"\s*:\s*"[^"\n]+")'
 
 
 def _decoded(target: Column) -> Column:
@@ -79,11 +84,22 @@ def with_target(link: Column, new: Column) -> Column:
     return F.when(link.startswith('"'), canvas).when(link.rlike(r"^!?\[\["), wiki).otherwise(markdown)
 
 
+def _linked(text: Column) -> Column:
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({FILE_LINK})"), F.lit(1)), link_target))
+    return F.filter(targets, lambda t: without_fragment(t).rlike(IMAGE))
+
+
 def file_links(docs: DataFrame) -> DataFrame:
     """(note_id, target): what images a document's links of any kind name, in code too; each once."""
-    targets = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({FILE_LINK})"), F.lit(1)), link_target))
-    images = F.filter(targets, lambda t: without_fragment(t).rlike(IMAGE))
-    return docs.where(F.col("text").isNotNull()).select("note_id", F.explode(images).alias("target"))
+    return docs.where(F.col("text").isNotNull()).select("note_id", F.explode(_linked(F.col("text"))).alias("target"))
+
+
+def _named(text: Column) -> Column:
+    wiki = F.regexp_extract_all(text, F.lit(r"\[\[((?:(?!\]\])[^|#])+)"), F.lit(1))
+    md = F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN), F.lit(1)), lambda t: F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(F.trim(t), "^<|>$", ""), "\\+", "%2B")), F.regexp_replace(F.trim(t), "^<|>$", "")))
+    canvas = F.regexp_extract_all(text, F.lit(CANVAS_FILE), F.lit(1))
+    targets = F.transform(F.concat(wiki, md, canvas), lambda t: without_fragment(_unescaped(t)))
+    return F.filter(F.transform(F.filter(targets, lambda t: t.rlike(IMAGE)), lambda t: F.lower(F.element_at(F.split(t, "/"), -1))), lambda n: n != "")
 
 
 def referenced_names(docs: DataFrame) -> DataFrame:
@@ -91,13 +107,25 @@ def referenced_names(docs: DataFrame) -> DataFrame:
 
     Wiki links and embeds, Markdown images (URL-decoded) and the file entries of canvases count, in code too.
     """
-    text = F.col("text")
-    wiki = F.regexp_extract_all(text, F.lit(r"\[\[((?:(?!\]\])[^|#])+)"), F.lit(1))
-    md = F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN), F.lit(1)), lambda t: F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(F.trim(t), "^<|>$", ""), "\\+", "%2B")), F.regexp_replace(F.trim(t), "^<|>$", "")))
-    canvas = F.regexp_extract_all(text, F.lit(CANVAS_FILE), F.lit(1))
-    targets = F.transform(F.concat(wiki, md, canvas), lambda t: without_fragment(_unescaped(t)))
-    names = F.transform(F.filter(targets, lambda t: t.rlike(IMAGE)), lambda t: F.lower(F.element_at(F.split(t, "/"), -1)))
-    return docs.where(text.isNotNull()).select("note_id", F.explode(names).alias("name")).where("name <> ''")
+    return docs.where(F.col("text").isNotNull()).select("note_id", F.explode(_named(F.col("text"))).alias("name"))
+
+
+def all_links(docs: DataFrame) -> DataFrame:
+    """(note_id, folder, role, target) of all that a document says about images, from one reading of its text.
+
+    Roles: ``wiki`` and ``markdown`` (the embeds of ``image_refs``), ``link`` (the targets of ``file_links``) and ``name``
+    (those of ``referenced_names``), each as often as there. An unreadable document gives no row.
+    """
+    as_role = lambda role, targets: F.transform(targets, lambda t: F.struct(F.lit(role).alias("role"), t.alias("target")))
+    in_line = lambda x: F.transform(_embeds(x), lambda e: F.struct(e["kind"].alias("role"), e["target"].alias("target")))
+    open_lines = lambda v: F.filter(v["lines"], lambda x, i: x.contains("!") & ~inside(v["code"], i))
+    lines, none = lines_of(F.col("text")), F.array().cast("array<struct<role:string,target:string>>")
+    code = F.when(F.col("text").rlike("```|~~~"), fence_ranges(lines)).otherwise(no_ranges(lines))
+    embeds = F.flatten(F.transform(let(open_lines, lines=lines, code=code), in_line))
+    found = F.concat(F.when(F.col("text").contains("!["), embeds).otherwise(none), as_role("link", _linked(F.col("text"))), as_role("name", _named(F.col("text"))))
+    # What has neither double brackets, nor an image's nor a canvas's mark, holds no link.
+    some = docs.where(F.col("text").rlike(r'\[\[|!\[|"file"'))
+    return some.select("note_id", "folder", F.explode(found).alias("x")).select("note_id", "folder", "x.role", "x.target")
 
 
 def external_images(notes: DataFrame) -> DataFrame:

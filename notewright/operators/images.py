@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.operators.ranks import numbered_rows
+from notewright.operators.ranks import numbered_rows, ranked
 from notewright.operators.resolve import reference_counts
 from notewright.session import written
 from notewright.sources.notes import IMPORT_EXTENSIONS, images_only
@@ -51,13 +51,13 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     return met.join(sizes, (F.col("folder") == F.col("_f")) & (F.col("size") == F.col("_s")) & (F.col("digest") == F.col("_d"))).drop("_f", "_s", "_d")
 
 
-def keepers(files: DataFrame, docs: DataFrame) -> DataFrame:
+def keepers(files: DataFrame, docs: DataFrame | None, names: DataFrame | None = None) -> DataFrame:
     """(path, name, keeper, is_keeper, ...) of all copies: the copy with most references stays, then the smallest name.
 
     The best copy of a group is an aggregate with partial results, not a window over the group.
     """
     groups = duplicate_groups(files)
-    counts = reference_counts(docs).select(F.col("name").alias("_name"), "n_refs")
+    counts = reference_counts(docs, names).select(F.col("name").alias("_name"), "n_refs")
     counted = groups.join(counts, F.lower("name") == F.col("_name"), "left").drop("_name").withColumn("n_refs", F.coalesce("n_refs", F.lit(0)))
     best = counted.groupBy(F.col("folder").alias("_f"), F.col("digest").alias("_d")).agg(F.min_by("path", F.struct(-F.col("n_refs"), F.col("name"))).alias("keeper"))
     return counted.join(best, (F.col("folder") == F.col("_f")) & (F.col("digest") == F.col("_d"))).drop("_f", "_d").withColumn("is_keeper", F.col("path") == F.col("keeper"))
@@ -188,18 +188,31 @@ def numbered_name(name: Column, n: Column) -> Column:
     return F.when(n < 2, name).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(" "), n.cast("string"), F.regexp_extract(name, r"(\.[^.]+)$", 1)))
 
 
-def free_suffixes(requests: DataFrame, files: DataFrame) -> DataFrame:
+def _suffix(name: Column) -> Column:
+    """What ``numbered_name`` made a name of, from 2 on: its base and number; null: no such name."""
+    ext = F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    stem = F.substring(name, F.lit(1), F.char_length(name) - F.char_length(ext))
+    digits = F.regexp_extract(stem, r" ([1-9][0-9]{0,17})$", 1)
+    base = F.concat(F.substring(stem, F.lit(1), F.char_length(stem) - F.char_length(digits) - 1), ext)
+    return F.when((digits != "") & (digits != "1"), F.struct(base.alias("base"), digits.cast("long").alias("number")))
+
+
+def free_suffixes(requests: DataFrame, files: DataFrame, rows_a_range: int | None = None) -> DataFrame:
     """Adds free_name to requests (folder, name, src): the name itself if the folder has none such, else with the
-    smallest free number from 2. Requests for one name share out the free numbers in the order of src.
+    smallest free number from 2. Requests for one name share out the free numbers in the order of src. A numbered name that
+    is itself asked for in the folder counts as taken, so no two requests get one name; names are alike in any case.
+
+    The i-th taken number t leaves t - i free ones below it. Sorted among the requests' ranks, after those not above it, that
+    makes a row's position in its group the number it gets: no numbers are laid out, and a name may be asked for any number
+    of times. Rows without a name get none; no folder counts as a folder of its own.
     """
-    low = F.lower("name")
-    asked = requests.withColumn("_rank", F.row_number().over(Window.partitionBy("folder", low).orderBy("src")))
-    n = asked.groupBy(F.col("folder").alias("_f"), low.alias("_low")).agg(F.max("_rank").alias("_n"), F.min("name").alias("_name"))
-    stem = F.regexp_replace(F.lower("name"), r"( \d+)?(\.[^.]+)$", "$2")
-    have = files.groupBy(F.col("folder").alias("_hf"), stem.alias("_hs")).agg(F.count(F.lit(1)).alias("_have"))
-    room = n.join(have, (F.col("_f") == F.col("_hf")) & (F.regexp_replace("_low", r"( \d+)?(\.[^.]+)$", "$2") == F.col("_hs")), "left")
-    tried = room.select("_f", "_low", F.explode(F.sequence(F.lit(1), (F.col("_n") + F.coalesce("_have", F.lit(0)) + 1).cast("int"))).alias("_k"), "_name").withColumn("_try", numbered_name(F.col("_name"), F.col("_k")))
-    taken = files.select(F.col("folder").alias("_tf"), F.lower("name").alias("_tn"))
-    free = tried.join(taken, (F.col("_f") == F.col("_tf")) & (F.lower("_try") == F.col("_tn")), "left_anti").withColumn("_free", F.row_number().over(Window.partitionBy("_f", "_low").orderBy("_k"))).select("_f", "_low", "_free", "_k")
-    met = asked.join(free, (F.col("folder") == F.col("_f")) & (low == F.col("_low")) & (F.col("_rank") == F.col("_free")))
-    return met.withColumn("free_name", numbered_name(F.col("name"), F.col("_k"))).drop("_rank", "_f", "_low", "_free", "_k")
+    key = ["_folder", "_base"]
+    asked = written(requests.withColumns({"_folder": F.col("folder"), "_base": F.lower("name")}), "asked")
+    mine = ranked(asked, key, ["src"], "_value", rows_a_range).withColumns({"_taken": F.lit(0), "_number": F.lit(0).cast("long")})
+    have = files.select("folder", F.lower("name").alias("name"))
+    own = have.select(F.col("folder").alias("_folder"), F.col("name").alias("_base"), F.lit(1).cast("long").alias("_number"))
+    some = have.union(asked.select("_folder", "_base")).select("folder", _suffix(F.col("name")).alias("s")).where("s is not null")
+    taken = written(own.union(some.select("folder", "s.base", "s.number")).distinct().join(asked.select(*key).distinct(), key, "left_semi"), "taken")
+    gaps = ranked(taken, key, ["_number"], "_i", rows_a_range).select(*key, "_number", (F.col("_number") - F.col("_i")).alias("_value"), F.lit(1).alias("_taken"))
+    met = ranked(mine.unionByName(gaps, allowMissingColumns=True), key, ["_value", "_taken", "_number"], "_k", rows_a_range).where("_taken = 0")
+    return met.withColumn("free_name", numbered_name(F.col("name"), F.col("_k"))).drop(*key, "_value", "_taken", "_number", "_k")

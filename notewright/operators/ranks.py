@@ -41,6 +41,22 @@ def ranged(df: DataFrame, order: list[str], rows_a_range: int | None = None) ->
     return written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str, rows_a_range: int | None = None) -> DataFrame:
+    """Adds ``out``: a row's position, from 1, among those of its group in the order; rows that tie are numbered at will.
+
+    Rows are numbered inside (range, group); a table of one row for each range and group holds how many came before.
+    """
+    cut = ranged(df, [*key, *order], rows_a_range)
+    counts = cut.groupBy("_range", *key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of the group
+    starts = counts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_range", *key).orderBy(*order)
+    return cut.join(starts, same).withColumn(out, F.row_number().over(inside) + F.col("_start")).drop("_range", "_r", "_start", *[f"_k{i}" for i in range(len(key))])
+
+
 def _joined(cut: DataFrame, ends: DataFrame, carry: Column, name: str) -> DataFrame:
     """The rows with what the ranges before theirs ended with: a row for each range."""
     carried = ends.select(F.col("_range").alias("_joined_range"), carry.alias(name))

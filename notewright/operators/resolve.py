@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.links import FILE_LINK, file_links, image_refs, link_target, referenced_names, with_target
+from notewright.functions.links import FILE_LINK, all_links, file_links, image_refs, link_target, referenced_names, with_target
+from notewright.session import drop, written
 
 
 def ambiguous_names(files: DataFrame) -> DataFrame:
@@ -49,19 +50,38 @@ def resolve_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("ambiguous", F.coalesce(F.col("n_candidates") > 1, F.lit(False)))
 
 
-def users(docs: DataFrame) -> DataFrame:
+def link_table(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``all_links`` with resolved_path and n_candidates (null for names), as a written table.
+
+    Plans that ask several things of the same links read this table, so texts are read once and each target is resolved once.
+    """
+    found = written(all_links(docs), "found-links")
+    hits = resolve_targets(found.where("role <> 'name'").select("target").distinct(), files).withColumnRenamed("target", "_t")
+    table = written(found.join(hits, (F.col("target") == F.col("_t")) & (F.col("role") != "name"), "left").drop("_t"), "links")
+    drop(found)
+    return table
+
+
+def names_in(table: DataFrame) -> DataFrame:
+    """The rows of ``referenced_names`` from a link table."""
+    return table.where("role = 'name'").select("note_id", F.col("target").alias("name"))
+
+
+def users(docs: DataFrame | None, names: DataFrame | None = None) -> DataFrame:
     """(name, n_documents): documents that refer to an image name; ten links in one count once."""
-    return referenced_names(docs).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_documents"))
+    names = referenced_names(docs) if names is None else names
+    return names.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def reference_counts(docs: DataFrame) -> DataFrame:
+def reference_counts(docs: DataFrame | None, names: DataFrame | None = None) -> DataFrame:
     """(name, n_refs): references to an image name, each occurrence counted."""
-    return referenced_names(docs).groupBy("name").agg(F.count(F.lit(1)).alias("n_refs"))
+    names = referenced_names(docs) if names is None else names
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-def unreferenced(files: DataFrame, docs: DataFrame) -> DataFrame:
+def unreferenced(files: DataFrame, docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Images whose name no document refers to; none at all when a document is unreadable (its text is null)."""
-    names = referenced_names(docs).select("name").distinct()
+    names = (referenced_names(docs) if names is None else names).select("name").distinct()
     unread = docs.agg(F.count_if(F.col("text").isNull()).alias("_unread"))
     loose = files.join(names.withColumnRenamed("name", "_name"), F.lower(files["name"]) == F.col("_name"), "left_anti")
     return loose.join(F.broadcast(unread), F.col("_unread") == 0).drop("_unread")  # one row
@@ -79,16 +99,17 @@ def images_used_by(files: DataFrame, refs: DataFrame) -> DataFrame:
     return files.join(hits, files["path"] == F.col("resolved_path"), "left_semi")
 
 
-def rewrite_links(notes: DataFrame, mapping: DataFrame, kinds: str = "all") -> DataFrame:
+def rewrite_links(notes: DataFrame, mapping: DataFrame, kinds: str = "all", table: DataFrame | None = None) -> DataFrame:
     """Documents with changed links: note_id, path, folder, text, new_text.
 
     ``mapping`` has note_id (null: every document), target and new_target. ``kinds``: links of every kind, wiki links,
     Markdown images and file entries of canvases, or ``embeds`` of wiki style only. Only documents that hold a mapped
     target are rebuilt: their mappings meet their links by (document, target), those of every document by target,
-    and are gathered to one map a document; the text is cut at its links and joined again.
+    and are gathered to one map a document; the text is cut at its links and joined again. ``table``: their link table, if
+    there is one.
     """
     link = FILE_LINK if kinds == "all" else r"!\[\[[^\[\]\n]+\]\]"
-    refs = file_links(notes)
+    refs = file_links(notes) if table is None else table.where("role = 'link'").select("note_id", "target")
     own = mapping.where("note_id is not null").select(F.col("note_id").alias("_n"), F.col("target").alias("_t"), "new_target")
     everywhere = mapping.where("note_id is null").groupBy(F.col("target").alias("_t")).agg(F.min("new_target").alias("new_target"))
     met = refs.join(own, (F.col("note_id") == F.col("_n")) & (F.col("target") == F.col("_t"))).select("note_id", "target", "new_target")
@@ -106,9 +127,9 @@ def rewrite_links(notes: DataFrame, mapping: DataFrame, kinds: str = "all") -> D
     return out.where("new_text <> text").select("note_id", "path", "folder", "text", "new_text")
 
 
-def moved_links(docs: DataFrame, files: DataFrame, moved: DataFrame) -> DataFrame:
-    """(note_id, target, new_target) of every link, of any kind and in any document, that means a file of ``moved`` (src, dst)."""
-    found = resolve_refs(file_links(docs), files).where("resolved_path is not null")
+def moved_links(table: DataFrame, moved: DataFrame) -> DataFrame:
+    """(note_id, target, new_target) of every link of a link table, of any kind, that means a file of ``moved`` (src, dst)."""
+    found = table.where("role = 'link' and resolved_path is not null")
     return found.join(moved.select(F.col("src").alias("_src"), "dst"), F.col("resolved_path") == F.col("_src")).select("note_id", "target", F.col("dst").alias("new_target"))
 
 

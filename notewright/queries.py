@@ -481,6 +481,19 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, "posts").select("topic", "page", F.col("turn").alias("seq"), (F.col("turn") % 2).cast("string").alias("floor"), F.col("user_name").alias("user"), "text").withColumnRenamed("text", "body")
 
 
+@query(r"""WITH asked AS (SELECT lang AS folder, doc_id AS src, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
+taken AS (SELECT DISTINCT lang AS folder, 2 + doc_id // 3 AS k FROM documents WHERE doc_id % 2 = 0 UNION SELECT lang, 1 FROM documents WHERE doc_id % 7 = 0),
+free AS (SELECT folder, k, row_number() OVER (PARTITION BY folder ORDER BY k) AS r
+         FROM (SELECT folder, unnest(range(1, n + 2)) AS k FROM (SELECT folder, (SELECT count(*) FROM documents) * 2 AS n FROM asked GROUP BY folder)) ANTI JOIN taken USING (folder, k))
+SELECT folder, src, CASE WHEN k = 1 THEN 'Photo.png' ELSE 'Photo ' || CAST(k AS STRING) || '.png' END AS free_name FROM asked JOIN free USING (folder, r)""")
+def w6_free_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """One name asked for by every document, in the folders of their languages, beside numbered files."""
+    docs = _table(spark, sf, "documents")
+    numbered = docs.where("doc_id % 2 = 0").select(F.col("lang").alias("folder"), F.concat(F.lit("PHOTO "), F.expr("CAST(2 + doc_id DIV 3 AS STRING)"), F.lit(".png")).alias("name"))
+    files = numbered.union(docs.where("doc_id % 7 = 0").select("lang", F.lit("photo.PNG")))
+    return images.free_suffixes(docs.select(F.col("lang").alias("folder"), F.lit("Photo.png").alias("name"), F.col("doc_id").alias("src")), files).select("folder", "src", "free_name")
+
+
 @query("""WITH p AS (SELECT conv_id AS topic, turn % 3 AS page, turn AS seq, CAST(turn % 2 AS STRING) || '|' || CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END || '|' || substr(text, 1, 40) AS k FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic, k ORDER BY page, seq) AS n FROM p) SELECT topic, page, seq FROM r WHERE n = 1""")
 def w7_distinct_posts(spark: SparkSession, sf: str) -> DataFrame:

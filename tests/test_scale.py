@@ -6,7 +6,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.operators import blocks, chat, forum, ranks
+from notewright.functions import links
+from notewright.operators import blocks, chat, forum, images, ranks, resolve
+from notewright.plans.images import organise_plan
 from notewright.plans.typeset import LayoutOptions, typeset
 from notewright.session import drop, shared_folder, table_scope, written
 from notewright.streaming import edits
@@ -143,3 +145,64 @@ def test_first_of_repeated_posts(spark):
     rows = [(1, 2, 0, "1", "u", "same"), (1, 1, 5, "1", "u", "same"), (1, 1, 4, "1", "u", "x" * 40 + "a"), (1, 1, 6, "1", "u", "x" * 40 + "b"), (None, 1, 0, None, "u", None), (None, 1, 1, None, "u", None)]
     posts = spark.createDataFrame(rows, "topic long, page int, seq int, floor string, user string, body string")
     assert sorted((r["page"], r["seq"], r["topic"] or 0) for r in forum.distinct_posts(posts).collect()) == [(1, 0, 0), (1, 4, 1), (1, 5, 1)]
+
+
+def test_ranks_in_groups_over_many_ranges(spark):
+    rows = [(k, i * 7 % 101, i) for i in range(300) for k in ("hot", None, f"k{i}")[: 1 + (i % 5 == 0) * 2]]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(5)
+    out = ranks.ranked(df, ["k"], ["v", "i"], "n", rows_a_range=40).collect()
+    for key in {r["k"] for r in out}:
+        mine = sorted((r["v"], r["i"], r["n"]) for r in out if r["k"] == key)
+        assert [n for _, _, n in mine] == list(range(1, len(mine) + 1))
+    assert len(out) == len(rows)
+
+
+def _suffixes_one_by_one(requests, files):
+    """The smallest free number for each request in turn."""
+    numbered = lambda name, n: name if n < 2 else (name[: name.rindex(".")] if "." in name else name) + f" {n}" + (name[name.rindex(".") :] if "." in name else "")
+    taken = {(f, n.lower()) for f, n in files}
+    asked = {(f, n.lower()) for f, n, _ in requests}
+    out = {}
+    for folder, name, src in sorted(requests, key=lambda r: (r[0], r[1].lower(), r[2])):
+        k = 1
+        while (folder, numbered(name, k).lower()) in taken or (k > 1 and (folder, numbered(name, k).lower()) in asked):
+            k += 1
+        out[src] = numbered(name, k)
+        taken.add((folder, out[src].lower()))
+    return out
+
+
+def test_suffixes_of_a_hot_name(spark):
+    requests = [("a", ("p.png", "P.PNG")[i % 2], i) for i in range(200)] + [("a", "p 5.png", 1000), ("a", "p 5.png", 1001), ("b", "p.png", 1002), ("b", "noext", 1003), ("b", "noext", 1004), ("b", "x.y 3", 1005), ("b", "x.y 3", 1006)]
+    files = [("a", f"P {i}.png") for i in range(3, 300, 3)] + [("a", f"p {'9' * 30}.png"), ("a", "p 07.png"), ("b", "p.png"), ("b", "p.PNG"), ("b", "p 2.png"), ("b", "noext 2"), ("b", "x 2.y 3")]
+    asked = spark.createDataFrame(requests, "folder string, name string, src long").withColumn("number", F.lit("clash")).repartition(5)
+    have = spark.createDataFrame(files, "folder string, name string")
+    out = images.free_suffixes(asked, have, rows_a_range=30)
+    assert set(out.columns) == {"folder", "name", "src", "number", "free_name"}
+    got = {r["src"]: r["free_name"] for r in out.collect()}
+    assert got == _suffixes_one_by_one(requests, files)
+    assert len({(f, got[s].lower()) for f, _, s in requests}) == len(requests)
+    assert images.free_suffixes(asked.limit(0), have).count() == 0
+    assert images.free_suffixes(asked, have.limit(0)).count() == len(requests)
+    odd = spark.createDataFrame([("a", None, 1), (None, "x.png", 2), (None, "x.png", 3)], "folder string, name string, src long")
+    assert images.free_suffixes(odd, have).where("free_name is null").count() == 1
+
+
+def test_link_table_says_what_its_parts_say(spark):
+    texts = ["![[a.png]] ![x](b%20c.png \"t\") [[a.png|w]]\n```\n![[in code.png]]\n```\n`![[no.png]]` ![[d/a.png#f]]", "plain", None, "", '{"nodes":[{"file":"d/a.png"}]}', "![[a.png]]![[a.png]]\n~~~\n![[a.png]]", "![long\nalt](a.png) [[x|y]] ![](<b c.png>)"]
+    docs = spark.createDataFrame([(i, f"n{i}.md", "f", t) for i, t in enumerate(texts)], NOTES)
+    files = spark.createDataFrame([("a.png", "a.png", ""), ("d/a.png", "a.png", "d"), ("e/b c.png", "b c.png", "e")], "path string, name string, folder string")
+    table = resolve.link_table(docs, files)
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert rows(table.where("role in ('wiki', 'markdown')").select("note_id", "role", "target")) == rows(links.image_refs(docs).select("note_id", "kind", "target"))
+    assert rows(table.where("role = 'link'").select("note_id", "target", "resolved_path")) == rows(resolve.resolve_refs(links.file_links(docs), files).select("note_id", "target", "resolved_path"))
+    assert rows(resolve.names_in(table)) == rows(links.referenced_names(docs))
+    assert table.where("resolved_path = 'd/a.png'").count() > 0 and resolve.link_table(docs.limit(0), files).count() == 0
+
+
+def test_organising_one_image(spark):
+    docs = spark.createDataFrame([(1, "n.md", "f", "![[a.png]]")], NOTES)
+    files = spark.createDataFrame([("x/a.png", "a.png", "x", 3, "png", "abc")], "path string, name string, folder string, size long, ext string, content string")
+    plan, changed = organise_plan(docs, docs.limit(0), files)
+    assert [tuple(r)[:3] for r in plan.collect()] == [("move", "x/a.png", "f/attachments/a.png")]
+    assert changed.count() == 0  # the bare name means the moved file too
