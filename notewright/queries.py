@@ -188,9 +188,11 @@ def e9_chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("note_id", "seq", "user", "date", "time", "has_date", "key", F.array_join("body", "\n").alias("body"))
 
 
-@query("SELECT conv_id AS note_id, true AS is_chat FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS note_id, true AS is_chat FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - doc_id, false FROM documents")
 def e10_is_chat_log(spark: SparkSession, sf: str) -> DataFrame:
-    return derived(spark, sf, "chats").select("note_id", chat.is_chat_log(F.col("text")).alias("is_chat"))
+    """Chat logs, and the documents, which are none."""
+    none = _table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("note_id"), "text")
+    return derived(spark, sf, "chats").union(none).select("note_id", chat.is_chat_log(F.col("text")).alias("is_chat"))
 
 
 def _pasted(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,9 +208,11 @@ def e11_forum_floors(spark: SparkSession, sf: str) -> DataFrame:
     return forum.floors(_pasted(spark, sf)).select("topic", "floor", "post_date", "user", "signature", "body")
 
 
-@query("SELECT conv_id AS topic, true AS is_dump FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS topic, true AS is_dump FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - doc_id, false FROM documents")
 def e12_is_forum_dump(spark: SparkSession, sf: str) -> DataFrame:
-    return _pasted(spark, sf).select("topic", forum.is_forum_dump(F.col("text")).alias("is_dump"))
+    """Pasted threads, and the documents, which are none."""
+    none = _table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("topic"), "text")
+    return _pasted(spark, sf).union(none).select("topic", forum.is_forum_dump(F.col("text")).alias("is_dump"))
 
 
 def _post_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -594,6 +598,82 @@ _spacing_query("t11_widths", _WIDTHS)
 _spacing_query("t12_units", _UNITS, spacing.SpacingOptions(digit_unit=True))
 
 
+#: Lines in pieces, each with the kind of span that it is, or none.
+_SPANS = [
+    [("", "中 "), ("code", "`https://a.b/c`"), ("", " 文 "), ("url", "https://W.example/7"), ("", "，后")],
+    [("comment", "%%W `x` %%"), ("", " and "), ("wikilink", "![[W|7]]"), ("", " see "), ("link", "[W](a/7.md)"), ("footnote", "[^7]")],
+    [("", "mail "), ("email", "W7@W.org"), ("", " at "), ("host_port", "10.0.0.1:80")],
+    [("", "x "), ("domain", "docs.example.org/W"), ("", " "), ("entity", "&amp;"), ("", " "), ("html", "<b>"), ("", "W"), ("html", "</b>"), ("", " "), ("tag", "#W-7")],
+    [("code", "``a ` W``"), ("", " b")],
+    [("", "```")],
+    [("", "`none` W")],
+    [("", "```")],
+]
+
+
+def _filled(text: str) -> str:
+    """SQL for a text with the document's word in place of W and its number in place of 7."""
+    return f"replace(replace('{text}', '7', CAST(note_id AS STRING)), 'W', w)"
+
+
+def _spans_sql() -> str:
+    rows = []
+    for line, pieces in enumerate(_SPANS):
+        before, ord_ = "", 0
+        for kind, text in pieces:
+            if kind:
+                rows.append(f"SELECT note_id, {line}::INTEGER AS line, '{kind}' AS kind, {ord_}::INTEGER AS ord, {_filled(text)} AS span, length({_filled(before)})::INTEGER AS start, length({_filled(before + text)})::INTEGER AS \"end\" FROM w")
+                ord_ += 1
+            before += text
+    return _WORDS + " " + " UNION ALL ".join(rows)
+
+
+@query(_spans_sql())
+def e7_placed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of every kind with their places, some with what would be another inside; a code block is not searched."""
+    return spacing.protected_spans(_lines(spark, sf, *["".join(text for _, text in line) for line in _SPANS]))
+
+
+#: Lines with their classes: c code, i indented code, t table, m formula block.
+_CLASSED = [
+    ("---", "c"), ("title: W", "c"), ("---", "c"), ("text W", ""), ("", ""), ("    indented W", "i"), ("", ""), ("- item", ""), ("", ""), ("    of the item", ""), ("", ""), ("| a | W |", "t"), ("| --- | :-: |", "t"), ("| 7 | b |", "t"), ("$$", "m"), ("x = 7", "m"), ("$$", "m"), ("```py", "c"), ("$$ W", "c"), ("```", "c"), ("| no | rule |", ""), ("~~~~", "c"), ("~~~", "c"), ("open W", "c"),
+]
+
+
+@query(_WORDS + " SELECT note_id, line::INTEGER AS line, contains(k, 'c') AS is_code, contains(k, 'i') AS is_indented, contains(k, 't') AS is_table, contains(k, 'm') AS in_math FROM w, (VALUES " + ", ".join(f"({i}, '{k}')" for i, (_, k) in enumerate(_CLASSED)) + ") AS c(line, k)")
+def e6_planted_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every class, with the word and number of each document."""
+    return typeset.line_classes(_lines(spark, sf, *[x for x, _ in _CLASSED]))
+
+
+_UNSORTED = ["# head W", "- pear W", "- apple 10 W", "  under", "- Apple 9 W", "", "3. cat W", "1. dog 7", "2. ant W", "", "4. b W", "9. a W", "| z |", "| a |", "> y W", "> x", "", "- [x] beta W", "- [ ] alpha"]
+_SORTED = ["# head W", "- Apple 9 W", "- apple 10 W", "  under", "- pear W", "", "1. ant W", "2. cat W", "3. dog 7", "", "9. a W", "4. b W", "| z |", "| a |", "> y W", "> x", "", "- [ ] alpha", "- [x] beta W"]
+
+
+@query(_lines_sql(*_SORTED))
+def w5_planted_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with what belongs to them, runs of numbers and other numbers, tables and quotes that stay, with the word of each document."""
+    return blocks.sort_blocks(_lines(spark, sf, *_UNSORTED))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id % 97, doc_id) - 1 AS place FROM documents")
+def o1_numbers_by_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the order of a name with two numbers; case and accents do not count, nor do leading zeros."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("note ", "NOTE ", "nöte ", "Note 00")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    key = tags.collation_key(F.concat(name, (F.col("doc_id") % 97).cast("string"), F.lit("-"), F.col("doc_id").cast("string")))
+    return numbered_rows(_table(spark, sf, "documents").select("doc_id", key.alias("key")), ["key"], "place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+_ROUGH = ["# 标题W", "", ">>引用W内容", "", "-    item W", "- 中文,内容", "", "5. one", "9. two", "", "`f(中,文)` ![[图:一,二.png]] $x中,文$", "", "```", "中文W,  -    x", "```", "", "真的吗?不是!"]
+_LAID = ["# 标题 W", "", "> > 引用 W 内容", "", "- item W", "- 中文，内容", "", "1. one", "2. two", "", "`f(中,文)` ![[图:一,二.png]] $x中,文$", "", "```", "中文W,  -    x", "```", "", "真的吗？不是！"]
+
+
+@query(_lines_sql(*_LAID))
+def t17_planted_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole layout of notes with a line for each step and parts that must stay, with the word of each document."""
+    return layout.typeset(_lines(spark, sf, *_ROUGH).withColumns({"path": F.lit("n.md"), "folder": F.lit("")})).select("note_id", "new_text")
+
+
 _TAG_LINES = ["# head #W one", "one #x7 W", "two W", "three #W.", "", "> quoted #b", "> text #a W", "other #c", "- item #z W", "- next", "", "#only", "#tags", "", "#lead W", "more", "| #k cell | W |", "a | #b | c"]
 _TAGS_LAID = ["# head one #W", "one W", "two W", "three. #x7 #W", "", "> quoted", "> text W #b #a", "other #c", "- item W #z", "- next", "", "#only", "#tags", "", "W", "more #lead", "| cell #k | W |", "a | #b | c"]
 
