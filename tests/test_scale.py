@@ -206,3 +206,12 @@ def test_organising_one_image(spark):
     plan, changed = organise_plan(docs, docs.limit(0), files)
     assert [tuple(r)[:3] for r in plan.collect()] == [("move", "x/a.png", "f/attachments/a.png")]
     assert changed.count() == 0  # the bare name means the moved file too
+
+
+def test_a_burst_without_end_is_not_gathered(spark):
+    steps = spark.range(200_000).select(F.lit(1).cast("long").alias("note_id"), F.timestamp_millis(F.col("id")).alias("ts"))
+    few = spark.createDataFrame([(2, 0), (2, 4_999), (2, 4_999), (2, 9_999), (2, 10_000), (None, 0), (None, 1), (3, None)], "note_id long, ms long").select("note_id", F.timestamp_millis("ms").alias("ts"))
+    out = edits.settled_edits(steps.union(few).repartition(7))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["note_id"], r["a"], r["b"], r["n_edits"]) for r in out.select("note_id", F.unix_millis("first_edit").alias("a"), F.unix_millis("last_edit").alias("b"), "n_edits").collect()}
+    assert got == {(1, 0, 20_000, 20_001), (2, 0, 4_999, 3), (2, 9_999, 10_000, 2), (None, 0, 1, 2)}
