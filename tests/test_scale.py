@@ -1,8 +1,10 @@
 """Jobs side by side in one session, replayed batches, and groups that fill many ranges."""
 
+import os
 import threading
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,37 @@ def test_a_burst_without_end_is_not_gathered(spark):
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r["note_id"], r["a"], r["b"], r["n_edits"]) for r in out.select("note_id", F.unix_millis("first_edit").alias("a"), F.unix_millis("last_edit").alias("b"), "n_edits").collect()}
     assert got == {(1, 0, 20_000, 20_001), (2, 0, 4_999, 3), (2, 9_999, 10_000, 2), (None, 0, 1, 2)}
+
+
+def test_bursts_on_a_stream_are_those_of_the_table(spark, tmp_path):
+    """Edits of many notes come out of order by up to eight seconds, in nine files; one note never pauses."""
+    rng = np.random.default_rng(5)
+    ticks = np.cumsum(rng.choice([100_000, 1_500_000, 4_999_999, 5_000_000, 9_000_000], 900))
+    rows = [(int(k) if k else None, int(t)) for t, k in zip(ticks, rng.integers(0, 4, 900), strict=True)]
+    rows += [(9, int(t)) for t in range(0, int(ticks[-1]), 700_000)]
+    rows += [(2**60 + 1, 3), (2**60 + 1, 3)]
+    rows.sort(key=lambda r: (r[1] + int(rng.integers(0, 8_000_000)), r[1]))
+    last = max(t for _, t in rows)
+    parts = [[int(x[0]), int(x[-1]) + 1] for x in np.array_split(np.arange(len(rows)), 8)]
+    files = [rows[a:b] for a, b in parts] + [[(1000, last + 60_000_000)], [(1001, last + 120_000_000)]]
+    base = 1_700_000_000_000_000
+    for i, part in enumerate(files):
+        spark.createDataFrame([(k, t + base) for k, t in part], "note_id long, us long").select("note_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        for f in (tmp_path / "in" / f"{i}").glob("*.parquet"):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("note_id long, ts timestamp").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = edits.settled_edits(stream).writeStream.format("memory").queryName("settled").trigger(availableNow=True).start()
+    run.awaitTermination()
+    table = spark.createDataFrame([(k, t + base) for k, t in rows], "note_id long, us long").select("note_id", F.timestamp_micros("us").alias("ts"))
+    key = lambda df: sorted(map(str, map(tuple, df.select("note_id", "first_edit", "last_edit", "n_edits").where("note_id is null or note_id not in (1000, 1001)").collect())))
+    assert key(spark.table("settled")) == key(edits.settled_edits(table))
+    assert len(run.recentProgress) >= 9
+
+
+def test_a_long_burst_keeps_few_times(spark):
+    times = np.arange(0, 1_000_000 * 1000, 1000)
+    burst, ahead, ended = edits.settle(None, times, 0)
+    assert burst == edits.Burst(0, 0, 1, 0) and len(ahead) < 22_000 and ended == []
+    burst, ahead, ended = edits.settle(burst, ahead, int(times[-1]))
+    assert burst == edits.Burst(0, 20_000_000, 20_001, int(times[-1])) and len(ahead) == 0
+    assert edits.settle(burst, ahead, int(times[-1]) + 5_000_000)[2] == [burst]
