@@ -103,7 +103,7 @@ def _arrow(df: DataFrame, column: str, out: str, change) -> DataFrame:  # noqa:
             made = pa.array([None if v is None else change(v) for v in b.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
-    return df.mapInArrow(work, df.withColumn(out, F.lit("")).schema)
+    return df.mapInArrow(work, df.withColumn(out, F.lit(None).cast("string")).schema)
 
 
 def decoded_entities(df: DataFrame, column: str) -> DataFrame:

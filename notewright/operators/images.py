@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from notewright.operators.ranks import numbered_rows, ranked
 from notewright.operators.resolve import reference_counts
 from notewright.session import written
-from notewright.sources.notes import IMPORT_EXTENSIONS, images_only
+from notewright.sources.notes import IMPORT_EXTENSIONS, images_only, read_digests
 
 PRESET = "Pasted image {YYYY}{MM}{DD}{HH}{mm}{ss}"
 _PARTS = {"{YYYY}": ("yyyy", 4), "{MM}": ("MM", 2), "{DD}": ("dd", 2), "{HH}": ("HH", 2), "{mm}": ("mm", 2), "{ss}": ("ss", 2)}
@@ -27,11 +27,15 @@ MOST_SENT = 200_000
 
 
 def digests(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``files`` that have the columns of ``wanted`` (distinct rows), with digest (SHA-256) instead of content.
+    """``files`` that have the columns of ``wanted`` (distinct rows), with digest (SHA-256) instead of content or uri.
 
-    The few keys, which are counted, go to the files, and only files that match are hashed, where they lie; with very
-    many keys all files are hashed where they lie and then joined. Contents are never shuffled.
+    Files that say where they are (uri, size) are joined with the keys on metadata alone, and only those that match are
+    read, at any number of keys. For a table that holds contents the few keys, which are counted, go to the files, and only
+    files that match are hashed, where they lie; with very many keys all files are hashed where they lie and then joined.
+    Contents are never shuffled.
     """
+    if "uri" in files.columns:
+        return written(read_digests(files.join(wanted, wanted.columns, "left_semi").select(*files.columns)).drop("uri"), "digests")
     keys = written(wanted.select(*[F.col(c).alias(f"_{c}") for c in wanted.columns]), "keys")
     same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in wanted.columns])
     digest = F.sha2(F.col("content").cast("binary"), 256)
@@ -41,9 +45,10 @@ def digests(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """Files whose bytes another file in the same folder has: their columns without content, and digest.
+    """Files whose bytes another file in the same folder has: their columns without content or uri, and digest.
 
-    Folder and size are counted on metadata alone; only files that share both are hashed. The byte length is part of the key.
+    Folder and size are counted on metadata alone; only files that share both are hashed, and, if the files say where they
+    are (uri) instead of holding their contents, only these are read. The byte length is part of the key.
     """
     same = images_only(files).groupBy("folder", "size").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     met = digests(images_only(files), same).where("digest is not null")

@@ -21,7 +21,7 @@ def tidy_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, target: s
     copy is dropped, as it may be linked there.
     """
     docs = all_documents(notes, canvases)
-    table = link_table(docs, files.drop("content"))
+    table = link_table(docs, files.drop("content", "uri"))
     kept = keepers(files, None, names_in(table))
     unread = docs.agg(F.count_if(F.col("text").isNull()).alias("_unread"))  # one row
     drops = written(kept.where(~F.col("is_keeper")).join(F.broadcast(unread), F.col("_unread") == 0).drop("_unread"), "drops")
@@ -44,7 +44,7 @@ def organise_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, mode:
     One snapshot decides: an image that two notes want is copied for both. With an unreadable document nothing is moved.
     """
     docs = all_documents(notes, canvases)
-    bare = files.drop("content")
+    bare = files.drop("content", "uri")
     table = link_table(docs, bare)
     found = table.where("role = 'wiki'").join(canvases.select(F.col("note_id").alias("_c")), F.col("note_id") == F.col("_c"), "left_anti").withColumn("want", attachment_folder(F.col("folder"), mode, custom=custom))
     skipped = plan_rows(found.where("resolved_path is null"), "skip", F.col("target"), F.lit(None).cast("string"), F.col("note_id"), F.when(F.col("n_candidates") > 1, "ambiguous").otherwise("missing"))
@@ -53,7 +53,7 @@ def organise_plan(notes: DataFrame, canvases: DataFrame, files: DataFrame, mode:
     # The same name and size in the wanted folder; only such pairs are hashed.
     there = files.select(F.col("folder").alias("want"), F.lower("name").alias("_l"), "size", F.col("path").alias("_there"))
     alike = written(away.select("resolved_path", "want", "size", F.lower("name").alias("_l")).distinct().join(there, ["want", "_l", "size"]).select("resolved_path", "want", "_there"), "alike")
-    hashed = digests(files.select("path", "content"), alike.select(F.col("resolved_path").alias("path")).union(alike.select("_there")).distinct()).where("digest is not null")
+    hashed = digests(files.select("path", *(["uri", "size"] if "uri" in files.columns else ["content"])), alike.select(F.col("resolved_path").alias("path")).union(alike.select("_there")).distinct()).where("digest is not null")
     of = lambda path, digest: hashed.select(F.col("path").alias(path), F.col("digest").alias(digest))
     same = alike.join(of("resolved_path", "_d1"), "resolved_path").join(of("_there", "_d2"), "_there").where("_d1 = _d2").groupBy("resolved_path", "want").agg(F.min("_there").alias("same"))
     met = away.join(same, ["resolved_path", "want"], "left")

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import string
+import urllib.parse
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from notewright.session import ship_package, written
 
 #: Extensions that count as images when importing, renaming and merging; and everywhere else.
 IMPORT_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "heic")
@@ -39,11 +50,55 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return both
 
 
-def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: path, name, ext, folder, size. Contents are pruned from the scan."""
+def read_inventory(spark: SparkSession, root: str, uris: bool = False) -> DataFrame:
+    """Every file below ``root``: path, name, ext, folder, size, and with ``uris`` its whole address, by which jobs that
+    compare contents read the few files they need. Contents are pruned from the scan."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = read.select(_relative(root).alias("path"), F.col("length").alias("size"))
-    return at.select("path", _name(F.col("path")).alias("name"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), _folder(F.col("path")).alias("folder"), "size")
+    at = read.select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("_metadata.file_path").alias("uri"))
+    out = at.select("path", _name(F.col("path")).alias("name"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), _folder(F.col("path")).alias("folder"), "size", "uri")
+    return out if uris else out.drop("uri")
+
+
+def _opened(uri: str) -> pa.NativeFile | None:
+    """The file of an address, as a stream; null: gone. Other failures are the task's, which Spark tries again."""
+    scheme, _, rest = uri.partition(":")
+    if rest.startswith("/") and not rest.startswith("//"):
+        uri = f"{scheme}://{rest}"
+    system, at = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", urllib.parse.quote(uri, safe=string.punctuation)))
+    try:
+        return system.open_input_stream(at, compression=None)
+    except FileNotFoundError:
+        return None
+
+
+def read_digests(files: DataFrame, bytes_a_task: int = 256 << 20, files_a_task: int = 10_000) -> DataFrame:
+    """``files`` (size, uri and any columns) with digest, the SHA-256 of each file's bytes; a file that is gone has none.
+
+    The files are dealt to as many tasks as their number and bytes ask for; each is read once, a megabyte at a time. No
+    other file is opened, whatever the number of files.
+    """
+    ship_package(files.sparkSession)
+    few = written(files, "files-to-read")
+    n, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    names = [*files.columns, "digest"]
+
+    def digest(uri: str | None) -> str | None:
+        stream = _opened(uri) if uri is not None else None
+        if stream is None:
+            return None
+        sha = hashlib.sha256()
+        with stream:
+            while part := stream.read(1 << 20):
+                sha.update(part)
+        return sha.hexdigest()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([digest(u) for u in b.column("uri").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names)
+
+    tasks = max(1, -(-n // files_a_task), -(-size // bytes_a_task))
+    return few.repartition(tasks, F.xxhash64("uri")).mapInArrow(work, StructType([*few.schema.fields, StructField("digest", StringType())]))
 
 
 def in_folder(df: DataFrame, folder: str, path: str = "path") -> DataFrame:

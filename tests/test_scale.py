@@ -1,5 +1,6 @@
 """Jobs side by side in one session, replayed batches, and groups that fill many ranges."""
 
+import hashlib
 import os
 import threading
 from pathlib import Path
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from notewright.functions import links
 from notewright.operators import blocks, chat, forum, images, ranks, resolve
-from notewright.plans.images import organise_plan
+from notewright.plans.images import organise_plan, tidy_plan
 from notewright.plans.typeset import LayoutOptions, typeset
 from notewright.session import drop, shared_folder, table_scope, written
+from notewright.sources.notes import read_digests, read_inventory, read_notes
 from notewright.streaming import edits
 
 NOTES = "note_id long, path string, folder string, text string"
@@ -251,3 +253,34 @@ def test_a_long_burst_keeps_few_times(spark):
     burst, ahead, ended = edits.settle(burst, ahead, int(times[-1]))
     assert burst == edits.Burst(0, 20_000_000, 20_001, int(times[-1])) and len(ahead) == 0
     assert edits.settle(burst, ahead, int(times[-1]) + 5_000_000)[2] == [burst]
+
+
+def test_only_files_that_may_be_copies_are_read(spark, tmp_path):
+    """Files on disk: the others' addresses lead nowhere, so opening one would fail the job."""
+    names = {"a/x y.png": "same", "a/50%+é#?中.PNG": "same", "a/z.png": "diff", "a/lone.png": "longer", "b/x y.png": "same", "b/w.png": "same", "b/gone.png": "gone", "n.md": "![[w.png]] ![[x y.png]]"}
+    for name, content in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(content)
+    files = read_inventory(spark, str(tmp_path), uris=True)
+    files = written(files.withColumn("uri", F.when(F.col("path").isin("a/lone.png", "n.md"), "nosuch://x/y").otherwise(F.col("uri"))), "inventory")
+    (tmp_path / "b/gone.png").unlink()
+    groups = images.duplicate_groups(files)
+    held = files.where("path <> 'b/gone.png'").join(spark.createDataFrame(list(names.items()), "path string, content string"), "path").drop("uri")
+    assert "uri" not in groups.columns
+    rows = lambda df: sorted(map(tuple, df.select("path", "digest", "n_copies").collect()))
+    assert rows(groups) == rows(images.duplicate_groups(held)) and {r["path"] for r in groups.collect()} == {"a/x y.png", "a/50%+é#?中.PNG", "b/x y.png", "b/w.png"}
+    docs = read_notes(spark, str(tmp_path))
+    plans = [sorted(map(str, organise_plan(docs, docs.limit(0), f)[0].collect())) for f in (files.where("path <> 'b/gone.png'"), held)]
+    assert plans[0] == plans[1] and len(plans[0]) > 0
+    plans = [sorted(map(str, tidy_plan(docs, docs.limit(0), f)[0].collect())) for f in (files.where("path <> 'b/gone.png'"), held)]
+    assert plans[0] == plans[1] and len(plans[0]) > 0
+    assert images.duplicate_groups(files.limit(0)).count() == 0
+
+
+def test_digests_are_dealt_by_bytes_and_number(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.png").write_bytes(bytes([i % 3]) * 100)
+    files = read_inventory(spark, str(tmp_path), uris=True)
+    out = read_digests(files.withColumn("copy", F.col("size")), bytes_a_task=500)
+    assert out.rdd.getNumPartitions() == 8 and read_digests(files, files_a_task=4).rdd.getNumPartitions() == 10
+    assert {(int(r["name"].split(".")[0]), r["digest"]) for r in out.collect()} == {(i, hashlib.sha256(bytes([i % 3]) * 100).hexdigest()) for i in range(40)}
