@@ -6,7 +6,7 @@ import datetime
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.functions import formulas, links, spacing, tags, typeset
@@ -561,10 +561,13 @@ _WORDS = r"""WITH w AS (SELECT doc_id AS note_id, coalesce(nullif(regexp_extract
 
 def _lines(spark: SparkSession, sf: str, *lines: str) -> DataFrame:
     """Notes of some lines, each with the word of a document in place of W and its number in place of 7."""
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), _with_word(*lines).alias("text"))
+
+
+def _with_word(*lines: str) -> Column:
+    """Some lines with the word and number of a row of ``documents``."""
     w = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit("")), F.lit("none"))
-    n = F.col("doc_id").cast("string")
-    text = F.replace(F.replace(F.lit("\n".join(lines)), F.lit("7"), n), F.lit("W"), w)
-    return _table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), text.alias("text"))
+    return F.replace(F.replace(F.lit("\n".join(lines)), F.lit("7"), F.col("doc_id").cast("string")), F.lit("W"), w)
 
 
 def _lines_sql(*lines: str) -> str:
@@ -674,6 +677,19 @@ def t17_planted_layout(spark: SparkSession, sf: str) -> DataFrame:
     return layout.typeset(_lines(spark, sf, *_ROUGH).withColumns({"path": F.lit("n.md"), "folder": F.lit("")})).select("note_id", "new_text")
 
 
+_HTML = [
+    "<blockquote>quoted W</blockquote>", '<p>See <a href="https://x.org/7">the W</a> and <img class="k" src="a/7.png"></p>', "<b>bold W</b> <I>it</I> <s>gone</s> <code>x7</code><br/>next",
+    '<video src="v/7.mp4"></video><script>var W = 7;</script>', "<div>&lt;W&gt; &amp;amp; &#65;&#x4E2D;</div>", "<p></p><p></p>", "<!-- W -->", "<p></p>end W",
+]
+_HTML_READ = ["> quoted W", "See [the W](https://x.org/7) and ![](a/7.png)", "**bold W** *it* ~~gone~~ `x7`", "next [v/7.mp4](v/7.mp4) <W> &amp; A中", "", "end W"]
+
+
+@query(_lines_sql(*_HTML_READ))
+def e14_planted_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """A fragment with each element and references to characters, with the word and number of each document."""
+    return forum.html_to_markdown(_lines(spark, sf, *_HTML), "text", "new_text").select("note_id", "new_text")
+
+
 _TAG_LINES = ["# head #W one", "one #x7 W", "two W", "three #W.", "", "> quoted #b", "> text #a W", "other #c", "- item #z W", "- next", "", "#only", "#tags", "", "#lead W", "more", "| #k cell | W |", "a | #b | c"]
 _TAGS_LAID = ["# head one #W", "one W", "two W", "three. #x7 #W", "", "> quoted", "> text W #b #a", "other #c", "- item W #z", "- next", "", "#only", "#tags", "", "W", "more #lead", "| cell #k | W |", "a | #b | c"]
 
@@ -845,12 +861,31 @@ def x3_distinct_post_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("topic long").parquet(f"{at}/out").groupBy("topic").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
-@query()
-def x1_tidied_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as notes that arrive as files; what the stream lays out is appended to a table and read."""
+_LOG = ["bob 2024/1/5 3:08:08", "later W", "", "ann 2024/1/5 3:02:02", "early W", "", "ann 3:02:04", "and 7", ""]
+_LOG_LAID = ["ann: 2024/01/05 03:02:02", "\tearly W", "\tand 7", "bob: 2024/01/05 03:08:08", "\tlater W", ""]
+_DUMP = ["Intro W", "", "#1 - 2025-9-15 20:26", "...", "alice (sig)", "first W", "收集", "#2 - 2025-9-15 20:30", "bob", "second 7", ""]
+_DUMP_LAID = ["Intro W", "", "**alice** (sig)", "first W", "", "**bob**", "second 7"]
+
+
+@query(f"""SELECT r.note_id, CASE r.note_id % 3 WHEN 0 THEN r.new_text WHEN 1 THEN l.new_text ELSE d.new_text END AS text
+FROM ({_lines_sql(*_LAID)}) r JOIN ({_lines_sql(*_LOG_LAID)}) l ON r.note_id = l.note_id JOIN ({_lines_sql(*_DUMP_LAID)}) d ON r.note_id = d.note_id""")
+def x1_planted_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes, chat logs and pasted threads that arrive as files, laid out by all steps."""
+    text = F.when(F.col("doc_id") % 3 == 0, _with_word(*_ROUGH)).when(F.col("doc_id") % 3 == 1, _with_word(*_LOG)).otherwise(_with_word(*_DUMP))
+    return _tidied(spark, sf, F.lit("n.md"), F.lit(""), text)
+
+
+def _tidied(spark: SparkSession, sf: str, path: Column, folder: Column, text: Column) -> DataFrame:
+    """Notes made of the documents, which arrive as a stream of files; what the stream lays out is read again."""
     at = f"{shared_folder(spark)}/notewright/stream-{uuid.uuid4().hex}"
     schema = _table(spark, sf, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/documents.parquet")
-    notes = stream.select(F.col("doc_id").alias("note_id"), F.concat("source", F.lit("/n.md")).alias("path"), F.col("source").alias("folder"), F.concat("text", F.lit("\n##  head\n\n\n3. x\n4. y")).alias("text"))
+    notes = stream.select(F.col("doc_id").alias("note_id"), path.alias("path"), folder.alias("folder"), text.alias("text"))
     edits.tidy_stream(notes, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return edits.tidied(spark, f"{at}/out", notes.schema).select("note_id", "text")
+
+
+@query()
+def x1_tidied_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as notes that arrive as files; what the stream lays out is appended to a table and read."""
+    return _tidied(spark, sf, F.concat("source", F.lit("/n.md")), F.col("source"), F.concat("text", F.lit("\n##  head\n\n\n3. x\n4. y")))
