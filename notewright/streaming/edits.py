@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,7 +28,7 @@ def settled_edits(edits: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
     A burst ends after five quiet seconds; edits later than twenty seconds after its first do not count, nor do those without
     a time. On a table a burst of any length is never gathered. On a stream a row comes when the watermark has passed the
-    burst's end; edits older than the watermark are late and left out. The state of a note is four numbers for what the
+    burst's end; edits older than the watermark are late and left out; Spark's watermarks ask for times with a zone. The state of a note is four numbers for what the
     watermark has passed; of later edits it holds those of a burst's first twenty seconds and two for each further cell.
     """
     return _settled_stream(edits, lateness) if edits.isStreaming else _settled_table(edits)
@@ -103,20 +103,10 @@ def _settle_note(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
 
 def _settled_stream(edits: DataFrame, lateness: str) -> DataFrame:
     ship_package(edits.sparkSession)
-    types = dict(edits.dtypes)
-    zoneless = types["ts"] == "timestamp_ntz"
-    instant = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp") if zoneless else F.col("ts")
     # A key of text is the same in pandas whether or not some are null.
-    keyed = edits.where("ts is not null").withWatermark("ts", lateness).select("ts", F.col("note_id").cast("string").alias("_key"), F.unix_micros(instant).alias("_us"))
+    keyed = edits.where("ts is not null").withWatermark("ts", lateness).select("ts", F.col("note_id").cast("string").alias("_key"), F.unix_micros("ts").alias("_us"))
     settled = keyed.groupBy("_key").applyInPandasWithState(_settle_note, "_key string, _first long, _last long, n_edits long", "first long, last long, n long, seen long, ahead binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-    def time(us: str) -> Column:
-        if not zoneless:
-            return F.timestamp_micros(us)
-        seconds = (F.col(us) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
-        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
-
-    return settled.select(F.col("_key").cast(types["note_id"]).alias("note_id"), time("_first").alias("first_edit"), time("_last").alias("last_edit"), "n_edits")
+    return settled.select(F.col("_key").cast(edits.schema["note_id"].dataType).alias("note_id"), F.timestamp_micros("_first").alias("first_edit"), F.timestamp_micros("_last").alias("last_edit"), "n_edits")
 
 
 def _settled_table(edits: DataFrame) -> DataFrame:
