@@ -61,9 +61,25 @@ def _range(first: Column, last: Column) -> Column:
     return F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
 
 
+def is_blank(line: Column) -> Column:
+    """Whether a line holds nothing but blanks, tabs and returns. Only its blanks are looked at."""
+    return F.ltrim(line, F.lit(" \t\r")) == ""
+
+
+def begins(line: Column, marks: str) -> Column:
+    """Whether a line is empty or begins with one of ``marks``: a test without a pattern."""
+    return F.lit(marks).contains(F.substring(line, 1, 1))
+
+
+def _ranges_if(lines: Column, hint: Callable[[Column], Column], ranges: Column) -> Column:
+    """``ranges`` where a line passes a cheap test that each of them asks for; the lines of most notes are looked at no further."""
+    return F.when(F.exists(lines, hint), ranges).otherwise(no_ranges(lines))
+
+
 def fence_ranges(lines: Column) -> Column:
     """Fenced code, fences included. A fence closes one of the same mark that is not longer; an open one runs to the end."""
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.regexp_extract(x, FENCE, 1).alias("mark"))), lambda x: x["mark"] != "")
+    hint = lambda x: x.contains("```") | x.contains("~~~")
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(hint(x), F.struct(i.alias("pos"), F.regexp_extract(x, FENCE, 1).alias("mark")))), lambda x: x["mark"] != "")
     start = F.struct(F.lit(-1).alias("open"), F.lit("").alias("mark"), F.array().cast(_RANGES).alias("ranges"))
 
     def step(s: Column, x: Column) -> Column:
@@ -72,7 +88,7 @@ def fence_ranges(lines: Column) -> Column:
         closed = F.struct(F.lit(-1).alias("open"), F.lit("").alias("mark"), F.concat(s["ranges"], _range(s["open"], x["pos"])).alias("ranges"))
         return F.when(s["open"] < 0, opened).when(closes, closed).otherwise(s)
 
-    return F.aggregate(marks, start, step, lambda s: F.when(s["open"] >= 0, F.concat(s["ranges"], _range(s["open"], F.size(lines)))).otherwise(s["ranges"]))
+    return _ranges_if(lines, hint, F.aggregate(marks, start, step, lambda s: F.when(s["open"] >= 0, F.concat(s["ranges"], _range(s["open"], F.size(lines)))).otherwise(s["ranges"])))
 
 
 def frontmatter_range(lines: Column) -> Column:
@@ -80,28 +96,29 @@ def frontmatter_range(lines: Column) -> Column:
     bare = lambda x: F.regexp_replace(x, r"\s+$", "")
     ends = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & bare(x).isin("---", "..."), i)), lambda i: i.isNotNull())
     last = F.coalesce(F.get(ends, F.lit(0)), F.size(lines) - 1)
-    return F.when(bare(lines[0]) == "---", _range(F.lit(0), last)).otherwise(F.array().cast(_RANGES))
+    return F.when(lines[0].startswith("---") & (bare(lines[0]) == "---"), _range(F.lit(0), last)).otherwise(no_ranges(lines))
 
 
 def indented_ranges(lines: Column) -> Column:
     """Indented code: an indented line after a blank one (or first), unless the text before the blank is a list item."""
-    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.trim(F.translate(x, "\t\r", "  ")).alias("trimmed"), x.rlike(INDENTED).alias("indented"), x.rlike(ITEM).alias("item")))
+    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), is_blank(x).alias("blank"), x.rlike(INDENTED).alias("indented"), x.rlike(ITEM).alias("item")))
     # after: 0 text before, 1 blank after text, 2 blank after a list
     start = F.struct(F.lit(False).alias("code"), F.lit(1).alias("after"), F.lit(False).alias("listed"), F.array().cast(_RANGES).alias("ranges"))
 
     def step(s: Column, x: Column) -> Column:
-        blank = x["trimmed"] == ""
+        blank = x["blank"]
         code = x["indented"] & ~x["item"] & (s["code"] | ((s["after"] == 1) & ~s["listed"]))
         return F.when(blank, F.struct(s["code"].alias("code"), F.lit(1).alias("after"), s["listed"].alias("listed"), s["ranges"].alias("ranges"))).otherwise(
             F.struct(code.alias("code"), F.lit(0).alias("after"), (x["item"] | (s["listed"] & x["indented"])).alias("listed"), F.when(code, F.concat(s["ranges"], _range(x["pos"], x["pos"]))).otherwise(s["ranges"]).alias("ranges"))
         )
 
-    return F.aggregate(items, start, step, lambda s: s["ranges"])
+    return _ranges_if(lines, lambda x: x.startswith("\t") | x.startswith("    "), F.aggregate(items, start, step, lambda s: s["ranges"]))
 
 
 def table_ranges(lines: Column) -> Column:
     """Table rows: a rule of dashes and bars, the row above it and the rows below it that begin with a bar."""
-    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), (x.contains("|") & x.rlike(TABLE_RULE)).alias("rule"), F.ltrim(F.translate(x, "\t", " ")).startswith("|").alias("row")))
+    rule = lambda x: x.contains("|") & x.rlike(TABLE_RULE)
+    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), rule(x).alias("rule"), F.ltrim(x, F.lit(" \t")).startswith("|").alias("row")))
     start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("above"), F.array().cast(_RANGES).alias("ranges"))
 
     def step(s: Column, x: Column) -> Column:
@@ -109,7 +126,7 @@ def table_ranges(lines: Column) -> Column:
         more = F.when(x["rule"], F.concat(s["ranges"], _range(first, x["pos"]))).when(s["open"] & x["row"], F.concat(s["ranges"], _range(x["pos"], x["pos"]))).otherwise(s["ranges"])
         return F.struct((x["rule"] | (s["open"] & x["row"])).alias("open"), x["row"].alias("above"), more.alias("ranges"))
 
-    return F.aggregate(items, start, step, lambda s: s["ranges"])
+    return _ranges_if(lines, rule, F.aggregate(items, start, step, lambda s: s["ranges"]))
 
 
 def math_ranges(lines: Column, code: Column) -> Column:
@@ -117,7 +134,7 @@ def math_ranges(lines: Column, code: Column) -> Column:
     items = let(lambda v: F.transform(v["lines"], lambda x, i: F.struct(i.alias("pos"), F.when(inside(v["code"], i), F.lit(0)).otherwise(F.regexp_count(x, F.lit(r"\$\$"))).alias("marks"))), lines=lines, code=code)
     odd = F.filter(items, lambda x: x["marks"] % 2 == 1)
     pairs = let(lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v["odd"]) / 2).cast("int")), lambda k: F.struct(F.get(v["odd"], 2 * k)["pos"].alias("first"), F.get(v["odd"], 2 * k + 1)["pos"].alias("last"))), odd=odd)
-    return F.filter(pairs, lambda p: p["first"].isNotNull() & p["last"].isNotNull()).cast(_RANGES)
+    return _ranges_if(lines, lambda x: x.contains("$$"), F.filter(pairs, lambda p: p["first"].isNotNull() & p["last"].isNotNull()).cast(_RANGES))
 
 
 def code_ranges(lines: Column) -> Column:

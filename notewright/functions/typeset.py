@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import code_ranges, indented_ranges, inside, let, lines_of, map_lines, no_ranges, only_if, protected_ranges, table_ranges
+from notewright.functions.lines import begins, code_ranges, indented_ranges, inside, is_blank, let, lines_of, map_lines, no_ranges, only_if, protected_ranges, table_ranges
 
 _ITEM = r"^[ \t]*(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$)"
 _MARKER = r"^[ \t]*(?:[-*+](?:[ \t]|$)|\d{1,9}[.)](?:[ \t]|$)|>|#{1,6}(?:[ \t]|$)|\|)"
@@ -16,14 +16,15 @@ _POSITIONS = "array<int>"
 
 def list_paragraphs(lines: Column) -> Column:
     """Positions of indented lines after a blank one inside a list item: their indent is syntax."""
-    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), (F.trim(F.translate(x, "\t\r", "  ")) == "").alias("blank"), x.rlike(_ITEM).alias("item"), x.rlike(r"^[ \t]").alias("indented")))
+    items = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), is_blank(x).alias("blank"), x.rlike(_ITEM).alias("item"), x.rlike(r"^[ \t]").alias("indented")))
     start = F.struct(F.lit(False).alias("listed"), F.array().cast(_POSITIONS).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         inside_item = s["listed"] & x["indented"] & ~x["blank"] & ~x["item"]
         return F.struct((x["item"] | (s["listed"] & (x["blank"] | x["indented"]))).alias("listed"), F.when(inside_item, F.concat(s["found"], F.array(x["pos"].cast("int")))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(items, start, step, lambda s: s["found"])
+    # Without an indented line there is none.
+    return F.when(F.exists(lines, lambda x: x.startswith(" ") | x.startswith("\t")), F.aggregate(items, start, step, lambda s: s["found"])).otherwise(F.array().cast(_POSITIONS))
 
 
 def fix_indent(text: Column, mode: str = "smart") -> Column:
@@ -42,7 +43,7 @@ def fix_indent(text: Column, mode: str = "smart") -> Column:
         stray = (F.length(lead) <= 3) & ~x.rlike(_MARKER) & ~F.array_contains(v["nested"], i)
         return F.when((lead == "") | (rest == ""), x).when(odd, F.when(stray, rest).otherwise(x)).otherwise(folded)
 
-    return map_lines(text, line, code_ranges, nested=list_paragraphs)
+    return map_lines(text, lambda x, i, v: F.when(begins(x, " \t"), line(x, i, v)).otherwise(x), code_ranges, nested=list_paragraphs)
 
 
 def fix_markers(text: Column) -> Column:
@@ -58,17 +59,17 @@ def fix_markers(text: Column) -> Column:
         y = F.regexp_replace(y, r"^([ \t]*(?:> )*[ \t]*(?:[-*+]|\d{1,9}[.)]))[ \t]{2,}(?=\S)", "$1 ")
         return F.regexp_replace(y, r"^([ \t]*#{1,6})[ \t]{2,}(?=\S)", "$1 ")
 
-    return map_lines(text, line, lambda lines: F.concat(protected_ranges(lines), table_ranges(lines)), nested=list_paragraphs)
+    return map_lines(text, lambda x, i, v: F.when(begins(x, " \t>-*+#0123456789"), line(x, i, v)).otherwise(x), lambda lines: F.concat(protected_ranges(lines), table_ranges(lines)), nested=list_paragraphs)
 
 
 def fix_blank_lines(text: Column) -> Column:
     """Lines of blanks, no-break spaces among them, become empty."""
-    return map_lines(text, lambda x: F.when(x.rlike(r"^[\s ]+$"), F.lit("")).otherwise(x), code_ranges)
+    return map_lines(text, lambda x: F.when(begins(x, " \t\x0b\f\r ") & x.rlike(r"^[\s ]+$"), F.lit("")).otherwise(x), code_ranges)
 
 
 def headings(lines: Column) -> Column:
     """Headings outside code: structs of pos and level, in order."""
-    found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(F.regexp_extract(x, HEADING, 2)).alias("level"))), lambda h: h["level"] > 0)
+    found = F.filter(F.transform(lines, lambda x, i: F.when(x.contains("#"), F.struct(i.alias("pos"), F.length(F.regexp_extract(x, HEADING, 2)).alias("level")))), lambda h: h["level"] > 0)
     return let(lambda v: F.filter(v["found"], lambda h: ~inside(v["kept"], h["pos"])), found=found, kept=protected_ranges(lines))
 
 
@@ -83,14 +84,15 @@ def fix_headings(text: Column) -> Column:
         return F.struct(F.concat(parents, F.array(h["level"])).alias("stack"), base.alias("base"), F.concat(s["out"], F.array(F.struct(h["pos"].alias("pos"), level.alias("level")))).alias("out"))
 
     new = lambda lines: F.map_from_entries(F.aggregate(headings(lines), start, step, lambda s: s["out"]))
-    line = lambda x, i, v: F.when(x.rlike(HEADING) & F.map_contains_key(v["new"], i), F.concat(F.regexp_extract(x, HEADING, 1), F.repeat(F.lit("#"), F.try_element_at(v["new"], i)), F.regexp_replace(x, HEADING, ""))).otherwise(x)
+    line = lambda x, i, v: F.when(x.contains("#") & F.map_contains_key(v["new"], i), F.concat(F.regexp_extract(x, HEADING, 1), F.repeat(F.lit("#"), F.try_element_at(v["new"], i)), F.regexp_replace(x, HEADING, ""))).otherwise(x)
     return only_if(lambda t: t.contains("#"), lambda t: map_lines(t, line, no_ranges, new=new), text)
 
 
 def heading_outline(notes: DataFrame) -> DataFrame:
     """(note_id, line, level, title) of every heading."""
     lines = lines_of(F.col("text"))
-    rows = notes.where(F.col("text").contains("#")).select("note_id", lines.alias("_lines")).withColumn("_h", headings(F.col("_lines"))).select("note_id", "_lines", F.explode("_h").alias("h"))
+    # No filter stands on a text or on what is made of it: Spark would compute both once more for it. So with explode_outer.
+    rows = notes.select("note_id", lines.alias("_lines")).withColumn("_h", headings(F.col("_lines"))).select("note_id", "_lines", F.explode_outer("_h").alias("h")).where("h is not null")
     return rows.select("note_id", F.col("h.pos").alias("line"), "h.level", F.trim(F.regexp_replace(F.get("_lines", F.col("h.pos")), HEADING, "")).alias("title"))
 
 
