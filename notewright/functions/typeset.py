@@ -107,7 +107,10 @@ def _items(lines: Column) -> Column:
         width = F.length(F.replace(indent, F.lit("\t"), F.lit("    ")))
         number = F.regexp_extract(rest, r"^[ \t]*(\d{1,9})[.)][ \t]+\S", 1)
         closed = inside(kept, i)
-        return F.struct(i.alias("pos"), F.when(~closed & (number != ""), number.cast("int")).alias("number"), width.alias("width"), F.length(F.regexp_replace(lead, "[^>]", "")).alias("quote"), (F.trim(F.translate(rest, "\t\r", "  ")) == "").alias("blank"), closed.alias("closed"))
+        parsed = lambda number, width, quote, blank: F.struct(i.alias("pos"), number.alias("number"), width.alias("width"), quote.alias("quote"), blank.alias("blank"), closed.alias("closed"))
+        plain = parsed(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(False))
+        full = parsed(F.when(~closed & (number != ""), number.cast("int")), width, F.length(F.regexp_replace(lead, "[^>]", "")), is_blank(rest))
+        return F.when(begins(x, " \t\r>0123456789"), full).otherwise(plain)
 
     return let(lambda v: F.transform(v["lines"], lambda x, i: one(x, i, v["kept"])), lines=lines, kept=F.concat(protected_ranges(lines), table_ranges(lines)))
 
@@ -134,9 +137,11 @@ def ordered_items(lines: Column) -> Column:
         text = F.struct(left.alias("open"), F.lit(False).alias("blank"), s["out"].alias("out"))
         closed = F.struct(F.array().cast(_OPEN).alias("open"), F.lit(False).alias("blank"), s["out"].alias("out"))
         empty = F.struct(s["open"].alias("open"), F.lit(True).alias("blank"), s["out"].alias("out"))
-        return F.when(x["closed"], closed).when(x["blank"], empty).when(x["number"].isNotNull(), item).otherwise(text)
+        # Before a list is open only an item matters.
+        return F.when((F.size(s["open"]) == 0) & x["number"].isNull(), s).when(x["closed"], closed).when(x["blank"], empty).when(x["number"].isNotNull(), item).otherwise(text)
 
-    return F.aggregate(_items(lines), start, step, lambda s: s["out"])
+    items = F.aggregate(_items(lines), start, step, lambda s: s["out"])
+    return F.when(F.exists(lines, lambda x: begins(x, " \t>0123456789") & x.rlike(r"^[ \t>]*\d{1,9}[.)][ \t]")), items).otherwise(F.array().cast("array<struct<pos:int,number:int,new:int>>"))
 
 
 def fix_lists(text: Column) -> Column:
@@ -149,7 +154,7 @@ def fix_lists(text: Column) -> Column:
 
 def list_items(notes: DataFrame) -> DataFrame:
     """(note_id, line, number, new_number, style, width, quote_prefix) of every ordered-list item."""
-    rows = notes.where(F.col("text").rlike(r"(?m)^[ \t>]*\d{1,9}[.)][ \t]")).select("note_id", lines_of(F.col("text")).alias("_lines")).withColumn("_i", ordered_items(F.col("_lines"))).select("note_id", "_lines", F.explode("_i").alias("i"))
+    rows = notes.select("note_id", lines_of(F.col("text")).alias("_lines")).withColumn("_i", ordered_items(F.col("_lines"))).select("note_id", "_lines", F.explode_outer("_i").alias("i")).where("i is not null")
     x = F.get("_lines", F.col("i.pos"))
     quote = F.regexp_extract(x, r"^((?:[ \t]*>)*)", 1)
     indent = F.regexp_extract(x, r"^(?:[ \t]*>)*([ \t]*)\d", 1)

@@ -27,3 +27,11 @@ def test_headings_are_sought_once(spark):
     assert sorted(out.collect()) == [(1, 0, 2, "a"), (1, 4, 3, "b"), (1, 5, 2, "c")]
     assert not any("transform(" in f for f in filters(out))
     assert plan(out).count("aggregate(") < 10
+
+
+def test_list_items_are_sought_once(spark):
+    n = notes(spark, "plain", "text\n\n3. a\n  \n4) b\nmore\n\n> 2. q\n\t5. in", None, "a 1. b", "```\n2. x\n```\n> 2. y\r\n> 3. z")
+    out = typeset.list_items(n).select("note_id", "line", "number", "new_number", "style", "width", "quote_prefix")
+    found = [(1, 2, 3, 1, ".", 0, ""), (1, 4, 4, 2, ")", 0, ""), (1, 7, 2, 1, ".", 1, ">"), (1, 8, 5, 1, ".", 4, ""), (4, 3, 2, 1, ".", 1, ">"), (4, 4, 3, 2, ".", 1, ">")]
+    assert sorted(out.collect()) == found
+    assert not any("transform(" in f for f in filters(out))
