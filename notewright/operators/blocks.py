@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import inside, lines_of, protected_ranges
+from notewright.functions.lines import inside, let, lines_of, protected_ranges
 from notewright.functions.tags import collation_key
 from notewright.operators.chat import HEADER
-from notewright.operators.ranks import numbered_rows, ranged, running_total, with_last, with_previous
-from notewright.session import written
 
 
 def _kind(x: Column) -> Column:
@@ -29,39 +27,79 @@ def sort_key(lines: Column) -> Column:
     return F.regexp_replace(x, r"^[#>*_~`\s]+", "")
 
 
+def _typed(lines: Column) -> Column:
+    """The lines x with their kinds; protected lines are barriers."""
+    one = lambda x, i, v: F.struct(x.alias("x"), F.when(inside(v["code"], i), "barrier").otherwise(_kind(x)).alias("kind"))
+    return let(lambda v: F.transform(v["lines"], lambda x, i: one(x, i, v)), lines=lines, code=protected_ranges(lines))
+
+
+def _starts(typed: Column) -> Column:
+    """Places of the lines that begin a block. A line joins the paragraph or quote before it; indented text and indented items
+    join an item and what belongs to it."""
+
+    def one(t: Column, i: Column) -> Column:
+        before = F.get(typed, i - 1)["kind"]
+        indented = t["x"].rlike(r"^[ \t]")
+        runs = (t["kind"] == before) & t["kind"].isin("paragraph", "quote")
+        owned = ((before == "item") & (t["kind"] == "paragraph") & indented) | ((t["kind"] == "item") & before.isin("item", "paragraph") & indented)
+        return F.when(F.coalesce(runs | owned, F.lit(False)), F.lit(None)).otherwise(i)
+
+    return F.filter(F.transform(typed, one), lambda i: i.isNotNull())
+
+
+def _parts(x: Column, starts: Column) -> Column:
+    """An array cut at ``starts``."""
+    return let(lambda v: F.transform(v["s"], lambda b, k: F.slice(v["x"], b + 1, F.coalesce(F.get(v["s"], k + 1), F.size(v["x"])) - b)), x=x, s=starts)
+
+
+def _blocks(text: Column) -> Column:
+    """The blocks of a text in order: structs of kind and lines."""
+    block = lambda b: F.struct(b[0]["kind"].alias("kind"), F.transform(b, lambda t: t["x"]).alias("lines"))
+    return F.transform(let(lambda v: let(lambda w: _parts(w["t"], _starts(w["t"])), t=_typed(v["lines"])), lines=lines_of(text)), block)
+
+
 def blocks(notes: DataFrame) -> DataFrame:
     """(note_id, seq, kind, key, lines): runs of lines that belong together; seq grows down a note. An item takes its indented lines with it;
     paragraphs and quotes run to a line of another kind; blank lines and barriers stand alone; protected lines are
-    barriers."""
-    lines = lines_of(F.col("text"))
-    rows = notes.where(F.col("text").isNotNull()).withColumn("_code", protected_ranges(lines)).select("note_id", "_code", F.posexplode(lines).alias("pos", "x"))
-    rows = rows.withColumn("kind", F.when(inside(F.col("_code"), F.col("pos")), "barrier").otherwise(_kind(F.col("x")))).drop("_code")
-    order = ["note_id", "pos"]
-    cut = with_previous(ranged(rows, order), ["note_id"], order, ["kind"], "_before")
-    cut = with_last(cut, ["note_id"], order, F.when(~((F.col("kind") == "paragraph") & F.col("x").rlike(r"^[ \t]")), F.col("kind")), "_owner")
-    before, owner = F.col("_before.kind"), F.col("_owner")
-    joins = ((F.col("kind") == before) & F.col("kind").isin("paragraph", "quote")) | ((before == "item") & (F.col("kind") == "paragraph") & F.col("x").rlike(r"^[ \t]")) | ((before == "paragraph") & (F.col("kind") == "paragraph") & (owner == "item"))
-    nested = (F.col("kind") == "item") & F.col("x").rlike(r"^[ \t]+") & F.coalesce(before.isin("item", "paragraph"), F.lit(False)) & (owner == "item")
-    starts = F.when(F.coalesce(joins | nested, F.lit(False)), 0).otherwise(1)
-    numbered = running_total(cut, order, starts, "seq")
-    out = numbered.groupBy("note_id", "seq").agg(F.min_by("kind", "pos").alias("kind"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("lines"))
-    return out.select("note_id", "seq", "kind", sort_key(F.col("lines")).alias("key"), "lines")
+    barriers. A note is read in its row, by steps that grow with its lines, and nothing is shuffled."""
+    rows = notes.where(F.col("text").isNotNull()).select("note_id", F.posexplode_outer(_blocks(F.col("text"))).alias("seq", "b"))
+    return rows.select("note_id", F.col("seq").cast("long").alias("seq"), "b.kind", sort_key(F.col("b.lines")).alias("key"), "b.lines")
+
+
+_NUMBER = r"^[ \t]*(?:>[ \t]?)*(\d{1,9})[.)]"
+
+
+def _sorted_segment(segment: Column) -> Column:
+    """The lines of a run of sortable blocks of one kind, in their order. Items that were counted one by one are counted anew."""
+
+    def keyed(b: Column, i: Column) -> Column:
+        number = F.regexp_extract(b["lines"][0], _NUMBER, 1)
+        return F.struct(collation_key(sort_key(b["lines"])).alias("by"), i.alias("i"), F.when(number != "", number.cast("int")).alias("number"), b["lines"].alias("lines"))
+
+    def counted(v: Column) -> Column:
+        numbers, low = v["numbers"], F.array_min(v["numbers"])
+        run = (F.size(numbers) > 1) & (F.size(numbers) == F.size(v["b"])) & (F.array_max(numbers) - low + 1 == F.size(numbers)) & (F.size(F.array_distinct(numbers)) == F.size(numbers))
+        return F.struct(v["b"].alias("b"), F.when(run, low).alias("low"))
+
+    def lines(v: Column) -> Column:
+        anew = lambda x, k: F.concat(F.regexp_extract(x, r"^([ \t]*(?:>[ \t]?)*)\d", 1), (v["low"] + k).cast("string"), F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)*\d{1,9}(?=[.)])", ""))
+        return F.flatten(F.transform(v["b"], lambda b, k: F.transform(b["lines"], lambda x, i: F.when((i == 0) & v["low"].isNotNull(), anew(x, k)).otherwise(x))))
+
+    ordered = let(lambda v: F.struct(v["b"].alias("b"), F.filter(F.transform(v["b"], lambda b: b["number"]), lambda n: n.isNotNull()).alias("numbers")), b=F.array_sort(F.transform(segment, keyed)))
+    return let(lambda v: let(lambda w: lines(w["c"]), c=counted(v["o"])), o=ordered)
+
+
+def sorted_blocks(text: Column) -> Column:
+    """The text with consecutive blocks of one kind in the collated order of their keys, between blank lines and barriers that
+    stay. Items that were counted one by one are counted anew. Null stays null."""
+    sortable = lambda b: b["kind"].isin("item", "paragraph", "quote")
+    # Runs of one sortable kind. Only those of several blocks are put in order: neighbouring paragraphs and quotes are one block.
+    starts = lambda b: F.filter(F.transform(b, lambda x, i: F.when((i > 0) & sortable(x) & (F.get(b, i - 1)["kind"] == x["kind"]), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+    laid = lambda s: F.when(F.size(s) > 1, _sorted_segment(s)).otherwise(s[0]["lines"])
+    segments = let(lambda v: _parts(v["b"], starts(v["b"])), b=_blocks(text))
+    return F.when(text.isNotNull(), F.array_join(F.flatten(F.transform(segments, laid)), "\n"))
 
 
 def sort_blocks(notes: DataFrame) -> DataFrame:
-    """(note_id, new_text): consecutive blocks of one kind in the collated order of their keys, between blank lines and
-    barriers that stay. Items that were counted one by one are counted anew."""
-    order = ["note_id", "seq"]
-    sortable = F.col("kind").isin("item", "paragraph", "quote")
-    cut = with_previous(ranged(written(blocks(notes), "blocks"), order), ["note_id"], order, ["kind"], "_before")
-    segments = running_total(cut, order, F.when(F.col("kind").eqNullSafe(F.col("_before.kind")) & sortable, 0).otherwise(1), "_segment")
-    number = F.regexp_extract(F.col("lines")[0], r"^[ \t]*(?:>[ \t]?)*(\d{1,9})[.)]", 1)
-    keyed = segments.withColumns({"_number": F.when(number != "", number.cast("int")), "_by": F.when(sortable, collation_key(F.col("key")))}).drop("_before", "_range")
-    # The order of all blocks, segment by segment; a segment of any length is cut into ranges there.
-    placed = written(numbered_rows(keyed, ["_segment", "_by", "seq"], "_place"), "placed")
-    stats = placed.groupBy(F.col("_segment").alias("_s")).agg(F.min("_place").alias("_first"), F.min("_number").alias("_low"), F.max("_number").alias("_high"), F.count("_number").alias("_n"), F.count(F.lit(1)).alias("_all"), F.count_distinct("_number").alias("_distinct"))
-    run = (F.col("_n") > 1) & (F.col("_high") - F.col("_low") + 1 == F.col("_n")) & (F.col("_all") == F.col("_n")) & (F.col("_distinct") == F.col("_n"))
-    counted = placed.join(stats, F.col("_segment") == F.col("_s")).withColumn("_run", run)
-    renumbered = F.transform("lines", lambda x, i: F.when((i == 0) & F.col("_run"), F.concat(F.regexp_extract(x, r"^([ \t]*(?:>[ \t]?)*)\d", 1), (F.col("_low") + F.col("_place") - F.col("_first")).cast("string"), F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)*\d{1,9}(?=[.)])", ""))).otherwise(x))
-    out = counted.withColumn("lines", renumbered)
-    return out.groupBy("note_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "lines"))), lambda s: s["lines"])), "\n").alias("new_text"))
+    """(note_id, new_text) of notes that hold a text: its ``sorted_blocks``. A projection, without a shuffle."""
+    return notes.where(F.col("text").isNotNull()).select("note_id", sorted_blocks(F.col("text")).alias("new_text"))

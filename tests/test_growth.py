@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from notewright.functions import typeset
+from notewright.operators import blocks
 
 
 def notes(spark, *texts):
@@ -35,3 +36,15 @@ def test_list_items_are_sought_once(spark):
     found = [(1, 2, 3, 1, ".", 0, ""), (1, 4, 4, 2, ")", 0, ""), (1, 7, 2, 1, ".", 1, ">"), (1, 8, 5, 1, ".", 4, ""), (4, 3, 2, 1, ".", 1, ">"), (4, 4, 3, 2, ".", 1, ">")]
     assert sorted(out.collect()) == found
     assert not any("transform(" in f for f in filters(out))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_blocks_are_sorted_in_their_note(spark):
+    n = notes(spark, "- b\n  - in\n  more\n- a\n\ttext\ntext\n- c\n> q\n> p\n- z\n- y", None, "2. b\n1. a\n4. c", "3. b\n1. a\n2. c", "\n", "- b\n```\n- a\n```\n- 0\n- B\n- á", "")
+    out = blocks.sort_blocks(n)
+    new = ["- a\n\ttext\ntext\n- b\n  - in\n  more\n- c\n> q\n> p\n- y\n- z", "1. a\n2. b\n4. c", "1. a\n2. b\n3. c", "\n", "- b\n```\n- a\n```\n- 0\n- á\n- B", ""]
+    assert dict(out.collect()) == dict(zip((0, 2, 3, 4, 5, 6), new, strict=True))
+    assert exchanges(out) == 0
