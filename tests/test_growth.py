@@ -48,3 +48,12 @@ def test_blocks_are_sorted_in_their_note(spark):
     new = ["- a\n\ttext\ntext\n- b\n  - in\n  more\n- c\n> q\n> p\n- y\n- z", "1. a\n2. b\n4. c", "1. a\n2. b\n3. c", "\n", "- b\n```\n- a\n```\n- 0\n- á\n- B", ""]
     assert dict(out.collect()) == dict(zip((0, 2, 3, 4, 5, 6), new, strict=True))
     assert exchanges(out) == 0
+
+
+def test_one_note_of_many_items(spark):
+    """A list of any length is sorted in time that grows with its lines, and numbered anew."""
+    n = 20_000
+    text = "\n".join(f"{i + 1}. name {(i * 7919) % n} x" for i in range(n))
+    out = blocks.sort_blocks(notes(spark, "text\n" + text + "\n\n- b\n- a"))
+    assert exchanges(out) == 0
+    assert out.collect()[0]["new_text"] == "text\n" + "\n".join(f"{i + 1}. name {i} x" for i in range(n)) + "\n\n- a\n- b"
