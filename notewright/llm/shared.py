@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notewright.session import drop, ship_package, table_scope, written
+from notewright.session import drop, ship_package, small_batches, table_scope, written
 
-__all__ = ["drop", "table_scope", "written"]
+__all__ = ["drop", "ship_package", "small_batches", "table_scope", "written"]
 
 #: A word, in Spark's (Java) and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,14 +35,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Readies a session for Arrow functions: workers get this package, and a batch holds at most ``rows`` rows,
-    so that texts of a megabyte still fit in a worker."""
-    ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def word_count(text: str | Column) -> Column:
     """Number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.operators.ranks import numbered_rows
-from notewright.session import ship_package
+from notewright.session import small_batches
 
 _NUMBER, _DAY, _CLOCK = r"#(\d+)(?:-(\d+))?", r"(\d{4})-(\d\d?)-(\d\d?)", r"(\d\d?):(\d\d)"
 #: A header line: number, perhaps of a reply, then the day and the time.
@@ -93,15 +94,33 @@ def balanced_div(page: str) -> str:
     return page[start:]
 
 
+#: Bytes of text that a worker holds as Python strings at a time, if no text is longer.
+PIECE = 4_000_000
+
+
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that a piece holds ``most_bytes`` of ``column``, or one row that is longer."""
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and held + n > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def _arrow(df: DataFrame, column: str, out: str, change) -> DataFrame:  # noqa: ANN001
-    """``df`` with ``out``, a text made of ``column`` by a function of one text; null stays null."""
-    ship_package(df.sparkSession)
+    """``df`` with ``out``, a text made of ``column`` by a function of one text; null stays null. Batches are small, and cut by
+    bytes, so a worker's memory does not grow with the input."""
+    small_batches(df.sparkSession)
     names = [*df.columns, out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = pa.array([None if v is None else change(v) for v in b.column(column).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names)
+        for batch in batches:
+            for b in pieces(batch, column):
+                made = pa.array([None if v is None else change(v) for v in b.column(column).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
     return df.mapInArrow(work, df.withColumn(out, F.lit(None).cast("string")).schema)
 
@@ -132,6 +151,7 @@ def markdown_of(fragment: Column) -> Column:
 
 
 def html_to_markdown(df: DataFrame, column: str = "html", out: str = "markdown") -> DataFrame:
+    """``df`` with ``out``, the Markdown of a column of fragments."""
     return decoded_entities(df.withColumn(out, markdown_of(F.col(column))), out)
 
 

@@ -2,10 +2,11 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notewright.functions import typeset
-from notewright.operators import blocks
+from notewright.operators import blocks, forum
 
 
 def notes(spark, *texts):
@@ -57,3 +58,16 @@ def test_one_note_of_many_items(spark):
     out = blocks.sort_blocks(notes(spark, "text\n" + text + "\n\n- b\n- a"))
     assert exchanges(out) == 0
     assert out.collect()[0]["new_text"] == "text\n" + "\n".join(f"{i + 1}. name {i} x" for i in range(n)) + "\n\n- a\n- b"
+
+
+def test_pages_reach_workers_in_small_batches(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        pages = spark.range(2500).select("id", F.lit("<p>a &amp; b &eacute;</p>").alias("html"))
+        assert {r["markdown"] for r in forum.html_to_markdown(pages).select("markdown").distinct().collect()} == {"a & b é"}
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (5, 5, 1, 30, 2)] + [None, ""]})
+    assert [p.column("t").to_pylist() for p in forum.pieces(batch, "t", 10)] == [["aaaaa"] * 2, ["a"], ["a" * 30], ["aa", None, ""]]
