@@ -13,6 +13,15 @@ _FORMULA = r"\$\$([^$]+)\$\$|\$([^$\n]+)\$"
 SYMBOLS = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega", "Γ": "Gamma", "Δ": "Delta", "Θ": "Theta", "Λ": "Lambda", "Ξ": "Xi", "Π": "Pi", "Σ": "Sigma", "Υ": "Upsilon", "Φ": "Phi", "Ψ": "Psi", "Ω": "Omega", "×": "times", "÷": "div", "±": "pm", "∓": "mp", "·": "cdot", "⋅": "cdot", "∈": "in", "∉": "notin", "∋": "ni", "≤": "le", "≥": "ge", "≠": "ne", "≈": "approx", "≡": "equiv", "⊂": "subset", "⊆": "subseteq", "⊃": "supset", "⊇": "supseteq", "∪": "cup", "∩": "cap", "∧": "land", "∨": "lor", "→": "to", "←": "leftarrow", "↔": "leftrightarrow", "⇒": "Rightarrow", "⇔": "Leftrightarrow", "∞": "infty", "∑": "sum", "∏": "prod", "∫": "int"}
 
 
+def _one_of(marks: str) -> str:
+    """A pattern of one of ``marks``. Java tries the parts of a long class one by one, so most characters fail at a few ranges before."""
+    far = sorted(c for c in marks if ord(c) > 255)
+    return f"[{''.join(c for c in marks if ord(c) <= 255)}{far[0]}-{far[-1]}&&[{marks}]]"
+
+
+_MARK = _one_of("".join(SYMBOLS))
+
+
 def _open_text(text: Column) -> Column:
     """The text without protected lines and inline code."""
     kept = let(lambda v: let(lambda w: F.transform(w["lines"], lambda x, i: F.when(inside(w["kept"], i), "").otherwise(x)), lines=v["lines"], kept=protected_ranges(v["lines"])), lines=lines_of(text))
@@ -66,7 +75,6 @@ def wrap_declared(notes: DataFrame) -> DataFrame:
 
 def symbols_to_commands(text: Column) -> Column:
     """Greek letters and marks inside inline formulas as commands, and a lone Greek letter next to Chinese as a formula."""
-    marks = "".join(SYMBOLS)
     names = F.create_map(*[F.lit(v) for k, c in SYMBOLS.items() for v in (k, f"\\{c}")])
     greek = "".join(k for k in SYMBOLS if k.isalpha())
 
@@ -75,11 +83,11 @@ def symbols_to_commands(text: Column) -> Column:
         return F.array_join(let(lambda v: commands(v["t"]), t=t), "")
 
     def commands(t: Column) -> Column:
-        return (F.transform(t, lambda c, i: F.when(c.rlike(f"[{marks}]"), F.concat(F.try_element_at(names, c), F.when(F.coalesce(F.get(t, i + 1).rlike("[A-Za-z]"), F.lit(False)), " ").otherwise(""))).otherwise(c)))
+        return (F.transform(t, lambda c, i: F.when(c.rlike(_MARK), F.concat(F.try_element_at(names, c), F.when(F.coalesce(F.get(t, i + 1).rlike("[A-Za-z]"), F.lit(False)), " ").otherwise(""))).otherwise(c)))
 
     def line(x: Column) -> Column:
         lone = F.regexp_replace(x, rf"(?<={HAN})[ ]?([{greek}])(?![A-Za-z$\p{{IsGreek}}])|(?<![A-Za-z$\p{{IsGreek}}])([{greek}])[ ]?(?={HAN})", r"\$$1$2\$")
         t = F.regexp_extract_all(lone, F.lit(r"(`+[^`\n]*`+|\$\$[^$\n]*\$\$|\$[^$\n]*\$|[^$`]+|.)"), F.lit(1))
         return F.array_join(F.transform(t, lambda c: F.when(c.rlike(r"^\$.+\$$"), inner(c)).otherwise(c)), "")
 
-    return only_if(lambda t: t.rlike(f"[{marks}]"), lambda t: map_lines(t, lambda x: F.when(x.rlike(f"[{marks}]"), line(x)).otherwise(x)), text)
+    return only_if(lambda t: t.rlike(_MARK), lambda t: map_lines(t, lambda x: F.when(x.rlike(_MARK), line(x)).otherwise(x)), text)

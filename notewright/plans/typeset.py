@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.formulas import declared, symbols_to_commands, wrap_variables
@@ -12,8 +12,8 @@ from notewright.functions.lines import let
 from notewright.functions.spacing import SpacingOptions, fix_spacing
 from notewright.functions.tags import tag_layout
 from notewright.functions.typeset import fix_blank_lines, fix_headings, fix_indent, fix_lists, fix_markers
-from notewright.operators.blocks import sort_blocks
-from notewright.operators.chat import ChatOptions, render_chat
+from notewright.operators.blocks import sorted_blocks
+from notewright.operators.chat import ChatOptions, is_chat_log, render_chat
 from notewright.operators.forum import FLOOR, ForumOptions, floors, is_forum_dump, render_threads
 from notewright.session import table_scope, written
 
@@ -37,46 +37,67 @@ class LayoutOptions:
     as_of: str = "2024-01-01"
 
 
-def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
-    """Notes with text laid out once. Each step is a projection; chat logs and blocks alone are shuffled, by note, and
-    start from rows that are written, so that no step before them is computed twice."""
+def _letters(x: Column) -> Column:
+    return F.when(x.contains("$"), declared(x)).otherwise(F.array().cast("array<string>"))
+
+
+def _rest(notes: DataFrame, o: LayoutOptions) -> DataFrame:
+    """The steps after chats and threads, all of them projections."""
     t = F.col("text")
-    out = notes.withColumn("text", fix_indent(t, o.indent))
-    out = out.withColumn("text", fix_markers(t)) if o.indent != "off" else out
-    if o.chat:
-        out = written(out, "pass")
-        chats = render_chat(out, o.as_of, o.chat).select(F.col("note_id").alias("_n"), F.col("new_text").alias("_chat"))
-        out = out.join(chats, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_chat", "text")).drop("_n", "_chat")
-    if o.forum:
-        out = written(out, "pass")
-        # Most notes hold no header of a floor and are not looked at again.
-        dumps = out.where(t.rlike(rf"(?m)^{FLOOR}$")).where(is_forum_dump(t)).select(F.col("note_id").alias("topic"), "text")
-        before = dumps.select("topic", F.regexp_replace(F.element_at(F.split("text", rf"(?m)(?=^{FLOOR}$)", 2), 1), r"\s+$", "").alias("_before"))
-        threads = render_threads(floors(dumps), o.forum).join(before, "topic").select(F.col("topic").alias("_n"), F.concat_ws("\n\n", F.when(~F.col("_before").rlike(rf"^(?:{FLOOR})?$"), F.col("_before")), "text").alias("_thread"))
-        out = out.join(threads, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_thread", "text")).drop("_n", "_thread")
-    out = out.withColumn("text", fix_lists(t)) if o.lists else out
+    out = notes.withColumn("text", fix_lists(t)) if o.lists else notes
     out = out.withColumn("text", fix_headings(t)) if o.headings else out
     if o.variables:
-        letters = lambda x: F.when(x.contains("$"), declared(x)).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn("text", symbols_to_commands(let(lambda v: wrap_variables(v["x"], letters(v["x"])), x=t)))
+        out = out.withColumn("text", symbols_to_commands(let(lambda v: wrap_variables(v["x"], _letters(v["x"])), x=t)))
     out = fix_spacing(out, o.spacing) if o.spacing else out
     out = out.withColumn("text", fix_blank_lines(t))
     out = out.withColumn("text", tag_layout(t, o.sort_tags)) if o.tags else out
-    if o.sort_blocks:
-        out = written(out, "pass")
-        sorted_ = sort_blocks(out).select(F.col("note_id").alias("_n"), "new_text")
-        out = out.join(sorted_, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("new_text", "text")).drop("_n", "new_text")
-    return out
+    # Written, or Spark would make one expression of all steps, which it does not end to plan.
+    return written(out, "pass").withColumn("text", sorted_blocks(t)) if o.sort_blocks else out
+
+
+def _is_dump(text: Column) -> Column:
+    # Most notes hold no header of a floor and are not looked at again.
+    return F.coalesce(text.contains(" - ") & text.rlike(rf"(?m)^{FLOOR}$") & is_forum_dump(text), F.lit(False))
+
+
+def _instead(notes: DataFrame, laid: DataFrame) -> DataFrame:
+    """The notes with the texts ``laid`` (_n, _text) where they have one."""
+    return notes.join(laid, F.col("note_id") == F.col("_n"), "left").withColumn("text", F.coalesce("_text", "text")).drop("_n", "_text")
+
+
+def one_pass(notes: DataFrame, o: LayoutOptions) -> DataFrame:
+    """Notes with text laid out once. Each step is a projection; chat logs and threads alone are shuffled, by note. Indented and
+    marked texts are written with what kind they are, so that no step before is computed twice and other notes meet no join."""
+    t = F.col("text")
+    out = notes.withColumn("text", fix_indent(t, o.indent))
+    out = out.withColumn("text", fix_markers(t)) if o.indent != "off" else out
+    if not (o.chat or o.forum):
+        return _rest(out, o)
+    log = F.coalesce(is_chat_log(t), F.lit(False)) if o.chat else F.lit(False)
+    dump = _is_dump(t) if o.forum else F.lit(False)
+    typed = written(out.withColumn("_log", log).withColumn("_dump", ~F.col("_log") & dump), "pass")
+    plain, dumps = typed.where(~F.col("_log") & ~F.col("_dump")).drop("_log", "_dump"), typed.where("_dump").drop("_log", "_dump")
+    logs = typed.where("_log").drop("_log", "_dump")
+    if o.chat and not logs.isEmpty():
+        chats = render_chat(logs, o.as_of, o.chat).select(F.col("note_id").alias("_n"), F.col("new_text").alias("_text"))
+        laid = written(_instead(logs, chats).withColumn("_dump", _is_dump(t) if o.forum else F.lit(False)), "pass")
+        plain, dumps = plain.union(laid.where("not _dump").drop("_dump")), dumps.union(laid.where("_dump").drop("_dump"))
+    if o.forum and not dumps.isEmpty():
+        posts = dumps.select(F.col("note_id").alias("topic"), "text")
+        before = posts.select("topic", F.regexp_replace(F.element_at(F.split("text", rf"(?m)(?=^{FLOOR}$)", 2), 1), r"\s+$", "").alias("_before"))
+        threads = render_threads(floors(posts), o.forum).join(before, "topic").select(F.col("topic").alias("_n"), F.concat_ws("\n\n", F.when(~F.col("_before").rlike(rf"^(?:{FLOOR})?$"), F.col("_before")), "text").alias("_text"))
+        plain = plain.union(written(_instead(dumps, threads), "pass"))
+    return _rest(plain, o)
 
 
 def typeset(notes: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
-    """Notes with new_text: passes until no note changes, five at most; a pass takes only notes that the last one changed."""
+    """Notes with new_text: passes until no note changes, five at most; a pass takes only notes that the last one changed, and each
+    text travels beside the one that it was."""
     work = notes.select("note_id", "text")
     done: list[DataFrame] = []
     for k in range(MOST_PASSES):
-        old = work.select(F.col("note_id").alias("_n"), F.col("text").alias("_old"))
         with table_scope() as tables:
-            after = written(one_pass(work, options).join(old, F.col("note_id") == F.col("_n"), "left").select("note_id", "text", "_old"), "pass")
+            after = written(one_pass(work.withColumn("_old", F.col("text")), options).select("note_id", "text", "_old"), "pass")
             tables.keep(after)
         changed = ~F.col("text").eqNullSafe(F.col("_old"))
         done.append(after.where(~changed if k < MOST_PASSES - 1 else F.lit(True)).select("note_id", "text"))

@@ -5,8 +5,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from notewright.functions import typeset
+from notewright.functions import formulas, typeset
 from notewright.operators import blocks, forum
+from notewright.plans import typeset as layout
 
 
 def notes(spark, *texts):
@@ -71,3 +72,18 @@ def test_pages_reach_workers_in_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     batch = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (5, 5, 1, 30, 2)] + [None, ""]})
     assert [p.column("t").to_pylist() for p in forum.pieces(batch, "t", 10)] == [["aaaaa"] * 2, ["a"], ["a" * 30], ["aa", None, ""]]
+
+
+def test_marks_are_told_by_ranges_first(spark):
+    """Each mark is found, nothing between them is, and a text without them is passed by in ranges."""
+    texts = spark.range(1, 0x3000).selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c").where("id not between 55296 and 57343")
+    found = {r["c"] for r in texts.where(F.col("c").rlike(formulas._MARK)).collect()}
+    assert found == set(formulas.SYMBOLS)
+
+
+def test_a_pass_joins_logs_and_threads_only(spark):
+    """Notes that are neither meet no exchange in a pass, and each text travels with the one before it."""
+    n = notes(spark, "##  a\n3. x", None, "用anki")
+    out = layout.one_pass(n.withColumn("_old", F.col("text")), layout.LayoutOptions())
+    assert sorted(out.collect(), key=lambda r: r["note_id"]) == [(0, "## a\n1. x", "##  a\n3. x"), (1, None, None), (2, "用 anki", "用anki")]
+    assert exchanges(out) == 0
