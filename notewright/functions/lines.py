@@ -28,6 +28,21 @@ def let(use: Callable[[Column], Column], **values: Column) -> Column:
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
 
 
+def bound(use: Callable[[Column], Column], **values: Column) -> Column:
+    """As ``let``, without the copy that ``transform`` makes of every value it returns: the last step of an aggregate over nothing."""
+    start = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.aggregate(F.array().cast("array<int>"), start, lambda s, _: s, use)
+
+
+def first_of(*branches: tuple[Column, Column | str], otherwise: Column | str) -> Column:
+    """The value of the first branch whose condition holds. Each branch is a CASE of its own: Spark finds the branches of one CASE by
+    walking a list from its head for each, so that many cost by their square."""
+    out = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
+    for condition, value in reversed(branches):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}

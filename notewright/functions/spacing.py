@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.functions.lines import free_names, inside, let, lines_of, math_ranges, protected_ranges, table_ranges
-from notewright.functions.tokens import BLANK, HAN, HINT, LATIN, PROTECTED, SPECIAL, UNITS, is_wordlike, token_steps
+from notewright.functions.lines import bound, first_of, free_names, inside, let, lines_of, math_ranges, protected_ranges, table_ranges
+from notewright.functions.tokens import BLANK, HAN, HINT, LATIN, PROTECTED, SPECIAL, UNITS, is_kind, is_wordlike, token_steps
 
 __all__ = ["HAN", "PROTECTED", "UNITS", "SpacingOptions", "chapter_space", "fix_spacing", "protected_spans"]
 
@@ -38,50 +37,53 @@ class SpacingOptions:
 def _asked(rule: Column, other: Column) -> Column:
     """What a symbol's wish comes to against its neighbour: none, space, or nothing."""
     plain = (other["k"] == "S") & (other["l"] == "") & ~F.lit("/\\=+<>*~^_#@%$&|→×÷±≤≥≠").contains(F.substring(other["t"], 1, 1))
-    content = is_wordlike(other) | other["k"].isin("C", "P")
-    return F.when(rule.isin("", "keep"), "").when(rule == "none", "none").when(plain, "").when(F.when(rule == "latin", is_wordlike(other)).otherwise(content), "space").otherwise("none")
+    content = F.when(rule == "latin", is_wordlike(other)).otherwise(is_kind(other, "LWDEMCP"))
+    return first_of((F.lit("keep").contains(rule), ""), (rule == "none", "none"), (plain, ""), (content, "space"), otherwise="none")
 
 
 def _between(a: Column, b: Column, gap: Column, o: SpacingOptions) -> Column:
     """What stands between two tokens that had ``gap`` between them."""
     blank = {"space": F.lit(" "), "none": F.lit(""), "keep": gap}
-    pair = lambda x, y: (a["k"].isin(*x) & b["k"].isin(*y)) | (a["k"].isin(*y) & b["k"].isin(*x))
+    pair = lambda x, y: (is_kind(a, x) & is_kind(b, y)) | (is_kind(a, y) & is_kind(b, x))
     first, last = F.substring(b["t"], 1, 1), F.substring(a["t"], -1, 1)
-    a_mark, b_mark = a["k"].isin("F", "T"), b["k"].isin("F", "T")
+    a_mark, b_mark = is_kind(a, "FT"), is_kind(b, "FT")
     opening, closing = "（【「『〔〖｛［《〈“‘", "）】」』〕〗｝］》〉”’"
     quotes, angles = "“”‘’", "《〈"
     has = lambda marks, c: F.lit(marks).contains(c)
-    word = b["k"].isin("L", "W", "E", "M")
-    out = F.when(F.lit(False), "")
+    english = (a["z"] == "en") | (b["z"] == "en")
+    rules: list[tuple[Column, Column | str]] = []
     if o.symbols:
-        # Full-width marks but brackets that open and quotes have rules of their own.
+        # Full-width marks but brackets that open and quotes have rules of their own. Most tokens ask for nothing.
         own = (a_mark & ~has(opening + quotes, last)) | (b_mark & ~has(opening + quotes, first))
+        asks = ~(has("keep", a["r"]) & has("keep", b["l"]))
         right, left = _asked(a["r"], b), _asked(b["l"], a)
-        out = out.when(~own & ((right == "none") | (left == "none")), "").when(~own & ((right == "space") | (left == "space")), " ")
+        rules += [(asks & ~own & ((right == "none") | (left == "none")), ""), (asks & ~own & ((right == "space") | (left == "space")), " ")]
     if o.brackets:
-        english = (a["z"] == "en") | (b["z"] == "en")
-        out = out.when((a["k"] == "O") | (b["k"] == "P"), "").when(~english & ((b["k"] == "O") | (a["k"] == "P")), "")
+        rules += [((a["k"] == "O") | (b["k"] == "P"), ""), (((b["k"] == "O") | (a["k"] == "P")) & ~english, "")]
     if o.punctuation:
-        english = (a["z"] == "en") | (b["z"] == "en")
-        marked = F.when(a_mark & has(closing, last) & word, " ").when((a_mark & has(opening, last)) | (b_mark & (has(closing, first) | ~has(quotes, first))), "").when(a_mark, F.when(has(quotes + angles, last), gap).otherwise(""))
-        out = out.when(~english & (a_mark | b_mark), F.coalesce(marked, gap))
+        marked = first_of(
+            (a_mark & has(closing, last) & is_kind(b, "LWEM"), " "),
+            ((a_mark & has(opening, last)) | (b_mark & (has(closing, first) | ~has(quotes, first))), ""),
+            (a_mark & ~has(quotes + angles, last), ""),
+            otherwise=gap,
+        )
+        rules += [((a_mark | b_mark) & ~english, marked)]
     if o.digit_unit:
-        out = out.when(a["k"].isin("D", "E") & ((b["k"] == "U") | b["t"].isin(*UNITS)), " ")
-    out = out.when(pair("C", "LWE"), blank[o.cjk_latin]).when(pair("C", "D"), blank[o.cjk_digit]).when(pair("LW", "DE"), blank[o.latin_digit])
-    out = out.when(((a["k"] == "M") & (is_wordlike(b) | (b["k"] == "C"))) | ((b["k"] == "M") & (is_wordlike(a) | a["k"].isin("C", "P"))), blank[o.math_text])
+        rules += [(is_kind(a, "DE") & ((b["k"] == "U") | b["t"].isin(*UNITS)), F.lit(" "))]
+    rules += [(pair("C", "LWE"), blank[o.cjk_latin]), (pair("C", "D"), blank[o.cjk_digit]), (pair("LW", "DE"), blank[o.latin_digit])]
+    rules += [(((a["k"] == "M") & is_kind(b, "LWDEMC")) | ((b["k"] == "M") & is_kind(a, "LWDEMCP")), blank[o.math_text])]
     if o.punctuation:
-        content = lambda x: is_wordlike(x) | x["k"].isin("C", "P")
-        out = out.when((a["k"] == "H") & content(b), " ").when((b["k"] == "H") & content(a), "")
-    return out.otherwise(gap)
+        rules += [((a["k"] == "H") & is_kind(b, "LWDEMCP"), " "), ((b["k"] == "H") & is_kind(a, "LWDEMCP"), "")]
+    return first_of(*rules, otherwise=gap)
 
 
 #: Marks of emphasis in a row that are looked past.
 _DEEP = 4
 
 
-def _neighbours(x: Column) -> Column:
-    """Each token t with the two between which its space stands, a and b. Marks of emphasis belong to what they wrap, so spaces
-    stand outside them: there is none (null) after a mark that opens or before one that closes."""
+def _joined(x: Column, o: SpacingOptions) -> Column:
+    """The tokens put together. Marks of emphasis belong to what they wrap, so spaces stand outside them: there is none after a mark
+    that opens or before one that closes."""
 
     def near(i: Column, step: int, sign: int) -> Column:
         """The first token from ``i`` on that is no mark of emphasis of that sign."""
@@ -92,15 +94,11 @@ def _neighbours(x: Column) -> Column:
 
     def one(t: Column, i: Column) -> Column:
         apart = (i > 0) & (t["e"] != -1) & (F.get(x, i - 1)["e"] != 1)
-        return F.struct(t.alias("t"), F.when(apart, near(i - 1, -1, -1)).alias("a"), F.when(apart, near(i, 1, 1)).alias("b"))
-
-    return F.transform(x, one)
+        between = lambda w: F.when(w["a"].isNull() | w["b"].isNull(), "").otherwise(_between(w["a"], w["b"], w["g"], o))
+        b = F.when(t["e"] == 1, near(i, 1, 1)).otherwise(t)
+        return F.concat(F.when(apart, bound(between, a=near(i - 1, -1, -1), b=b, g=t["g"])).otherwise(""), t["t"])
 
-
-def _joined(x: Column, o: SpacingOptions) -> Column:
-    """The tokens put together."""
-    between = lambda w: F.when(w["a"].isNull() | w["b"].isNull(), "").otherwise(_between(w["a"], w["b"], w["t"]["g"], o))
-    return F.array_join(F.transform(x, lambda w: F.concat(between(w), w["t"]["t"])), "")
+    return F.array_join(F.transform(x, one), "")
 
 
 def chapter_space(line: Column) -> Column:
@@ -135,11 +133,14 @@ def fix_spacing(notes: DataFrame, o: SpacingOptions = SpacingOptions(), text_col
     def cut(v: Column) -> Column:
         """Lines in their head (marks of quotes, items and headings), the part that is cut (null: none) and the blanks after it."""
 
+        def parts(w: Column) -> Column:
+            tail = F.substring(w["x"], F.length(w["bare"]) + 1, F.length(w["x"]))
+            body = F.substring(w["bare"], F.length(w["head"]) + 1, F.length(w["bare"]))
+            return F.when(w["head"] != w["x"], F.struct(w["head"].alias("head"), body.alias("body"), tail.alias("tail")))
+
         def one(x: Column, i: Column) -> Column:
-            head, tail = F.regexp_extract(x, _LEAD, 1), F.regexp_extract(x, rf"({BLANK}*)\z", 1)
-            changes = x.rlike(mixed) & (head != x) & ~inside(v["kept"], i)
-            body = F.substring(x, F.length(head) + 1, F.length(x) - F.length(head) - F.length(tail))
-            return F.struct(x.alias("line"), F.when(changes, F.struct(head.alias("head"), body.alias("body"), tail.alias("tail"))).alias("cut"))
+            changed = bound(parts, x=x, head=F.regexp_extract(x, _LEAD, 1), bare=F.rtrim(x, F.lit(BLANK[1:-1].replace("\\t", "\t"))))
+            return F.struct(x.alias("line"), F.when(x.rlike(mixed) & ~inside(v["kept"], i), changed).alias("cut"))
 
         return F.transform(v["lines"], one)
 
@@ -147,10 +148,12 @@ def fix_spacing(notes: DataFrame, o: SpacingOptions = SpacingOptions(), text_col
     split = F.split(F.col(text_col), "\n")
     out = notes.withColumn(lines, F.when(F.col(text_col).rlike(mixed), let(lambda w: let(cut, lines=w["x"], kept=skip(w["x"])), x=split)))
     out = out.withColumn(tokens, F.transform(lines, lambda x: x["cut"]["body"]))
-    for step in [*token_steps(o.context_width, o.digit_unit), _neighbours, partial(_joined, o=o)]:
+    *steps, last = token_steps(o.context_width, o.digit_unit)
+    for step in [*steps, lambda x: bound(lambda v: _joined(v["x"], o), x=last(x))]:
         out = out.withColumn(tokens, _on_cut_lines(tokens, step))
-    chapter = chapter_space if o.chapters else lambda x: x
-    joined = F.zip_with(lines, tokens, lambda x, t: F.when(t.isNull(), x["line"]).otherwise(chapter(F.concat(x["cut"]["head"], t, x["cut"]["tail"]))))
+    # Most lines name no chapter, and no pattern is tried on them.
+    chapter = lambda x: F.when(x.contains("第") | x.contains("附录"), chapter_space(x)).otherwise(x) if o.chapters else x
+    joined = F.zip_with(lines, tokens, lambda x, t: F.when(t.isNull(), x["line"]).otherwise(bound(lambda w: chapter(w["x"]), x=F.concat(x["cut"]["head"], t, x["cut"]["tail"]))))
     return out.withColumn(text_col, F.coalesce(F.array_join(joined, "\n"), text_col)).drop(lines, tokens)
 
 

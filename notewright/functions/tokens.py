@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from notewright.functions.lines import bound, first_of
+
 #: One character that is set like Chinese.
 HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー０-９Ａ-Ｚａ-ｚ]"
 LATIN = r"A-Za-zÀ-ɏ"
@@ -53,41 +55,61 @@ _MARKS = r"\.{2,}|\|{2,}|&{2,}|\*+|_+|=+|~+|°[CF]"
 _QUOTE = r'"[^"\n]*"'
 
 
-def _pattern(*first: str) -> str:
-    return "((?s:" + "|".join([*first, SPECIAL, _TITLE, MATH, rf"{HAN}+", _WORD, rf"{BLANK}+", _MARKS, "."]) + "))"
+def _patterns(*first: str) -> tuple[str, str]:
+    """What cuts a line into pieces, for lines that may hold a protected span and for others. Nothing else begins with a Chinese
+    character or a blank, so these are looked for first."""
+    pattern = lambda *special: "((?s:" + "|".join([rf"{HAN}+", rf"{BLANK}+", *first, *special, _TITLE, MATH, _WORD, _MARKS, "."]) + "))"
+    return pattern(SPECIAL), pattern()
 
 
-_PLAIN, _QUOTED, _COUNTED, _BOTH = _pattern(), _pattern(_QUOTE), _pattern(_COUNT), _pattern(_QUOTE, _COUNT)
+_PLAIN, _QUOTED, _COUNTED, _BOTH = _patterns(), _patterns(_QUOTE), _patterns(_COUNT), _patterns(_QUOTE, _COUNT)
+_BLANKS = BLANK[1:-1].replace("\\t", "\t")
 
 
 def _in(c: Column, marks: str) -> Column:
     return F.lit(marks).contains(c)
 
 
+def is_kind(t: Column, kinds: str) -> Column:
+    """Whether a token is of one of ``kinds``, a letter each."""
+    return _in(t["k"], kinds)
+
+
+def _from_to(t: Column, first: str, end: str) -> Column:
+    """Whether a text begins with a character from ``first`` up to ``end``, which is left out."""
+    return (t >= first) & (t < end)
+
+
+#: Kinds of single ASCII characters.
+_SINGLE = {" ": "B", "\t": "B", ",": "H", ".": "H", "!": "H", "?": "H", ":": "H", "(": "O", ")": "P"}
+
+
 def kind_of(t: Column) -> Column:
-    """The kind of a token, from its text."""
+    """The kind of a token, from its text. Most are told by their first character, without a pattern."""
     one = F.char_length(t) == 1
-    return (
-        F.when(t.rlike(rf"^{BLANK}"), "B")
-        .when(t.rlike(rf"^{HAN}"), "C")
-        .when(t.rlike(r"^\d[\d.,:/_'’-]*$"), F.when(t.rlike(r"^\d+(?:\.\d+){3}:\d"), "W").otherwise("D"))
-        .when(t.rlike(rf"^[{LATIN}0-9]"), F.when(t.rlike(rf"://|@|\.[a-z]|^[A-Za-z][A-Za-z0-9-]*:"), "W").otherwise("L"))
-        .when(one & t.isin(",", ".", "!", "?", ":"), "H")
-        .when(one & (t == "("), "O")
-        .when(one & (t == ")"), "P")
-        .when(t.rlike(r"^(?:[℃℉]|°[CF])$"), "U")
-        .when(~one & t.rlike("^[《〈“‘]"), "T")
-        .when(~one & t.startswith('"'), "Q")
-        .when(~one & t.rlike(r"^\$.+\$$"), "M")
-        .when(~one & t.rlike(r"^(?:[`!\[<%]|#|&[#A-Za-z])"), "W")
-        .when(one & t.rlike(f"^[{_FULL}]$"), "F")
-        .otherwise("S")
+    named = (t.contains(".") | t.contains(":") | t.contains("@")) & t.rlike(r"://|@|\.[a-z]|^[A-Za-z][A-Za-z0-9-]*:")
+    word = F.when(named, "W").otherwise("L")
+    return first_of(
+        (_from_to(t, "一", "鿰"), "C"),
+        (_from_to(t, "a", "{") | _from_to(t, "A", "["), word),
+        (_in(t, "".join(_SINGLE)) & one, F.translate(t, "".join(_SINGLE), "".join(_SINGLE.values()))),
+        (_from_to(t, "0", ":"), F.when(t.rlike(r"^\d[\d.,:/_'’-]*$"), F.when(t.rlike(r"^\d+(?:\.\d+){3}:\d"), "W").otherwise("D")).otherwise(word)),
+        (_in(_first(t), _BLANKS), "B"),
+        (t.rlike(rf"^{HAN}"), "C"),
+        (t.rlike(rf"^[{LATIN}]"), word),
+        (t.rlike(r"^(?:[℃℉]|°[CF])$"), "U"),
+        (~one & _in(_first(t), "《〈“‘"), "T"),
+        (~one & t.startswith('"'), "Q"),
+        (~one & t.rlike(r"^\$.+\$$"), "M"),
+        (~one & t.rlike(r"^(?:[`!\[<%]|#|&[#A-Za-z])"), "W"),
+        (one & t.rlike(f"^[{_FULL}]$"), "F"),
+        otherwise="S",
     )
 
 
 def is_wordlike(t: Column) -> Column:
     """Latin words, numbers and formulas: what a space may stand beside."""
-    return t["k"].isin("L", "W", "D", "E", "M")
+    return is_kind(t, "LWDEM")
 
 
 def _first(t: Column) -> Column:
@@ -98,8 +120,14 @@ def _last(t: Column) -> Column:
     return F.substring(t, -1, 1)
 
 
-def _numbers_in_words(x: Column) -> Column:
-    """Numbers beside a Latin word, at most a blank or a dot, stroke or dash away, are parts of it: kind E."""
+def _token(t: Column, /, **new: Column | str) -> Column:
+    """A token with some of its parts anew: its text t, kind k, blanks g, wishes l and r, language z and emphasis e."""
+    part = lambda c: new[c] if isinstance(new.get(c), Column) else F.lit(new[c]) if c in new else t[c]
+    return F.struct(*[part(c).alias(c) for c in ("t", "k", "g", "l", "r", "z", "e")])
+
+
+def _in_words(x: Column, t: Column, i: Column) -> Column:
+    """Whether a number stands beside a Latin word, at most a blank or a dot, stroke or dash away: it is a part of it then."""
 
     def beside(at: Column, gap: Column, far: Column, far_gap: Column) -> Column:
         near = (at["k"] == "L") & gap.isin("", " ")
@@ -107,17 +135,13 @@ def _numbers_in_words(x: Column) -> Column:
         number = (at["k"] == "D") & gap.isin("", " ") & (far["k"] == "L") & far_gap.isin("", " ")
         return F.coalesce(near | joined | number, F.lit(False))
 
-    def one(t: Column, i: Column) -> Column:
-        before, after = F.get(x, i - 1), F.get(x, i + 1)
-        word = beside(before, t["g"], F.get(x, i - 2), before["g"]) | beside(after, after["g"], F.get(x, i + 2), F.get(x, i + 2)["g"])
-        return F.struct(t["t"].alias("t"), F.when((t["k"] == "D") & word, "E").otherwise(t["k"]).alias("k"), t["g"].alias("g"))
-
-    return F.transform(x, one)
+    before, after = F.get(x, i - 1), F.get(x, i + 1)
+    return beside(before, t["g"], F.get(x, i - 2), before["g"]) | beside(after, after["g"], F.get(x, i + 2), F.get(x, i + 2)["g"])
 
 
 def _asks(x: Column) -> Column:
-    """Adds l and r, what a symbol asks for on its left and right: none, space, latin (a space beside words only), keep, or
-    nothing. A symbol beside anything but words is only mentioned and asks for none."""
+    """Numbers in words become kind E. Adds l and r, what a symbol asks for on its left and right: none, space, latin (a space
+    beside words only), keep, or nothing. A symbol beside anything but words is only mentioned and asks for none."""
 
     def one(t: Column, i: Column) -> Column:
         before, after = F.get(x, i - 1), F.get(x, i + 1)
@@ -128,50 +152,52 @@ def _asks(x: Column) -> Column:
         notation = F.coalesce((t["g"] == "") & _last(before["t"]).rlike(r"[A-Za-z0-9_^{}\\̀-ͯ]"), F.lit(False)) | F.coalesce(follows & _first(after["t"]).rlike(r"[A-Za-z0-9_^{}\\̀-ͯ]"), F.lit(False))
         inner = F.regexp_replace(t["t"], rf'^"{BLANK}*|{BLANK}*"$', "")
         outside = lambda w, c: F.when(F.coalesce(~is_wordlike(w), F.lit(False)) | ~c.rlike(rf"[{LATIN}0-9$]"), "none").otherwise("latin")
-        asks = lambda left, right: F.struct(F.lit(left).alias("l"), F.lit(right).alias("r"))
-        rule = (
-            F.when((t["k"] == "H") & (t["t"] == ".") & letters, asks("", ""))
-            .when(t["k"] == "H", asks("none", "space"))
-            .when(t["k"] == "Q", F.struct(outside(before, _first(inner)).alias("l"), outside(after, _last(inner)).alias("r")))
-            .when(t["k"] != "S", asks("", ""))
-            .when(t["t"].rlike(r"^\.{2,}$") | (t["t"] == "^"), asks("none", "none"))
-            .when(t["t"] == "|", F.when(notation, asks("keep", "keep")).otherwise(asks("none", "none")))
-            .when(t["t"].startswith("|"), asks("keep", "keep"))
-            .when(t["t"].startswith("&") & letters, asks("", ""))
-            .when(t["t"].startswith("&") | (t["t"] == "→"), F.when(mentioned, asks("none", "none")).otherwise(asks("latin", "latin")))
-            .otherwise(asks("", ""))
-        )
+        asks = lambda left, right, **kind: _token(t, **kind, l=left, r=right, e=F.lit(0))
         # A dot between single letters is no mark: e.g.
-        kind = F.when((t["k"] == "H") & (t["t"] == ".") & letters, "S").otherwise(t["k"])
-        return F.struct(t["t"].alias("t"), kind.alias("k"), t["g"].alias("g"), rule["l"].alias("l"), rule["r"].alias("r"))
+        return first_of(
+            (t["k"] == "D", asks("", "", k=F.when(_in_words(x, t, i), "E").otherwise("D"))),
+            (~is_kind(t, "HQS"), asks("", "")),
+            ((t["k"] == "H") & (t["t"] == ".") & letters, asks("", "", k="S")),
+            (t["k"] == "H", asks("none", "space")),
+            (t["k"] == "Q", asks(outside(before, _first(inner)), outside(after, _last(inner)))),
+            (t["t"].rlike(r"^\.{2,}$") | (t["t"] == "^"), asks("none", "none")),
+            (t["t"] == "|", F.when(notation, asks("keep", "keep")).otherwise(asks("none", "none"))),
+            (t["t"].startswith("|"), asks("keep", "keep")),
+            (t["t"].startswith("&"), first_of((letters, asks("", "")), (mentioned, asks("none", "none")), otherwise=asks("latin", "latin"))),
+            (t["t"] == "→", F.when(mentioned, asks("none", "none")).otherwise(asks("latin", "latin"))),
+            otherwise=asks("", ""),
+        )
 
     return F.transform(x, one)
 
 
-def _parted(x: Column) -> Column:
-    """The tokens sentence by sentence; a sentence ends at 。！？；."""
-    ends = F.filter(F.transform(x, lambda t, i: F.when((t["k"] == "F") & t["t"].isin("。", "！", "？", "；"), i + 1)), lambda i: i.isNotNull())
-    return F.struct(x.alias("x"), F.array_distinct(F.concat(ends, F.array(F.size(x)))).alias("ends"))
+def _sentences(x: Column) -> Column:
+    """The sentences: where each begins, its number of tokens n and its language z: en without Chinese and with two Latin words
+    or more (not letters only, as in f(x)), zh with as many Chinese characters as Latin words or more, else nothing. A sentence
+    ends at 。！？；."""
+    marks = F.filter(F.transform(x, lambda t, i: F.when((t["k"] == "F") & _in(t["t"], "。！？；"), i + 1)), lambda i: i.isNotNull())
+    ends = F.array_distinct(F.concat(F.array(F.lit(0)), marks, F.array(F.size(x))))
 
+    def language(own: Column) -> Column:
+        times = lambda t, pattern: F.regexp_count(t["t"], F.lit(pattern))
+        han = F.aggregate(own, F.lit(0), lambda n, t: first_of((t["k"] == "C", n + F.char_length(t["t"])), (is_kind(t, "TQ"), n + times(t, HAN)), otherwise=n))
+        latin = F.aggregate(own, F.lit(0), lambda n, t: F.when(is_kind(t, "LTQ"), n + times(t, f"[{LATIN}]+")).otherwise(n))
+        long = F.exists(own, lambda t: is_kind(t, "LTQ") & t["t"].rlike(f"[{LATIN}]{{2}}"))
+        z = lambda n: first_of(((n["han"] == 0) & (n["latin"] >= 2) & long, "en"), ((n["han"] > 0) & (n["latin"] <= n["han"]), "zh"), otherwise="")
+        return bound(z, han=han, latin=latin)
 
-def _sentences(s: Column) -> Column:
-    """Sentences with how many Chinese characters and Latin words they hold."""
+    def one(v: Column, first: Column, i: Column) -> Column:
+        return bound(lambda w: F.struct(first.alias("first"), F.size(w["own"]).alias("n"), language(w["own"]).alias("z")), own=F.slice(v["x"], first + 1, F.get(v["ends"], i + 1) - first))
 
-    def one(end: Column, i: Column) -> Column:
-        start = F.when(i > 0, F.get(s["ends"], i - 1)).otherwise(0)
-        own = F.slice(s["x"], start + 1, end - start)
-        han = F.aggregate(own, F.lit(0), lambda n, t: n + F.when(t["k"] == "C", F.char_length(t["t"])).when(t["k"].isin("T", "Q"), F.regexp_count(t["t"], F.lit(HAN))).otherwise(0))
-        latin = F.aggregate(own, F.lit(0), lambda n, t: n + F.when(t["k"].isin("L", "E", "T", "Q"), F.regexp_count(t["t"], F.lit(f"[{LATIN}]+"))).otherwise(0))
-        return F.struct(own.alias("own"), han.alias("han"), latin.alias("latin"), F.exists(own, lambda t: t["k"].isin("L", "T", "Q") & t["t"].rlike(f"[{LATIN}]{{2}}")).alias("long"))
+    cut = lambda v: F.transform(F.slice(v["ends"], 1, F.size(v["ends"]) - 1), lambda first, i: one(v, first, i))
+    return bound(cut, x=x, ends=ends)
 
-    return F.transform(s["ends"], one)
 
-
-def _languages(s: Column) -> Column:
-    """The tokens with z, the language of their sentence: en without Chinese and with two Latin words or more (not letters only,
-    as in f(x)), zh with as many Chinese characters as Latin words or more, else nothing."""
-    z = lambda p: F.when((p["han"] == 0) & (p["latin"] >= 2) & p["long"], "en").when((p["han"] > 0) & (p["latin"] <= p["han"]), "zh").otherwise("")
-    return F.flatten(F.transform(s, lambda p: F.transform(p["own"], lambda t: F.struct(*[t[c].alias(c) for c in ("t", "k", "g", "l", "r")], z(p).alias("z")))))
+def _languages(x: Column) -> Column:
+    """The tokens with z, the language of their sentence."""
+    with_z = lambda own, p: F.transform(own, lambda t: F.struct(*[t[c].alias(c) for c in ("t", "k", "g")], p["z"].alias("z")))
+    cut = lambda s: F.flatten(F.transform(s["parts"], lambda p: with_z(F.slice(s["x"], p["first"] + 1, p["n"]), p)))
+    return bound(lambda s: F.when(F.size(s["parts"]) == 1, with_z(s["x"], F.get(s["parts"], F.lit(0)))).otherwise(cut(s)), x=x, parts=_sentences(x))
 
 
 _WIDER = {",": "，", ":": "：", ";": "；", "!": "！", "?": "？"}
@@ -179,21 +205,18 @@ _NARROWER = {"，": ",", "。": ".", "、": ",", "；": ";", "！": "!", "？":
 
 
 def _looked_up(t: Column, table: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for a, b in table.items():
-        out = F.when(t == a, b).otherwise(out)
-    return out
+    return F.translate(t, "".join(table), "".join(table.values()))
 
 
 def is_sign(t: Column) -> Column:
     """Marks and signs, beside which a mark keeps its width."""
-    return F.coalesce(t["k"].isin("F", "T", "Q", "H") | (t["l"] != "") | ((t["k"] == "S") & ((t["t"] == ";") | _in(_first(t["t"]), _SIGNS))), F.lit(False))
+    return F.coalesce(is_kind(t, "FTQH") | (t["l"] != "") | ((t["k"] == "S") & ((t["t"] == ";") | _in(_first(t["t"]), _SIGNS))), F.lit(False))
 
 
 def _bracketed(x: Column) -> Column:
-    """The tokens, and the ranges b of those inside half-width brackets; one that is never closed runs to the end."""
+    """The ranges of tokens inside half-width brackets; one that is never closed runs to the end."""
     empty = F.array().cast("array<struct<first:int,last:int>>")
-    marks = F.filter(F.transform(x, lambda t, i: F.struct(i.alias("i"), t["k"].alias("k"))), lambda m: m["k"].isin("O", "P"))
+    marks = F.filter(F.transform(x, lambda t, i: F.struct(i.alias("i"), t["k"].alias("k"))), lambda m: is_kind(m, "OP"))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("first"), empty.alias("ranges"))
 
     def step(s: Column, m: Column) -> Column:
@@ -202,35 +225,34 @@ def _bracketed(x: Column) -> Column:
         ranges = F.when(closed, F.concat(s["ranges"], F.array(F.struct(s["first"].alias("first"), m["i"].alias("last"))))).otherwise(s["ranges"])
         return F.struct(F.when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0))).alias("depth"), F.when(opens & (s["depth"] == 0), m["i"]).otherwise(s["first"]).alias("first"), ranges.alias("ranges"))
 
-    ranges = F.aggregate(marks, start, step, lambda s: F.when(s["depth"] > 0, F.concat(s["ranges"], F.array(F.struct(s["first"].alias("first"), F.size(x).alias("last"))))).otherwise(s["ranges"]))
-    return F.struct(x.alias("x"), ranges.alias("b"))
+    return F.aggregate(marks, start, step, lambda s: F.when(s["depth"] > 0, F.concat(s["ranges"], F.array(F.struct(s["first"].alias("first"), F.size(x).alias("last"))))).otherwise(s["ranges"]))
 
 
-def _widths(s: Column) -> Column:
+def _widths(x: Column) -> Column:
     """Marks in the width of their sentence: full-width ones of an English sentence become half-width, unless they stand against
     Chinese; half-width ones become full-width after Chinese, before Chinese or in a Chinese sentence. A mark in half-width
     brackets, after a number or a backslash, or beside another mark or sign stays, and so does a colon before a number."""
 
-    def one(t: Column, i: Column) -> Column:
+    def one(t: Column, i: Column, s: Column) -> Column:
         before, after = F.get(s["x"], i - 1), F.get(s["x"], i + 1)
         touches = F.coalesce((before["k"] == "C") & (t["g"] == ""), F.lit(False)) | F.coalesce((after["k"] == "C") & (after["g"] == ""), F.lit(False))
         dots = (t["t"] == "…") & ~F.coalesce((before["t"] == "…") & (t["g"] == ""), F.lit(False)) & ~F.coalesce((after["t"] == "…") & (after["g"] == ""), F.lit(False))
-        half = F.when((t["k"] == "F") & (t["z"] == "en") & ~touches, F.coalesce(_looked_up(t["t"], _NARROWER), F.when(dots, "...")))
+        half = (t["k"] == "F") & (t["z"] == "en") & ~touches & (_in(t["t"], "".join(_NARROWER)) | dots)
         shut = F.exists(s["b"], lambda r: (r["first"] < i) & (i < r["last"]))
-        after_number = (t["g"] == "") & before["k"].isin("D", "E") | (before["k"] == "L") & before["t"].rlike(r"\d$") & (t["g"] == "")
+        after_number = (t["g"] == "") & is_kind(before, "DE") | (before["k"] == "L") & before["t"].rlike(r"\d$") & (t["g"] == "")
         fixed = F.coalesce(after_number, F.lit(False)) | (F.coalesce(before["t"] == "\\", F.lit(False)) & (t["g"] == ""))
         chinese = F.coalesce((before["k"] == "C") & (t["g"] == ""), F.lit(False)) | F.coalesce(after["k"] == "C", F.lit(False)) | (t["z"] == "zh")
-        held = (is_sign(before) & (t["g"] == "")) | is_sign(after) | ((t["t"] == ":") & F.coalesce(after["k"].isin("D", "E"), F.lit(False)))
-        full = F.when((i > 0) & t["t"].isin(*_WIDER), F.when(~fixed & chinese & ~held & ~shut, _looked_up(t["t"], _WIDER)))
-        narrow = lambda c: F.struct(c.alias("t"), F.when(c == "...", "S").when(c == ";", "S").otherwise("H").alias("k"), t["g"].alias("g"), F.when(c == ";", "").otherwise("none").alias("l"), F.when(c == ";", "").when(c == "...", "none").otherwise("space").alias("r"), t["z"].alias("z"))
-        wide = lambda c: F.struct(c.alias("t"), F.lit("F").alias("k"), t["g"].alias("g"), F.lit("").alias("l"), F.lit("").alias("r"), t["z"].alias("z"))
-        return F.when(half.isNotNull(), narrow(half)).when(full.isNotNull(), wide(full)).otherwise(t)
+        held = (is_sign(before) & (t["g"] == "")) | is_sign(after) | ((t["t"] == ":") & F.coalesce(is_kind(after, "DE"), F.lit(False)))
+        full = (i > 0) & _in(t["t"], "".join(_WIDER)) & ~fixed & chinese & ~held & ~shut
+        narrow = first_of((t["t"] == "…", _token(t, t="...", k="S", l="none", r="none")), (t["t"] == "；", _token(t, t=";", k="S", l="", r="")), otherwise=_token(t, t=_looked_up(t["t"], _NARROWER), k="H", l="none", r="space"))
+        return first_of((half, narrow), (full, _token(t, t=_looked_up(t["t"], _WIDER), k="F", l="", r="")), otherwise=t)
 
-    return F.transform(s["x"], one)
+    marked = F.exists(x, lambda t: _in(t["t"], "".join([*_WIDER, *_NARROWER, "…"])))
+    return F.when(marked, bound(lambda s: F.transform(s["x"], lambda t, i: one(t, i, s)), x=x, b=_bracketed(x))).otherwise(x)
 
 
 def _emphasis(x: Column) -> Column:
-    """The tokens, and the places of marks of emphasis that open (first) and close (last). A mark opens before something and
+    """The places of marks of emphasis that open (first) and close (last). A mark opens before something and
     closes, if one of its own is open, after something."""
     kind = "array<struct<m:string,i:int>>"
     start = F.struct(F.array().cast(kind).alias("open"), F.array().cast("array<int>").alias("first"), F.array().cast("array<int>").alias("last"))
@@ -244,33 +266,36 @@ def _emphasis(x: Column) -> Column:
 
     mark = lambda t, i: F.when((t["k"] == "S") & t["t"].rlike(r"^(?:\*{1,3}|_{1,3}|==|~~)$"), F.struct(t["t"].alias("m"), i.alias("i"), ((i > 0) & (t["g"] == "")).alias("tight"), F.coalesce(F.get(x, i + 1)["g"] == "", F.lit(False)).alias("before")))
     marks = F.filter(F.transform(x, mark), lambda m: m.isNotNull())
-    return F.struct(x.alias("x"), F.when(F.size(marks) > 1, F.aggregate(marks, start, step)).alias("pairs"))
+    return bound(lambda v: F.when(F.size(v["marks"]) > 1, F.aggregate(v["marks"], start, step)), marks=marks)
 
 
-def _emphasised(s: Column) -> Column:
-    """The tokens with e: 1 for a mark of emphasis that opens, -1 for its closing one, else 0."""
-    sign = lambda t, i: F.when(t["k"] != "S", 0).when(F.array_contains(s["pairs"]["first"], i), 1).when(F.array_contains(s["pairs"]["last"], i), -1).otherwise(0)
-    return F.transform(s["x"], lambda t, i: F.struct(*[t[c].alias(c) for c in ("t", "k", "g", "l", "r", "z")], sign(t, i).alias("e")))
+def _emphasised(x: Column) -> Column:
+    """The tokens with e: 1 for a mark of emphasis that opens, -1 for its closing one, else 0. Most lines hold no pair."""
+    sign = lambda t, i, s: F.when(t["k"] != "S", 0).when(F.array_contains(s["pairs"]["first"], i), 1).when(F.array_contains(s["pairs"]["last"], i), -1).otherwise(0)
+    return bound(lambda s: F.when(s["pairs"].isNull(), s["x"]).otherwise(F.transform(s["x"], lambda t, i: _token(t, e=sign(t, i, s)))), x=x, pairs=_emphasis(x))
 
 
 def _raw(line: Column, count_units: bool) -> Column:
     """A line cut into pieces of text. Text in double quotes is one piece where their number is even."""
     even = F.regexp_count(F.regexp_replace(line, f"{SPECIAL}|{MATH}", ""), F.lit('"')) % 2 == 0
     single, quoted = (_COUNTED, _BOTH) if count_units else (_PLAIN, _QUOTED)
-    found = lambda p: F.regexp_extract_all(line, F.lit(p), F.lit(1))
+    cut = lambda p: F.regexp_extract_all(line, F.lit(p), F.lit(1))
+    found = lambda p: F.when(line.rlike(HINT), cut(p[0])).otherwise(cut(p[1]))
     return F.when(line.contains('"') & even, found(quoted)).otherwise(found(single))
 
 
 def _typed(raw: Column) -> Column:
     """Pieces with their kinds and the blanks before them; blanks at the edges inside quotes are dropped."""
-    gap = lambda i: F.when((i > 0) & F.get(raw, i - 1).rlike(rf"^{BLANK}"), F.get(raw, i - 1)).otherwise("")
-    tight = lambda t: F.when(t.rlike(rf'^["《〈“‘]{BLANK}|{BLANK}["》〉”’]$'), F.regexp_replace(t, rf'(?<=^["《〈“‘]){BLANK}+|{BLANK}+(?=["》〉”’]$)', "")).otherwise(t)
-    return F.filter(F.transform(raw, lambda t, i: F.struct(tight(t).alias("t"), kind_of(t).alias("k"), gap(i).alias("g"))), lambda t: t["k"] != "B")
+    gap = lambda i: F.when((i > 0) & _in(_first(F.get(raw, i - 1)), _BLANKS), F.get(raw, i - 1)).otherwise("")
+    quoted = lambda t: (_in(_first(t), '"《〈“‘') | _in(_last(t), '"》〉”’')) & t.rlike(rf'^["《〈“‘]{BLANK}|{BLANK}["》〉”’]$')
+    tight = lambda t: F.when(quoted(t), F.regexp_replace(t, rf'(?<=^["《〈“‘]){BLANK}+|{BLANK}+(?=["》〉”’]$)', "")).otherwise(t)
+    return F.filter(F.transform(raw, lambda t, i: F.when(~_in(_first(t), _BLANKS), F.struct(tight(t).alias("t"), kind_of(t).alias("k"), gap(i).alias("g")))), lambda t: t.isNotNull())
 
 
 def token_steps(widths: bool = True, count_units: bool = False) -> list[Callable[[Column], Column]]:
     """The steps from a line to its tokens: text t, kind k, the blanks before it g, what it asks for on its left l and right r,
     the language of its sentence z, and whether it opens or closes an emphasis e. With ``widths``, marks have the width that
     their sentence asks for. Each step is meant for a projection of its own: nested, they take Spark minutes to resolve."""
-    wide = [_bracketed, _widths] if widths else []
-    return [lambda line: _raw(line, count_units), _typed, _numbers_in_words, _asks, _parted, _sentences, _languages, *wide, _emphasis, _emphasised]
+    typed = lambda line: bound(lambda v: _typed(v["raw"]), raw=_raw(line, count_units))
+    asked = lambda x: bound(lambda v: _widths(v["x"]), x=_asks(x)) if widths else _asks(x)
+    return [typed, _languages, asked, _emphasised]

@@ -5,7 +5,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from notewright.functions import formulas, typeset
+from notewright.functions import formulas, spacing, tokens, typeset
+from notewright.functions.lines import bound, first_of
 from notewright.operators import blocks, forum
 from notewright.plans import typeset as layout
 
@@ -87,3 +88,25 @@ def test_a_pass_joins_logs_and_threads_only(spark):
     out = layout.one_pass(n.withColumn("_old", F.col("text")), layout.LayoutOptions())
     assert sorted(out.collect(), key=lambda r: r["note_id"]) == [(0, "## a\n1. x", "##  a\n3. x"), (1, None, None), (2, "用 anki", "用anki")]
     assert exchanges(out) == 0
+
+
+def test_tokens_are_copied_by_few_steps(spark):
+    """Each step that makes tokens anew copies them all: five at most, and the line's text."""
+    n = notes(spark, "中文 ，内容 。W,W", None, "plain", "- **矩阵**$P$: e.g. W → 甲 。“ a ”1,000 个 ...")
+    out = spacing.fix_spacing(n)
+    assert out._jdf.queryExecution().analyzed().toString().count("AS _tokens#") <= 6
+    found = {0: "中文，内容。W, W", 1: None, 2: "plain", 3: "- **矩阵** $P$：e.g. W→甲。“a”1,000个..."}
+    assert dict(out.select("note_id", "text").collect()) == found
+
+
+def test_kinds_are_told_without_patterns_first(spark):
+    """A token's kind by its first character is what the patterns say, also at the edges of ranges."""
+    kinds = {"C": "一 中文 鿯 㐀 々 あ カ 한 １ Ａ 𠀀", "L": "a zebra A Z é a's 7kg 3D", "W": "a.b x@y.org host:80 https://a 10.0.0.1:80 `c` [[a]] <b> #tag &amp;", "D": "0 9 1,000 12:30", "H": ", . ! ? :", "O": "(", "P": ")", "U": "℃ °C", "T": "《书》 “a”", "Q": '"a"', "M": "$x$", "F": "， 。 “", "S": "| ^ .. -- { [ ` @ \" $ ... 😀"}
+    rows = [(t, k) for k, ts in kinds.items() for t in ts.split(" ")]
+    out = spark.createDataFrame(rows, "t string, k string").withColumn("found", tokens.kind_of(F.col("t")))
+    assert out.where("NOT found <=> k").collect() == []
+
+
+def test_bound_values_and_first_branches(spark):
+    row = spark.range(5).select(bound(lambda v: v["a"] * 2 + v["b"], a=F.col("id") + 1, b=F.lit(1)).alias("x"), first_of((F.col("id") < 2, "few"), (F.col("id") < 4, "some"), otherwise="many").alias("y"))
+    assert [tuple(r) for r in row.collect()] == [(3, "few"), (5, "few"), (7, "some"), (9, "some"), (11, "many")]
