@@ -38,8 +38,9 @@ def collation_key(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def part(x: Column) -> Column:
-        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
-        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(x)
+        bare = F.ltrim(x, F.lit("0"))
+        digits = F.when(bare == "", "0").otherwise(bare)
+        return F.when(F.lit("0123456789").contains(F.substring(x, 1, 1)), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(x)
 
     return F.collate(F.when(text.rlike(r"\d"), F.array_join(F.transform(runs, part), "")).otherwise(text), "zh_CI_AI")
 
